@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import media, sharding
+from . import bpe, media, sharding
 
 QUERIES = {
+    "op3_byte_bpe": bpe.op3,
     "op4_media_columns": media.op4,
     "op10_sharding": sharding.op10,
 }
