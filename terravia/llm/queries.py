@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, media, sharding
+from . import bpe, media, sharding, warc
 
 QUERIES = {
     "op3_byte_bpe": bpe.op3,
     "op4_media_columns": media.op4,
+    "op8_warc": warc.op8,
     "op10_sharding": sharding.op10,
 }
 
