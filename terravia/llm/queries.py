@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, media, sharding, warc
+from . import bpe, chat, media, sharding, substrings, warc
 
 QUERIES = {
+    "op2_substring_dedup": substrings.op2,
     "op3_byte_bpe": bpe.op3,
     "op4_media_columns": media.op4,
+    "op7_chat_formatting": chat.op7,
     "op8_warc": warc.op8,
     "op10_sharding": sharding.op10,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_chat_formatting": chat.SQL}
