@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, media, sharding, substrings, warc
+from . import bpe, chat, media, sharding, substrings, toxicity, warc
 
 QUERIES = {
     "op2_substring_dedup": substrings.op2,
     "op3_byte_bpe": bpe.op3,
     "op4_media_columns": media.op4,
+    "op6_toxicity": toxicity.op6,
     "op7_chat_formatting": chat.op7,
     "op8_warc": warc.op8,
     "op10_sharding": sharding.op10,
