@@ -86,21 +86,27 @@ def _powers(n: int) -> np.ndarray:
 
 def word_hashes(text: bytes) -> np.ndarray:
     """A 64-bit hash of each word (run of bytes outside 20, 09-0D), A-Z taken as a-z, in order."""
+    return words(text)[0]
+
+
+def words(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hash of each word, where it starts and where it ends."""
     raw = np.frombuffer(text, np.uint8)
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     if not len(raw):
-        return np.zeros(0, np.uint64)
+        return none
     space = _SPACE[raw]
     edge = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]]).view(np.int8)))
     starts, ends = edge[::2], edge[1::2]
     if not len(starts):
-        return np.zeros(0, np.uint64)
+        return none
     size = ends - starts
     with np.errstate(over="ignore"):
         # position within the word, so that equal words have equal terms wherever they stand
         place = np.arange(len(raw)) - np.repeat(np.concatenate([[0], starts]), np.diff(np.concatenate([[0], starts, [len(raw)]])))
         terms = _BYTE[_LOWER[raw]] * _powers(int(place.max()) + 1)[place]
         terms[space] = 0
-        return mix(np.add.reduceat(terms, starts) + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        return mix(np.add.reduceat(terms, starts) + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), starts, ends
 
 
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, media, sharding, substrings, toxicity, warc
+from . import bpe, chat, media, quality, sharding, substrings, toxicity, warc
 
 QUERIES = {
+    "op1_quality_classifier": quality.op1,
     "op2_substring_dedup": substrings.op2,
     "op3_byte_bpe": bpe.op3,
     "op4_media_columns": media.op4,
