@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, media, quality, sharding, substrings, toxicity, warc
+from . import bpe, chat, decontamination, media, quality, sharding, substrings, toxicity, warc
 
 QUERIES = {
     "op1_quality_classifier": quality.op1,
     "op2_substring_dedup": substrings.op2,
     "op3_byte_bpe": bpe.op3,
     "op4_media_columns": media.op4,
+    "op5_decontamination": decontamination.op5,
     "op6_toxicity": toxicity.op6,
     "op7_chat_formatting": chat.op7,
     "op8_warc": warc.op8,
