@@ -120,3 +120,24 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
         for i in range(k):
             out = mix(out * np.uint64(0x9FB21C651E98DF25) + words[i : i + n])
     return np.unique(out)
+
+
+# --- sets of ids as a bitmap of fixed size --------------------------------------------------------
+
+_WORDS = 1 << 18
+
+
+def bitmap(ids: DataFrame, column: str) -> DataFrame:
+    """A filter of the ids in 2^18 words of 64 bits (word, bits): passes each of them, and few others as long as they
+    are fewer than 2^24. Its size does not depend on theirs, so it may be broadcast; where it is full it passes all."""
+    h = F.xxhash64(F.col(column))
+    words = ids.select(F.pmod(h, F.lit(_WORDS)).cast("int").alias("bm_word"), F.expr(f"shiftleft(1L, cast(pmod(shiftright(xxhash64(`{column}`), 24), 64) as int))").alias("bit"))
+    return words.groupBy("bm_word").agg(F.bit_or("bit").alias("bm_bits"))
+
+
+def marked(df: DataFrame, id_column: str, bits: DataFrame, name: str) -> DataFrame:
+    """df with a boolean column: whether the bitmap passes its id (false: it is certainly none of them)."""
+    word = F.pmod(F.xxhash64(F.col(id_column)), F.lit(_WORDS)).cast("int")
+    bit = F.expr(f"shiftleft(1L, cast(pmod(shiftright(xxhash64(`{id_column}`), 24), 64) as int))")
+    joined = df.join(F.broadcast(bits), word == F.col("bm_word"), "left")
+    return joined.withColumn(name, F.coalesce(F.col("bm_bits").bitwiseAND(bit) != 0, F.lit(False))).drop("bm_word", "bm_bits")

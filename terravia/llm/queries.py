@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontamination, media, quality, sharding, substrings, toxicity, warc
+from . import bpe, chat, decontamination, jaccard, media, quality, sharding, substrings, toxicity, warc
 
 QUERIES = {
     "op1_quality_classifier": quality.op1,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_toxicity": toxicity.op6,
     "op7_chat_formatting": chat.op7,
     "op8_warc": warc.op8,
+    "op9_jaccard_join": jaccard.op9,
     "op10_sharding": sharding.op10,
 }
 
