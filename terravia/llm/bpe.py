@@ -354,12 +354,13 @@ def _columns(path: str, pattern: str):
     return run
 
 
-def encode(docs: DataFrame, vocabulary: str | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids and the text decoded from the ids, of each row of docs."""
+def encode(docs: DataFrame, vocabulary: str | None = None, pattern: str | None = None, text_col: str = "text") -> DataFrame:
+    """docs with n_tokens, ids and decoded (the text decoded from the ids); columns that had these names are left out."""
     path, pat = default_vocabulary()
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(_columns(vocabulary or path, pattern or pat), f"doc_id {kind}, n_tokens long, ids array<int>, decoded string")
+    kept = [f for f in docs.schema.fields if f.name not in ("n_tokens", "ids", "decoded")]
+    named = docs.select(*(F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(kept)), F.col(text_col).cast("string").alias("encoded"))
+    ddl = "".join(f"c{i} {f.dataType.simpleString()}, " for i, f in enumerate(kept))
+    return named.mapInArrow(_columns(vocabulary or path, pattern or pat), ddl + "n_tokens long, ids array<int>, decoded string").toDF(*(f.name for f in kept), "n_tokens", "ids", "decoded")
 
 
 def digests(docs: DataFrame, vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
