@@ -87,26 +87,22 @@ def symbols(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _steps():
-    for d1 in range(1, SPAN - 1):
-        for d2 in range(1, SPAN - d1):
-            yield d1, d1 + d2
+    """Places of the second and the third symbol after the first."""
+    for d2 in range(2, SPAN):
+        for d1 in range(1, d2):
+            yield d1, d2
 
 
 def place_sums(got: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """For each place, the sum of DECAY^span * weight over the subsequences that begin there."""
-    n = len(got)
-    out = np.zeros(n, np.float32)
-    by_span = {}
-    padded = np.concatenate([got, np.zeros(SPAN, got.dtype)])
-    high = got << 12
-    for d1, d2 in _steps():
-        at = high + (padded[d1 : n + d1] << 6) + padded[d2 : n + d2]
-        by_span.setdefault(d2, []).append(at)
-    for span, ats in by_span.items():
-        total = weights.take(ats[0])
-        for at in ats[1:]:
-            total += weights.take(at)
-        out += DECAY ** np.float32(span + 1) * total
+    out = np.empty(len(got), np.float32)
+    for at in range(0, len(got), BATCH):  # a block at a time: memory doesn't grow with the text
+        block = np.concatenate([got[at : at + BATCH + SPAN], np.zeros(SPAN, got.dtype)])
+        n = min(BATCH, len(got) - at)
+        high, total = block[:n] << 12, np.zeros(n, np.float32)
+        for d1, d2 in _steps():
+            total += weights.take(high + (block[d1 : n + d1] << 6) + block[d2 : n + d2]) * DECAY ** np.float32(d2 + 1)
+        out[at : at + n] = total
     return out
 
 
@@ -127,7 +123,7 @@ def subsequences(segment: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             a, b, c = segment[: n - d2], segment[d1 : n - d2 + d1], segment[d2:]
             m = (a > 0) & (b > 0) & (c > 0)
             ats.append(((a << 12) + (b << 6) + c)[m])
-            ws.append(np.full(int(m.sum()), DECAY ** (d2 + 1), np.float32))
+            ws.append(np.full(int(m.sum()), DECAY ** np.float32(d2 + 1), np.float32))
     return (np.concatenate(ats), np.concatenate(ws)) if ats else (np.zeros(0, np.int32), np.zeros(0, np.float32))
 
 
