@@ -1,0 +1,230 @@
+"""Row functions as Column expressions; no Python runs per row."""
+
+from __future__ import annotations
+
+import hashlib
+import json
+from collections.abc import Mapping, Sequence
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from .. import constants as K
+
+
+def col(c: str | Column) -> Column:
+    return F.col(c) if isinstance(c, str) else c
+
+
+def number(c: str | Column) -> Column:
+    """A number, or null where the value is none."""
+    return col(c).try_cast("double")
+
+
+def ratio(a: Column, b: Column) -> Column:
+    return F.try_divide(a.cast("double"), b.cast("double"))
+
+
+def percent(a: Column, b: Column) -> Column:
+    return 100.0 * ratio(a, b)
+
+
+def _tag(c: Column) -> Column:
+    return F.coalesce(F.lower(F.trim(c)), F.lit(""))
+
+
+def normalize_category(c: str | Column) -> Column:
+    """Category codes in canonical form."""
+    text = F.regexp_replace(F.upper(F.trim(col(c))), r"\s*-\s*", "-")
+    none = col(c).isNull() | text.isin("0", "", "NAN", "NONE", "SIN CATEGORIA", "SIN CATEGORÍA")
+    return F.when(none, K.NO_CATEGORY).when(text.isin(*K.CATEGORIES), text).otherwise(K.UNKNOWN_CATEGORY)
+
+
+def is_active(c: str | Column) -> Column:
+    return F.coalesce(F.upper(F.trim(col(c))) == "ACTIVO", F.lit(False))
+
+
+def access_time(status: str | Column, time: str | Column) -> Column:
+    """The time where the status is routed, else null."""
+    return F.when(col(status) == K.ROUTED, col(time))
+
+
+def band(t: str | Column, cuts: Sequence[float] = (30, 60, 120)) -> Column:
+    """The coverage band, right-closed; null times have their own."""
+    t = col(t)
+    a, b, c = cuts
+    return F.when(t <= a, K.BANDS[0]).when(t <= b, K.BANDS[1]).when(t <= c, K.BANDS[2]).when(t > c, K.BANDS[3]).otherwise(K.NO_TIME)
+
+
+def classify_pair(snap_ok: Column, same_department: Column, reachable: Column) -> Column:
+    return F.when(~F.coalesce(snap_ok, F.lit(False)), K.SNAP_FAILED).when(~F.coalesce(same_department, F.lit(False)), K.CROSS_DEPARTMENT).when(reachable, K.ROUTED).otherwise(K.NO_ROUTE)
+
+
+def classify_demand(snap_ok: Column, reachable: Column) -> Column:
+    return F.when(~F.coalesce(snap_ok, F.lit(False)), K.SNAP_FAILED).when(reachable, K.ROUTED).otherwise(K.NO_ROUTE)
+
+
+def district_quality(n_weight: Column, n_time: Column, share: Column, calibration: Column | None = None, least_share: float = 50.0, least_n: int = 3) -> Column:
+    """Why a district can or can't be ranked."""
+    impossible = F.coalesce(calibration == K.NO_SAMPLE, F.lit(False)) if calibration is not None else F.lit(False)
+    return (
+        F.when(impossible, K.CALIBRATION_IMPOSSIBLE)
+        .when(n_weight == 0, K.ZERO_SAMPLE)
+        .when(n_weight < least_n, K.LOW_SAMPLE)
+        .when(n_time == 0, K.ZERO_ROUTING)
+        .when(share.isNull() | (share < least_share), K.LOW_ROUTING)
+        .otherwise(K.COMPUTABLE)
+    )
+
+
+def status_label(c: str | Column) -> Column:
+    """The label of a status, the status itself where it has none."""
+    table = F.create_map(*(F.lit(x) for pair in K.STATUS_LABELS.items() for x in pair))
+    return F.coalesce(F.try_element_at(table, col(c)), col(c))
+
+
+def facility_layer(resolutive: Column, candidate: Column) -> Column:
+    return F.when(resolutive, "Resolutivo").when(candidate, "Candidato").otherwise("Otro")
+
+
+def haversine_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
+    """Great-circle distance in metres (F1)."""
+    p1, p2 = F.radians(lat1), F.radians(lat2)
+    a = F.pow(F.sin((p2 - p1) / 2), 2) + F.cos(p1) * F.cos(p2) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
+    return F.lit(2 * K.EARTH_M) * F.asin(F.sqrt(F.least(F.greatest(a, F.lit(0.0)), F.lit(1.0))))
+
+
+def parse_maxspeed(c: str | Column) -> Column:
+    """km/h of a maxspeed tag, or null (F2)."""
+    raw = F.lower(F.trim(col(c)))
+    first = F.trim(F.regexp_extract(raw, r"^([^;,]*)", 1))
+    value = F.regexp_replace(first, r"[^0-9.]", "").try_cast("double")
+    kmh = F.when(F.contains(first, F.lit("mph")), value * 1.60934).otherwise(value)
+    return F.when(~raw.isin("none", "signals", "walk", "variable") & kmh.between(3.0, 150.0), kmh)
+
+
+def no_access(*tags: Column) -> Column:
+    out = F.lit(False)
+    for t in tags:
+        out = out | _tag(t).isin("no", "private")
+    return out
+
+
+def oneway(oneway_tag: Column, junction: Column) -> Column:
+    """struct<forward, backward>."""
+    tag, ring = _tag(oneway_tag), _tag(junction) == "roundabout"
+    reverse = tag.isin("-1", "reverse")
+    ahead = tag.isin("yes", "1", "true") | (ring & ~tag.isin("no", "0", "false") & ~reverse)
+    return F.struct((~reverse).alias("forward"), (~ahead).alias("backward"))
+
+
+def _speed(highway: Column, table: Mapping[str, float], default: float) -> Column:
+    pairs = F.create_map(*(F.lit(x) for k, v in table.items() for x in (k, float(v))))
+    return F.coalesce(F.try_element_at(pairs, highway), F.lit(default))
+
+
+def _edge(open_: Column, speed: Column, length: Column, direction: Column) -> Column:
+    return F.when(
+        open_,
+        F.struct(speed.alias("speed_kmh"), (length / (speed * 1000.0 / 3600.0)).alias("time_s"), length.alias("length_m"), direction["forward"].alias("forward"), direction["backward"].alias("backward")),
+    )
+
+
+def _c(tags: Sequence[str], name: str) -> Column:
+    """A tag's column, null where the edges don't carry the tag."""
+    return F.col(f"`{name}`") if name in tags else F.lit(None).cast("string")
+
+
+def car_edge_weight(tags: Sequence[str], length: Column, track_kmh: float = K.TRACK_SPEED) -> Column:
+    """struct<speed_kmh, time_s, length_m, forward, backward>, null where cars can't go."""
+    highway = _c(tags, "highway")
+    open_ = highway.isNotNull() & ~highway.isin(*K.NEVER, *K.CAR_EXCLUDED) & ~no_access(_c(tags, "access"), _c(tags, "motor_vehicle"))
+    usual = F.when(highway == "track", F.lit(float(track_kmh))).otherwise(_speed(highway, K.CAR_SPEED, K.CAR_DEFAULT))
+    speed = F.coalesce(parse_maxspeed(_c(tags, "maxspeed")), usual)
+    return _edge(open_, speed, length, oneway(_c(tags, "oneway"), _c(tags, "junction")))
+
+
+def bike_edge_weight(tags: Sequence[str], length: Column) -> Column:
+    highway, own = _c(tags, "highway"), _tag(_c(tags, "bicycle"))
+    asks = highway.isin(*K.HIGH_SPEED, "steps")
+    barred = no_access(_c(tags, "access")) & ~own.isin("yes", "permissive", "designated")
+    open_ = highway.isNotNull() & ~highway.isin(*K.NEVER) & (~asks | (own == "yes")) & (own != "no") & ~barred
+    both = (_tag(_c(tags, "oneway:bicycle")) == "no") | _tag(_c(tags, "cycleway")).isin("opposite", "opposite_lane", "opposite_track")
+    usual = oneway(_c(tags, "oneway"), _c(tags, "junction"))
+    direction = F.struct((both | usual["forward"]).alias("forward"), (both | usual["backward"]).alias("backward"))
+    return _edge(open_, _speed(highway, K.BIKE_SPEED, K.BIKE_DEFAULT), length, direction)
+
+
+def foot_edge_weight(tags: Sequence[str], length: Column) -> Column:
+    highway, own = _c(tags, "highway"), _tag(_c(tags, "foot"))
+    barred = no_access(_c(tags, "access")) & ~own.isin("yes", "permissive", "designated")
+    open_ = highway.isNotNull() & ~highway.isin(*K.NEVER) & (~highway.isin(*K.HIGH_SPEED) | (own == "yes")) & (own != "no") & ~barred
+    way = _tag(_c(tags, "oneway:foot"))
+    direction = F.struct((~way.isin("-1", "reverse")).alias("forward"), (~way.isin("yes", "1", "true")).alias("backward"))
+    return _edge(open_, F.when(highway == "steps", F.lit(K.FOOT_STEPS)).otherwise(F.lit(K.FOOT_SPEED)), length, direction)
+
+
+def make_edge_weight(mode: str, tags: Sequence[str], length: Column, track_kmh: float = K.TRACK_SPEED) -> Column:
+    """The weight of an edge in a mode, by the mode's name (F8)."""
+    if mode == "car":
+        return car_edge_weight(tags, length, track_kmh)
+    return {"bike": bike_edge_weight, "foot": foot_edge_weight}[mode](tags, length)
+
+
+def profile_params(mode: str, track_kmh: float = K.TRACK_SPEED) -> dict:
+    """All that determines a mode's edges."""
+    own = {
+        "car": {"speed": K.CAR_SPEED, "default": K.CAR_DEFAULT, "excluded": K.CAR_EXCLUDED, "track": track_kmh},
+        "bike": {"speed": K.BIKE_SPEED, "default": K.BIKE_DEFAULT, "asks": K.HIGH_SPEED},
+        "foot": {"speed": K.FOOT_SPEED, "steps": K.FOOT_STEPS, "asks": K.HIGH_SPEED},
+    }[mode]
+    return {"mode": mode, "never": K.NEVER, "maxspeed": [3.0, 150.0], "rules": 1, **own}
+
+
+def profile_hash(mode: str, track_kmh: float = K.TRACK_SPEED, length: int = 16) -> str:
+    return hashlib.sha256(json.dumps(profile_params(mode, track_kmh), sort_keys=True).encode()).hexdigest()[:length]
+
+
+def mojibake(c: str | Column) -> Column:
+    """Whether a text shows signs of a wrong decoding."""
+    return F.coalesce(col(c).rlike("Ã.|Â.|â€.|�"), F.lit(False))
+
+
+def place_key(*cs: str | Column) -> Column:
+    """Trimmed, upper-case parts joined by |."""
+    return F.concat_ws("|", *(F.upper(F.trim(col(c))) for c in cs))
+
+
+def serialize_filter(values: Sequence[str] | None) -> str:
+    """A token for a selection, whatever its order."""
+    return "all" if not values else ",".join(sorted(map(str, values)))
+
+
+def latex_escape(c: str | Column) -> Column:
+    """Text safe in LaTeX."""
+    out = F.regexp_replace(col(c), r"\\", r"\\textbackslash ")
+    return F.regexp_replace(out, r"([&%$#_{}])", r"\\$1")
+
+
+def color_position(value: Column, low: Column, high: Column, status: Column, stops: int = 5) -> Column:
+    """Place of a value on a linear scale of ``stops`` colours, null for what can't be computed."""
+    at = F.coalesce(F.try_divide(value - low, high - low), F.lit(0.0))
+    return F.when((status == K.COMPUTABLE) & value.isNotNull(), F.least(F.floor(at * (stops - 1) + 0.5), F.lit(stops - 1)).cast("int"))
+
+
+def utm18s(lon: Column, lat: Column) -> tuple[Column, Column]:
+    """Easting and northing in UTM zone 18 south, by the Krüger series to the third order (V7)."""
+    a, f, k0 = 6_378_137.0, 1 / 298.257223563, 0.9996
+    n = f / (2 - f)
+    radius = a / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    alpha = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240)
+    e = 2 * n**0.5 / (1 + n)
+    phi, lam = F.radians(lat), F.radians(lon + 75.0)
+    s = F.sin(phi)
+    t = F.sinh(F.atanh(s) - e * F.atanh(e * s))
+    xi, eta = F.atan2(t, F.cos(lam)), F.atanh(F.sin(lam) / F.sqrt(1 + t * t))
+    x, y = eta, xi
+    for j, al in enumerate(alpha, 1):
+        x = x + al * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+        y = y + al * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+    return 500_000.0 + k0 * radius * x, 10_000_000.0 + k0 * radius * y
