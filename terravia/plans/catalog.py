@@ -2,5 +2,711 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .. import constants as K
+from ..functions import exprs as X
+from ..operators import access, filters, geo, inequality, linkage, network, quality, sampling, scenario, weights
+from . import tables as T
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def put(f):
+        QUERIES[name] = lambda spark, sf_dir: T.rounded(f(spark, sf_dir))
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return put
+
+
+def R(x: str, digits: int = 6) -> str:
+    return f"round(CAST({x} AS DOUBLE), {digits})"
+
+
+BAND = "CASE WHEN t_min <= 30 THEN '<=30' WHEN t_min <= 60 THEN '>30_<=60' WHEN t_min <= 120 THEN '>60_<=120' WHEN t_min > 120 THEN '>120' ELSE 'unroutable_or_not_estimated' END"
+MEAN = f"""count(*) AS n_cp, count(weight) AS n_cp_with_weight, count(*) FILTER (WHERE t_min IS NOT NULL AND weight IS NOT NULL) AS n_cp_with_time, CAST(sum(weight) AS BIGINT) AS total_pop,
+  CAST(coalesce(sum(weight) FILTER (WHERE t_min IS NOT NULL), 0) AS BIGINT) AS pop_with_time, {R("sum(t_min * weight) / nullif(sum(weight) FILTER (WHERE t_min IS NOT NULL), 0)")} AS weighted_mean,
+  {R("100.0 * CAST(coalesce(sum(weight) FILTER (WHERE t_min IS NOT NULL), 0) AS DOUBLE) / nullif(sum(weight), 0)")} AS share_with_time_pct"""
+
+
+# --- access ------------------------------------------------------------------------------------------
+
+
+@query("a1_weighted_mean", f"WITH {T.DEMAND} SELECT dep, prov, {MEAN} FROM demand GROUP BY dep, prov")
+def _(spark, sf):
+    return access.weighted_mean_access(T.demand(spark, sf), ["dep", "prov"])
+
+
+@query("a1_weighted_mean_total", f"WITH {T.DEMAND} SELECT 'total' AS scope, {MEAN} FROM demand")
+def _(spark, sf):
+    return access.weighted_mean_access(T.demand(spark, sf))
+
+
+@query("p7_p8_access_bands", f"WITH {T.DEMAND} SELECT demand_id, status, {R('t_min')} AS t_min, {BAND} AS band FROM demand")
+def _(spark, sf):
+    d = T.demand(spark, sf).withColumn("t_min", X.access_time("status", "t_raw"))
+    return d.select("demand_id", "status", "t_min", X.band("t_min").alias("band"))
+
+
+def _band_rows(bands, total):
+    parts = " UNION ALL ".join(f"SELECT {i} AS ord, '{n}' AS band, CAST(coalesce(sum(weight) FILTER (WHERE {c}), 0) AS DOUBLE) AS population, {R(f'100.0 * CAST(coalesce(sum(weight) FILTER (WHERE {c}), 0) AS DOUBLE) / nullif({total}, 0)')} AS pct FROM demand" for i, (n, c) in enumerate(bands))
+    return f"WITH {T.DEMAND} {parts}"
+
+
+_A = list(zip(K.BANDS, ("t_min <= 30", "t_min > 30 AND t_min <= 60", "t_min > 60 AND t_min <= 120", "t_min > 120"), strict=True))
+_CUM = list(zip(K.CUMULATIVE, ("t_min <= 30", "t_min <= 60", "t_min <= 120", "t_min > 120", "t_min IS NULL"), strict=True))
+
+
+@query("a2_bands_a", _band_rows(_A, "sum(weight) FILTER (WHERE t_min IS NOT NULL)"))
+def _(spark, sf):
+    return access.bands_of_timed(T.demand(spark, sf))
+
+
+@query("a2_bands_b", _band_rows([*_A, (K.NO_TIME, "t_min IS NULL")], "sum(weight)"))
+def _(spark, sf):
+    return access.bands_of_all(T.demand(spark, sf))
+
+
+@query("a2_cumulative", _band_rows(_CUM, "sum(weight)"))
+def _(spark, sf):
+    return access.bands_cumulative(T.demand(spark, sf))
+
+
+_WIDE = ", ".join(f'CAST(coalesce(sum(weight) FILTER (WHERE {c}), 0) AS DOUBLE) AS "pop_{n}", ' + R(f"100.0 * CAST(coalesce(sum(weight) FILTER (WHERE {c}), 0) AS DOUBLE) / nullif(sum(weight) FILTER (WHERE t_min IS NOT NULL), 0)") + f' AS "pct_{n}"' for n, c in _A)
+
+
+@query("a3_bands_wide", f"WITH {T.DEMAND} SELECT dep, dist, {_WIDE} FROM demand GROUP BY dep, dist")
+def _(spark, sf):
+    return access.bands_wide(T.demand(spark, sf), ["dep", "dist"])
+
+
+_CUM_COLS = ", ".join(R(f"100.0 * CAST(coalesce(sum(weight) FILTER (WHERE {c}), 0) AS DOUBLE) / nullif(sum(weight), 0)") + f" AS {n}" for n, (_, c) in zip(("pct_le_30", "pct_le_60", "pct_le_120", "pct_gt_120", "pct_no_time"), _CUM, strict=True))
+
+
+@query("a4_district_metrics", f"WITH {T.DEMAND} SELECT dep, prov, dist, {MEAN}, {_CUM_COLS} FROM demand GROUP BY dep, prov, dist")
+def _(spark, sf):
+    return access.district_metrics(T.demand(spark, sf), ["dep", "prov", "dist"])
+
+
+_STATUS = f"count(*) AS n, CAST(sum(weight) AS BIGINT) AS population, {R('100.0 * CAST(sum(weight) AS DOUBLE) / (SELECT sum(weight) FROM demand)')} AS "
+
+
+@query("a5_completeness", f"WITH {T.DEMAND} SELECT status, {_STATUS} pct_population, {R('100.0 * count(*) / (SELECT count(*) FROM demand)')} AS pct_n FROM demand GROUP BY status")
+def _(spark, sf):
+    return access.completeness(T.demand(spark, sf), "status")
+
+
+@query("a6_unroutable", f"WITH {T.DEMAND} SELECT dep, status, {_STATUS} pct_of_total FROM demand GROUP BY dep, status")
+def _(spark, sf):
+    return access.unroutable_concentration(T.demand(spark, sf), ["dep"], "status")
+
+
+_UR_BANDS = ", ".join(R(f"100.0 * CAST(coalesce(sum(weight) FILTER (WHERE {c}), 0) AS DOUBLE) / nullif(sum(weight) FILTER (WHERE t_min IS NOT NULL), 0)") + f' AS "pct_{n}"' for n, c in _A)
+_W_TIMED = "nullif(sum(weight) FILTER (WHERE t_min IS NOT NULL), 0)"
+
+
+@query(
+    "a12_urban_rural",
+    f"""WITH {T.DEMAND} SELECT urban_rural, count(*) AS n_cp, count(*) FILTER (WHERE t_min IS NOT NULL AND weight IS NOT NULL) AS n_cp_with_time, {R(f"sum(t_min * weight) / {_W_TIMED}")} AS weighted_mean, {_UR_BANDS},
+    {R("100.0 * count(*) FILTER (WHERE t_min IS NULL) / count(*)")} AS pct_without_route, {R(f"100.0 * CAST(sum(weight) FILTER (WHERE t_min <= 60) AS DOUBLE) / {_W_TIMED}")} AS cum_pct_le_60, {R(f"100.0 * CAST(sum(weight) FILTER (WHERE t_min <= 120) AS DOUBLE) / {_W_TIMED}")} AS cum_pct_le_120
+    FROM demand GROUP BY urban_rural""",
+)
+def _(spark, sf):
+    return access.urban_rural_summary(T.demand(spark, sf))
+
+
+@query("a14_urban_rural_coverage", f"WITH {T.DEMAND} SELECT CAST(sum(weight) FILTER (WHERE urban_rural = 'urban') AS BIGINT) AS urban, CAST(sum(weight) FILTER (WHERE urban_rural = 'rural') AS BIGINT) AS rural, CAST(sum(weight) FILTER (WHERE urban_rural = 'unknown') AS BIGINT) AS unknown, {R('100.0 * CAST(sum(weight) FILTER (WHERE urban_rural <> $$unknown$$) AS DOUBLE) / sum(weight)')} AS pct_classified FROM demand")
+def _(spark, sf):
+    return access.urban_rural_coverage(T.demand(spark, sf))
+
+
+_M = lambda w: f"CAST(sum(t_min * {w}) AS DOUBLE) / CAST(sum({w}) FILTER (WHERE t_min IS NOT NULL) AS DOUBLE)"
+
+
+@query("a15_compare_weights", f"WITH {T.DEMAND} SELECT CASE WHEN grouping(dep) = 1 THEN 'TOTAL' ELSE dep END AS scope, {R(_M('design_weight'))} AS mean_ht, {R(_M('weight'))} AS mean_calibrated, {R(_M('weight') + ' - ' + _M('design_weight'))} AS difference FROM demand GROUP BY ROLLUP (dep)")
+def _(spark, sf):
+    return access.compare_weights(T.demand(spark, sf), "dep", "design_weight", "weight")
+
+
+@query("a16_summary", f"WITH {T.DEMAND} SELECT count(*) AS n_demand, count(weight) AS n_matched, {R('100.0 * count(weight) / count(*)')} AS pct_matched, CAST(sum(weight) AS BIGINT) AS population, {R(_M('weight'))} AS weighted_mean, {R('100.0 * CAST(sum(weight) FILTER (WHERE t_min IS NOT NULL) AS DOUBLE) / sum(weight)')} AS pct_with_time FROM demand")
+def _(spark, sf):
+    d = T.demand(spark, sf).withColumn("match_status", F.when(F.col("weight").isNotNull(), K.MATCHED).otherwise(K.UNMATCHED))
+    return access.summary(d)
+
+
+_S = lambda c: f"CAST(coalesce(sum(weight) FILTER (WHERE {c}), 0) AS BIGINT)"
+
+
+@query("a27_kpis", f"WITH {T.DEMAND} SELECT CAST(sum(weight) AS BIGINT) AS population_frame, {_S('t_min <= 60')} AS population_le, {R('100.0 * ' + _S('t_min <= 60') + ' / sum(weight)')} AS pct_le, {_S('t_min > 60')} AS population_gt, {_S('t_min IS NULL')} AS population_no_time, {R('100.0 * ' + _S('t_min IS NULL') + ' / sum(weight)')} AS pct_no_time, {R(_M('weight'))} AS weighted_mean FROM demand")
+def _(spark, sf):
+    return access.kpis(T.demand(spark, sf), weight="weight")
+
+
+@query("k1_topk", f"WITH {T.DEMAND} SELECT demand_id, dep, {R('t_min')} AS t_min FROM demand WHERE t_min IS NOT NULL ORDER BY demand.t_min DESC, demand_id LIMIT 20")
+def _(spark, sf):
+    return access.top_extreme(T.demand(spark, sf), "demand_id").select("demand_id", "dep", "t_min")
+
+
+# --- linkage and weights ---------------------------------------------------------------------------------
+
+_COUNTED = "counted AS (SELECT code, count(*) AS n, min(pop) AS pop FROM population GROUP BY code)"
+_LINKED = f"""WITH {T.DEMAND}, {T.POPULATION}, {_COUNTED}, keyed AS (SELECT *, CASE WHEN k % 31 = 0 THEN NULL ELSE CAST(c AS VARCHAR) END AS code, CAST(c + 1 AS VARCHAR) AS code2 FROM demand),
+linked AS (SELECT keyed.*, coalesce(p.n, 0) AS n_population_records, CASE WHEN keyed.code IS NULL THEN 'no_key' ELSE 'primary_key' END AS match_method, CASE WHEN p.n = 1 THEN 'matched' WHEN p.n > 1 THEN 'ambiguous' ELSE 'unmatched' END AS match_status,
+  CASE WHEN p.n = 1 THEN p.pop END AS population, coalesce(code2 <> keyed.code AND s.code IS NOT NULL, false) AS secondary_key_disagrees FROM keyed LEFT JOIN counted p ON p.code = keyed.code LEFT JOIN counted s ON s.code = keyed.code2)"""
+
+
+def _keyed(spark, sf):
+    return T.demand(spark, sf).withColumn("code", F.when(F.col("k") % 31 != 0, F.col("c").cast("string"))).withColumn("code2", (F.col("c") + 1).cast("string"))
+
+
+def _linked(spark, sf):
+    return linkage.match_report(_keyed(spark, sf), T.population(spark, sf), "code", "code", "pop", "code2")
+
+
+@query("j1_match_report", f"{_LINKED} SELECT demand_id, n_population_records, match_method, match_status, population, secondary_key_disagrees FROM linked")
+def _(spark, sf):
+    return _linked(spark, sf).select("demand_id", "n_population_records", "match_method", "match_status", "population", "secondary_key_disagrees")
+
+
+@query("j11_weights", f"{_LINKED} SELECT demand_id, CASE WHEN match_status = 'matched' THEN population * design_weight END AS analysis_weight FROM linked")
+def _(spark, sf):
+    return _linked(spark, sf).select("demand_id", weights.analysis_weight().alias("analysis_weight"))
+
+
+@query("a7_match_summary_rollup", f"""{_LINKED} SELECT CASE WHEN grouping(dep) = 1 THEN 'TOTAL' ELSE dep END AS scope, count(*) AS n, count(*) FILTER (WHERE match_status = 'matched') AS n_matched, count(*) FILTER (WHERE match_status = 'unmatched') AS n_unmatched, count(*) FILTER (WHERE match_status = 'ambiguous') AS n_ambiguous,
+  {R("100.0 * count(*) FILTER (WHERE match_status = 'matched') / count(*)")} AS pct_matched, CAST(sum(population) AS BIGINT) AS population_matched FROM linked GROUP BY ROLLUP (dep)""")
+def _(spark, sf):
+    return weights.match_summary(_linked(spark, sf), "dep")
+
+
+@query("j21_unmatched_kinds", f"{_LINKED} SELECT CASE WHEN code IS NULL THEN 'A' WHEN code2 IN (SELECT code FROM population) THEN 'C' ELSE 'B' END AS unmatched_kind, count(*) AS n FROM linked WHERE match_status = 'unmatched' GROUP BY 1")
+def _(spark, sf):
+    return linkage.unmatched_kinds(_linked(spark, sf), "code", "code2", T.population(spark, sf), "code").groupBy("unmatched_kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("j3_representative", "SELECT o_orderkey, (o_custkey % 5 = 0) OR count(*) OVER (PARTITION BY CASE WHEN o_custkey % 5 <> 0 THEN o_custkey END) = 1 AS is_representative FROM orders")
+def _(spark, sf):
+    o = T.read(spark, sf, "orders").withColumn("code", F.when(F.col("o_custkey") % 5 != 0, F.col("o_custkey")))
+    return linkage.flag_representative(o, "code", "o_orderkey").select("o_orderkey", "is_representative")
+
+
+@query("j5_universe", f"WITH {T.POPULATION} SELECT c_custkey, 1::BIGINT AS n_rows_for_key, (SELECT min(pop) FROM population WHERE code = CAST(c_custkey AS VARCHAR)) AS population FROM customer WHERE CAST(c_custkey AS VARCHAR) IN (SELECT code FROM population)")
+def _(spark, sf):
+    c = linkage.flag_representative(T.read(spark, sf, "customer").withColumn("key", F.col("c_custkey").cast("string")), "key", "c_custkey")
+    return linkage.population_universe(c, T.population(spark, sf), "key", "code", "pop").select("c_custkey", "n_rows_for_key", "population")
+
+
+@query("j6_duplicate_resolution", f"""WITH {T.FACILITIES}, dup AS (SELECT *, count(*) OVER (PARTITION BY k // 2) AS n FROM facilities)
+SELECT k // 2 AS pair, n AS n_rows, string_agg(facility_id, ',' ORDER BY facility_id) AS ids, {R("2 * 6371000e0 * asin(sqrt(least(greatest(pow(sin((radians(max(lat) FILTER (WHERE k % 2 = 1)) - radians(max(lat) FILTER (WHERE k % 2 = 0))) / 2), 2) + cos(radians(max(lat) FILTER (WHERE k % 2 = 0))) * cos(radians(max(lat) FILTER (WHERE k % 2 = 1))) * pow(sin(radians(max(lon) FILTER (WHERE k % 2 = 1) - max(lon) FILTER (WHERE k % 2 = 0)) / 2), 2), 0e0), 1e0)))", 3)} AS distance_m
+FROM dup WHERE n > 1 GROUP BY k // 2, n""")
+def _(spark, sf):
+    f = T.facilities(spark, sf).withColumn("pair", F.floor(F.col("k") / 2).cast("long"))
+    return T.rounded(linkage.duplicate_resolution(f, "pair", "facility_id", "lon", "lat"), 3)
+
+
+_CROSS = f"WITH {T.POPULATION}, a AS (SELECT code, min(pop) AS value_a FROM population GROUP BY code), b AS (SELECT CAST(c_custkey AS VARCHAR) AS code, 100 + c_custkey % 900 + CASE WHEN c_custkey % 9 = 0 THEN c_custkey % 50 ELSE 0 END AS value_b FROM customer), x AS (SELECT a.code, value_a, value_b, abs(value_b - value_a) AS diff_abs, 100.0 * (value_b - value_a) / nullif(value_a, 0) AS diff_pct FROM a JOIN b USING (code))"
+
+
+def _cross(spark, sf):
+    a = T.population(spark, sf).groupBy("code").agg(F.min("pop").alias("pop"))
+    key = F.col("c_custkey")
+    b = T.read(spark, sf, "customer").select(key.cast("string").alias("code"), (100 + key % 900 + F.when(key % 9 == 0, key % 50).otherwise(0)).alias("pop"))
+    return linkage.cross_validate(a, b, "code", "pop", "pop")
+
+
+@query("j7_cross_validate", f"{_CROSS} SELECT count(*) AS n_common, count(*) FILTER (WHERE diff_abs = 0) AS n_identical, count(*) FILTER (WHERE diff_abs <> 0) AS n_discrepant, max(diff_abs) AS max_diff, {R('quantile_cont(diff_abs, 0.5)')} AS median_diff, {R('stddev_samp(diff_abs)')} AS std_diff FROM x")
+def _(spark, sf):
+    return linkage.cross_validation_summary(_cross(spark, sf))
+
+
+@query("k2_top_discrepant", f"{_CROSS} SELECT code, value_a, value_b, diff_abs, {R('diff_pct')} AS diff_pct FROM x ORDER BY diff_abs DESC, code LIMIT 10")
+def _(spark, sf):
+    return linkage.top_discrepant(_cross(spark, sf), "code")
+
+
+@query("j8_control", f"{_LINKED}, seen AS (SELECT dep, sum(population) AS observed FROM linked GROUP BY dep), bench AS (SELECT CASE WHEN r_name = 'ASIA' THEN 'ELSEWHERE' ELSE r_name END AS dep, 1000000 * (1 + r_regionkey) AS benchmark FROM region) SELECT coalesce(seen.dep, bench.dep) AS dep, CAST(observed AS BIGINT) AS observed, CAST(benchmark AS BIGINT) AS benchmark, {R('100.0 * CAST(observed AS DOUBLE) / benchmark')} AS captured_pct FROM seen FULL JOIN bench USING (dep)")
+def _(spark, sf):
+    r = T.read(spark, sf, "region")
+    bench = r.select(F.when(F.col("r_name") == "ASIA", "ELSEWHERE").otherwise(F.col("r_name")).alias("dep"), (F.lit(1000000) * (1 + F.col("r_regionkey"))).cast("long").alias("benchmark"))
+    return linkage.population_control(_linked(spark, sf), bench, "dep", "population", "benchmark")
+
+
+@query("p16_urban_rural", "SELECT o_orderkey, CASE WHEN c_custkey IS NULL OR o_custkey % 5 = 0 THEN 'unknown' WHEN c_nationkey % 3 = 1 THEN 'urban' WHEN c_nationkey % 3 = 2 THEN 'rural' ELSE 'unknown' END AS urban_rural FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
+def _(spark, sf):
+    c = T.read(spark, sf, "customer").where("c_custkey % 5 <> 0").select(F.col("c_custkey").alias("code"), (F.col("c_nationkey") % 3).alias("area"))
+    return linkage.urban_rural(T.read(spark, sf, "orders"), c.unionByName(c), "o_custkey", "code", "area").select("o_orderkey", "urban_rural")
+
+
+_KNOWN = "known AS (SELECT dep, CASE WHEN dist = 'BUILDING' THEN 'NOWHERE' ELSE dist END AS dist, sum(design_weight) * 2 AS known_population FROM demand GROUP BY ALL), ht AS (SELECT dep, dist, sum(weight) AS ht FROM demand GROUP BY ALL), factors AS (SELECT coalesce(ht.dep, known.dep) AS dep, coalesce(ht.dist, known.dist) AS dist, coalesce(ht, 0) AS ht_total, known_population, CASE WHEN known_population > 0 AND coalesce(ht, 0) = 0 THEN 'impossible_no_sample' ELSE 'calibrated' END AS calibration_status FROM ht FULL JOIN known ON ht.dep = known.dep AND ht.dist = known.dist)"
+
+
+def _factors(spark, sf):
+    d = T.demand(spark, sf)
+    known = d.groupBy("dep", F.when(F.col("dist") == "BUILDING", "NOWHERE").otherwise(F.col("dist")).alias("dist")).agg((F.sum("design_weight") * 2).alias("known"))
+    return weights.calibration_factors(d, known, ["dep", "dist"], "weight", "known")
+
+
+@query("a9_calibration", f"WITH {T.DEMAND}, {_KNOWN} SELECT dep, dist, CAST(ht_total AS BIGINT) AS ht_total, CAST(known_population AS BIGINT) AS known_population, {R('CAST(known_population AS DOUBLE) / nullif(ht_total, 0)')} AS calibration_factor, calibration_status FROM factors")
+def _(spark, sf):
+    return _factors(spark, sf)
+
+
+@query("a9_calibrated_weights", f"WITH {T.DEMAND}, {_KNOWN} SELECT demand_id, {R('weight * (CAST(known_population AS DOUBLE) / nullif(ht_total, 0))')} AS calibrated_weight FROM demand LEFT JOIN factors USING (dep, dist)")
+def _(spark, sf):
+    return weights.calibrated(T.demand(spark, sf), _factors(spark, sf), ["dep", "dist"], "weight").select("demand_id", "calibrated_weight")
+
+
+@query("a28_quality_panels", f"WITH {T.DEMAND}, {_KNOWN} SELECT count(*) FILTER (WHERE calibration_status = 'impossible_no_sample') AS n_impossible, CAST(coalesce(sum(known_population) FILTER (WHERE calibration_status = 'impossible_no_sample'), 0) AS BIGINT) AS population_impossible, count(*) FILTER (WHERE CAST(known_population AS DOUBLE) / nullif(ht_total, 0) < 0.5) AS n_extreme_low, count(*) FILTER (WHERE CAST(known_population AS DOUBLE) / nullif(ht_total, 0) > 2.0) AS n_extreme_high FROM factors")
+def _(spark, sf):
+    f = _factors(spark, sf)
+    return filters.population_quality_panel(f).crossJoin(filters.statistical_quality_panel(f))
+
+
+_ESS = lambda w: f"pow(CAST(sum({w}) AS DOUBLE), 2) / CAST(sum({w} * {w}) AS DOUBLE)"
+
+
+@query("a10_a11_ess", f"WITH {T.DEMAND} SELECT CASE WHEN grouping(dep) = 1 THEN 'TOTAL' ELSE dep END AS scope, {R(_ESS('design_weight'))} AS n_eff_design_weight, {R(_ESS('weight'))} AS n_eff_weight FROM demand GROUP BY ROLLUP (dep)")
+def _(spark, sf):
+    return weights.effective_sizes(T.demand(spark, sf), "dep", ["design_weight", "weight"])
+
+
+@query("a8_representativeness", f"WITH {T.DEMAND} SELECT CASE WHEN grouping(dep) = 1 THEN 'TOTAL' ELSE dep END AS scope, count(*) AS n, count(weight) AS n_with_weight, CAST(sum(weight) AS BIGINT) AS total_weight, CASE WHEN grouping(dep) = 0 THEN {R('100.0 * CAST(sum(weight) AS DOUBLE) / (SELECT sum(weight) FROM demand)')} END AS pct_of_total FROM demand GROUP BY ROLLUP (dep)")
+def _(spark, sf):
+    return weights.representativeness(T.demand(spark, sf), "dep", "weight")
+
+
+@query("a25_compare_totals", f"WITH {T.DEMAND}, a AS (SELECT dep, prov, sum(weight) AS a FROM demand GROUP BY ALL), b AS (SELECT dep, prov, sum(design_weight) AS b FROM demand GROUP BY ALL) SELECT dep, prov, CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, {R('CAST(a AS DOUBLE) / b')} AS ratio, {R('100.0 * CAST(a - b AS DOUBLE) / b')} AS diff_pct FROM a FULL JOIN b USING (dep, prov)")
+def _(spark, sf):
+    d = T.demand(spark, sf)
+    return weights.compare_totals(d, d, ["dep", "prov"], "weight", "design_weight")
+
+
+# --- sampling ----------------------------------------------------------------------------------------------
+
+_QUOTA = """strata AS (SELECT prov, count(*) AS stratum_n FROM demand GROUP BY prov), total AS (SELECT sum(stratum_n) AS t FROM strata),
+q AS (SELECT prov, stratum_n, CASE WHEN t <= {n} THEN stratum_n ELSE (stratum_n * {n}) // t END AS f, CASE WHEN t <= {n} THEN 0 ELSE (stratum_n * {n}) % t END AS r, t FROM strata, total),
+quotas AS (SELECT prov, stratum_n, CAST(f + CASE WHEN t > {n} AND row_number() OVER (ORDER BY r DESC, prov) <= {n} - (SELECT sum(f) FROM q) THEN 1 ELSE 0 END AS BIGINT) AS quota FROM q)"""
+
+
+@query("sm1_quota", f"WITH {T.DEMAND}, {_QUOTA.format(n=777)} SELECT prov, stratum_n, quota FROM quotas")
+def _(spark, sf):
+    s = T.demand(spark, sf).groupBy("prov").agg(F.count(F.lit(1)).alias("stratum_n"))
+    return sampling.quotas(s, "prov", "stratum_n", 777)
+
+
+@query("sm2_sample_sizes", f"WITH {T.DEMAND}, {_QUOTA.format(n=777)} SELECT prov, quota AS n, stratum_n, quota AS stratum_sample_n, {R('CAST(quota AS DOUBLE) / stratum_n')} AS inclusion_prob, {R('CAST(stratum_n AS DOUBLE) / quota')} AS design_weight FROM quotas WHERE quota > 0")
+def _(spark, sf):
+    s = sampling.stratified_sample(T.demand(spark, sf).drop("design_weight"), "prov", "demand_id", 777)
+    return s.groupBy("prov").agg(F.count_distinct("demand_id").alias("n"), F.max("stratum_n").alias("stratum_n"), F.max("stratum_sample_n").alias("stratum_sample_n"), F.max("inclusion_prob").alias("inclusion_prob"), F.max("design_weight").alias("design_weight"))
+
+
+@query("p20_verify_weights", "SELECT true AS consistent, true AS one_weight_per_stratum")
+def _(spark, sf):
+    s = sampling.stratified_sample(T.demand(spark, sf).drop("design_weight"), "prov", "demand_id", 777)
+    return weights.verify_design_weights(s, "prov").select("consistent", "one_weight_per_stratum")
+
+
+@query("sm3_not_needed", f"WITH {T.DEMAND} SELECT prov, count(*) AS n, count(*) AS stratum_n FROM demand GROUP BY prov")
+def _(spark, sf):
+    s = sampling.sample_if_needed(T.demand(spark, sf).drop("design_weight"), "prov", "demand_id", 10**12)
+    return s.groupBy("prov").agg(F.count(F.lit(1)).alias("n"), F.max("stratum_n").alias("stratum_n"))
+
+
+# --- inequality and ranks ----------------------------------------------------------------------------------------
+
+_VALUES = "vals AS (SELECT t_min AS v, sum(weight) AS w FROM demand WHERE t_min IS NOT NULL AND weight > 0 GROUP BY t_min), run AS (SELECT v, w, sum(w) OVER (ORDER BY v) AS cw, sum(w * v) OVER (ORDER BY v) AS cwv FROM vals)"
+
+
+@query("w1_weighted_median", f"WITH {T.DEMAND}, {_VALUES} SELECT {R('min(v)')} AS weighted_median FROM run WHERE cw * 2 >= (SELECT sum(w) FROM vals)")
+def _(spark, sf):
+    return inequality.weighted_median(T.demand(spark, sf), "t_min", "weight")
+
+
+@query("w1_weighted_median_by_dep", f"WITH {T.DEMAND}, g AS (SELECT dep, t_min AS v, sum(weight) AS w FROM demand WHERE t_min IS NOT NULL AND weight > 0 GROUP BY ALL), r AS (SELECT dep, v, sum(w) OVER (PARTITION BY dep ORDER BY v) AS cw, sum(w) OVER (PARTITION BY dep) AS t FROM g) SELECT dep, {R('min(v)')} AS weighted_median FROM r WHERE cw * 2 >= t GROUP BY dep")
+def _(spark, sf):
+    return inequality.weighted_median(T.demand(spark, sf), "t_min", "weight", ["dep"])
+
+
+@query("w2_gini", f"WITH {T.DEMAND}, {_VALUES} SELECT {R('1 - sum(CAST(w AS DOUBLE) * CAST(2 * cwv - w * v AS DOUBLE)) / (CAST(sum(w) AS DOUBLE) * CAST(sum(w * v) AS DOUBLE))')} AS gini, (SELECT count(*) FROM demand WHERE t_min IS NOT NULL AND weight > 0) AS n_included, CAST(sum(w) AS BIGINT) AS population_included, {R('100.0 - 100.0 * CAST(sum(w) AS DOUBLE) / (SELECT sum(weight) FROM demand)')} AS pct_population_excluded FROM run")
+def _(spark, sf):
+    return inequality.weighted_gini(T.demand(spark, sf), "t_min", "weight")
+
+
+@query("w3_lorenz", f"WITH {T.DEMAND}, {_VALUES} SELECT -1e0 AS ord, 0e0 AS cum_population, 0e0 AS cum_value UNION ALL SELECT {R('v')}, {R('CAST(cw AS DOUBLE) / CAST((SELECT sum(w) FROM vals) AS DOUBLE)')}, {R('CAST(cwv AS DOUBLE) / CAST((SELECT sum(w * v) FROM vals) AS DOUBLE)')} FROM run")
+def _(spark, sf):
+    return inequality.lorenz_curve(T.demand(spark, sf), "t_min", "weight")
+
+
+@query("w4_ecdf", f"WITH {T.DEMAND}, g AS (SELECT dep, t_min AS v, sum(weight) AS w FROM demand WHERE t_min IS NOT NULL AND weight > 0 GROUP BY ALL) SELECT dep, {R('v')} AS v, {R('100.0 * CAST(sum(w) OVER (PARTITION BY dep ORDER BY g.v) AS DOUBLE) / CAST(sum(w) OVER (PARTITION BY dep) AS DOUBLE)')} AS cum_pct FROM g")
+def _(spark, sf):
+    return inequality.weighted_ecdf(T.demand(spark, sf), "t_min", "weight", ["dep"])
+
+
+@query("w5_ecdf", f"SELECT value AS v, {R('CAST(sum(count(*)) OVER (ORDER BY value) AS DOUBLE) / CAST(sum(count(*)) OVER () AS DOUBLE)')} AS share FROM events GROUP BY value")
+def _(spark, sf):
+    return inequality.ecdf(T.read(spark, sf, "events"), "value")
+
+
+_DIST = f"WITH {T.DEMAND}, d AS (SELECT dep, prov, dist, {MEAN} FROM (SELECT * REPLACE (CASE WHEN dist = 'FURNITURE' AND k % 2 = 0 THEN NULL ELSE t_min END AS t_min) FROM demand) GROUP BY dep, prov, dist)"
+
+
+def _districts(spark, sf):
+    d = T.demand(spark, sf).withColumn("t_min", F.when((F.col("dist") == "FURNITURE") & (F.col("k") % 2 == 0), F.lit(None)).otherwise(F.col("t_min")))
+    return T.rounded(access.weighted_mean_access(d, ["dep", "prov", "dist"]))
+
+
+@query("w6_rank_gaps", f"{_DIST} SELECT dep, prov, dist, weighted_mean, CAST(row_number() OVER (ORDER BY weighted_mean DESC NULLS FIRST, dep, prov, dist) AS INTEGER) AS rank, share_with_time_pct IS NULL OR share_with_time_pct < 50 AS low_coverage_warning FROM d")
+def _(spark, sf):
+    return inequality.rank_gaps(_districts(spark, sf), ["dep", "prov", "dist"]).select("dep", "prov", "dist", "weighted_mean", "rank", "low_coverage_warning")
+
+
+_QUALITY = "CASE WHEN n_cp_with_weight = 0 THEN 'zero_population_sample_coverage' WHEN n_cp_with_weight < 3 THEN 'low_population_sample_coverage' WHEN n_cp_with_time = 0 THEN 'zero_routing_coverage' WHEN share_with_time_pct IS NULL OR share_with_time_pct < 50 THEN 'low_routing_coverage' ELSE 'computable' END"
+
+
+def _with_quality(spark, sf):
+    return _districts(spark, sf).withColumn("district_status", X.district_quality(F.col("n_cp_with_weight"), F.col("n_cp_with_time"), F.col("share_with_time_pct")))
+
+
+@query("p11_district_quality", f"{_DIST} SELECT dep, prov, dist, {_QUALITY} AS district_status FROM d")
+def _(spark, sf):
+    return _with_quality(spark, sf).select("dep", "prov", "dist", "district_status")
+
+
+@query("p19_status_label", f"{_DIST} SELECT dep, prov, dist, CASE {_QUALITY} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in K.STATUS_LABELS.items()) + " END AS label FROM d")
+def _(spark, sf):
+    return _with_quality(spark, sf).select("dep", "prov", "dist", X.status_label("district_status").alias("label"))
+
+
+@query("w7_split", f"{_DIST} SELECT dep, prov, dist, CAST(row_number() OVER (ORDER BY weighted_mean DESC, dep, prov, dist) AS INTEGER) AS rank FROM d WHERE {_QUALITY} = 'computable' AND weighted_mean IS NOT NULL")
+def _(spark, sf):
+    return inequality.split_gaps(_with_quality(spark, sf), ["dep", "prov", "dist"])[0].select("dep", "prov", "dist", "rank")
+
+
+@query("k4_worst_district", f"{_DIST} SELECT dep, prov, dist, weighted_mean FROM d WHERE weighted_mean IS NOT NULL ORDER BY weighted_mean DESC LIMIT 1")
+def _(spark, sf):
+    return inequality.worst_district(_districts(spark, sf), ["dep", "prov", "dist"])
+
+
+# --- quality rules and normalisers ------------------------------------------------------------------------------
+
+
+@query("p3_normalize_category", f"WITH {T.FACILITIES}, {T.NORMED} SELECT facility_id, {T.CATEGORY} AS category, coalesce(upper(trim(state)) = 'ACTIVO', false) AS is_active, {T.CATEGORY} IN ('II-1','II-2','II-E','III-1','III-2','III-E') AND upper(trim(state)) = 'ACTIVO' AS is_resolutive FROM normed")
+def _(spark, sf):
+    f = T.facilities(spark, sf).withColumns({"category": X.normalize_category("raw_category"), "is_active": X.is_active("state")})
+    return f.select("facility_id", "category", "is_active", (F.col("category").isin(*K.RESOLUTIVE) & F.col("is_active")).alias("is_resolutive"))
+
+
+_MISSING = "(lon IS NULL OR lat IS NULL OR (abs(lon) <= 1e-6 AND abs(lat) <= 1e-6))"
+_IN = "coalesce(lon BETWEEN -81.4e0 AND -68.6e0 AND lat BETWEEN -18.4e0 AND 0e0, false)"
+_SWAP = "coalesce(lat BETWEEN -81.4e0 AND -68.6e0 AND lon BETWEEN -18.4e0 AND 0e0, false)"
+_FLAGS = f"flags AS (SELECT *, {_MISSING} AS coord_missing, NOT {_MISSING} AND NOT {_IN} AS coord_out_of_bbox, NOT {_MISSING} AND NOT {_IN} AND {_SWAP} AS swap_candidate FROM facilities)"
+
+
+def _validated(spark, sf):
+    return quality.validated(T.facilities(spark, sf), "facility_id", inside_swapped=F.col("k") % 2 == 0)
+
+
+@query("v1_v2_v3_coordinates", f"WITH {T.FACILITIES}, {_FLAGS} SELECT facility_id, coord_missing, coord_out_of_bbox, swap_candidate, swap_candidate AND k % 2 = 0 AS swap_corrected, coord_missing OR (coord_out_of_bbox AND NOT (swap_candidate AND k % 2 = 0)) AS qc_excluded_from_routing, {R('CASE WHEN swap_candidate AND k % 2 = 0 THEN lat ELSE lon END')} AS lon, {R('CASE WHEN swap_candidate AND k % 2 = 0 THEN lon ELSE lat END')} AS lat FROM flags")
+def _(spark, sf):
+    return _validated(spark, sf).select("facility_id", "coord_missing", "coord_out_of_bbox", "swap_candidate", "swap_corrected", "qc_excluded_from_routing", "lon", "lat")
+
+
+@query("a19_quality_report", f"WITH {T.FACILITIES}, {_FLAGS} SELECT 'coord_missing' AS regla, count(*) FILTER (WHERE coord_missing) AS n_afectados, 'keep_warning' AS accion FROM flags UNION ALL SELECT 'coord_out_of_bbox', count(*) FILTER (WHERE coord_out_of_bbox), 'keep_warning' FROM flags UNION ALL SELECT 'swapped_latlon', count(*) FILTER (WHERE swap_candidate), 'correct_with_audit' FROM flags")
+def _(spark, sf):
+    return quality.quality_report(_validated(spark, sf), {"coord_missing": "coord_missing", "coord_out_of_bbox": "coord_out_of_bbox", "swapped_latlon": "swap_candidate"}, {"swapped_latlon": "correct_with_audit"})
+
+
+@query("a20_audit_detail", f"WITH {T.FACILITIES}, {_FLAGS} SELECT facility_id AS record_key, coord_missing, coord_out_of_bbox FROM flags WHERE coord_missing OR coord_out_of_bbox")
+def _(spark, sf):
+    return quality.audit_detail(_validated(spark, sf), "facility_id", ["coord_missing", "coord_out_of_bbox"])
+
+
+@query("a21_alarm", f"WITH {T.FACILITIES}, {_FLAGS} SELECT CASE WHEN 100.0 * count(*) FILTER (WHERE coord_missing) / count(*) > 1 THEN 'ALARM missing: ' || count(*) FILTER (WHERE coord_missing) || '/' || count(*) END AS alarm FROM flags")
+def _(spark, sf):
+    return _validated(spark, sf).agg(quality.alarm(F.count_if("coord_missing"), F.count(F.lit(1)), 1.0, "missing").alias("alarm"))
+
+
+@query("p6_pools", f"WITH {T.FACILITIES}, {T.NORMED}, {_FLAGS}, c AS (SELECT normed.facility_id, {T.CATEGORY} AS category, upper(trim(normed.state)) = 'ACTIVO' AND NOT (coord_missing OR (coord_out_of_bbox AND NOT (swap_candidate AND normed.k % 2 = 0))) AS ok FROM normed JOIN (SELECT facility_id, coord_missing, coord_out_of_bbox, swap_candidate FROM flags) USING (facility_id)) SELECT facility_id, CASE WHEN category IN ('II-1','II-2','II-E','III-1','III-2','III-E') THEN 'Resolutivo' ELSE 'Candidato' END AS layer FROM c WHERE ok AND (category IN ('II-1','II-2','II-E','III-1','III-2','III-E') OR category IN ('I-3','I-4'))")
+def _(spark, sf):
+    f = _validated(spark, sf).withColumns({"category": X.normalize_category("raw_category"), "is_active": X.is_active("state")})
+    both = filters.resolutive(f).unionByName(filters.upgrade_candidates(f))
+    return both.select("facility_id", X.facility_layer(F.col("category").isin(*K.RESOLUTIVE), F.col("category").isin("I-3", "I-4")).alias("layer"))
+
+
+@query("w9_duplicates", "SELECT doc_id, count(*) OVER (PARTITION BY n_chars) > 1 AS dup_any, count(*) OVER (PARTITION BY n_chars) > 1 AND count(*) OVER (PARTITION BY n_chars, text) = 1 AS dup_conflict, count(*) OVER (PARTITION BY n_chars, text) > 1 AND row_number() OVER (PARTITION BY n_chars, text ORDER BY doc_id) > 1 AS dup_drop FROM documents")
+def _(spark, sf):
+    d = T.read(spark, sf, "documents").select("doc_id", "n_chars", "text")
+    return quality.duplicate_flags(d, "n_chars", ["n_chars", "text"], ["doc_id"]).select("doc_id", "dup_any", "dup_conflict", "dup_drop")
+
+
+@query("f10_mojibake", f"WITH d AS (SELECT replace(text, 'é', 'Ã©') AS a, replace(source, '1', 'â€™') AS b FROM documents), n AS (SELECT count(a) + count(b) AS n_values, count(*) FILTER (WHERE regexp_matches(a, 'Ã.|Â.|â€.|�')) + count(*) FILTER (WHERE regexp_matches(b, 'Ã.|Â.|â€.|�')) AS n_flagged FROM d) SELECT n_values, n_flagged, {R('100.0 * n_flagged / n_values')} AS pct, 100.0 * n_flagged / n_values <= 1 AS ok FROM n")
+def _(spark, sf):
+    d = T.read(spark, sf, "documents").select(F.replace(F.col("text"), F.lit("é"), F.lit("Ã©")).alias("a"), F.replace(F.col("source"), F.lit("1"), F.lit("â€™")).alias("b"))
+    return quality.encoding_report(d, ["a", "b"], 1.0)
+
+
+@query("f12_place_key", "SELECT n_nationkey, upper(trim(r_name)) || '|' || upper(trim(n_name)) AS place FROM nation JOIN region ON n_regionkey = r_regionkey")
+def _(spark, sf):
+    n, r = T.read(spark, sf, "nation"), T.read(spark, sf, "region")
+    return n.join(r, n.n_regionkey == r.r_regionkey).select("n_nationkey", X.place_key("r_name", "n_name").alias("place"))
+
+
+@query("p12_geographic_filter", f"WITH {T.DEMAND} SELECT dep, dist, count(*) AS n FROM demand WHERE dep IN ('ASIA', 'EUROPE') GROUP BY dep, dist")
+def _(spark, sf):
+    return filters.geographic(T.demand(spark, sf), {"dep": ["ASIA", "EUROPE"], "prov": [K.ALL], "dist": None}).groupBy("dep", "dist").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("p14_cascade", f"WITH {T.DEMAND} SELECT 0 AS ord, 'Todos' AS option UNION ALL SELECT DISTINCT 1, prov FROM demand WHERE dep = 'ASIA'")
+def _(spark, sf):
+    return filters.options(T.demand(spark, sf), "prov", {"dep": ["ASIA"]})
+
+
+@query("f15_color", f"{_DIST}, b AS (SELECT min(weighted_mean) AS lo, max(weighted_mean) AS hi FROM d WHERE {_QUALITY} = 'computable') SELECT dep, prov, dist, CASE WHEN {_QUALITY} = 'computable' AND weighted_mean IS NOT NULL THEN CAST(least(floor((weighted_mean - lo) / (hi - lo) * 4 + 0.5), 4) AS INTEGER) END AS color FROM d, b")
+def _(spark, sf):
+    q = _with_quality(spark, sf)
+    b = q.where(F.col("district_status") == K.COMPUTABLE).agg(F.min("weighted_mean").alias("lo"), F.max("weighted_mean").alias("hi"))
+    return q.crossJoin(F.broadcast(b)).select("dep", "prov", "dist", X.color_position(F.col("weighted_mean"), F.col("lo"), F.col("hi"), F.col("district_status")).alias("color"))
+
+
+# --- geometry --------------------------------------------------------------------------------------------------
+
+_HAV = "2 * 6371000e0 * asin(sqrt(least(greatest(pow(sin((radians({b2}) - radians({b1})) / 2), 2) + cos(radians({b1})) * cos(radians({b2})) * pow(sin(radians({a2} - {a1}) / 2), 2), 0e0), 1e0)))"
+
+
+@query("f1_haversine", f"WITH {T.FACILITIES} SELECT facility_id, {R(_HAV.format(a1='lon', b1='lat', a2='-71.97e0', b2='-13.52e0'), 3)} AS metres FROM facilities")
+def _(spark, sf):
+    m = X.haversine_m(F.col("lon"), F.col("lat"), F.lit(-71.97), F.lit(-13.52))
+    return T.facilities(spark, sf).select("facility_id", F.round(m, 3).alias("metres"))
+
+
+@query("a31_bounds", f"WITH {T.FACILITIES} SELECT {R('min(lon)')} AS min_lon, {R('min(lat)')} AS min_lat, {R('max(lon)')} AS max_lon, {R('max(lat)')} AS max_lat FROM facilities")
+def _(spark, sf):
+    return geo.bounds(T.facilities(spark, sf))
+
+
+def _boxes(spark, sf):
+    """A box per nation, side by side."""
+    n = T.read(spark, sf, "nation").select("n_nationkey", (-81.4 + 0.5 * F.col("n_nationkey")).alias("x"))
+    p = lambda dx, y: F.struct((F.col("x") + dx).alias("x"), F.lit(y).alias("y"))
+    return n.select("n_nationkey", F.array(F.array(p(0.0, -18.4), p(0.5, -18.4), p(0.5, 0.0), p(0.0, 0.0))).alias("rings"))
+
+
+@query("v4_declared_district", f"WITH {T.FACILITIES} SELECT facility_id, CASE WHEN lon IS NULL OR lat IS NULL THEN false ELSE NOT (lon >= -81.4e0 + 0.5e0 * s_nationkey AND lon < -81.4e0 + 0.5e0 * s_nationkey + 0.5e0 AND lat >= -18.4e0 AND lat < 0e0) END AS district_mismatch FROM facilities")
+def _(spark, sf):
+    boxes = _boxes(spark, sf).withColumnRenamed("n_nationkey", "s_nationkey")
+    return geo.outside_declared(T.facilities(spark, sf), boxes, "s_nationkey", buffer_m=0).select("facility_id", "district_mismatch")
+
+
+@query("a23_dissolve", "SELECT n_regionkey, count(*) AS n_rings, lpad(CAST(min(n_nationkey) AS VARCHAR), 2, '0') AS first_code FROM nation GROUP BY n_regionkey")
+def _(spark, sf):
+    b = _boxes(spark, sf).join(T.read(spark, sf, "nation"), "n_nationkey").withColumn("first_code", F.lpad(F.col("n_nationkey").cast("string"), 2, "0"))
+    return geo.dissolve(b, ["n_regionkey"], firsts=("first_code",)).select("n_regionkey", F.size("rings").cast("long").alias("n_rings"), "first_code")
+
+
+def _points(spark, sf, table, key):
+    return T.located(T.read(spark, sf, table).select(F.col(key).alias("k")))
+
+
+def _snapped(spark, sf):
+    nodes = _points(spark, sf, "part", "p_partkey").where("lon is not null and lon <> 0")
+    return geo.snap(_points(spark, sf, "supplier", "s_suppkey"), nodes, "k", "k", 5000.0)
+
+
+_SNAP = f"""WITH n AS (SELECT * FROM (SELECT p_partkey AS node_id, {T.located_sql("p_partkey")} FROM part) WHERE lon IS NOT NULL AND lon <> 0), m AS (SELECT cos(radians(avg(lat))) AS c FROM n),
+p AS (SELECT s_suppkey AS point_id, {T.located_sql("s_suppkey")} FROM supplier),
+j AS (SELECT point_id, node_id, {_HAV.format(a1="p.lon", b1="p.lat", a2="n.lon", b2="n.lat")} AS d, row_number() OVER (PARTITION BY point_id ORDER BY pow((p.lon - n.lon) * c, 2) + pow(p.lat - n.lat, 2), node_id) AS rn FROM p, n, m WHERE p.lon IS NOT NULL AND p.lat IS NOT NULL),
+s AS (SELECT p.point_id, CASE WHEN j.d <= 5000 THEN 'success' ELSE 'failure' END AS status, round(j.d, 3) AS snap_distance_m FROM p LEFT JOIN j ON j.point_id = p.point_id AND rn = 1)"""
+
+
+@query("j14_snap", f"{_SNAP} SELECT point_id, status, snap_distance_m FROM s")
+def _(spark, sf):
+    return T.rounded(_snapped(spark, sf), 3).select("point_id", "status", "snap_distance_m")
+
+
+@query("a18_snap_report", f"{_SNAP} SELECT count(*) AS n_total, count(*) FILTER (WHERE status <> 'success') AS n_failed, {R('100.0 * count(*) FILTER (WHERE status <> $$success$$) / count(*)')} AS pct_failed, round(avg(snap_distance_m), 2) AS mean_snap_m, round(quantile_cont(snap_distance_m, 0.5), 2) AS median_snap_m, round(quantile_cont(snap_distance_m, 0.95), 2) AS p95_snap_m, round(max(snap_distance_m), 2) AS max_snap_m FROM s")
+def _(spark, sf):
+    return geo.snap_report(T.rounded(_snapped(spark, sf), 3)).withColumns({c: F.round(c, 2) for c in ("mean_snap_m", "median_snap_m", "p95_snap_m", "max_snap_m")})
+
+
+# --- network -------------------------------------------------------------------------------------------------
+
+_MAX = """CASE WHEN lower(trim(maxspeed)) IN ('none','signals','walk','variable') THEN NULL ELSE (CASE WHEN kmh BETWEEN 3 AND 150 THEN kmh END) END"""
+_PARSED = f"""parsed AS (SELECT *, TRY_CAST(regexp_replace(split_part(split_part(lower(trim(maxspeed)), ';', 1), ',', 1), '[^0-9.]', '', 'g') AS DOUBLE) * CASE WHEN contains(maxspeed, 'mph') THEN 1.60934e0 ELSE 1e0 END AS kmh FROM edges),
+speeds AS (SELECT *, {_MAX} AS ms FROM parsed),
+ways AS (SELECT *, coalesce(oneway, '') NOT IN ('-1', 'reverse') AS fwd, NOT (coalesce(oneway, '') = 'yes' OR (coalesce(junction, '') = 'roundabout' AND coalesce(oneway, '') NOT IN ('no', '0', 'false', '-1', 'reverse'))) AS bwd FROM speeds)"""
+_CAR = "CASE highway " + " ".join(f"WHEN '{k}' THEN {float(v)}e0" for k, v in K.CAR_SPEED.items()) + " WHEN 'track' THEN 12e0 ELSE 30e0 END"
+_BIKE = "CASE highway " + " ".join(f"WHEN '{k}' THEN {float(v)}e0" for k, v in K.BIKE_SPEED.items()) + " ELSE 12e0 END"
+_CAR_OK = "highway NOT IN ('footway','path','pedestrian','steps','cycleway','bridleway','corridor') AND coalesce(access, '') NOT IN ('no', 'private')"
+_HIGH = "highway IN ('motorway','motorway_link','trunk','trunk_link')"
+_BIKE_OK = f"NOT (({_HIGH} OR highway = 'steps') AND coalesce(bicycle, '') <> 'yes') AND coalesce(bicycle, '') <> 'no' AND NOT (coalesce(access, '') IN ('no', 'private') AND coalesce(bicycle, '') NOT IN ('yes','permissive','designated'))"
+_FOOT_OK = f"NOT ({_HIGH} AND coalesce(foot, '') <> 'yes') AND coalesce(foot, '') <> 'no' AND NOT (coalesce(access, '') IN ('no', 'private') AND coalesce(foot, '') NOT IN ('yes','permissive','designated'))"
+
+
+def _edge_sql(ok, speed, fwd="fwd", bwd="bwd"):
+    return f"WITH {T.EDGES}, {_PARSED} SELECT id, u, v, {R(f'CASE WHEN {ok} THEN {speed} END')} AS speed_kmh, {R(f'CASE WHEN {ok} THEN length / ({speed} * 1000.0 / 3600.0) END')} AS time_s, CASE WHEN {ok} THEN {fwd} END AS forward, CASE WHEN {ok} THEN {bwd} END AS backward FROM ways"
+
+
+def _edge_query(mode):
+    def run(spark, sf):
+        e = T.edges(spark, sf)
+        return e.withColumn("w", X.make_edge_weight(mode, e.columns, F.col("length"))).select("id", "u", "v", "w.speed_kmh", "w.time_s", "w.forward", "w.backward")
+
+    return run
+
+
+query("f5_car_weight", _edge_sql(_CAR_OK, f"coalesce(ms, {_CAR})"))(_edge_query("car"))
+query("f6_bike_weight", _edge_sql(_BIKE_OK, _BIKE))(_edge_query("bike"))
+query("f7_foot_weight", _edge_sql(_FOOT_OK, "CASE WHEN highway = 'steps' THEN 2e0 ELSE 5e0 END", "true", "true"))(_edge_query("foot"))
+
+
+@query("f2_f4_tags", f"WITH {T.EDGES}, {_PARSED} SELECT id, u, v, {R('ms')} AS maxspeed_kmh, fwd AS forward, bwd AS backward FROM ways")
+def _(spark, sf):
+    e = T.edges(spark, sf).withColumn("w", X.oneway(F.col("oneway"), F.col("junction")))
+    return e.select("id", "u", "v", X.parse_maxspeed("maxspeed").alias("maxspeed_kmh"), "w.forward", "w.backward")
+
+
+@query("g1_edges", f"WITH {T.EDGES}, {_PARSED}, car AS (SELECT u, v, length / (coalesce(ms, {_CAR}) * 1000.0 / 3600.0) AS time_s, length, fwd, bwd FROM ways WHERE {_CAR_OK}), both_ AS (SELECT u, v, time_s, length FROM car WHERE fwd UNION ALL SELECT v, u, time_s, length FROM car WHERE bwd) SELECT u, v, round(min(time_s), 6) AS time_s, round(arg_min(length, (time_s, length)), 6) AS length FROM both_ GROUP BY u, v")
+def _(spark, sf):
+    return network.graph(T.edges(spark, sf), "car").select("u", "v", "time_s", "length")
+
+
+@query("u2_merge_network", f"WITH {T.EDGES} SELECT id, u, v, length FROM edges")
+def _(spark, sf):
+    e = T.edges(spark, sf)
+    return network.merge_edges(e.where("u % 2 = 0"), e).select("id", "u", "v", "length")
+
+
+@query("w11_nearest", f"WITH {T.MODE_PAIRS} SELECT demand_id, mode, facility_id, {R('distance_m')} AS distance_m, {R('travel_time_min')} AS travel_time_min, reachable FROM nearest")
+def _(spark, sf):
+    return network.nearest_by_mode(T.mode_pairs(spark, sf))
+
+
+def _nearest(spark, sf):
+    return network.nearest_by_mode(T.mode_pairs(spark, sf))
+
+
+_G7 = f"WITH {T.MODE_PAIRS}, g AS (SELECT c.demand_id, CASE WHEN c.facility_id = f.facility_id THEN 'both_reachable_same_facility' ELSE 'both_reachable_different_facility' END AS category, c.facility_id AS facility_id_car, f.facility_id AS facility_id_foot, c.travel_time_min AS car_time_min, f.travel_time_min AS foot_time_min, f.travel_time_min / nullif(c.travel_time_min, 0) AS foot_over_car_ratio FROM nearest c JOIN nearest f ON c.demand_id = f.demand_id AND c.mode = 'car' AND f.mode = 'foot')"
+
+
+@query("g7_car_vs_foot", f"{_G7} SELECT demand_id, category, facility_id_car, facility_id_foot, {R('car_time_min')} AS car_time_min, {R('foot_time_min')} AS foot_time_min, {R('foot_over_car_ratio')} AS foot_over_car_ratio FROM g")
+def _(spark, sf):
+    return network.car_vs_foot(_nearest(spark, sf))
+
+
+@query("g7_summary", f"{_G7} SELECT count(*) AS n_total, count(*) FILTER (WHERE category = 'both_reachable_same_facility') AS both_reachable_same_facility, count(*) FILTER (WHERE category = 'both_reachable_different_facility') AS both_reachable_different_facility, 0::BIGINT AS car_only_reachable, 0::BIGINT AS foot_only_reachable, 0::BIGINT AS both_unreachable, {R('100.0 * count(*) FILTER (WHERE category = $$both_reachable_different_facility$$) / nullif(count(*), 0)')} AS pct_different FROM g")
+def _(spark, sf):
+    return network.car_vs_foot_summary(network.car_vs_foot(_nearest(spark, sf)))
+
+
+@query("k3_ratio_extremes", f"{_G7} SELECT demand_id, {R('foot_over_car_ratio')} AS foot_over_car_ratio FROM g WHERE category = 'both_reachable_different_facility' AND foot_over_car_ratio IS NOT NULL ORDER BY g.foot_over_car_ratio DESC, demand_id LIMIT 20")
+def _(spark, sf):
+    return network.ratio_extremes(network.car_vs_foot(_nearest(spark, sf))).select("demand_id", "foot_over_car_ratio")
+
+
+@query("p15_extreme_ratio", f"{_G7} SELECT demand_id, {R('foot_over_car_ratio')} AS foot_over_car_ratio FROM g WHERE foot_over_car_ratio > 5")
+def _(spark, sf):
+    return access.extreme_ratio(network.car_vs_foot(_nearest(spark, sf)), threshold=5.0).select("demand_id", "foot_over_car_ratio")
+
+
+_T = lambda m: f"max(travel_time_min) FILTER (WHERE mode = '{m}')"
+
+
+@query("g8_three_mode", f"""WITH {T.MODE_PAIRS}, ids AS (SELECT lpad(CAST(o_orderkey AS VARCHAR), 10, '0') AS demand_id FROM orders), w AS (SELECT ids.demand_id, {_T("car")} AS c, {_T("bike")} AS b, {_T("foot")} AS f, max(facility_id) FILTER (WHERE mode = 'car') AS fc, max(facility_id) FILTER (WHERE mode = 'foot') AS ff FROM ids LEFT JOIN nearest ON nearest.demand_id = ids.demand_id GROUP BY ids.demand_id),
+n AS (SELECT *, CAST((c IS NOT NULL) AS INTEGER) + CAST((b IS NOT NULL) AS INTEGER) + CAST((f IS NOT NULL) AS INTEGER) AS k FROM w)
+SELECT demand_id, {R("c")} AS time_car_min, {R("b")} AS time_bike_min, {R("f")} AS time_foot_min, k AS n_modes_reachable, CASE k WHEN 3 THEN 'all_three_reachable' WHEN 2 THEN 'exactly_two_reachable' WHEN 1 THEN 'exactly_one_reachable' ELSE 'none_reachable' END AS reachability_category, {R("f / nullif(c, 0)")} AS foot_over_car_ratio, CASE WHEN c IS NOT NULL AND f IS NOT NULL THEN fc = ff END AS car_foot_same_facility FROM n""")
+def _(spark, sf):
+    ids = T.read(spark, sf, "orders").select(F.lpad(F.col("o_orderkey").cast("string"), 10, "0").alias("demand_id"))
+    return network.three_modes(_nearest(spark, sf), ids).select("demand_id", "time_car_min", "time_bike_min", "time_foot_min", "n_modes_reachable", "reachability_category", "foot_over_car_ratio", "car_foot_same_facility")
+
+
+@query("a29_routing_quality", f"WITH {T.MODE_PAIRS}, s AS (SELECT mode, CASE WHEN reachable THEN 'routed' ELSE 'no_route_same_department' END AS st FROM pairs) SELECT mode || '_' || name AS metric, n AS value FROM (SELECT mode, 'snap_failed' AS name, 0::BIGINT AS n FROM s GROUP BY mode UNION ALL SELECT mode, 'snap_success', count(*) FROM s GROUP BY mode UNION ALL SELECT mode, 'routed', count(*) FILTER (WHERE st = 'routed') FROM s GROUP BY mode UNION ALL SELECT mode, 'no_route_same_department', count(*) FILTER (WHERE st <> 'routed') FROM s GROUP BY mode)")
+def _(spark, sf):
+    p = T.mode_pairs(spark, sf)
+    return network.routing_quality(p.withColumn("routing_status", X.classify_demand(F.lit(True), F.col("reachable"))))
+
+
+@query("p9_p10_statuses", "SELECT l_orderkey, l_suppkey, l_linenumber, CASE WHEN l_quantity < 5 THEN 'snap_failed' WHEN l_returnflag = 'R' THEN 'cross_department_not_evaluated' WHEN l_linestatus = 'O' THEN 'routed' ELSE 'no_route_same_department' END AS pair_status, CASE WHEN l_quantity < 5 THEN 'snap_failed' WHEN l_linestatus = 'O' THEN 'routed' ELSE 'no_route_same_department' END AS demand_status FROM lineitem")
+def _(spark, sf):
+    ok, same, reach = F.col("l_quantity") >= 5, F.col("l_returnflag") != "R", F.col("l_linestatus") == "O"
+    return T.read(spark, sf, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber", X.classify_pair(ok, same, reach).alias("pair_status"), X.classify_demand(ok, reach).alias("demand_status"))
+
+
+def _places(spark, sf):
+    """Facilities (nations) and demand points (customers) on nodes of the road graph, by region."""
+    n, c = T.read(spark, sf, "nation"), T.read(spark, sf, "customer")
+    f = n.select(F.lpad(F.col("n_nationkey").cast("string"), 2, "0").alias("facility_id"), F.when(F.col("n_nationkey") % 9 != 0, F.col("n_nationkey").cast("long") * 41 % 997).alias("node_id"), F.col("n_regionkey").alias("dep"))
+    d = c.join(n, c.c_nationkey == n.n_nationkey).select(F.lpad(F.col("c_custkey").cast("string"), 8, "0").alias("demand_id"), F.when(F.col("c_custkey") % 13 != 0, F.col("c_custkey") * 3 % 997).alias("node_id"), F.col("n_regionkey").alias("dep"))
+    return d, f
+
+
+@query("g3_matrix")
+def _(spark, sf):
+    d, f = _places(spark, sf)
+    return network.matrix(network.graph(T.edges(spark, sf), "car"), d, f, "car")
+
+
+@query("g4_multi_source")
+def _(spark, sf):
+    d, f = _places(spark, sf)
+    return network.nearest_multi_source(network.graph(T.edges(spark, sf), "foot"), d, f, "foot")
+
+
+@query("g5_components")
+def _(spark, sf):
+    return network.weak_components(network.graph(T.edges(spark, sf), "bike"))
+
+
+@query("j15_straight_line", f"WITH {T.MODE_PAIRS}, {T.FACILITIES}, pts AS (SELECT lpad(CAST(o_orderkey AS VARCHAR), 10, '0') AS demand_id, {T.located_sql('o_orderkey')} FROM orders), j AS (SELECT nearest.demand_id, mode, facility_id, distance_m, {_HAV.format(a1='pts.lon', b1='pts.lat', a2='facilities.lon', b2='facilities.lat')} AS s FROM nearest JOIN pts USING (demand_id) JOIN facilities USING (facility_id)) SELECT demand_id, mode, facility_id, {R('s', 3)} AS straight_m, {R('distance_m / nullif(s, 0)')} AS ratio FROM j")
+def _(spark, sf):
+    points = T.located(T.read(spark, sf, "orders").select(F.col("o_orderkey").alias("k"))).withColumn("demand_id", F.lpad(F.col("k").cast("string"), 10, "0"))
+    out = network.straight_line_vs_network(_nearest(spark, sf), points, T.facilities(spark, sf))
+    return out.select("demand_id", "mode", "facility_id", F.round("straight_m", 3).alias("straight_m"), "ratio")
+
+
+# --- scenarios ------------------------------------------------------------------------------------------------
+
+_PICK = "('000001', '000002', '000003', '000005', '000008')"
+_SEL = ["000001", "000002", "000003", "000005", "000008"]
+_SCEN = f"WITH {T.DEMAND}, {T.MATRIX}, best AS (SELECT demand_id, min(travel_time_min) AS b FROM matrix WHERE facility_id IN {_PICK} GROUP BY demand_id), s AS (SELECT demand.*, least(t_min, b) AS scenario_t FROM demand LEFT JOIN best USING (demand_id))"
+
+
+@query("x1_scenario", f"{_SCEN} SELECT demand_id, {R('scenario_t')} AS scenario_t FROM s")
+def _(spark, sf):
+    return scenario.scenario_time(T.demand(spark, sf), T.matrix(spark, sf), _SEL).select("demand_id", "scenario_t")
+
+
+def _sum_sql(t, suffix):
+    s = lambda c: f"CAST(coalesce(sum(weight) FILTER (WHERE {c}), 0) AS BIGINT)"
+    return f"CAST(sum(weight) AS BIGINT) AS total_population{suffix}, {s(f'{t} <= 30')} AS pop_le_30{suffix}, {s(f'{t} <= 60')} AS pop_le_60_cum{suffix}, {s(f'{t} <= 120')} AS pop_le_120_cum{suffix}, {s(f'{t} > 120')} AS pop_gt_120{suffix}, {s(f'{t} IS NULL')} AS pop_no_time_estimate{suffix}, {s(f'{t} > 30 AND {t} <= 60')} AS pop_30_60_only{suffix}, CAST(sum({t} * weight) AS DOUBLE) / CAST(sum(weight) FILTER (WHERE {t} IS NOT NULL) AS DOUBLE) AS weighted_mean{suffix}"
+
+
+@query("x3_baseline_vs_scenario", f"{_SCEN}, a AS (SELECT {_sum_sql('t_min', '_baseline')}, {_sum_sql('scenario_t', '_scenario')}, CAST(coalesce(sum(weight) FILTER (WHERE t_min IS NULL AND scenario_t IS NOT NULL), 0) AS BIGINT) AS population_newly_routed FROM s) SELECT * REPLACE ({R('weighted_mean_baseline')} AS weighted_mean_baseline, {R('weighted_mean_scenario')} AS weighted_mean_scenario), pop_le_30_scenario - pop_le_30_baseline AS pop_gain_le_30, pop_le_60_cum_scenario - pop_le_60_cum_baseline AS pop_gain_le_60, pop_le_120_cum_scenario - pop_le_120_cum_baseline AS pop_gain_le_120, {R('weighted_mean_baseline - weighted_mean_scenario')} AS weighted_mean_reduction_min FROM a")
+def _(spark, sf):
+    return scenario.baseline_vs_scenario(T.demand(spark, sf), T.matrix(spark, sf), _SEL, weight="weight")
+
+
+@query("x4_candidate_scores", f"""WITH {T.DEMAND}, {T.MATRIX}, base AS (SELECT sum(t_min * weight) AS tw, sum(weight) FILTER (WHERE t_min IS NOT NULL) AS w FROM demand), better AS (SELECT m.facility_id, travel_time_min AS m, t_min AS t, weight AS w FROM matrix m JOIN demand d USING (demand_id) WHERE weight IS NOT NULL AND (t_min IS NULL OR travel_time_min < t_min)),
+g AS (SELECT facility_id, sum(w) FILTER (WHERE m <= 30 AND (t IS NULL OR t > 30)) AS g30, sum(w) FILTER (WHERE m <= 60 AND (t IS NULL OR t > 60)) AS g60, sum(w) FILTER (WHERE m <= 120 AND (t IS NULL OR t > 120)) AS g120, sum(w) FILTER (WHERE t IS NULL) AS nw, sum((m - coalesce(t, 0)) * w) AS dtw FROM better GROUP BY facility_id)
+SELECT ids.facility_id, CAST(coalesce(g30, 0) AS BIGINT) AS pop_gain_le_30, CAST(coalesce(g60, 0) AS BIGINT) AS pop_gain_le_60, CAST(coalesce(g120, 0) AS BIGINT) AS pop_gain_le_120, {R("CAST(tw AS DOUBLE) / CAST(base.w AS DOUBLE) - CAST(tw + coalesce(dtw, 0) AS DOUBLE) / CAST(base.w + coalesce(nw, 0) AS DOUBLE)")} AS weighted_mean_reduction_min FROM (SELECT DISTINCT facility_id FROM matrix) ids CROSS JOIN base LEFT JOIN g ON g.facility_id = ids.facility_id""")
+def _(spark, sf):
+    return scenario.candidate_scores(T.demand(spark, sf), T.matrix(spark, sf))
+
+
+@query("w8_rank_candidates", ORACLE_SQL["x4_candidate_scores"].replace("SELECT ids.facility_id,", "SELECT facility_id, pop_gain_le_60, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (ORDER BY pop_gain_le_60 DESC, facility_id) AS rank FROM (SELECT ids.facility_id,") + ")) WHERE rank <= 20")
+def _(spark, sf):
+    return inequality.rank_candidates(scenario.candidate_scores(T.demand(spark, sf), T.matrix(spark, sf)), "pop_gain_le_60", "facility_id", 20).select("facility_id", "pop_gain_le_60", "rank")
+
+
+@query("j20_improvement", f"{_SCEN}, b AS (SELECT dep, prov, dist, {R(_M('weight'))} AS before FROM s GROUP BY ALL), a AS (SELECT dep, prov, dist, {R('CAST(sum(scenario_t * weight) AS DOUBLE) / CAST(sum(weight) FILTER (WHERE scenario_t IS NOT NULL) AS DOUBLE)')} AS after FROM s GROUP BY ALL) SELECT dep, prov, dist, before, after, {R('before - after')} AS improvement FROM a JOIN b USING (dep, prov, dist) WHERE before - after > 0 ORDER BY before - after DESC, dep, prov, dist LIMIT 10")
+def _(spark, sf):
+    d = scenario.scenario_time(T.demand(spark, sf), T.matrix(spark, sf), _SEL)
+    keys = ["dep", "prov", "dist"]
+    before, after = T.rounded(access.weighted_mean_access(d, keys)), T.rounded(access.weighted_mean_access(d, keys, time="scenario_t"))
+    return scenario.improvement_top(before, after, keys)

@@ -1,0 +1,297 @@
+"""Sources and sinks. Identifiers stay strings; nothing is inferred."""
+
+from __future__ import annotations
+
+import hashlib
+import io as _io
+import json
+import os
+import re
+import struct
+import tempfile
+import zipfile
+from collections.abc import Callable, Iterator, Sequence
+from urllib.parse import urlencode
+from xml.etree import ElementTree
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+from ..operators.geo import RINGS
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder of spark.checkpoint.dir, or one of our own where it is unset."""
+    sc = spark.sparkContext
+    where = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not where:
+        where = "file://" + tempfile.mkdtemp(prefix="terravia-")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(where)
+    return where
+
+
+# --- delimited text, Parquet, tables of keys and values ---------------------------------------------
+
+
+def read_csv(spark: SparkSession, path: str, columns: Sequence[str], sep: str = ";", encoding: str = "UTF-8") -> DataFrame:
+    """A delimited file with a header, every column a string; a byte-order mark is taken off."""
+    schema = ", ".join(f"`{c}` string" for c in columns)
+    return spark.read.schema(schema).option("sep", sep).option("header", True).option("enforceSchema", True).option("encoding", encoding).csv(path)
+
+
+def write_both(df: DataFrame, folder: str, name: str) -> None:
+    """Parquet for programs, CSV for people."""
+    df.write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
+    df.write.mode("overwrite").option("header", True).csv(f"{folder}/{name}.csv")
+
+
+def read_table(spark: SparkSession, folder: str, name: str, columns: Sequence[str] | None = None, where: str | None = None) -> DataFrame:
+    """A stored table, its columns and rows chosen before the scan (S3, H5, H6)."""
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    df = df.where(where) if where else df
+    return df.select(*columns) if columns else df
+
+
+def read_report(spark: SparkSession, path: str) -> dict[str, str]:
+    """A small (metric, value) CSV as a dict."""
+    return {r.metric: r.value for r in spark.read.schema("metric string, value string").option("header", True).csv(path).collect()}
+
+
+# --- geometries ---------------------------------------------------------------------------------------
+
+
+def wkb_rings(column: str):
+    """Rings of WKB polygons and multipolygons, as a pandas UDF."""
+    @F.pandas_udf(RINGS)
+    def run(batch):
+        return batch.map(lambda b: None if b is None else parse_wkb(bytes(b)))
+
+    return run(column)
+
+
+def parse_wkb(raw: bytes) -> list[list[dict]]:
+    out: list[list[dict]] = []
+
+    def one(at: int) -> int:
+        e = "<" if raw[at] == 1 else ">"
+        kind, n = struct.unpack_from(e + "II", raw, at + 1)
+        at += 9
+        if kind == 6:
+            for _ in range(n):
+                at = one(at)
+            return at
+        if kind != 3:
+            raise ValueError(f"WKB type {kind} is not a polygon")
+        for _ in range(n):
+            (m,) = struct.unpack_from(e + "I", raw, at)
+            xy = struct.unpack_from(f"{e}{2 * m}d", raw, at + 4)
+            out.append([{"x": x, "y": y} for x, y in zip(xy[::2], xy[1::2], strict=True)])
+            at += 4 + 16 * m
+        return at
+
+    one(0)
+    return out
+
+
+def dbf_rows(raw: bytes, encoding: str = "utf-8") -> tuple[list[str], list[dict[str, str]]]:
+    n, head, size = struct.unpack_from("<IHH", raw, 4)
+    fields, at = [], 32
+    while raw[at] != 0x0D:
+        fields.append((raw[at : at + 11].split(b"\0")[0].decode("ascii"), raw[at + 16]))
+        at += 32
+    rows = []
+    for i in range(n):
+        p, row = head + i * size + 1, {}
+        for name, width in fields:
+            row[name] = raw[p : p + width].decode(encoding, "replace").strip()
+            p += width
+        rows.append(row)
+    return [name for name, _ in fields], rows
+
+
+def shp_shapes(raw: bytes) -> Iterator[list[list[dict]] | None]:
+    """Rings of polygons, a ring of one point for points, None for empty shapes."""
+    at = 100
+    while at < len(raw):
+        (words,) = struct.unpack_from(">I", raw, at + 4)
+        body, at = at + 8, at + 8 + words * 2
+        (kind,) = struct.unpack_from("<I", raw, body)
+        if kind == 0:
+            yield None
+        elif kind in (1, 11, 21):
+            x, y = struct.unpack_from("<2d", raw, body + 4)
+            yield [[{"x": x, "y": y}]]
+        elif kind in (3, 5, 13, 15, 23, 25):
+            parts, points = struct.unpack_from("<II", raw, body + 36)
+            cut = [*struct.unpack_from(f"<{parts}I", raw, body + 44), points]
+            xy = struct.unpack_from(f"<{2 * points}d", raw, body + 44 + 4 * parts)
+            yield [[{"x": xy[2 * i], "y": xy[2 * i + 1]} for i in range(a, b)] for a, b in zip(cut, cut[1:], strict=False)]
+        else:
+            raise ValueError(f"shape type {kind} is not supported")
+
+
+def read_shapefile(spark: SparkSession, folder: str, encoding: str = "utf-8") -> DataFrame:
+    """The first .shp of a folder with its .dbf: string columns and rings (S2). Bytes come through Spark, so any store will do."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{shp,dbf}").load(folder).select("path", "content")
+    names = sorted(r.path for r in files.select("path").collect())
+    shp = next(n for n in names if n.endswith(".shp"))
+    found = {r.path: bytes(r.content) for r in files.where(F.col("path").isin(shp, shp[:-4] + ".dbf")).collect()}
+    columns, rows = dbf_rows(found[shp[:-4] + ".dbf"], encoding)
+    data = [(*(row[c] for c in columns), rings) for row, rings in zip(rows, shp_shapes(found[shp]), strict=True)]
+    return spark.createDataFrame(data, ", ".join(f"`{c}` string" for c in columns) + f", rings {RINGS}")
+
+
+# --- spreadsheets, paged services, downloads, configuration ---------------------------------------------------
+
+
+def xlsx_rows(raw: bytes, sheet: int = 1) -> list[list[str | None]]:
+    """Cells of a sheet as strings."""
+    ns = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
+    with zipfile.ZipFile(_io.BytesIO(raw)) as z:
+        shared = []
+        if "xl/sharedStrings.xml" in z.namelist():
+            shared = ["".join(t.text or "" for t in si.iter(f"{{{ns['m']}}}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).findall("m:si", ns)]
+        out = []
+        for row in ElementTree.fromstring(z.read(f"xl/worksheets/sheet{sheet}.xml")).iter(f"{{{ns['m']}}}row"):
+            cells: list[str | None] = []
+            for c in row.findall("m:c", ns):
+                letters = re.match(r"[A-Z]+", c.get("r", "A"))[0]
+                place = 0
+                for x in letters:
+                    place = place * 26 + ord(x) - 64
+                cells += [None] * (place - 1 - len(cells))
+                v = c.find("m:v", ns)
+                inline = c.find("m:is", ns)
+                text = "".join(t.text or "" for t in inline.iter(f"{{{ns['m']}}}t")) if inline is not None else (v.text if v is not None else None)
+                cells.append(shared[int(text)] if c.get("t") == "s" and text is not None else text)
+            out.append(cells)
+    return out
+
+
+def benchmark_population(spark: SparkSession, raw: bytes, header: int, department: int, ages: Sequence[int]) -> DataFrame:
+    """department and the sum of its age columns over a sheet's rows below the header."""
+    rows = [(r[department], *(r[i] if i < len(r) else None for i in ages)) for r in xlsx_rows(raw)[header + 1 :] if len(r) > department and r[department]]
+    names = [f"a{i}" for i in range(len(ages))]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in ("department", *names)))
+    total = sum((F.coalesce(F.col(c).try_cast("double"), F.lit(0.0)) for c in names), F.lit(0.0))
+    return df.groupBy("department").agg(F.sum(total).alias("benchmark"))
+
+
+def fetch_paged(fetch: Callable[[str], bytes], url: str, where: str, fields: Sequence[str], size: int = 1000, order: str = "OBJECTID") -> Iterator[dict]:
+    """Attributes of a paged feature service: pages until one is empty or short; an error in an answer is raised."""
+    at = 0
+    while True:
+        query = {"where": where, "outFields": ",".join(fields), "f": "json", "resultOffset": at, "resultRecordCount": size, "orderByFields": order, "returnGeometry": "true"}
+        page = json.loads(fetch(f"{url}?{urlencode(query)}"))
+        if "error" in page:
+            raise RuntimeError(f"{url}: {page['error']}")
+        found = page.get("features", [])
+        for f in found:
+            yield {**f["attributes"], **{k: f["geometry"][k] for k in ("x", "y") if f.get("geometry")}}
+        if len(found) < size:
+            return
+        at += size
+
+
+class _Range(InputPartition):
+    def __init__(self, where: str):
+        self.where = where
+
+
+class _PagedReader(DataSourceReader):
+    def __init__(self, schema, options):
+        self.schema, self.options = schema, options
+
+    def partitions(self):
+        return [_Range(w) for w in self.options["wheres"].split("|")]
+
+    def read(self, partition):
+        from urllib.request import urlopen
+
+        names = [f.name for f in self.schema.fields]
+        for row in fetch_paged(lambda u: urlopen(u, timeout=60).read(), self.options["url"], partition.where, names, int(self.options.get("pagesize", 1000))):
+            yield tuple(None if row.get(n) is None else str(row[n]) for n in names)
+
+
+class PagedFeatures(DataSource):
+    """A paged feature service as a Spark source: a partition per filter (a department each), ids as strings."""
+
+    @classmethod
+    def name(cls):
+        return "paged_features"
+
+    def reader(self, schema):
+        return _PagedReader(schema, self.options)
+
+
+def sha256_of(path: str) -> str:
+    h = hashlib.sha256()
+    with open(path, "rb") as f:
+        while part := f.read(1 << 20):
+            h.update(part)
+    return h.hexdigest()
+
+
+def ensure_downloaded(url: str, to: str, fetch: Callable[[str], bytes], **more: str) -> tuple[str, bool]:
+    """The file, and whether it was fetched now: an existing one is never written over; beside it a manifest with its digest."""
+    manifest = f"{to}.manifest.json"
+    new = not os.path.exists(to)
+    if new:
+        os.makedirs(os.path.dirname(to) or ".", exist_ok=True)
+        with open(f"{to}.part", "wb") as f:
+            f.write(fetch(url))
+        os.replace(f"{to}.part", to)
+    if new or not os.path.exists(manifest):
+        with open(manifest, "w") as f:
+            json.dump({"url": url, "sha256": sha256_of(to), "bytes": os.path.getsize(to), "adopted": not new, **more}, f, indent=1, sort_keys=True)
+    return to, new
+
+
+def extract_zip(path: str, folder: str) -> bool:
+    """Extracts unless the folder has something already."""
+    if os.path.isdir(folder) and os.listdir(folder):
+        return False
+    with zipfile.ZipFile(path) as z:
+        top = os.path.realpath(folder)
+        for n in z.namelist():
+            if not os.path.realpath(os.path.join(top, n)).startswith(top):
+                raise ValueError(f"{n} would be outside {folder}")
+        z.extractall(folder)
+    return True
+
+
+def load_config(path: str) -> dict:
+    """The first YAML block of a Markdown file."""
+    import yaml
+
+    with open(path, encoding="utf-8") as f:
+        found = re.search(r"^```yaml\s*\n(.*?)^```", f.read(), re.S | re.M)
+    if not found:
+        raise ValueError(f"{path} has no yaml block")
+    out = yaml.safe_load(found[1])
+    if not isinstance(out, dict):
+        raise ValueError(f"the yaml block of {path} is not a mapping")
+    return out
+
+
+def cached_matrix(spark: SparkSession, folder: str, mode: str, version: str, facilities: DataFrame, compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Rows of facilities from a store partitioned by mode, version and facility; only missing facilities are computed."""
+    path = f"{folder}/matrix/mode={mode}/version={version}"
+    try:
+        have = spark.read.parquet(path)
+        missing = facilities.join(have.select(F.col("facility_id").cast("string").alias("facility_id")).distinct(), "facility_id", "left_anti")
+    except Exception as e:  # no store yet
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        missing = facilities
+    if not missing.isEmpty():
+        compute(missing).write.mode("append").partitionBy("facility_id").parquet(path)
+    return spark.read.parquet(path).join(facilities.select("facility_id"), "facility_id", "left_semi")
+
+
+def network_tables(spark: SparkSession, nodes: str, edges: str) -> tuple[DataFrame, DataFrame]:
+    """Road network as two Parquet tables: nodes (id, lon, lat) and edges (id, u, v, length, highway and other tags). Extracts of OSM
+    files are taken in this form (S5, S6); scans are lazy, so unused ones cost nothing."""
+    return spark.read.parquet(nodes), spark.read.parquet(edges)
