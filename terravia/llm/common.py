@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -46,9 +47,19 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """The scan as it stands: file splits already spread the rows; named for the reader."""
-    return df
+def dropped(df: DataFrame) -> None:
+    """Deletes the files of a table that stored() wrote, once nothing reads it any more."""
+    spark = df.sparkSession
+    for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def released(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of tables that are stored by now: it does so when the driver's garbage is
+    collected, which may be long after; between large steps this halves the disk that is used at once."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:

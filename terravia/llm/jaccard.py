@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from . import common
 from .components import components
 
-RATIO, MEMBERS, SEEN = 1.6, 32, 500_000
+RATIO, MEMBERS, ASKS, SEEN = 1.6, 32, 128, 500_000
 
 
 class Bands:
@@ -49,15 +49,19 @@ class Bands:
         while low < most:
             high = max(int(low * RATIO), low)
             differ = (100 - percent) * 2 * high // (100 + percent)
-            mean = high / RATIO**0.5 / (differ + 1)
-            light = int(mean / 4)
-            blocks, spare = differ + 1, 0
-            if differ:
-                for _ in range(20):  # until the spare blocks are as many as light ones are to be expected
-                    rate = high / RATIO**0.5 / blocks
-                    p = sum(math.exp(-rate) * rate**i / math.factorial(i) for i in range(light + 1))
-                    spare = math.ceil(blocks * p + 2 * math.sqrt(blocks * p))
-                    blocks = differ + 1 + spare
+            usual = high / RATIO**0.5
+            blocks, spare, light = differ + 1, 0, -1
+            for most_held in range(int(usual / (differ + 1) / 4), -1, -1) if differ else ():
+                # until the spare blocks are as many as light ones are to be expected; sets too small for this keep all keys
+                n, more = differ + 1, 0
+                for _ in range(20):
+                    rate = usual / n
+                    p = sum(math.exp(-rate) * rate**i / math.factorial(i) for i in range(most_held + 1))
+                    more = math.ceil(n * p + 2 * math.sqrt(n * p))
+                    n = differ + 1 + more
+                if n <= 1.3 * (differ + 1) + 1:
+                    blocks, spare, light = n, more, most_held
+                    break
             self.low.append(low)
             self.blocks.append(blocks if differ else 0)
             self.spare.append(spare)
@@ -160,57 +164,101 @@ def _met(batches):
         yield pa.RecordBatch.from_arrays([pa.array([int(k) for k, _ in ends]), pa.array([int(h) for _, h in ends]), pa.array([0, 1]), pa.array([task, task], pa.int32())], ["key", "cls", "hub", "task"])
 
 
-def _tokens(k: int):
+def _classed(k: int):
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                found = [tokens_of(t, k) for t in batch.column(0).slice(at, 512).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array([digest(x) for x in found], pa.int64()), _lists(found)], ["cls", "tokens"])
+            texts = batch.column(0)
+            yield pa.RecordBatch.from_arrays([pa.array([digest(tokens_of(t, k)) for t in texts.to_pylist()], pa.int64()), texts], ["cls", "text"])
 
     return run
 
 
-def linked(overlap, a, b, percent: int):
+def linked(overlap: int, a: int, b: int, percent: int) -> bool:
     return 100 * overlap >= percent * (a + b - overlap)
 
 
+def overlap(a: np.ndarray, b: np.ndarray) -> int:
+    """Common tokens of two sorted sets."""
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    return int((b[at] == a).sum()) if len(b) else 0
+
+
+def _opened(k: int, percent: int):
+    """Of rows sorted by group, part and kind: the part's members (kind 0), then the classes that ask it (kind 1). The members'
+    tokens and their union are the part's row of the token-group matrix; an asking class whose overlap with the union could
+    reach the threshold is compared with each member. Memory holds one part at a time."""
+    def run(batches):
+        now, members, union, least = None, [], np.zeros(0, np.uint64), 0
+        for batch in batches:
+            found = []
+            for grp, part, kind, cls, text in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if (grp, part) != now:
+                    now, members, union = (grp, part), [], None
+                tokens = tokens_of(text, k)
+                if kind == 0:
+                    members.append((cls, tokens))
+                    continue
+                if union is None and members:
+                    union = np.unique(np.concatenate([t for _, t in members]))
+                    least = min(len(t) for _, t in members)
+                if members and 100 * overlap(tokens, union) >= percent * max(len(tokens), least):
+                    found += [(cls, other) for other, t in members if linked(overlap(tokens, t), len(tokens), len(t), percent)]
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
+
+    return run
+
+
+def _links(members: DataFrame, asks: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) between asking classes and members. members: grp, part, cls; asks: grp, part, cls. Texts are shuffled, not their
+    tokens, which take more room. Parts that very many ask are repeated with a share of the asking classes each."""
+    many = asks.groupBy("grp", "part").agg(F.ceil(F.count(F.lit(1)) / ASKS).cast("int").alias("shares"))
+    own = members.join(many, ["grp", "part"]).select("grp", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), "part", F.lit(0).alias("kind"), "cls")
+    theirs = asks.join(many, ["grp", "part"]).select("grp", F.pmod(F.xxhash64("cls"), "shares").cast("int").alias("share"), "part", F.lit(1).alias("kind"), "cls")
+    rows = own.unionByName(theirs).join(texts, "cls").select("grp", F.struct("part", "share").alias("part"), "kind", "cls", "text")
+    rows = rows.select("grp", F.concat_ws("/", "part.part", "part.share").alias("part"), "kind", "cls", "text")
+    return rows.repartition("grp", "part").sortWithinPartitions("grp", "part", "kind", "cls").mapInArrow(_opened(k, percent), "a long, b long")
+
+
 def groups(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n (distinct shingles), component (least doc_id that links lead to) of each row of docs."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    base = common.stored(rows.mapInArrow(_keyed(k, percent), "doc_id long, n long, cls long, keys array<long>"), "jaccard-keys")
+    keyed = common.stored(rows.mapInArrow(_keyed(k, percent), "doc_id long, n long, cls long, keys array<long>"), "jaccard-keys")
+    base = common.stored(keyed.drop("keys"), "jaccard-rows")
 
-    # Groups: each class meets the first class of each of its keys.
+    # Each class meets the first class of each of its keys.
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = base.select(F.explode("keys").alias("key"), "cls").repartitionByRange(tasks, "key", "cls").sortWithinPartitions("key", "cls")
+    dealt = keyed.select(F.explode("keys").alias("key"), "cls").repartitionByRange(tasks, "key", "cls").sortWithinPartitions("key", "cls")
     met = common.stored(dealt.mapInArrow(_met, "key long, cls long, hub long, task int"), "jaccard-met")
+    del dealt
+    common.dropped(keyed)
+    common.released(spark)
     ends = sorted((r.task, r.hub, r.key, r.cls) for r in met.where("task is not null").collect())  # two for each task
     over = [(here[2], here[3], before[3]) for before, here in zip(ends[1::2], ends[2::2], strict=False) if before[2] == here[2] and before[3] != here[3]]
     meets = met.where("task is null").select("key", "cls", "hub")
     if over:
         meets = meets.unionByName(spark.createDataFrame(over, "key long, cls long, hub long"))
-    shared = meets.groupBy("cls", "hub").agg(F.count(F.lit(1)).alias("keys"))
-    nearest = common.stored(shared.groupBy("cls").agg(F.max(F.struct("keys", F.negate("hub").alias("minus"))).alias("x")).select("cls", F.negate("x.minus").alias("hub")), "jaccard-nearest")
 
-    # The tokens of the classes that met another: their texts are picked out by a bitmap of the ids.
+    # The texts of the classes that met another, picked out by a bitmap of their documents.
     least = base.where("doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
     asked = common.stored(meets.select("cls").unionByName(meets.select(F.col("hub").alias("cls"))).distinct().join(least, "cls"), "jaccard-asked")
     near = common.marked(rows, "doc_id", common.bitmap(asked, "doc_id"), "maybe").where("maybe").select("text")
-    tokens = near.mapInArrow(_tokens(k), "cls long, tokens array<long>").join(asked.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
-    tokens = common.stored(tokens, "jaccard-tokens")
-
-    def side(name: str) -> DataFrame:
-        return tokens.select(F.col("cls").alias(name), F.col("tokens").alias(f"{name}_tokens"))
+    texts = near.mapInArrow(_classed(k), "cls long, text string").join(asked.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
+    texts = common.stored(texts, "jaccard-texts")
 
-    def confirmed(pairs: DataFrame, a: str, b: str) -> DataFrame:
-        both = pairs.join(side(a), a).join(side(b), b)
-        overlap = F.size(F.array_intersect(f"{a}_tokens", f"{b}_tokens"))
-        return both.where(linked(overlap, F.size(f"{a}_tokens"), F.size(f"{b}_tokens"), percent)).select(F.col(a).alias("a"), F.col(b).alias("b"))
-
-    edges = common.stored(confirmed(nearest, "cls", "hub"), "jaccard-links")
+    # Groups: the links of each class to the class it shares most keys with.
+    shared = meets.groupBy("cls", "hub").agg(F.count(F.lit(1)).alias("keys"))
+    nearest = shared.groupBy("cls").agg(F.max(F.struct("keys", F.negate("hub").alias("minus"))).alias("x")).select("cls", F.negate("x.minus").alias("hub"))
+    nearest = common.stored(nearest, "jaccard-nearest")
+    hubs = nearest.select(F.col("hub").alias("grp"), F.lit(0).alias("part"), F.col("hub").alias("cls")).distinct()
+    edges = common.stored(_links(hubs, nearest.select(F.col("hub").alias("grp"), F.lit(0).alias("part"), "cls"), texts, k, percent), "jaccard-links")
     grouped = common.stored(components(edges, "a", "b"), "jaccard-groups")
+    common.released(spark)
 
-    # Token-group matrix, for the keys that stand in more than one group.
+    # The keys that stand in more than one group: who has them, by group and part of it.
     def group_of(df: DataFrame, column: str, name: str) -> DataFrame:
         return df.join(grouped.select(F.col("node").alias(column), F.col("component").alias("found")), column, "left").withColumn(name, F.coalesce("found", column)).drop("found")
 
@@ -224,19 +272,16 @@ def groups(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id", text_c
     standing = common.stored(standing, "jaccard-standing")
     members = standing.select("grp", "part", "cls").distinct()
     ask = standing.select("key", F.col("cls").alias("ask"), F.col("grp").alias("ask_grp"))
-    asks = ask.join(standing.select("key", "grp", "part").distinct(), "key").where("ask_grp > grp").select("ask", "grp", "part").distinct()
-    matrix = members.join(tokens, "cls").groupBy("grp", "part").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("union"), F.min(F.size("tokens")).alias("least"))
-    bound = F.size(F.array_intersect("ask_tokens", "union"))
-    needed = F.greatest(F.size("ask_tokens"), F.col("least"))
-    opened = asks.join(side("ask"), "ask").join(matrix, ["grp", "part"]).where(100 * bound >= percent * needed).select("ask", "grp", "part")
-    opened = common.stored(opened, "jaccard-opened")
-    across = confirmed(opened.join(members.withColumnRenamed("cls", "member"), ["grp", "part"]).select("ask", "member"), "ask", "member")
+    asks = ask.join(standing.select("key", "grp", "part").distinct(), "key").where("ask_grp > grp").select("grp", "part", F.col("ask").alias("cls")).distinct()
+    asks = common.stored(asks, "jaccard-asks")
+    across = _links(members, asks, texts, k, percent)
 
     # Rows of one doc_id are one document: their classes are joined too.
     several = base.where("doc_id is not null and n > 0").groupBy("doc_id").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a <> b")
     same = base.join(several.select("doc_id", "a"), "doc_id").where("cls <> a and n > 0").select("a", F.col("cls").alias("b"))
     joined = grouped.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(across).unionByName(same)
-    final = components(joined, "a", "b")
+    final = common.stored(components(joined, "a", "b"), "jaccard-components")
+    common.released(spark)
 
     names = least.join(final, F.col("cls") == F.col("node"), "left").select("cls", F.coalesce("component", "cls").alias("component"), "doc_id")
     least_of = names.groupBy("component").agg(F.min("doc_id").alias("least_id"))
