@@ -2,18 +2,20 @@
 
 Documents with equal sets are one class. Classes are linked when 100 * intersection >= percent * union.
 
-1. Candidate keys. Sets in a size band that are linked differ in at most H tokens, so of any H + 1 blocks of
-   the hash range one holds the same tokens in both. A class has a key for each block: a hash of the block's
-   tokens. Bands overlap by what a link may differ in size. Blocks of few tokens are the same in unlike sets by
-   chance, so there are ``spare`` blocks more and a class leaves out its light blocks (LIGHT of the mean or
-   less), unless it has more of these than spare ones: of two linked classes, one heavy block is the same.
-2. Groups. Rows (key, class) are sorted over all tasks by range, so a key that a third of all classes have
-   is spread over tasks; each class meets the first of its key in its task. It is held against the one it
-   shares most keys with, and the links so found make groups of similar classes.
-3. Token-group matrix. Groups, in parts of at most MEMBERS classes, are stored with the union of their
-   tokens. A class whose key also stands in another group asks that group's parts: the overlap with the union is
-   an upper bound of the overlap with any member; only parts that could reach the threshold are opened, and
-   their members are compared exactly. Links between classes of one group need not be looked for: it is connected already.
+1. Candidate keys. Sets in a size band that are linked differ in at most H tokens, so of n blocks of the hash range
+   n - H at least hold the same tokens in both. A class has a key for each block: a hash of the block's tokens. Bands
+   overlap by what a link may differ in size. Blocks of very few tokens (light ones) are the same in unlike sets by chance;
+   a class leaves them out unless it has more of them than there are blocks to spare. From its size and its light blocks follows how
+   many keys a class has in common with any class it is linked to, at least: ``need``.
+2. Rows (key, class) are sorted over all tasks by range, so a key that a third of all classes have is spread over
+   tasks; keys of one class go. A class with fewer than ``need`` keys left has no link and goes, and the keys that
+   are then of one class again, and so once more: what chance has brought together is gone without pairing it.
+3. Groups. Each class is held against the class it meets first for most of its keys; the links so found make groups of
+   similar classes.
+4. Token-group matrix. Groups, in parts of at most MEMBERS classes, are stored with the union of their tokens. A
+   class that has ``need`` keys in common with another group's part asks it: the overlap with the union is an upper
+   bound of the overlap with any member; only parts that could reach the threshold are opened, and their members are
+   compared exactly. Links between classes of one group need not be looked for: it is connected already.
 
 So no link between groups is lost, and copies, however many, are never paired with each other. Tokens
 are 64-bit hashes of shingles, classes 64-bit digests of their tokens.
@@ -36,7 +38,7 @@ from pyspark.sql import functions as F
 from . import common
 from .components import components
 
-RATIO, MEMBERS, ASKS, SEEN = 1.6, 32, 128, 500_000
+RATIO, MARGIN, MEMBERS, ASKS, SEEN, TURNS = 1.6, 0.15, 32, 128, 500_000, 2
 
 
 class Bands:
@@ -44,25 +46,27 @@ class Bands:
 
     def __init__(self, percent: int, most: int = 1 << 40):
         self.percent = percent
-        self.low, self.blocks, self.spare, self.light = [], [], [], []
+        self.low, self.high, self.blocks, self.spare, self.light = [], [], [], [], []
         low = 1
         while low < most:
             high = max(int(low * RATIO), low)
             differ = (100 - percent) * 2 * high // (100 + percent)
+            extra = int(MARGIN * differ)  # blocks beyond the least number: so many more keys two linked sets share
             usual = high / RATIO**0.5
-            blocks, spare, light = differ + 1, 0, -1
-            for most_held in range(int(usual / (differ + 1) / 4), -1, -1) if differ else ():
+            blocks, spare, light = differ + 1 + extra, 0, -1
+            for most_held in range(round(usual / (differ + 1 + extra) / 4), -1, -1) if differ else ():
                 # until the spare blocks are as many as light ones are to be expected; sets too small for this keep all keys
-                n, more = differ + 1, 0
+                n, more = differ + 1 + extra, 0
                 for _ in range(20):
                     rate = usual / n
                     p = sum(math.exp(-rate) * rate**i / math.factorial(i) for i in range(most_held + 1))
                     more = math.ceil(n * p + 2 * math.sqrt(n * p))
-                    n = differ + 1 + more
-                if n <= 1.3 * (differ + 1) + 1:
+                    n = differ + 1 + extra + more
+                if n <= 1.3 * (differ + 1 + extra) + 1:
                     blocks, spare, light = n, more, most_held
                     break
             self.low.append(low)
+            self.high.append(high)
             self.blocks.append(blocks if differ else 0)
             self.spare.append(spare)
             self.light.append(light)
@@ -78,25 +82,28 @@ class Bands:
             self.cuts[n] = np.array([(j << 64) // n for j in range(n)], np.uint64)
         return self.cuts[n]
 
-    def keys(self, tokens: np.ndarray) -> np.ndarray:
-        """The keys of a sorted set of tokens."""
-        size = len(tokens)
+    def keys(self, tokens: np.ndarray) -> tuple[np.ndarray, int]:
+        """The keys of a sorted set of tokens, and how many of them a linked set has too, at least."""
+        size, t = len(tokens), self.percent
         if not size:
-            return np.zeros(0, np.uint64)
+            return np.zeros(0, np.uint64), 0
         home = int(np.searchsorted(self.lows, size, "right")) - 1
-        out = []
+        out, need = [], []
         with np.errstate(over="ignore"):
             total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(common.mix(tokens ^ np.uint64(0x6C62272E07BB0142)), dtype=np.uint64)])
             for band in (home, home + 1):
                 n = self.blocks[band]
-                if not n or band > home and 100 * size < self.percent * self.low[band]:
+                if not n or band > home and 100 * size < t * self.low[band]:
                     continue
                 at = np.append(np.searchsorted(tokens, self.cut(n)), size)
                 held = np.diff(at)
                 light = held <= self.light[band]
                 keys = common.mix(total[at[1:]] - total[at[:-1]]) + np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(band) * np.uint64(0xC2B2AE3D27D4EB4F)
-                out.append(common.mix(keys[~light] if light.sum() <= self.spare[band] else keys))
-        return np.concatenate(out) if out else np.zeros(0, np.uint64)
+                few = int(light.sum()) if light.sum() <= self.spare[band] else 0
+                out.append(common.mix(keys[~light] if few else keys))
+                largest = min(self.high[band], 100 * size // t)  # of the sets that may be linked and share this band
+                need.append(max(1, n - (100 - t) * (size + largest) // (100 + t) - few))
+        return (np.concatenate(out), min(need)) if out else (np.zeros(0, np.uint64), 0)
 
 
 def digest(tokens: np.ndarray) -> int:
@@ -121,47 +128,61 @@ def _keyed(k: int, percent: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                sizes, classes, keys = [], [], []
+                sizes, classes, keys, needs = [], [], [], []
                 for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     tokens = tokens_of(text, k)
                     own = digest(tokens)
                     sizes.append(len(tokens))
                     classes.append(own)
                     new = doc_id is not None and own not in seen
-                    keys.append(bands.keys(tokens) if new else np.zeros(0, np.uint64))
+                    found, need = bands.keys(tokens) if new else (np.zeros(0, np.uint64), 0)
+                    keys.append(found)
+                    needs.append(need if new else None)
                     if new:  # copies met again in this task need not repeat the keys; forgetting some does no harm
                         seen.add(own)
                         if len(seen) > SEEN:
                             seen.clear()
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), _lists(keys)], ["doc_id", "n", "cls", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(needs, pa.int32()), _lists(keys)], ["doc_id", "n", "cls", "need", "keys"])
 
     return run
 
 
 def _met(batches):
-    """Of rows sorted by key, then class: (key, class, first class of the key in this task); and the task's first and
-    last key with theirs, marked by the task's number."""
-    key = hub = None
-    task, ends = TaskContext.get().partitionId(), []
+    """Of rows sorted by key, then class: the rows whose key several classes of this task have; and the task's first and last key
+    with their first class, marked by the task's number, as the next task may have more of the same key."""
+    key = hub = last = None
+    task, ends, told = TaskContext.get().partitionId(), [], False
     for batch in batches:
         if not batch.num_rows:
             continue
         keys, classes = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
         new = np.ones(len(keys), bool)
         new[1:] = keys[1:] != keys[:-1]
-        first = np.maximum.accumulate(np.where(new, np.arange(len(keys)), 0))
-        hubs = classes[first].copy()
-        if key is not None and keys[0] == key:
-            stop = int(np.argmax(new[1:])) + 1 if new[1:].any() else len(keys)
-            hubs[:stop] = hub
-        key, hub = keys[-1], hubs[-1]
+        carried = key is not None and bool(keys[0] == key)
+        run = np.cumsum(new) - 1
+        hubs = classes[np.flatnonzero(new)]
+        if carried:
+            hubs = hubs.copy()
+            hubs[0] = hub
+        copy = np.zeros(len(keys), bool)  # rows of one class that several tasks have met
+        copy[1:] = ~new[1:] & (classes[1:] == classes[:-1])
+        copy[0] = carried and bool(classes[0] == last)
+        other = (classes != hubs[run]) & ~copy
+        again = np.zeros(len(hubs), bool)
+        again[run[other]] = True
+        same = again.copy()  # runs whose first class is still to be told
+        if carried and told:
+            same[0] = False
+        told = bool(again[-1]) or (told and carried and len(hubs) == 1)
+        firsts = np.flatnonzero(same)
+        start = np.flatnonzero(new)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([keys[other], keys[start[firsts]]])), pa.array(np.concatenate([classes[other], hubs[firsts]])), pa.nulls(int(other.sum()) + len(firsts), pa.int32())], ["key", "cls", "task"])
+        key, hub, last = keys[-1], hubs[-1], classes[-1]
         if not ends:
             ends.append((keys[0], hubs[0]))
-        some = classes != hubs
-        yield pa.RecordBatch.from_arrays([pa.array(keys[some]), pa.array(classes[some]), pa.array(hubs[some]), pa.nulls(int(some.sum()), pa.int32())], ["key", "cls", "hub", "task"])
     if ends:
         ends.append((key, hub))
-        yield pa.RecordBatch.from_arrays([pa.array([int(k) for k, _ in ends]), pa.array([int(h) for _, h in ends]), pa.array([0, 1]), pa.array([task, task], pa.int32())], ["key", "cls", "hub", "task"])
+        yield pa.RecordBatch.from_arrays([pa.array([int(k) for k, _ in ends]), pa.array([int(h) for _, h in ends]), pa.array([2 * task, 2 * task + 1], pa.int32())], ["key", "cls", "task"])
 
 
 def _classed(k: int):
@@ -226,30 +247,43 @@ def groups(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id", text_c
     """doc_id, n (distinct shingles), component (least doc_id that links lead to) of each row of docs."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    keyed = common.stored(rows.mapInArrow(_keyed(k, percent), "doc_id long, n long, cls long, keys array<long>"), "jaccard-keys")
+    keyed = common.stored(rows.mapInArrow(_keyed(k, percent), "doc_id long, n long, cls long, need int, keys array<long>"), "jaccard-keys")
     base = common.stored(keyed.drop("keys"), "jaccard-rows")
 
-    # Each class meets the first class of each of its keys.
+    # Keys that several classes have.
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = keyed.select(F.explode("keys").alias("key"), "cls").repartitionByRange(tasks, "key", "cls").sortWithinPartitions("key", "cls")
-    met = common.stored(dealt.mapInArrow(_met, "key long, cls long, hub long, task int"), "jaccard-met")
+    met = common.stored(dealt.mapInArrow(_met, "key long, cls long, task int"), "jaccard-met")
     del dealt
     common.dropped(keyed)
     common.released(spark)
-    ends = sorted((r.task, r.hub, r.key, r.cls) for r in met.where("task is not null").collect())  # two for each task
-    over = [(here[2], here[3], before[3]) for before, here in zip(ends[1::2], ends[2::2], strict=False) if before[2] == here[2] and before[3] != here[3]]
-    meets = met.where("task is null").select("key", "cls", "hub")
+    ends = sorted((r.task, r.key, r.cls) for r in met.where("task is not null").collect())  # two for each task
+    over = {x for before, here in zip(ends[1::2], ends[2::2], strict=False) if before[1] == here[1] and before[2] != here[2] for x in ((here[1], here[2]), (here[1], before[2]))}
+    held = met.where("task is null").select("key", "cls")
     if over:
-        meets = meets.unionByName(spark.createDataFrame(over, "key long, cls long, hub long"))
+        held = held.unionByName(spark.createDataFrame(sorted(over), "key long, cls long"))
+    needs = base.where("doc_id is not null and need is not null").groupBy("cls").agg(F.min("need").alias("need"), F.min("doc_id").alias("doc_id"))
+    for turn in range(TURNS):
+        enough = held.groupBy("cls").agg(F.count(F.lit(1)).alias("c")).join(needs, "cls").where("c >= need").select("cls")
+        held = common.marked(held, "cls", common.bitmap(enough, "cls"), "maybe").where("maybe").select("key", "cls")
+        if turn:
+            held = held.distinct()
+        held = common.stored(held, "jaccard-held")
+        several = held.groupBy("key").agg(F.min("cls").alias("least"), F.max("cls").alias("most")).where("least < most").select("key", F.col("least").alias("hub"))
+        held = common.stored(held.join(several, "key"), "jaccard-held")
+        if turn < TURNS - 1:
+            held = held.select("key", "cls")
+    common.released(spark)
+    meets = held.where("cls <> hub")
 
-    # The texts of the classes that met another, picked out by a bitmap of their documents.
+    # The texts of the classes that are left, picked out by a bitmap of their documents.
     least = base.where("doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    asked = common.stored(meets.select("cls").unionByName(meets.select(F.col("hub").alias("cls"))).distinct().join(least, "cls"), "jaccard-asked")
+    asked = common.stored(held.select("cls").distinct().join(least, "cls"), "jaccard-asked")
     near = common.marked(rows, "doc_id", common.bitmap(asked, "doc_id"), "maybe").where("maybe").select("text")
     texts = near.mapInArrow(_classed(k), "cls long, text string").join(asked.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
     texts = common.stored(texts, "jaccard-texts")
 
-    # Groups: the links of each class to the class it shares most keys with.
+    # Groups: the links of each class to the class it meets first for most of its keys.
     shared = meets.groupBy("cls", "hub").agg(F.count(F.lit(1)).alias("keys"))
     nearest = shared.groupBy("cls").agg(F.max(F.struct("keys", F.negate("hub").alias("minus"))).alias("x")).select("cls", F.negate("x.minus").alias("hub"))
     nearest = common.stored(nearest, "jaccard-nearest")
@@ -262,18 +296,19 @@ def groups(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id", text_c
     def group_of(df: DataFrame, column: str, name: str) -> DataFrame:
         return df.join(grouped.select(F.col("node").alias(column), F.col("component").alias("found")), column, "left").withColumn(name, F.coalesce("found", column)).drop("found")
 
-    apart = group_of(group_of(meets, "cls", "grp"), "hub", "hub_grp")
-    open_keys = apart.where("grp <> hub_grp").select("key").distinct()
+    apart = group_of(held.select("key", "cls"), "cls", "grp")
+    open_keys = apart.groupBy("key").agg(F.min("grp").alias("a"), F.max("grp").alias("b")).where("a < b").select("key")
     standing = apart.join(open_keys, "key", "left_semi")
-    standing = standing.select("key", "cls", "grp").unionByName(standing.select("key", F.col("hub").alias("cls"), F.col("hub_grp").alias("grp"))).distinct()
     sizes = grouped.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     parts = F.greatest(F.lit(1), F.ceil(F.coalesce("size", F.lit(1)) / MEMBERS))
     standing = standing.join(sizes, F.col("grp") == F.col("component"), "left").withColumn("part", F.pmod(F.xxhash64("cls"), parts).cast("int")).select("key", "cls", "grp", "part")
     standing = common.stored(standing, "jaccard-standing")
     members = standing.select("grp", "part", "cls").distinct()
     ask = standing.select("key", F.col("cls").alias("ask"), F.col("grp").alias("ask_grp"))
-    asks = ask.join(standing.select("key", "grp", "part").distinct(), "key").where("ask_grp > grp").select("grp", "part", F.col("ask").alias("cls")).distinct()
-    asks = common.stored(asks, "jaccard-asks")
+    asks = ask.join(standing.select("key", "grp", "part").distinct(), "key").where("ask_grp > grp").groupBy("grp", "part", "ask").agg(F.count(F.lit(1)).alias("c"))
+    lowest = members.join(needs, "cls").groupBy("grp", "part").agg(F.min("need").alias("part_need"))
+    asks = asks.join(needs.select(F.col("cls").alias("ask"), "need"), "ask").where("c >= need").join(lowest, ["grp", "part"]).where("c >= part_need")
+    asks = common.stored(asks.select("grp", "part", F.col("ask").alias("cls")), "jaccard-asks")
     across = _links(members, asks, texts, k, percent)
 
     # Rows of one doc_id are one document: their classes are joined too.
