@@ -88,6 +88,7 @@ class Network:
 
     def pooled(self, x: np.ndarray, first: np.ndarray):
         r = self.responses(x).reshape(-1, HALF // STRIDE, FILTERS)
+        r[first[1:] - 1, 1 - WIDTH // STRIDE :] = -np.inf  # places from which a filter would reach into the next document
         halves = np.maximum(r.max(1), 0)
         later = np.concatenate([halves[1:], halves[-1:]])
         chunks = np.maximum(halves, later)
