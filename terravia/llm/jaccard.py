@@ -13,7 +13,8 @@ Documents with equal sets are one class. Classes are linked when 100 * intersect
 3. Groups. Each class is held against the class it meets first for most of its keys; the links so found make groups of
    similar classes.
 4. Token-group matrix. Groups, in parts of at most MEMBERS classes, are stored with the union of their tokens. A
-   class that has ``need`` keys in common with another group's part asks it: the overlap with the union is an upper
+   class asks a part of another group if they have a key in common that is not among the need - 1 most frequent of
+   either's (so a key that very many have brings few together): the overlap with the union is an upper
    bound of the overlap with any member; only parts that could reach the threshold are opened, and their members are
    compared exactly. Links between classes of one group need not be looked for: it is connected already.
 
@@ -34,6 +35,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import common
 from .components import components
@@ -51,7 +53,7 @@ class Bands:
         while low < most:
             high = max(int(low * RATIO), low)
             differ = (100 - percent) * 2 * high // (100 + percent)
-            extra = int(MARGIN * differ)  # blocks beyond the least number: so many more keys two linked sets share
+            extra = max(2, int(MARGIN * differ))  # blocks beyond the least number: so many more keys two linked sets share
             usual = high / RATIO**0.5
             blocks, spare, light = differ + 1 + extra, 0, -1
             for most_held in range(round(usual / (differ + 1 + extra) / 4), -1, -1) if differ else ():
@@ -304,11 +306,14 @@ def groups(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id", text_c
     standing = standing.join(sizes, F.col("grp") == F.col("component"), "left").withColumn("part", F.pmod(F.xxhash64("cls"), parts).cast("int")).select("key", "cls", "grp", "part")
     standing = common.stored(standing, "jaccard-standing")
     members = standing.select("grp", "part", "cls").distinct()
+    # Linked classes share `need` keys or more, so one at least beside the need - 1 most frequent of either.
+    often = standing.groupBy("key").agg(F.count(F.lit(1)).alias("often"))
+    nth = F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("often"), "key"))
+    standing = standing.join(often, "key").withColumn("nth", nth).join(needs.select("cls", "need"), "cls").where("nth >= need").select("key", "cls", "grp", "part")
+    standing = common.stored(standing, "jaccard-standing")
     ask = standing.select("key", F.col("cls").alias("ask"), F.col("grp").alias("ask_grp"))
-    asks = ask.join(standing.select("key", "grp", "part").distinct(), "key").where("ask_grp > grp").groupBy("grp", "part", "ask").agg(F.count(F.lit(1)).alias("c"))
-    lowest = members.join(needs, "cls").groupBy("grp", "part").agg(F.min("need").alias("part_need"))
-    asks = asks.join(needs.select(F.col("cls").alias("ask"), "need"), "ask").where("c >= need").join(lowest, ["grp", "part"]).where("c >= part_need")
-    asks = common.stored(asks.select("grp", "part", F.col("ask").alias("cls")), "jaccard-asks")
+    asks = ask.join(standing.select("key", "grp", "part").distinct(), "key").where("ask_grp > grp").select("grp", "part", F.col("ask").alias("cls")).distinct()
+    asks = common.stored(asks, "jaccard-asks")
     across = _links(members, asks, texts, k, percent)
 
     # Rows of one doc_id are one document: their classes are joined too.
