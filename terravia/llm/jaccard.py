@@ -4,8 +4,8 @@ Documents with equal sets are one class. Classes are linked when 100 * intersect
 
 1. Candidate keys. Sets in a size band that are linked differ in at most H tokens, so of n blocks of the hash range
    n - H at least hold the same tokens in both. A class has a key for each block: a hash of the block's tokens. Bands
-   overlap by what a link may differ in size. Blocks of very few tokens (light ones) are the same in unlike sets by chance;
-   a class leaves them out unless it has more of them than there are blocks to spare. From its size and its light blocks follows how
+   overlap by what a link may differ in size. Blocks of very few tokens, or only of such as many documents share
+   (light ones), are the same in unlike sets; a class leaves them out unless it has more of them than there are blocks to spare. From its size and its light blocks follows how
    many keys a class has in common with any class it is linked to, at least: ``need``.
 2. Rows (key, class) are sorted over all tasks by range, so a key that a third of all classes have is spread over
    tasks; keys of one class go. A class with fewer than ``need`` keys left has no link and goes, and the keys that
@@ -13,8 +13,8 @@ Documents with equal sets are one class. Classes are linked when 100 * intersect
 3. Groups. Each class is held against the class it meets first for most of its keys; the links so found make groups of
    similar classes.
 4. Token-group matrix. Groups, in parts of at most MEMBERS classes, are stored with the union of their tokens. A
-   class asks a part of another group if they have a key in common that is not among the need - 1 most frequent of
-   either's (so a key that very many have brings few together): the overlap with the union is an upper
+   class asks a part of another group if they have PREFIX keys in common that are not among the need - PREFIX most
+   frequent of either's (so a key that very many have brings few together): the overlap with the union is an upper
    bound of the overlap with any member; only parts that could reach the threshold are opened, and their members are
    compared exactly. Links between classes of one group need not be looked for: it is connected already.
 
@@ -41,6 +41,10 @@ from . import common
 from .components import components
 
 RATIO, MARGIN, MEMBERS, ASKS, SEEN, TURNS = 1.6, 0.15, 32, 128, 500_000, 2
+#: What counts as a frequent token: see _often() and frequent_tokens().
+LOCAL, PIECE, MOST = 4, 4_000_000, 200_000
+#: So many keys a class must share with a part that it asks, of those that are not its most frequent.
+PREFIX = 4
 
 
 class Bands:
@@ -48,12 +52,12 @@ class Bands:
 
     def __init__(self, percent: int, most: int = 1 << 40):
         self.percent = percent
-        self.low, self.high, self.blocks, self.spare, self.light = [], [], [], [], []
+        self.low, self.high, self.blocks, self.spare, self.extra, self.light = [], [], [], [], [], []
         low = 1
         while low < most:
             high = max(int(low * RATIO), low)
             differ = (100 - percent) * 2 * high // (100 + percent)
-            extra = max(2, int(MARGIN * differ))  # blocks beyond the least number: so many more keys two linked sets share
+            extra = max(3, int(MARGIN * differ))  # blocks beyond the least number: so many more keys two linked sets share
             usual = high / RATIO**0.5
             blocks, spare, light = differ + 1 + extra, 0, -1
             for most_held in range(round(usual / (differ + 1 + extra) / 4), -1, -1) if differ else ():
@@ -71,6 +75,7 @@ class Bands:
             self.high.append(high)
             self.blocks.append(blocks if differ else 0)
             self.spare.append(spare)
+            self.extra.append(extra)
             self.light.append(light)
             low = high + 1
         self.lows = np.array(self.low)
@@ -84,8 +89,9 @@ class Bands:
             self.cuts[n] = np.array([(j << 64) // n for j in range(n)], np.uint64)
         return self.cuts[n]
 
-    def keys(self, tokens: np.ndarray) -> tuple[np.ndarray, int]:
-        """The keys of a sorted set of tokens, and how many of them a linked set has too, at least."""
+    def keys(self, tokens: np.ndarray, frequent: np.ndarray | None = None) -> tuple[np.ndarray, int]:
+        """The keys of a sorted set of tokens, and how many of them a linked set has too, at least. A block is light by what it
+        holds, so it is light in both sets or in neither: few tokens, or none that isn't frequent."""
         size, t = len(tokens), self.percent
         if not size:
             return np.zeros(0, np.uint64), 0
@@ -93,6 +99,9 @@ class Bands:
         out, need = [], []
         with np.errstate(over="ignore"):
             total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(common.mix(tokens ^ np.uint64(0x6C62272E07BB0142)), dtype=np.uint64)])
+            if frequent is not None and len(frequent):
+                place = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
+                rare = np.concatenate([[0], np.cumsum(frequent[place] != tokens)])
             for band in (home, home + 1):
                 n = self.blocks[band]
                 if not n or band > home and 100 * size < t * self.low[band]:
@@ -100,8 +109,10 @@ class Bands:
                 at = np.append(np.searchsorted(tokens, self.cut(n)), size)
                 held = np.diff(at)
                 light = held <= self.light[band]
+                if frequent is not None and len(frequent):
+                    light |= np.diff(rare[at]) == 0
                 keys = common.mix(total[at[1:]] - total[at[:-1]]) + np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(band) * np.uint64(0xC2B2AE3D27D4EB4F)
-                few = int(light.sum()) if light.sum() <= self.spare[band] else 0
+                few = int(light.sum()) if light.sum() <= self.spare[band] + self.extra[band] - 2 else 0
                 out.append(common.mix(keys[~light] if few else keys))
                 largest = min(self.high[band], 100 * size // t)  # of the sets that may be linked and share this band
                 need.append(max(1, n - (100 - t) * (size + largest) // (100 + t) - few))
@@ -124,9 +135,38 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat))
 
 
-def _keyed(k: int, percent: int):
+def _often(k: int):
+    """Tokens that LOCAL documents or more have among those of PIECE tokens, and how many have them."""
+    def counted(parts):
+        tokens, n = np.unique(np.concatenate(parts), return_counts=True)
+        some = n >= LOCAL
+        return pa.RecordBatch.from_arrays([pa.array(tokens[some].view(np.int64)), pa.array(n[some])], ["token", "n"])
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                held.append(tokens_of(text, k))
+                size += len(held[-1])
+                if size >= PIECE:
+                    yield counted(held)
+                    held, size = [], 0
+        if held:
+            yield counted(held)
+
+    return run
+
+
+def frequent_tokens(texts: DataFrame, k: int) -> np.ndarray:
+    """At most MOST of the most frequent tokens, sorted. Which ones changes no result, only how many candidates there are."""
+    found = texts.mapInArrow(_often(k), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    top = [r.token for r in found.orderBy(F.desc("n"), "token").limit(MOST).select("token").collect()]
+    return np.sort(np.array(top, np.int64).view(np.uint64))
+
+
+def _keyed(k: int, percent: int, shared):
     def run(batches):
-        bands, seen = Bands(percent), set()
+        bands, seen, frequent = Bands(percent), set(), shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
@@ -137,7 +177,7 @@ def _keyed(k: int, percent: int):
                     sizes.append(len(tokens))
                     classes.append(own)
                     new = doc_id is not None and own not in seen
-                    found, need = bands.keys(tokens) if new else (np.zeros(0, np.uint64), 0)
+                    found, need = bands.keys(tokens, frequent) if new else (np.zeros(0, np.uint64), 0)
                     keys.append(found)
                     needs.append(need if new else None)
                     if new:  # copies met again in this task need not repeat the keys; forgetting some does no harm
@@ -249,7 +289,8 @@ def groups(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id", text_c
     """doc_id, n (distinct shingles), component (least doc_id that links lead to) of each row of docs."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    keyed = common.stored(rows.mapInArrow(_keyed(k, percent), "doc_id long, n long, cls long, need int, keys array<long>"), "jaccard-keys")
+    frequent = spark.sparkContext.broadcast(frequent_tokens(rows.select("text"), k))  # 8 bytes each, MOST at most
+    keyed = common.stored(rows.mapInArrow(_keyed(k, percent, frequent), "doc_id long, n long, cls long, need int, keys array<long>"), "jaccard-keys")
     base = common.stored(keyed.drop("keys"), "jaccard-rows")
 
     # Keys that several classes have.
@@ -306,13 +347,14 @@ def groups(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id", text_c
     standing = standing.join(sizes, F.col("grp") == F.col("component"), "left").withColumn("part", F.pmod(F.xxhash64("cls"), parts).cast("int")).select("key", "cls", "grp", "part")
     standing = common.stored(standing, "jaccard-standing")
     members = standing.select("grp", "part", "cls").distinct()
-    # Linked classes share `need` keys or more, so one at least beside the need - 1 most frequent of either.
+    # Linked classes share `need` keys or more, so PREFIX at least beside the need - PREFIX most frequent of either.
     often = standing.groupBy("key").agg(F.count(F.lit(1)).alias("often"))
     nth = F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("often"), "key"))
-    standing = standing.join(often, "key").withColumn("nth", nth).join(needs.select("cls", "need"), "cls").where("nth >= need").select("key", "cls", "grp", "part")
+    standing = standing.join(often, "key").withColumn("nth", nth).join(needs.select("cls", "need"), "cls").where(F.col("nth") > F.col("need") - F.least(F.lit(PREFIX), "need")).select("key", "cls", "need", "grp", "part")
     standing = common.stored(standing, "jaccard-standing")
-    ask = standing.select("key", F.col("cls").alias("ask"), F.col("grp").alias("ask_grp"))
-    asks = ask.join(standing.select("key", "grp", "part").distinct(), "key").where("ask_grp > grp").select("grp", "part", F.col("ask").alias("cls")).distinct()
+    ask = standing.select("key", F.col("cls").alias("ask"), F.col("grp").alias("ask_grp"), "need")
+    asks = ask.join(standing.select("key", "grp", "part").distinct(), "key").where("ask_grp > grp").groupBy("grp", "part", F.col("ask").alias("cls")).agg(F.count(F.lit(1)).alias("c"), F.first("need").alias("need"))
+    asks = asks.where(F.col("c") >= F.least(F.lit(PREFIX), "need")).select("grp", "part", "cls")
     asks = common.stored(asks, "jaccard-asks")
     across = _links(members, asks, texts, k, percent)
 

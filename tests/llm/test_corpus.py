@@ -75,7 +75,8 @@ def test_jaccard_keys_meet_for_every_linked_pair():
         rows = families(7 * k, 400)
         bands = jaccard.Bands(percent, 1 << 20)
         sets = [jaccard.tokens_of(t, k) for _, t in rows]
-        keys = [bands.keys(s) for s in sets]
+        often = np.sort(np.random.default_rng(k).choice(np.unique(np.concatenate(sets)), 3000))
+        keys = [bands.keys(s, often if k != 2 else None) for s in sets]
         links = 0
         for a in range(len(sets)):
             for b in range(a):
