@@ -33,7 +33,9 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
     now = common.stored(now.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(), "edges")
     state = None
     for _ in range(rounds):
-        now = common.stored(_star(_star(now, True), False), "edges")
+        before = now
+        now = common.stored(_star(_star(before, True), False), "edges")
+        common.dropped(before)
         new = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if new == state:
             break

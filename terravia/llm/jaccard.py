@@ -306,14 +306,17 @@ def groups(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id", text_c
     if over:
         held = held.unionByName(spark.createDataFrame(sorted(over), "key long, cls long"))
     needs = base.where("doc_id is not null and need is not null").groupBy("cls").agg(F.min("need").alias("need"), F.min("doc_id").alias("doc_id"))
+    used = [met]
     for turn in range(TURNS):
         enough = held.groupBy("cls").agg(F.count(F.lit(1)).alias("c")).join(needs, "cls").where("c >= need").select("cls")
         held = common.marked(held, "cls", common.bitmap(enough, "cls"), "maybe").where("maybe").select("key", "cls")
         if turn:
             held = held.distinct()
         held = common.stored(held, "jaccard-held")
+        used.append(held)
         several = held.groupBy("key").agg(F.min("cls").alias("least"), F.max("cls").alias("most")).where("least < most").select("key", F.col("least").alias("hub"))
         held = common.stored(held.join(several, "key"), "jaccard-held")
+        used.append(held)
         if turn < TURNS - 1:
             held = held.select("key", "cls")
     common.released(spark)
@@ -346,16 +349,19 @@ def groups(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id", text_c
     parts = F.greatest(F.lit(1), F.ceil(F.coalesce("size", F.lit(1)) / MEMBERS))
     standing = standing.join(sizes, F.col("grp") == F.col("component"), "left").withColumn("part", F.pmod(F.xxhash64("cls"), parts).cast("int")).select("key", "cls", "grp", "part")
     standing = common.stored(standing, "jaccard-standing")
+    used += [asked, texts, nearest, edges, grouped, standing]
     members = standing.select("grp", "part", "cls").distinct()
     # Linked classes share `need` keys or more, so PREFIX at least beside the need - PREFIX most frequent of either.
     often = standing.groupBy("key").agg(F.count(F.lit(1)).alias("often"))
     nth = F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("often"), "key"))
     standing = standing.join(often, "key").withColumn("nth", nth).join(needs.select("cls", "need"), "cls").where(F.col("nth") > F.col("need") - F.least(F.lit(PREFIX), "need")).select("key", "cls", "need", "grp", "part")
     standing = common.stored(standing, "jaccard-standing")
+    used.append(standing)
     ask = standing.select("key", F.col("cls").alias("ask"), F.col("grp").alias("ask_grp"), "need")
     asks = ask.join(standing.select("key", "grp", "part").distinct(), "key").where("ask_grp > grp").groupBy("grp", "part", F.col("ask").alias("cls")).agg(F.count(F.lit(1)).alias("c"), F.first("need").alias("need"))
     asks = asks.where(F.col("c") >= F.least(F.lit(PREFIX), "need")).select("grp", "part", "cls")
     asks = common.stored(asks, "jaccard-asks")
+    used.append(asks)
     across = _links(members, asks, texts, k, percent)
 
     # Rows of one doc_id are one document: their classes are joined too.
@@ -363,6 +369,8 @@ def groups(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id", text_c
     same = base.join(several.select("doc_id", "a"), "doc_id").where("cls <> a and n > 0").select("a", F.col("cls").alias("b"))
     joined = grouped.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(across).unionByName(same)
     final = common.stored(components(joined, "a", "b"), "jaccard-components")
+    for table in used:
+        common.dropped(table)
     common.released(spark)
 
     names = least.join(final, F.col("cls") == F.col("node"), "left").select("cls", F.coalesce("component", "cls").alias("component"), "doc_id")
