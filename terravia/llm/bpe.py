@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-CHUNK, CACHE = 1 << 20, 400_000
+CHUNK, CACHE = 1 << 19, 200_000
 _BREAK = "Ā"  # in no token, so no match goes over it
 
 
@@ -127,11 +127,17 @@ class Tokenizer:
                 at -= int(self.length[token])
                 token = self.next_shorter(token)
 
+    def forget(self) -> None:
+        """Empties the caches that grow with what has been encoded."""
+        self.cache.clear()
+        if len(self.fits) > CACHE:
+            self.fits.clear()
+
     def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
         """The ids of each piece, as little-endian unsigned 32-bit integers."""
         cache = self.cache
         if len(cache) > CACHE:
-            cache.clear()
+            self.forget()
         new = [p for p in pieces if p not in cache]
         if new:
             texts = [p.decode("latin-1") for p in new]
@@ -334,6 +340,7 @@ def _digests(path: str, pattern: str):
                     of_raw.update(x.tobytes())
                 rows.append((sum(map(len, ids)), of_ids.hexdigest(), of_raw.hexdigest()))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string())))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        t.forget()
 
     return run
 
@@ -350,6 +357,7 @@ def _columns(path: str, pattern: str):
                     decoded.append(b"".join(r.tobytes() for r in raw).decode("utf-8"))
                 kept = batch.slice(at, 512).columns[:-1]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())], [*batch.schema.names[:-1], *("n_tokens", "ids", "decoded")])
+        t.forget()
 
     return run
 
@@ -360,14 +368,14 @@ def encode(docs: DataFrame, vocabulary: str | None = None, pattern: str | None =
     kept = [f for f in docs.schema.fields if f.name not in ("n_tokens", "ids", "decoded")]
     named = docs.select(*(F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(kept)), F.col(text_col).cast("string").alias("encoded"))
     ddl = "".join(f"c{i} {f.dataType.simpleString()}, " for i, f in enumerate(kept))
-    return named.mapInArrow(_columns(vocabulary or path, pattern or pat), ddl + "n_tokens long, ids array<int>, decoded string").toDF(*(f.name for f in kept), "n_tokens", "ids", "decoded")
+    return named.mapInArrow(common.tidied(_columns(vocabulary or path, pattern or pat)), ddl + "n_tokens long, ids array<int>, decoded string").toDF(*(f.name for f in kept), "n_tokens", "ids", "decoded")
 
 
 def digests(docs: DataFrame, vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
     """The same ids and decoded bytes, as their digests."""
     path, pat = default_vocabulary()
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(_digests(vocabulary or path, pattern or pat), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return source.mapInArrow(common.tidied(_digests(vocabulary or path, pattern or pat)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import os
 import tempfile
@@ -62,6 +64,20 @@ def released(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def tidied(run):
+    """run, a function of record batches; when a task is done the Python worker, which Spark keeps for the next stages,
+    gives its free memory back to the system."""
+    def outer(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return outer
+
+
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds == fold
 

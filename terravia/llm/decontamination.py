@@ -267,7 +267,7 @@ def search(docs: DataFrame, index: Index) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "first_word"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, first_word long")
+    return rows.mapInArrow(common.tidied(run), "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, first_word long")
 
 
 def filtered(docs: DataFrame, index: Index) -> DataFrame:
@@ -284,7 +284,7 @@ def filtered(docs: DataFrame, index: Index) -> DataFrame:
             yield pa.RecordBatch.from_arrays(batch.columns[:-1], batch.schema.names[:-1]).filter(pa.array(keep))
 
     named = docs.select(*(F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(docs.schema.fields)), F.col("text").cast("string").alias("searched"))
-    return named.mapInArrow(run, ddl).toDF(*docs.columns)
+    return named.mapInArrow(common.tidied(run), ddl).toDF(*docs.columns)
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

@@ -159,7 +159,7 @@ def _often(k: int):
 
 def frequent_tokens(texts: DataFrame, k: int) -> np.ndarray:
     """At most MOST of the most frequent tokens, sorted. Which ones changes no result, only how many candidates there are."""
-    found = texts.mapInArrow(_often(k), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    found = texts.mapInArrow(common.tidied(_often(k)), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     top = [r.token for r in found.orderBy(F.desc("n"), "token").limit(MOST).select("token").collect()]
     return np.sort(np.array(top, np.int64).view(np.uint64))
 
@@ -282,7 +282,7 @@ def _links(members: DataFrame, asks: DataFrame, texts: DataFrame, k: int, percen
     theirs = asks.join(many, ["grp", "part"]).select("grp", F.pmod(F.xxhash64("cls"), "shares").cast("int").alias("share"), "part", F.lit(1).alias("kind"), "cls")
     rows = own.unionByName(theirs).join(texts, "cls").select("grp", F.struct("part", "share").alias("part"), "kind", "cls", "text")
     rows = rows.select("grp", F.concat_ws("/", "part.part", "part.share").alias("part"), "kind", "cls", "text")
-    return rows.repartition("grp", "part").sortWithinPartitions("grp", "part", "kind", "cls").mapInArrow(_opened(k, percent), "a long, b long")
+    return rows.repartition("grp", "part").sortWithinPartitions("grp", "part", "kind", "cls").mapInArrow(common.tidied(_opened(k, percent)), "a long, b long")
 
 
 def groups(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -290,7 +290,7 @@ def groups(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id", text_c
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     frequent = spark.sparkContext.broadcast(frequent_tokens(rows.select("text"), k))  # 8 bytes each, MOST at most
-    keyed = common.stored(rows.mapInArrow(_keyed(k, percent, frequent), "doc_id long, n long, cls long, need int, keys array<long>"), "jaccard-keys")
+    keyed = common.stored(rows.mapInArrow(common.tidied(_keyed(k, percent, frequent)), "doc_id long, n long, cls long, need int, keys array<long>"), "jaccard-keys")
     base = common.stored(keyed.drop("keys"), "jaccard-rows")
 
     # Keys that several classes have.
@@ -326,7 +326,7 @@ def groups(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id", text_c
     least = base.where("doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
     asked = common.stored(held.select("cls").distinct().join(least, "cls"), "jaccard-asked")
     near = common.marked(rows, "doc_id", common.bitmap(asked, "doc_id"), "maybe").where("maybe").select("text")
-    texts = near.mapInArrow(_classed(k), "cls long, text string").join(asked.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
+    texts = near.mapInArrow(common.tidied(_classed(k)), "cls long, text string").join(asked.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
     texts = common.stored(texts, "jaccard-texts")
 
     # Groups: the links of each class to the class it meets first for most of its keys.

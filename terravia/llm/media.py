@@ -106,7 +106,7 @@ def _batches(batches):
 
 
 def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(_batches, SCHEMA)
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(common.tidied(_batches), SCHEMA)
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

@@ -190,7 +190,7 @@ def score(docs: DataFrame, model: Network | float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score_texts(m, batch.column(1).to_pylist()), pa.float64())], ["doc_id", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, score double")
+    return rows.mapInArrow(common.tidied(run), "doc_id long, score double")
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

@@ -144,7 +144,7 @@ def dedup(docs: DataFrame, keep: tuple[str, ...] = (), id_col: str = "doc_id", t
     """doc_id, the columns named in keep, text without repeated passages, n_chunks, n_repeated, removed
     (byte spans of the text as it was), first_ids (documents that keep what was taken out)."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), F.col(text_col).cast("string").alias("text"))
-    chunks = rows.select("doc_id", "text").mapInArrow(_emit, "hi long, lo long, doc_id long")
+    chunks = rows.select("doc_id", "text").mapInArrow(common.tidied(_emit), "hi long, lo long, doc_id long")
     first = chunks.groupBy("hi", "lo").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("other")).where("first < other").drop("other")
     key = F.unhex(F.concat(F.lpad(F.hex("hi"), 16, "0"), F.lpad(F.hex("lo"), 16, "0")))
     again = chunks.join(first, ["hi", "lo"]).where("doc_id > first").select("doc_id", key.alias("key"), "first")
@@ -152,7 +152,7 @@ def dedup(docs: DataFrame, keep: tuple[str, ...] = (), id_col: str = "doc_id", t
     joined = rows.join(by_doc, F.coalesce(F.col("doc_id"), F.lit(LAST_ID)) == F.col("to_id"), "left").drop("to_id")
     kept = [f for f in joined.schema.fields if f.name == "doc_id" or f.name[0] == "k" and f.name[1:].isdigit()]
     ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept)
-    out = joined.select(*(f.name for f in kept), "text", "keys", "firsts").mapInArrow(_apply, f"{ddl}, text string, n_chunks long, n_repeated long, removed array<struct<start:long,end:long>>, first_ids array<long>")
+    out = joined.select(*(f.name for f in kept), "text", "keys", "firsts").mapInArrow(common.tidied(_apply), f"{ddl}, text string, n_chunks long, n_repeated long, removed array<struct<start:long,end:long>>, first_ids array<long>")
     return out.withColumnsRenamed({f"k{i}": c for i, c in enumerate(keep)})
 
 

@@ -38,7 +38,7 @@ from . import common
 
 DECAY, SPAN, WINDOW, PAD, N_SYMBOLS = np.float32(0.75), 7, 12, 20, 64
 SPACE, ROUNDS = 27, 3
-BATCH = 1 << 20
+BATCH = 1 << 19
 
 
 def _alphabet() -> np.ndarray:
@@ -343,7 +343,7 @@ def score(docs: DataFrame, model: dict | None) -> DataFrame:
     """doc_id and score of each row of docs. The model (1 MB, whatever the input) is broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_score(shared), "doc_id long, score double")
+    return rows.mapInArrow(common.tidied(_score(shared)), "doc_id long, score double")
 
 
 def filtered(docs: DataFrame, model: dict | None, most: float = 0.5) -> DataFrame:
@@ -358,7 +358,7 @@ def filtered(docs: DataFrame, model: dict | None, most: float = 0.5) -> DataFram
             yield pa.RecordBatch.from_arrays(batch.columns[:-1], batch.schema.names[:-1]).filter(pa.array(keep))
 
     named = docs.select(*(F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(docs.schema.fields)), F.col("text").cast("string").alias("scored"))
-    return named.mapInArrow(run, ddl).toDF(*docs.columns)
+    return named.mapInArrow(common.tidied(run), ddl).toDF(*docs.columns)
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
