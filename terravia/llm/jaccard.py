@@ -5,8 +5,9 @@ Documents with equal sets are one class. Classes are linked when 100 * intersect
 1. Candidate keys. Sets in a size band that are linked differ in at most H tokens, so of n blocks of the hash range
    n - H at least hold the same tokens in both. A class has a key for each block: a hash of the block's tokens. Bands
    overlap by what a link may differ in size. Blocks of very few tokens, or only of such as many documents share
-   (light ones), are the same in unlike sets; a class leaves them out unless it has more of them than there are blocks to spare. From its size and its light blocks follows how
-   many keys a class has in common with any class it is linked to, at least: ``need``.
+   (light ones), are the same in unlike sets; a class leaves them out unless it has more of them than there are blocks to spare. From its size and its light blocks,
+   or the most that the other may have left out where it keeps its own, follows how many keys a class has in common with
+   any class it is linked to, at least: ``need``.
 2. Rows (key, class) are sorted over all tasks by range, so a key that a third of all classes have is spread over
    tasks; keys of one class go. A class with fewer than ``need`` keys left has no link and goes, and the keys that
    are then of one class again, and so once more: what chance has brought together is gone without pairing it.
@@ -112,10 +113,11 @@ class Bands:
                 if frequent is not None and len(frequent):
                     light |= np.diff(rare[at]) == 0
                 keys = common.mix(total[at[1:]] - total[at[:-1]]) + np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(band) * np.uint64(0xC2B2AE3D27D4EB4F)
-                few = int(light.sum()) if light.sum() <= self.spare[band] + self.extra[band] - 2 else 0
-                out.append(common.mix(keys[~light] if few else keys))
+                few, most = int(light.sum()), self.spare[band] + self.extra[band] - 2
+                out.append(common.mix(keys[~light] if few <= most else keys))
                 largest = min(self.high[band], 100 * size // t)  # of the sets that may be linked and share this band
-                need.append(max(1, n - (100 - t) * (size + largest) // (100 + t) - few))
+                # a set that keeps its light keys may be linked to one that has left out as many as `most` of them
+                need.append(max(1, n - (100 - t) * (size + largest) // (100 + t) - min(few, most)))
         return (np.concatenate(out), min(need)) if out else (np.zeros(0, np.uint64), 0)
 
 

@@ -88,6 +88,38 @@ def test_jaccard_keys_meet_for_every_linked_pair():
         assert links > 10
 
 
+@pytest.mark.parametrize("percent, least, most", [(90, 220, 240), (90, 360, 580), (80, 220, 240), (80, 360, 580)])
+@pytest.mark.parametrize("share", [0.0, 0.2, 0.4])
+def test_jaccard_keys_meet_where_one_of_a_pair_keeps_its_light_blocks(percent, least, most, share):
+    """Pairs at the threshold, where one set leaves its light blocks out and the other has too many of them to do so."""
+    rng, bands, apart = np.random.default_rng(1), jaccard.Bands(percent, 1 << 20), 0
+    for _ in range(500):
+        size = int(rng.integers(least, most))
+        gone = (100 - percent) * size // (100 + percent)
+        a, new = np.unique(rng.integers(0, 1 << 64, size, dtype=np.uint64)), rng.integers(0, 1 << 64, gone, dtype=np.uint64)
+        b = np.unique(np.concatenate([rng.permutation(a)[gone:], new]))
+        assert jaccard.linked(jaccard.overlap(a, b), len(a), len(b), percent)
+        either = np.union1d(a, b)
+        often = np.sort(rng.choice(either, int(share * len(either)), replace=False))
+        (keys_a, need_a), (keys_b, need_b) = bands.keys(a, often), bands.keys(b, often)
+        assert len(np.intersect1d(keys_a, keys_b)) >= max(need_a, need_b, 3)
+        band = int(np.searchsorted(bands.lows, size, "right")) - 1
+        apart += (len(keys_a) % bands.blocks[band] == 0) != (len(keys_b) % bands.blocks[band] == 0)
+    assert apart or not share  # without frequent tokens few blocks are light
+
+
+def test_jaccard_finds_pairs_where_one_keeps_its_light_blocks(spark):
+    """Each pair of its own words, at the threshold."""
+    rng, rows = np.random.default_rng(2), []
+    for i in range(400):
+        size = int(rng.integers(222, 242))
+        w = [f"d{i}w{j}" for j in range(size)]
+        v = [*w[: size - 10], *(f"d{i}v{j}" for j in range(10))]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(v))]
+    got = {r.doc_id: (r.n, r.component) for r in jaccard.groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 3, 90).collect()}
+    assert all(got[2 * i + 1][1] == 2 * i for i in range(400))
+
+
 def test_jaccard_edge_cases(spark, edge_docs, no_docs):
     got = [(r.doc_id, r.n, r.component) for r in jaccard.groups(edge_docs, 3, 90).collect()]
     sizes = {1: 28, 2: 0, 3: 0, 4: 0, 7: 1}
