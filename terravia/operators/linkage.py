@@ -91,6 +91,27 @@ def urban_rural(df: DataFrame, lookup: DataFrame, key: str, lookup_key: str, are
     return out.withColumn("urban_rural", F.when(F.col("_a").isin(*urban), K.URBAN).when(F.col("_a").isin(*rural), K.RURAL).otherwise(K.UNKNOWN)).drop("_k", "_a")
 
 
+def merged(df: DataFrame, other: DataFrame, key: str, suffixes: tuple[str, str] = ("_x", "_y")) -> DataFrame:
+    """df left-joined with other by a key taken as text; other columns that both have get the suffixes. Null keys are equal and
+    rows of equal key are paired, as in the reference."""
+    both = {c.lower() for c in df.columns} & {c.lower() for c in other.columns} - {key.lower()}
+
+    def named(c: str, suffix: str):
+        return F.col(f"`{c}`").alias(c + suffix if c.lower() in both else c)
+
+    own = df.select(*(F.col(c).cast("string").alias(c) if c == key else named(c, suffixes[0]) for c in df.columns))
+    theirs = other.select(F.col(key).cast("string").alias("_k"), *(named(c, suffixes[1]) for c in other.columns if c != key))
+    return own.join(theirs, F.col(key).eqNullSafe(F.col("_k")), "left").drop("_k")
+
+
+def demand_analysis(demand: DataFrame, routing: DataFrame, weights: DataFrame, areas: DataFrame, key: str = "demand_id", status: str = "routing_status_car", time: str = "travel_time_min_car") -> DataFrame:
+    """The master table: demand with its routing (clashing names end in _routing), its population and analysis_weight, its
+    urban_rural (unknown where there is none), t_min and ht_population_weight; no demand row is lost (J10)."""
+    linked = weights.select(key, "population", "population_match_status", "analysis_weight")
+    df = merged(merged(merged(demand, routing, key, ("", "_routing")), linked, key), areas, key)
+    return df.withColumns({"urban_rural": F.coalesce("urban_rural", F.lit(K.UNKNOWN)), "t_min": X.access_time(status, time), "ht_population_weight": F.col("analysis_weight")})
+
+
 def unmatched_kinds(df: DataFrame, key: str, secondary: str, pop: DataFrame, pop_key: str) -> DataFrame:
     """Unmatched rows: A no key, C the secondary key would match, B the rest."""
     keys = pop.select(F.col(pop_key).cast("string").alias("_k")).distinct()

@@ -180,6 +180,21 @@ def _(spark, sf):
     return _linked(spark, sf).select("demand_id", weights.analysis_weight().alias("analysis_weight"))
 
 
+@query("j10_demand_analysis", f"""{_LINKED}, routing AS (SELECT demand_id, prov AS dist, status AS routing_status_car, t_raw AS travel_time_min_car FROM demand WHERE k % 13 <> 0),
+areas AS (SELECT demand_id, nullif(urban_rural, 'unknown') AS urban_rural FROM demand WHERE k % 5 <> 0),
+weighted AS (SELECT demand_id, population, match_status, CASE WHEN match_status = 'matched' THEN population * design_weight END AS analysis_weight FROM linked)
+SELECT d.demand_id, d.dist, r.dist AS dist_routing, r.routing_status_car, {R("r.travel_time_min_car")} AS travel_time_min_car, w.population, w.match_status AS population_match_status, w.analysis_weight,
+  coalesce(a.urban_rural, 'unknown') AS urban_rural, {R("CASE WHEN r.routing_status_car = 'routed' THEN r.travel_time_min_car END")} AS t_min, w.analysis_weight AS ht_population_weight
+FROM demand d LEFT JOIN routing r ON r.demand_id = d.demand_id LEFT JOIN weighted w ON w.demand_id = d.demand_id LEFT JOIN areas a ON a.demand_id = d.demand_id""")
+def _(spark, sf):
+    d = T.demand(spark, sf)
+    routing = d.where("k % 13 <> 0").select("demand_id", F.col("prov").alias("dist"), F.col("status").alias("routing_status_car"), F.col("t_raw").alias("travel_time_min_car"))
+    areas = d.where("k % 5 <> 0").select("demand_id", F.nullif("urban_rural", F.lit(K.UNKNOWN)).alias("urban_rural"))
+    linked = _linked(spark, sf).select("demand_id", "population", F.col("match_status").alias("population_match_status"), weights.analysis_weight().alias("analysis_weight"))
+    out = linkage.demand_analysis(d.select("demand_id", "dist"), routing, linked, areas)
+    return out.select("demand_id", "dist", "dist_routing", "routing_status_car", "travel_time_min_car", "population", "population_match_status", "analysis_weight", "urban_rural", "t_min", "ht_population_weight")
+
+
 @query("a7_match_summary_rollup", f"""{_LINKED} SELECT CASE WHEN grouping(dep) = 1 THEN 'TOTAL' ELSE dep END AS scope, count(*) AS n, count(*) FILTER (WHERE match_status = 'matched') AS n_matched, count(*) FILTER (WHERE match_status = 'unmatched') AS n_unmatched, count(*) FILTER (WHERE match_status = 'ambiguous') AS n_ambiguous,
   {R("100.0 * count(*) FILTER (WHERE match_status = 'matched') / count(*)")} AS pct_matched, CAST(sum(population) AS BIGINT) AS population_matched FROM linked GROUP BY ROLLUP (dep)""")
 def _(spark, sf):

@@ -312,3 +312,20 @@ def test_filters(spark):
 def test_profile_hash_follows_parameters():
     assert X.profile_hash("car") != X.profile_hash("car", 15.0) and len(X.profile_hash("foot")) == 16
     assert math.isclose(access.track_impact(3313, 3721)["gain_pct"], 100 * 408 / 3313)
+
+
+def test_demand_analysis(spark):
+    demand = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (None, "d")], "demand_id long, dist string")
+    routing = spark.createDataFrame([("1", "x", "routed", 5.0), ("2", "y", "snap_failed", 9.0)], "demand_id string, dist string, routing_status_car string, travel_time_min_car double")
+    weighted = spark.createDataFrame([("1", 10, "matched", 30, 7), ("3", None, "unmatched", None, 7)], "demand_id string, population long, population_match_status string, analysis_weight long, other long")
+    areas = spark.createDataFrame([("1", "urban"), ("2", None)], "demand_id string, urban_rural string")
+    got = linkage.demand_analysis(demand, routing, weighted, areas)
+    assert got.columns == ["demand_id", "dist", "dist_routing", "routing_status_car", "travel_time_min_car", "population", "population_match_status", "analysis_weight", "urban_rural", "t_min", "ht_population_weight"]
+    assert sorted((tuple(r) for r in got.collect()), key=lambda r: r[1]) == [
+        ("1", "a", "x", "routed", 5.0, 10, "matched", 30, "urban", 5.0, 30),
+        ("2", "b", "y", "snap_failed", 9.0, None, None, None, "unknown", None, None),
+        ("3", "c", None, None, None, None, "unmatched", None, "unknown", None, None),
+        (None, "d", None, None, None, None, None, None, "unknown", None, None),
+    ]
+    both = linkage.merged(areas, areas, "demand_id")
+    assert both.columns == ["demand_id", "urban_rural_x", "urban_rural_y"]
