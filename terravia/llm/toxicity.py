@@ -1,7 +1,10 @@
 """Toxicity: a subsequence string-kernel support vector machine with Nyström landmarks.
 
 The kernel. A text becomes symbols: small letters, one symbol for white space, look-alike digits and
-signs as their letters; other punctuation is dropped, and so is white space between single letters. The
+signs as their letters; letters beyond Latin-1, of all planes, have the symbols 60 to 127 by their code
+point's remainder, so the letters of an alphabet that lie within 68 code points are told apart, while the
+characters of larger scripts (CJK, Hangul) share these symbols; what is no letter (punctuation, emoji,
+combining marks) is dropped, and so is white space between single letters. The
 kernel of two segments counts their common subsequences of three symbols, each occurrence weighted by
 DECAY to the power of the places it spans, up to SPAN of them: an insult with inserted or left-out
 characters still shares most subsequences with the insult.
@@ -15,7 +18,7 @@ rounds). A logistic model of the highest segment and of the sum and share of pos
 document's probability.
 
 Scoring. The machine's decision is linear in the segment's subsequences, so all landmarks fold into
-one weight per subsequence (64^3 of them); each document is scored whole, every segment of it.
+one weight per subsequence (128^3 of them; those of Latin-1 symbols stand in the first 64^3); each document is scored whole, every segment of it.
 
 ``max_toxic`` and ``max_clean`` bound the training sample (chosen by a hash of doc_id from all labelled
 rows), ``max_chars`` the length of a document that may be in it. Scored documents have no bound.
@@ -36,19 +39,19 @@ from pyspark.sql import functions as F
 
 from . import common
 
-DECAY, SPAN, WINDOW, PAD, N_SYMBOLS = np.float32(0.75), 7, 12, 20, 64
-SPACE, ROUNDS = 27, 3
+DECAY, SPAN, WINDOW, PAD, N_SYMBOLS = np.float32(0.75), 7, 12, 20, 128
+SPACE, OTHER, ROUNDS = 27, 60, 3
 BATCH = 1 << 19
 
 
 def _alphabet() -> np.ndarray:
     """Code point -> symbol; 0 is the padding, 255 dropped."""
-    out = np.full(0x10000, 255, np.uint8)
-    for cp in range(0x80, 0x10000):
+    out = np.full(0x110000, 255, np.uint8)
+    for cp in range(0x80, 0x110000):
         c = chr(cp)
         if c.isalpha():
             low = ord(c.lower()[0])
-            out[cp] = 28 + low - 0xE0 if 0xE0 <= low <= 0xFF else 60 + low % 4
+            out[cp] = 28 + low - 0xE0 if 0xE0 <= low <= 0xFF else OTHER + low % (N_SYMBOLS - OTHER)
         elif c.isspace():
             out[cp] = SPACE
     for i in range(26):
@@ -68,7 +71,7 @@ def symbols(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """All texts as symbols, PAD zeros after each, and where each begins (and the end)."""
     texts = [(t or "").replace("\0", " ") for t in texts]
     points = np.frombuffer(("\0" * PAD).join([*texts, ""]).encode("utf-32-le"), np.uint32)
-    got = _ALPHABET[np.minimum(points, 0xFFFF)]
+    got = _ALPHABET[points]
     first = np.concatenate([[0], np.cumsum([len(t) + PAD for t in texts])])
     keep = got != 255
     place = np.concatenate([[0], np.cumsum(keep)])
@@ -86,6 +89,12 @@ def symbols(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return got[keep].astype(np.int32), place[first]
 
 
+def _spread(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What a symbol adds to the number of a subsequence as its first, second and third."""
+    low, high = symbols & 63, symbols >> 6
+    return (low << 12) + (high << 20), (low << 6) + (high << 19), low + (high << 18)
+
+
 def _steps():
     """Places of the second and the third symbol after the first."""
     for d2 in range(2, SPAN):
@@ -99,9 +108,9 @@ def place_sums(got: np.ndarray, weights: np.ndarray) -> np.ndarray:
     for at in range(0, len(got), BATCH):  # a block at a time: memory doesn't grow with the text
         block = np.concatenate([got[at : at + BATCH + SPAN], np.zeros(SPAN, got.dtype)])
         n = min(BATCH, len(got) - at)
-        high, total = block[:n] << 12, np.zeros(n, np.float32)
+        (a, b, c), total = _spread(block), np.zeros(n, np.float32)
         for d1, d2 in _steps():
-            total += weights.take(high + (block[d1 : n + d1] << 6) + block[d2 : n + d2]) * DECAY ** np.float32(d2 + 1)
+            total += weights.take(a[:n] + b[d1 : n + d1] + c[d2 : n + d2]) * DECAY ** np.float32(d2 + 1)
         out[at : at + n] = total
     return out
 
@@ -117,12 +126,13 @@ def segments(sums: np.ndarray) -> np.ndarray:
 def subsequences(segment: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The subsequences of a segment, as numbers, and their weights; those with padding are left out."""
     n = len(segment)
+    first, second, third = _spread(segment)
     ats, ws = [], []
     for d1, d2 in _steps():
         if n > d2:
             a, b, c = segment[: n - d2], segment[d1 : n - d2 + d1], segment[d2:]
             m = (a > 0) & (b > 0) & (c > 0)
-            ats.append(((a << 12) + (b << 6) + c)[m])
+            ats.append((first[: n - d2] + second[d1 : n - d2 + d1] + third[d2:])[m])
             ws.append(np.full(int(m.sum()), DECAY ** np.float32(d2 + 1), np.float32))
     return (np.concatenate(ats), np.concatenate(ws)) if ats else (np.zeros(0, np.int32), np.zeros(0, np.float32))
 
@@ -184,7 +194,7 @@ def telling(toxic: list[np.ndarray], clean: list[np.ndarray], most: int) -> list
                     code = np.zeros(len(d) - size + 1, np.int64)
                     fine = np.ones(len(code), bool)
                     for k in range(size):
-                        code = code << 6 | d[k : len(d) - size + 1 + k]
+                        code = code << 7 | d[k : len(d) - size + 1 + k]
                         fine &= (d[k : len(d) - size + 1 + k] > 0) & (d[k : len(d) - size + 1 + k] != SPACE)
                     codes.append(np.unique(code[fine]))
             counts.append(np.unique(np.concatenate(codes), return_counts=True))
@@ -201,7 +211,7 @@ def telling(toxic: list[np.ndarray], clean: list[np.ndarray], most: int) -> list
     out: list[np.ndarray] = []
     texts: list[str] = []
     for _, size, code in sorted(found, key=lambda x: (-x[0], x[2])):
-        s = np.array([code >> 6 * (size - 1 - k) & 63 for k in range(size)], np.int32)
+        s = np.array([code >> 7 * (size - 1 - k) & 127 for k in range(size)], np.int32)
         t = s.astype(np.uint8).tobytes().decode("latin-1")
         if not any(t in u or u in t for u in texts):
             out.append(s)
@@ -340,7 +350,7 @@ def model_of(docs: DataFrame, labels: DataFrame, where: str | object = "true", m
 
 
 def score(docs: DataFrame, model: dict | None) -> DataFrame:
-    """doc_id and score of each row of docs. The model (1 MB, whatever the input) is broadcast."""
+    """doc_id and score of each row of docs. The model (8 MB, whatever the input) is broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(common.tidied(_score(shared)), "doc_id long, score double")

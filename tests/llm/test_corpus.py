@@ -345,6 +345,25 @@ def test_toxicity_learns_and_tolerates_gaps():
         assert np.median(toxicity.score_texts(model, bad)) > np.quantile(low, 0.95)
 
 
+@pytest.mark.parametrize("first, letters", [(0x430, 32), (0x3B1, 24), (0x5D0, 27), (0x627, 20), (0x4E00, 60), (0x10428, 40)])
+def test_toxicity_tells_letters_of_other_scripts_apart(first, letters):
+    """Cyrillic, Greek, Hebrew, Arabic, CJK and Deseret, which lies beyond U+FFFF."""
+    script = [chr(first + i) for i in range(letters) if chr(first + i).isalpha()]
+    assert len({int(toxicity.symbols([c])[0][0]) for c in script}) == len(script)
+    rng, texts = random.Random(16), []
+    other = lambda n: "".join(rng.choice(script) for _ in range(n))
+    insults = [other(8) for _ in range(3)]
+    for i in range(360):
+        w = [other(rng.randint(3, 8)) for _ in range(rng.randint(15, 60))]
+        if i % 3 == 0:
+            for _ in range(3):
+                w.insert(rng.randrange(len(w)), rng.choice(insults))
+        texts.append(" ".join(w))
+    y = np.array([int(i % 3 == 0) for i in range(360)])
+    model = toxicity.train(texts[:240], y[:240])
+    assert auc(toxicity.score_texts(model, texts[240:]), y[240:]) > 0.98
+
+
 def test_toxicity_folding_is_the_kernel():
     """The weight of each subsequence gives the same value as the kernel with all landmarks."""
     marks = [np.array([3, 5, 7, 9], np.int32), np.array([3, 5, 8, 2, 1], np.int32), np.array([4, 4, 4], np.int32)]
