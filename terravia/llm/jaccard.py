@@ -11,16 +11,17 @@ Documents with equal sets are one class. Classes are linked when 100 * intersect
 2. Rows (key, class) are sorted over all tasks by range, so a key that a third of all classes have is spread over
    tasks; keys of one class go. A class with fewer than ``need`` keys left has no link and goes, and the keys that
    are then of one class again, and so once more: what chance has brought together is gone without pairing it.
-3. Groups. Each class is held against the class it meets first for most of its keys; the links so found make groups of
-   similar classes.
-4. Token-group matrix. Groups, in parts of at most MEMBERS classes, are stored with the union of their tokens. A
-   class asks a part of another group if they have PREFIX keys in common that are not among the need - PREFIX most
-   frequent of either's (so a key that very many have brings few together): the overlap with the union is an upper
-   bound of the overlap with any member; only parts that could reach the threshold are opened, and their members are
-   compared exactly. Links between classes of one group need not be looked for: it is connected already.
-
-So no link between groups is lost, and copies, however many, are never paired with each other. Tokens
-are 64-bit hashes of shingles, classes 64-bit digests of their tokens.
+3. Clusters. Each class points to the class that it meets first for most of its keys; what hangs together so is a
+   cluster of similar classes, dealt to parts of PART_TOKENS tokens or PART_MEMBERS classes at most.
+4. Token-group matrix. A part's classes, similar ones next to each other, are stored in groups of at most MEMBERS with
+   the union of each group's tokens. A class's overlap with a union bounds its overlap with every member, so only groups
+   that could reach the threshold are opened, and their members compared exactly. Within a part the links are
+   followed class by class, each held only against the classes that no link has reached yet. A class asks a part
+   that is not its own if they have PREFIX keys in common that are not among the need - PREFIX most frequent of
+   either's, and is told one link to each component of that part, not one to each member.
+
+So no two documents that links join are kept apart, and neither copies nor near copies, however many, become rows of
+pairs. Tokens are 64-bit hashes of shingles, classes 64-bit digests of their tokens.
 
 Defined results: null and empty texts, and texts of white space, have no shingles and no links; a text of fewer words
 than a shingle is one shingle; rows of equal doc_id count as one document (their texts' components are one); a null
@@ -41,7 +42,9 @@ from pyspark.sql.window import Window
 from . import common
 from .components import components
 
-RATIO, MARGIN, MEMBERS, ASKS, SEEN, TURNS = 1.6, 0.15, 32, 128, 500_000, 2
+RATIO, MARGIN, SEEN = 1.6, 0.15, 500_000
+#: Classes in a group of the matrix; tokens and classes in a part, which a worker holds at once; classes that ask a part in one task.
+MEMBERS, PART_TOKENS, PART_MEMBERS, ASKS = 32, 2_000_000, 4096, 2048
 #: What counts as a frequent token: see _often() and frequent_tokens().
 LOCAL, PIECE, MOST = 4, 4_000_000, 200_000
 #: So many keys a class must share with a part that it asks, of those that are not its most frequent.
@@ -238,53 +241,169 @@ def _classed(k: int):
     return run
 
 
-def linked(overlap: int, a: int, b: int, percent: int) -> bool:
+def linked(overlap, a, b, percent: int):
+    """Whether sets of a and b tokens are linked; of numbers or of arrays."""
     return 100 * overlap >= percent * (a + b - overlap)
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
     """Common tokens of two sorted sets."""
-    if len(a) > len(b):
-        a, b = b, a
-    at = np.searchsorted(b, a)
-    at[at == len(b)] = 0
-    return int((b[at] == a).sum()) if len(b) else 0
+    return len(np.intersect1d(a, b, assume_unique=True))
+
+
+class Group:
+    """Some similar sets and the union of their tokens."""
+
+    def __init__(self, names: np.ndarray, sizes: np.ndarray, tokens: np.ndarray, union: np.ndarray):
+        self.names, self.sizes, self.tokens, self.union = names, sizes, tokens, union
+        self.starts = np.cumsum(sizes) - sizes
+
+
+def grouped(names: np.ndarray, sets: list[np.ndarray]) -> list[Group]:
+    """The sets in groups of MEMBERS; those with the same least hashes come next to each other."""
+    least = np.array([[common.mix(t ^ np.uint64(salt)).min() for salt in (0, 0x5BD1E995, 0x1B873593)] for t in sets], np.uint64)
+    order = np.lexsort(least.T)
+    out = []
+    for at in range(0, len(order), MEMBERS):
+        some = order[at : at + MEMBERS]
+        tokens = np.concatenate([sets[i] for i in some])
+        out.append(Group(names[some], np.array([len(sets[i]) for i in some]), tokens, np.unique(tokens)))
+    return out
+
+
+class Matrix:
+    """The token-group matrix: which tokens each group's union has."""
+
+    def __init__(self, groups: list[Group]):
+        self.groups = groups
+        unions = [g.union for g in groups]
+        self.tokens = np.unique(np.concatenate(unions))
+        self.rows = np.searchsorted(self.tokens, np.concatenate(unions)).astype(np.int32)
+        sizes = np.array([len(u) for u in unions])
+        self.starts = np.cumsum(sizes) - sizes
+        self.least = np.array([int(g.sizes.min()) for g in groups])
+        self.mark = np.zeros(len(self.tokens), np.uint8)
+        self.places: dict[int, np.ndarray] = {}
+
+    def search(self, tokens: np.ndarray, percent: int, some: list[np.ndarray] | None = None):
+        """(group, numbers of its members that are linked to the set), of the groups whose union could hold one.
+        some: for each group which members are asked for."""
+        at = np.minimum(np.searchsorted(self.tokens, tokens), len(self.tokens) - 1)
+        at = at[self.tokens[at] == tokens]
+        self.mark[at] = 1
+        bound = np.add.reduceat(self.mark[self.rows], self.starts, dtype=np.int64)
+        for g in np.flatnonzero(linked(bound, len(tokens), np.maximum(bound, self.least), percent)).tolist():
+            if some is not None and not some[g].any():
+                continue
+            if g not in self.places:
+                self.places[g] = np.searchsorted(self.tokens, self.groups[g].tokens).astype(np.int32)
+            both = np.add.reduceat(self.mark[self.places[g]], self.groups[g].starts, dtype=np.int64)
+            hit = linked(both, len(tokens), self.groups[g].sizes, percent)
+            if some is not None:
+                hit &= some[g]
+            if hit.any():
+                yield g, np.flatnonzero(hit)
+        self.mark[at] = 0
+
+
+def roots(names: np.ndarray, sets: list[np.ndarray], percent: int) -> dict[int, int]:
+    """For each set the first of its component. Each is held against those only that no link has reached."""
+    own, root = dict(zip(names.tolist(), sets, strict=True)), {}
+    matrix = Matrix(grouped(names, sets))
+    rest = [np.ones(len(g.names), bool) for g in matrix.groups]
+    left = held = len(own)
+    for seed in own:
+        if seed in root:
+            continue
+        root[seed], reached = seed, [seed]
+        while reached and left:
+            now = reached.pop()
+            if left < held // 2:  # what is reached need not be carried on
+                kept = np.array([n for g, some in zip(matrix.groups, rest, strict=True) for n in g.names[some].tolist()])
+                matrix, held = Matrix(grouped(kept, [own[n] for n in kept.tolist()])), left
+                rest = [np.ones(len(g.names), bool) for g in matrix.groups]
+            for g, found in matrix.search(own[now], percent, rest):
+                rest[g][found] = False
+                left -= len(found)
+                for name in matrix.groups[g].names[found].tolist():
+                    if name not in root:
+                        root[name] = seed
+                        reached.append(name)
+    return root
+
+
+_MATRIX = "classes array<long>, roots array<long>, sizes array<long>, tokens array<long>, union array<long>"
+
+
+def _parts(batches):
+    """Of rows sorted by their first two columns: these and the rest of each row, part by part."""
+    now, rows = None, []
+    for batch in batches:
+        for at in range(0, batch.num_rows, 64):
+            piece = batch.slice(at, 64)
+            for row in zip(*(c.to_pylist() for c in piece.columns), strict=True):
+                if row[:2] != now:
+                    if rows:
+                        yield now, rows
+                    now, rows = row[:2], []
+                rows.append(row[2:])
+    if rows:
+        yield now, rows
+
+
+def _stored_groups(k: int, percent: int):
+    """Of rows (grp, part, cls, text): the part's groups, each class with the first of its component in the part."""
+    def run(batches):
+        for (grp, part), rows in _parts(batches):
+            names, sets = np.array([r[0] for r in rows], np.int64), [tokens_of(r[1], k) for r in rows]
+            root = roots(names, sets, percent)
+            for g in grouped(names, sets):
+                first = np.array([root[n] for n in g.names.tolist()], np.int64)
+                columns = [_lists([x.astype(np.int64, copy=False).view(np.uint64)]) for x in (g.names, first, g.sizes)] + [_lists([g.tokens]), _lists([g.union])]
+                yield pa.RecordBatch.from_arrays([pa.array([grp], pa.int64()), pa.array([part], pa.int32()), *columns], ["grp", "part", "classes", "roots", "sizes", "tokens", "union"])
+
+    return run
 
 
-def _opened(k: int, percent: int):
-    """Of rows sorted by group, part and kind: the part's members (kind 0), then the classes that ask it (kind 1). The members'
-    tokens and their union are the part's row of the token-group matrix; an asking class whose overlap with the union could
-    reach the threshold is compared with each member. Memory holds one part at a time."""
+def _asked(k: int, percent: int):
+    """Of rows sorted by grp, share and kind: the part's groups (kind 0), then the classes that ask it (kind 1). One link of
+    an asking class to each component of the part. Memory holds one part, and no more than a few of the asking classes."""
     def run(batches):
-        now, members, union, least = None, [], np.zeros(0, np.uint64), 0
+        now, groups, first, matrix = None, [], {}, None
         for batch in batches:
             found = []
-            for grp, part, kind, cls, text in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                if (grp, part) != now:
-                    now, members, union = (grp, part), [], None
-                tokens = tokens_of(text, k)
-                if kind == 0:
-                    members.append((cls, tokens))
-                    continue
-                if union is None and members:
-                    union = np.unique(np.concatenate([t for _, t in members]))
-                    least = min(len(t) for _, t in members)
-                if members and 100 * overlap(tokens, union) >= percent * max(len(tokens), least):
-                    found += [(cls, other) for other, t in members if linked(overlap(tokens, t), len(tokens), len(t), percent)]
+            for at in range(0, batch.num_rows, 16):
+                piece = batch.slice(at, 16)
+                keys = list(zip(*(piece.column(i).to_pylist() for i in range(3)), strict=True))
+                for i, (grp, share, kind) in enumerate(keys):
+                    if (grp, share) != now:
+                        now, groups, first, matrix = (grp, share), [], {}, None
+                    if kind == 0:
+                        classes, own, sizes, tokens, union = (piece.column(j)[i].values.to_numpy() for j in range(5, 10))
+                        groups.append(Group(classes, sizes, tokens.view(np.uint64), union.view(np.uint64)))
+                        first |= zip(classes.tolist(), own.tolist(), strict=True)
+                        continue
+                    if not groups:
+                        continue
+                    matrix = matrix or Matrix(groups)
+                    cls, text = piece.column(3)[i].as_py(), piece.column(4)[i].as_py()
+                    seen = {first[n] for g, some in matrix.search(tokens_of(text, k), percent) for n in groups[g].names[some].tolist()}
+                    found += [(cls, other) for other in sorted(seen)]
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
 
     return run
 
 
-def _links(members: DataFrame, asks: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (a, b) between asking classes and members. members: grp, part, cls; asks: grp, part, cls. Texts are shuffled, not their
-    tokens, which take more room. Parts that very many ask are repeated with a share of the asking classes each."""
+def _across(matrix: DataFrame, asks: DataFrame, texts: DataFrame, k: int, percent: int, tasks: int) -> DataFrame:
+    """Links (a, b) between asking classes and the first of each component of the parts that they ask. Parts that very many ask
+    are repeated with a share of the asking classes each."""
     many = asks.groupBy("grp", "part").agg(F.ceil(F.count(F.lit(1)) / ASKS).cast("int").alias("shares"))
-    own = members.join(many, ["grp", "part"]).select("grp", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), "part", F.lit(0).alias("kind"), "cls")
-    theirs = asks.join(many, ["grp", "part"]).select("grp", F.pmod(F.xxhash64("cls"), "shares").cast("int").alias("share"), "part", F.lit(1).alias("kind"), "cls")
-    rows = own.unionByName(theirs).join(texts, "cls").select("grp", F.struct("part", "share").alias("part"), "kind", "cls", "text")
-    rows = rows.select("grp", F.concat_ws("/", "part.part", "part.share").alias("part"), "kind", "cls", "text")
-    return rows.repartition("grp", "part").sortWithinPartitions("grp", "part", "kind", "cls").mapInArrow(common.tidied(_opened(k, percent)), "a long, b long")
+    share = lambda nth: F.concat_ws("/", "part", nth).alias("share")
+    own = matrix.join(many, ["grp", "part"]).withColumn("nth", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+    own = own.select("grp", share("nth"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("cls"), F.lit(None).cast("string").alias("text"), "classes", "roots", "sizes", "tokens", "union")
+    theirs = asks.join(many, ["grp", "part"]).join(texts, "cls").select("grp", share(F.pmod(F.xxhash64("cls"), "shares")), F.lit(1).alias("kind"), "cls", "text")
+    rows = own.unionByName(theirs, allowMissingColumns=True).repartition(tasks, "grp", "share").sortWithinPartitions("grp", "share", "kind", "cls")
+    return rows.mapInArrow(common.tidied(_asked(k, percent)), "a long, b long")
 
 
 def groups(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -307,75 +426,66 @@ def groups(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id", text_c
     held = met.where("task is null").select("key", "cls")
     if over:
         held = held.unionByName(spark.createDataFrame(sorted(over), "key long, cls long"))
-    needs = base.where("doc_id is not null and need is not null").groupBy("cls").agg(F.min("need").alias("need"), F.min("doc_id").alias("doc_id"))
-    used = [met]
-    for turn in range(TURNS):
-        enough = held.groupBy("cls").agg(F.count(F.lit(1)).alias("c")).join(needs, "cls").where("c >= need").select("cls")
-        held = common.marked(held, "cls", common.bitmap(enough, "cls"), "maybe").where("maybe").select("key", "cls")
-        if turn:
-            held = held.distinct()
-        held = common.stored(held, "jaccard-held")
-        used.append(held)
-        several = held.groupBy("key").agg(F.min("cls").alias("least"), F.max("cls").alias("most")).where("least < most").select("key", F.col("least").alias("hub"))
-        held = common.stored(held.join(several, "key"), "jaccard-held")
-        used.append(held)
-        if turn < TURNS - 1:
-            held = held.select("key", "cls")
-    common.released(spark)
-    meets = held.where("cls <> hub")
+    classes = base.where("doc_id is not null").groupBy("cls").agg(F.min("need").alias("need"), F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
+    classes = common.stored(classes, "jaccard-classes")
+    enough = held.groupBy("cls").agg(F.count(F.lit(1)).alias("c")).join(classes, "cls").where("c >= need").select("cls")
+    held = common.marked(held, "cls", common.bitmap(enough, "cls"), "maybe").where("maybe").select("key", "cls")
+    held = common.stored(held, "jaccard-held")
+    common.dropped(met)
+    several = held.groupBy("key").agg(F.min("cls").alias("least"), F.max("cls").alias("most")).where("least < most").select("key", F.col("least").alias("hub"))
+    used = [held]
+    held = common.stored(held.join(several, "key"), "jaccard-held")
+    used.append(held)
+
+    # Clusters: each class points to the class it meets first for most of its keys.
+    shared = held.where("cls <> hub").groupBy("cls", "hub").agg(F.count(F.lit(1)).alias("keys"))
+    nearest = shared.groupBy("cls").agg(F.max(F.struct("keys", F.negate("hub").alias("minus"))).alias("x")).select("cls", F.negate("x.minus").alias("hub"))
+    clusters = components(nearest, "cls", "hub")
+    sized = clusters.join(classes, F.col("node") == F.col("cls"))
+    parts = sized.groupBy("component").agg(F.ceil(F.greatest(F.sum("n") / PART_TOKENS, F.count(F.lit(1)) / PART_MEMBERS)).alias("parts"))
+    placed = clusters.join(parts, "component").select(F.col("node").alias("cls"), F.col("component").alias("grp"), F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"))
+    placed = common.stored(placed, "jaccard-placed")
+    used.append(placed)
 
     # The texts of the classes that are left, picked out by a bitmap of their documents.
-    least = base.where("doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    asked = common.stored(held.select("cls").distinct().join(least, "cls"), "jaccard-asked")
+    asked = common.stored(placed.select("cls").join(classes, "cls").select("cls", "doc_id"), "jaccard-asked")
     near = common.marked(rows, "doc_id", common.bitmap(asked, "doc_id"), "maybe").where("maybe").select("text")
     texts = near.mapInArrow(common.tidied(_classed(k)), "cls long, text string").join(asked.select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
     texts = common.stored(texts, "jaccard-texts")
 
-    # Groups: the links of each class to the class it meets first for most of its keys.
-    shared = meets.groupBy("cls", "hub").agg(F.count(F.lit(1)).alias("keys"))
-    nearest = shared.groupBy("cls").agg(F.max(F.struct("keys", F.negate("hub").alias("minus"))).alias("x")).select("cls", F.negate("x.minus").alias("hub"))
-    nearest = common.stored(nearest, "jaccard-nearest")
-    hubs = nearest.select(F.col("hub").alias("grp"), F.lit(0).alias("part"), F.col("hub").alias("cls")).distinct()
-    edges = common.stored(_links(hubs, nearest.select(F.col("hub").alias("grp"), F.lit(0).alias("part"), "cls"), texts, k, percent), "jaccard-links")
-    grouped = common.stored(components(edges, "a", "b"), "jaccard-groups")
+    # The token-group matrix of each part, and the links within it.
+    dealt = placed.join(texts, "cls").select("grp", "part", "cls", "text").repartition(tasks, "grp", "part").sortWithinPartitions("grp", "part", "cls")
+    matrix = common.stored(dealt.mapInArrow(common.tidied(_stored_groups(k, percent)), f"grp long, part int, {_MATRIX}"), "jaccard-matrix")
+    within = matrix.select(F.explode(F.arrays_zip("classes", "roots")).alias("x")).select(F.col("x.classes").alias("a"), F.col("x.roots").alias("b")).where("a <> b")
+    used += [asked, texts, matrix]
     common.released(spark)
 
-    # The keys that stand in more than one group: who has them, by group and part of it.
-    def group_of(df: DataFrame, column: str, name: str) -> DataFrame:
-        return df.join(grouped.select(F.col("node").alias(column), F.col("component").alias("found")), column, "left").withColumn(name, F.coalesce("found", column)).drop("found")
-
-    apart = group_of(held.select("key", "cls"), "cls", "grp")
-    open_keys = apart.groupBy("key").agg(F.min("grp").alias("a"), F.max("grp").alias("b")).where("a < b").select("key")
-    standing = apart.join(open_keys, "key", "left_semi")
-    sizes = grouped.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    parts = F.greatest(F.lit(1), F.ceil(F.coalesce("size", F.lit(1)) / MEMBERS))
-    standing = standing.join(sizes, F.col("grp") == F.col("component"), "left").withColumn("part", F.pmod(F.xxhash64("cls"), parts).cast("int")).select("key", "cls", "grp", "part")
-    standing = common.stored(standing, "jaccard-standing")
-    used += [asked, texts, nearest, edges, grouped, standing]
-    members = standing.select("grp", "part", "cls").distinct()
-    # Linked classes share `need` keys or more, so PREFIX at least beside the need - PREFIX most frequent of either.
-    often = standing.groupBy("key").agg(F.count(F.lit(1)).alias("often"))
+    # Keys that stand in several parts; of these, for each class those that are not its most frequent: linked classes
+    # share `need` keys or more, so PREFIX at least beside the need - PREFIX most frequent of either.
+    apart = held.select("key", "cls").join(placed, "cls")
+    where = F.struct("grp", "part")
+    open_keys = apart.groupBy("key").agg(F.min(where).alias("x"), F.max(where).alias("y"), F.count(F.lit(1)).alias("often")).where("x < y").select("key", "often")
     nth = F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("often"), "key"))
-    standing = standing.join(often, "key").withColumn("nth", nth).join(needs.select("cls", "need"), "cls").where(F.col("nth") > F.col("need") - F.least(F.lit(PREFIX), "need")).select("key", "cls", "need", "grp", "part")
+    standing = apart.join(open_keys, "key").withColumn("nth", nth).join(classes.select("cls", "need"), "cls")
+    standing = standing.where(F.col("nth") > F.col("need") - F.least(F.lit(PREFIX), "need")).select("key", "cls", "need", "grp", "part")
     standing = common.stored(standing, "jaccard-standing")
-    used.append(standing)
-    ask = standing.select("key", F.col("cls").alias("ask"), F.col("grp").alias("ask_grp"), "need")
-    asks = ask.join(standing.select("key", "grp", "part").distinct(), "key").where("ask_grp > grp").groupBy("grp", "part", F.col("ask").alias("cls")).agg(F.count(F.lit(1)).alias("c"), F.first("need").alias("need"))
-    asks = asks.where(F.col("c") >= F.least(F.lit(PREFIX), "need")).select("grp", "part", "cls")
-    asks = common.stored(asks, "jaccard-asks")
-    used.append(asks)
-    across = _links(members, asks, texts, k, percent)
+    ask = standing.select("key", F.col("cls").alias("ask"), where.alias("own"), "need")
+    asks = ask.join(standing.select("key", "grp", "part", where.alias("other")).distinct(), "key").where("own > other")
+    asks = asks.groupBy("grp", "part", F.col("ask").alias("cls")).agg(F.count(F.lit(1)).alias("c"), F.first("need").alias("need"))
+    asks = common.stored(asks.where(F.col("c") >= F.least(F.lit(PREFIX), "need")).select("grp", "part", "cls"), "jaccard-asks")
+    used += [standing, asks]
+    across = _across(matrix, asks, texts, k, percent, tasks)
 
     # Rows of one doc_id are one document: their classes are joined too.
     several = base.where("doc_id is not null and n > 0").groupBy("doc_id").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a <> b")
     same = base.join(several.select("doc_id", "a"), "doc_id").where("cls <> a and n > 0").select("a", F.col("cls").alias("b"))
-    joined = grouped.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(across).unionByName(same)
+    joined = within.unionByName(across).unionByName(same)
     final = common.stored(components(joined, "a", "b"), "jaccard-components")
     for table in used:
         common.dropped(table)
     common.released(spark)
 
-    names = least.join(final, F.col("cls") == F.col("node"), "left").select("cls", F.coalesce("component", "cls").alias("component"), "doc_id")
+    names = classes.join(final, F.col("cls") == F.col("node"), "left").select("cls", F.coalesce("component", "cls").alias("component"), "doc_id")
     least_of = names.groupBy("component").agg(F.min("doc_id").alias("least_id"))
     by_class = names.select("cls", "component").join(least_of, "component").select("cls", "least_id")
     out = base.select("doc_id", "n", "cls").join(by_class, "cls", "left")

@@ -69,6 +69,42 @@ def test_jaccard_is_exact(spark, k, percent):
     assert got == brute(rows, k, percent)
 
 
+def test_jaccard_is_exact_where_clusters_are_dealt_to_many_parts(spark, monkeypatch):
+    """Near copies of one text around the threshold, many more than a part holds; parts are asked in several shares."""
+    for name, value in (("PART_MEMBERS", 5), ("PART_TOKENS", 900), ("ASKS", 3)):
+        monkeypatch.setattr(jaccard, name, value)
+    rng = random.Random(4)
+    base, rows = words(rng, 90), families(9, 60)
+    for i in range(120):
+        w = list(base)
+        for at in rng.sample(range(len(w)), rng.randint(1, 3)):
+            w[at] = words(rng, 1)[0]
+        rows.append((1000 + i, " ".join(w)))
+    got = {r.doc_id: (r.n, r.component) for r in jaccard.groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 3, 90).collect()}
+    assert got == brute(rows, 3, 90)
+    assert 1 < len({c for i, (_, c) in got.items() if i >= 1000}) < 110
+
+
+@pytest.mark.parametrize("percent", [50, 80, 90])
+def test_jaccard_matrix_finds_what_brute_force_finds(percent):
+    rng = np.random.default_rng(percent)
+    bases, sets = [rng.integers(0, 1 << 64, 60, dtype=np.uint64) for _ in range(5)], []
+    for i in range(300):
+        own = bases[i % 5][rng.random(60) < rng.choice([0.5, 0.9, 0.97])]
+        sets.append(np.unique(np.concatenate([own, rng.integers(0, 1 << 64, int(rng.integers(1, 8)), dtype=np.uint64)])))
+    names = rng.permutation(10_000)[:300].astype(np.int64)
+    want = {(a, b) for a in range(300) for b in range(300) if jaccard.linked(jaccard.overlap(sets[a], sets[b]), len(sets[a]), len(sets[b]), percent)}
+    groups = jaccard.grouped(names, sets)
+    matrix, place = jaccard.Matrix(groups), {n: i for i, n in enumerate(names.tolist())}
+    assert {(a, place[n]) for a in range(300) for g, some in matrix.search(sets[a], percent) for n in groups[g].names[some].tolist()} == want
+    root = jaccard.roots(names, sets, percent)
+    parent = list(range(300))
+    for _ in range(300):
+        for a, b in want:
+            parent[a] = parent[b] = min(parent[a], parent[b])
+    assert len({(root[n], parent[i]) for i, n in enumerate(names.tolist())}) == len(set(parent)) == len(set(root.values()))
+
+
 def test_jaccard_keys_meet_for_every_linked_pair():
     """What leaves out classes without pairing them never leaves out a link."""
     for k, percent in ((3, 90), (5, 80), (2, 95)):
