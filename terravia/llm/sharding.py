@@ -1,36 +1,37 @@
 """Longest-processing-time sharding: groups of equal texts go, largest first, to the least-loaded shard.
 
-The heap on the driver sees a bounded number of units, however many documents there are. A group of
-at least 1/``resolution`` of a shard is a unit of its own (so there are at most
-``n_shards * resolution`` of these); all smaller groups are dealt by a hash of their text to
-``n_shards * resolution / 2`` micro-buckets, and each bucket is a unit. A group is never split over
-shards; the loads differ by one unit's size at most where no group is larger than a shard.
+Groups of one size are interchangeable, so the heap of shards is run over classes of size instead of groups: a class
+of many groups is dealt in one step, which gives each shard as many as the heap would give it one by one. All groups,
+large and small, are scheduled so; the loads are those of the textbook rule. The driver holds one row for each
+distinct size, of which there are sqrt(2 * all bytes) at most (sizes differ, so their sum is at least that of
+1, 2, 3, ...); which shards a class goes to is joined to the groups by size, and a group takes its shard by its number
+within the class. A group is never split over shards.
 
-Places within a shard come from counts by (unit, part), the parts of a unit being as many as its
-rows need, so that a text which a third of all rows share is numbered by many tasks.
+Numbers within a class, and places within a shard, come from counts of parts of PART rows or so, so that neither a size nor a
+text which a third of all rows share is numbered by one task; rows that are alike in all that is returned are
+counted before they are numbered.
 
 Defined results: a null text has 0 bytes and null texts are one group; empty text is a group of its
-own; a null or repeated doc_id is a row like any other (ties in a part are broken by the hash of
-the id, then arbitrarily, as such rows are alike); an empty table gives no rows; further columns of
-the input, whatever their names, are not read.
+own; groups of one size are told apart by the digest of their text; a null or repeated doc_id is a row like any other
+(places follow a hash of doc_id, text_crc32 and size, then these, so only rows that are alike may change places); texts of any
+length count whole; an empty table gives no rows; further columns of the input, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 import heapq
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from . import common
 
 ROW_COST = 8
-#: Numbers of (unit, part) that the driver holds at most, beside one for each unit.
-PARTS = 200_000
-#: A part has so many rows, or more where there are more than PARTS * LEAST rows.
-LEAST = 250
+#: Groups or rows in a part, about.
+PART = 4096
 
 
 def lpt(sizes: list[tuple[int, object]], n_shards: int) -> dict[object, int]:
@@ -44,7 +45,57 @@ def lpt(sizes: list[tuple[int, object]], n_shards: int) -> dict[object, int]:
     return out
 
 
-def assign(docs: DataFrame, n_shards: int = 24, resolution: int = 1000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dealt(loads: list[int], size: int, n: int) -> list[int]:
+    """How many of n units of one size each shard gets from the heap. A shard's k-th unit comes when its load, with the k - 1
+    before, is the least of all; so the n units are the n least (load + k * size, shard)."""
+    below = lambda at: [max(0, -(-(at - load) // size)) for load in loads]  # noqa: E731  units that come at loads under `at`
+    low, high = min(loads), max(loads) + size * n + 1
+    while high - low > 1:  # the greatest load under which no more than n units come
+        mid = (low + high) // 2
+        low, high = (mid, high) if sum(below(mid)) <= n else (low, mid)
+    out = below(low)
+    rest = n - sum(out)
+    for shard, load in enumerate(loads):  # those that come at this load itself, by the shard's number
+        if rest and load <= low and (low - load) % size == 0:
+            out[shard] += 1
+            rest -= 1
+    return out
+
+
+def schedule(classes: list[tuple[int, int]], n_shards: int) -> list[tuple[int, list[int], list[int]]]:
+    """For each (size, groups): the size, the shards that get some of its groups, and up to which number each gets them."""
+    heap, out = [(0, s) for s in range(n_shards)], []
+    for size, n in sorted(classes, reverse=True):
+        if n < 4 * n_shards:
+            many = [0] * n_shards
+            for _ in range(n):
+                load, shard = heapq.heappop(heap)
+                many[shard] += 1
+                heapq.heappush(heap, (load + size, shard))
+        else:
+            loads = [load for load, _ in sorted(heap, key=lambda x: x[1])]
+            many = dealt(loads, size, n)
+            heap = [(load + size * k, s) for s, (load, k) in enumerate(zip(loads, many, strict=True))]
+            heapq.heapify(heap)
+        shards = [s for s, k in enumerate(many) if k]
+        out.append((size, shards, np.cumsum([many[s] for s in shards]).tolist()))
+    return out
+
+
+def numbered(rows: DataFrame, by: list[str], parts: str, order: list, weight: str | None, name: str) -> DataFrame:
+    """rows with their number, from 0, among those that agree in `by`: in `parts` parts by a hash, then by order. A row of
+    `weight` counts as so many, and gets the first number of them."""
+    spark_sum = F.sum(weight) if weight else F.count(F.lit(1))
+    rows = rows.withColumn("nr_part", F.pmod(F.xxhash64(*order), F.col(parts)))
+    earlier = Window.partitionBy(*by).orderBy("nr_part").rowsBetween(Window.unboundedPreceding, -1)
+    first = rows.groupBy(*by, "nr_part").agg(spark_sum.alias("nr_n")).withColumn("nr_first", F.coalesce(F.sum("nr_n").over(earlier), F.lit(0))).drop("nr_n")
+    within = Window.partitionBy(*by, "nr_part").orderBy(F.xxhash64(*order), *order).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(weight if weight else F.lit(1)).over(within), F.lit(0))
+    out = rows.withColumn("nr_before", before).join(first, [*by, "nr_part"])
+    return out.withColumn(name, F.col("nr_first") + F.col("nr_before")).drop("nr_part", "nr_before", "nr_first")
+
+
+def assign(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, shard, slot of each row of docs."""
     spark = docs.sparkSession
     text = F.col(text_col)
@@ -55,36 +106,23 @@ def assign(docs: DataFrame, n_shards: int = 24, resolution: int = 1000, id_col:
         F.when(text.isNotNull(), F.unhex(F.md5(text.cast("binary")))).alias("grp"),
     ).withColumn("grp", F.coalesce("grp", F.lit(b"\0")))
     rows = common.stored(rows, "shard-rows")
-    groups = rows.groupBy("grp").agg(F.sum("size").alias("bytes"))
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    n_micro = n_shards * resolution // 2
-    large_from = total / (n_shards * resolution)
-    large = groups.where(F.col("bytes") >= large_from)
-    # At most n_shards * resolution groups are that large: the heap's input is bounded.
-    own = {bytes(r.grp): i for i, r in enumerate(large.select("grp", "bytes").orderBy(F.desc("bytes"), "grp").collect())}
-    own_df = spark.createDataFrame([(g, n_micro + i) for g, i in own.items()], T.StructType([T.StructField("grp", T.BinaryType()), T.StructField("own", T.IntegerType())]))
-    micro = F.pmod(F.xxhash64("grp"), F.lit(n_micro)).cast("int")
-    units = rows.join(F.broadcast(own_df), "grp", "left").select("doc_id", "size", "text_crc32", F.coalesce("own", micro).alias("unit"))
-    load = units.groupBy("unit").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).collect()
-    shard_of = lpt([(r.bytes, r.unit) for r in load], n_shards)
-    n_rows = sum(r.n for r in load)
-    per_part = max(LEAST, n_rows // PARTS)
-    unit_rows = [(r.unit, shard_of[r.unit], -(-r.n // per_part)) for r in load]
-    unit_df = spark.createDataFrame(unit_rows, "unit int, shard int, parts long")
-    placed = units.join(F.broadcast(unit_df), "unit").withColumn("part", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("doc_id", "text_crc32"), "parts")).otherwise(F.lit(0)).cast("int"))
-    # len(unit_rows) + PARTS counts at most.
-    counts = sorted((r.shard, r.unit, r.part, r.n) for r in placed.groupBy("shard", "unit", "part").agg(F.count(F.lit(1)).alias("n")).collect())
-    offsets, at = [], dict.fromkeys(range(n_shards), 0)
-    for shard, unit, part, n in counts:
-        offsets.append((unit, part, at[shard]))
-        at[shard] += n
-    offset_df = spark.createDataFrame(offsets, "unit int, part int, first long")
-    w = Window.partitionBy("unit", "part").orderBy(F.xxhash64("doc_id"), "doc_id")
-    return (
-        placed.withColumn("nth", F.row_number().over(w))
-        .join(F.broadcast(offset_df), ["unit", "part"])
-        .select("doc_id", "size", "text_crc32", "shard", (F.col("first") + F.col("nth") - 1).cast("long").alias("slot"))
-    )
+    groups = common.stored(rows.groupBy("grp").agg(F.sum("size").alias("bytes")), "shard-groups")
+    classes = [(r.bytes, r.n) for r in groups.groupBy("bytes").agg(F.count(F.lit(1)).alias("n")).collect()]
+    plan = schedule(classes, n_shards)
+    many = dict(classes)
+    columns = [pa.array([p[0] for p in plan], pa.int64()), pa.array([p[1] for p in plan], pa.list_(pa.int32())), pa.array([p[2] for p in plan], pa.list_(pa.int64())), pa.array([-(-many[p[0]] // PART) for p in plan], pa.int64())]
+    goes = spark.createDataFrame(pa.table(columns, ["bytes", "shards", "upto", "parts"]))
+    ranked = numbered(groups.join(goes, "bytes"), ["bytes"], "parts", ["grp"], None, "rank")
+    place = F.size(F.filter("upto", lambda x: x <= F.col("rank")))
+    placed = rows.join(ranked.select("grp", F.get("shards", place).alias("shard")), "grp").select("doc_id", "size", "text_crc32", "shard")
+    alike = common.stored(placed.groupBy("shard", "doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("copies")), "shard-places")
+    common.dropped(rows)
+    common.dropped(groups)
+    parts = alike.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / PART).alias("parts"))  # a row for each shard
+    order = ["doc_id", "text_crc32", "size"]
+    out = numbered(alike.join(F.broadcast(parts), "shard"), ["shard"], "parts", order, "copies", "first")
+    slots = F.explode(F.sequence(F.col("first").cast("long"), (F.col("first") + F.col("copies") - 1).cast("long"))).alias("slot")
+    return out.select("doc_id", "size", "text_crc32", F.col("shard").cast("int").alias("shard"), slots)
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -177,12 +178,24 @@ def test_lpt_is_the_textbook_rule():
     assert sharding.lpt(sizes, 7) == want
 
 
+@pytest.mark.parametrize("most", [3, 40, 5000])
+def test_classes_of_size_are_scheduled_as_their_groups_would_be(most):
+    rng = random.Random(most)
+    sizes = [rng.randint(1, most) for _ in range(4000)]
+    plan = sharding.schedule(list(Counter(sizes).items()), 7)
+    loads, want = [0] * 7, sharding.lpt([(x, i) for i, x in enumerate(sizes)], 7)
+    for size, shards, upto in plan:
+        for shard, n in zip(shards, np.diff([0, *upto]).tolist(), strict=True):
+            loads[shard] += n * size
+    assert loads == [sum(x for i, x in enumerate(sizes) if want[i] == s) for s in range(7)]
+
+
 def test_sharding(spark, edge_docs, no_docs, monkeypatch):
-    monkeypatch.setattr(sharding, "LEAST", 20)
+    monkeypatch.setattr(sharding, "PART", 20)
     rng = random.Random(6)
     rows = [(i, "hot text" if i % 3 == 0 else f"text {rng.randint(0, 400)} " * rng.randint(1, 9)) for i in range(1500)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    got = sharding.assign(docs, 6, 50).collect()
+    got = sharding.assign(docs, 6).collect()
     assert sorted(r.doc_id for r in got) == list(range(1500))
     text = dict(rows)
     homes, slots, loads = defaultdict(set), defaultdict(list), Counter()
@@ -196,7 +209,11 @@ def test_sharding(spark, edge_docs, no_docs, monkeypatch):
     for i, t in rows:
         groups[t] += len(t) + 8
     assert max(loads.values()) - min(loads.values()) <= max(groups.values())
-    assert sorted((r.doc_id, r.shard) for r in sharding.assign(docs.repartition(7), 6, 50).collect()) == sorted((r.doc_id, r.shard) for r in got)
+    assert sorted(sharding.assign(docs.repartition(7), 6).collect()) == sorted(got)
+    textbook = sharding.lpt([(n, t) for t, n in groups.items()], 6)
+    assert loads == Counter({s: sum(n for t, n in groups.items() if textbook[t] == s) for s in range(6)})
+    twins = sharding.assign(spark.createDataFrame([(None if i % 2 else 7, "same text") for i in range(300)], "doc_id long, text string"), 3).collect()
+    assert len({r.shard for r in twins}) == 1 and sorted(r.slot for r in twins) == list(range(300))
     edge = sharding.assign(edge_docs).collect()
     assert Counter(r.doc_id for r in edge) == Counter(i for i, _ in EDGES)
     assert {r.size for r in edge if r.doc_id in (2, 3)} == {8} and all(r.text_crc32 == 0 for r in edge if r.doc_id in (2, 3))
