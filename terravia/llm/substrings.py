@@ -1,11 +1,12 @@
 """Substring deduplication by content-defined chunking with a gear rolling hash.
 
-A gear hash of the last WINDOW bytes (each byte moves what is before it by SHIFT of 32 bits) is kept for each byte of a text; a chunk ends where its BITS top
-bits are 0, after MIN bytes at least and MAX bytes at most, never within a character. Where a chunk
-ends depends only on the bytes near it, so an insertion moves the ends near it and no others. Equal chunks
-are found by their 128-bit digests: the document with the smallest doc_id keeps them, and within a
-document the first place. A run of neighbouring repeated chunks is taken out where it has RUN bytes
-or more; shorter ones, which common words may give by chance, stay.
+A gear hash of the last WINDOW bytes (each byte moves what is before it by SHIFT of 32 bits) is kept for each byte of a text; a chunk
+ends after white space where the hash's BITS top bits are 0, after MIN bytes at least; a piece of MAX bytes without
+such a place ends at the last whole character. Where a chunk ends depends only on the bytes near it, so an insertion moves the
+ends near it and no others. Equal chunks are found by their 128-bit digests: the document with the smallest doc_id
+keeps them, and within a document the first place. A run of neighbouring repeated chunks is taken out where it has
+``run`` bytes or more (RUN: some 15 words); shorter ones, which common phrases and lines give, stay. What is taken out
+begins and ends at word borders, except in words of more than MAX bytes.
 
 Only (digest, doc_id) rows are shuffled for the search, one for each distinct chunk of a document; minima are
 taken before the shuffle, and the rows that come back to them are joined on the digest, which Spark splits
@@ -13,7 +14,8 @@ where one digest is frequent. The texts are then chunked again, and what is repe
 
 Defined results: null text stays null and empty text empty, with no chunks; a null doc_id keeps
 nothing that a numbered document has too (it counts as the largest); rows of equal doc_id count as one
-document, and keep what the others of that id have; further columns pass through, whatever their names.
+document, and keep what the others of that id have; an empty table gives no rows; texts of any length are chunked whole;
+further columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-WINDOW, SHIFT, MIN, BITS, MAX, RUN = 16, 2, 8, 5, 512, 48
+WINDOW, SHIFT, MIN, BITS, MAX, RUN = 16, 2, 24, 2, 512, 100
 LAST_ID = (1 << 63) - 1
 _GEAR = np.random.default_rng(7).integers(0, 1 << 32, 256, dtype=np.uint32)
 
@@ -48,9 +50,9 @@ def ends(raw: np.ndarray) -> list[int]:
         return []
     inside = (raw & 0xC0) == 0x80  # not the first byte of a character
     whole = np.append(~inside, True)
-    places = np.flatnonzero(gear(raw) >> np.uint32(32 - BITS) == 0) + 1
+    places = np.flatnonzero((gear(raw) >> np.uint32(32 - BITS) == 0) & common.SPACE[raw]) + 1
     out, last = [], 0
-    for p in [*places[whole[places]].tolist(), n]:
+    for p in [*places.tolist(), n]:
         while p - last > MAX:
             cut = last + MAX
             while not whole[cut]:
@@ -91,57 +93,54 @@ def _emit(batches):
             yield pa.RecordBatch.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1]), pa.array(np.concatenate([*ids, np.zeros(0, np.int64)]).astype(np.int64))], ["hi", "lo", "doc_id"])
 
 
-def _spans(to: np.ndarray, again: np.ndarray) -> list[tuple[int, int]]:
-    """Runs of repeated chunks that have RUN bytes at least, as (from, to)."""
+def _spans(to: np.ndarray, again: np.ndarray, run: int) -> list[tuple[int, int]]:
+    """Runs of repeated chunks that have so many bytes at least, as (from, to)."""
     edge = np.flatnonzero(np.diff(np.concatenate([[False], again, [False]]).astype(np.int8)))
     starts = np.concatenate([[0], to])[edge[::2]]
     stops = to[edge[1::2] - 1]
-    long = stops - starts >= RUN
+    long = stops - starts >= run
     return list(zip(starts[long].tolist(), stops[long].tolist(), strict=True))
 
 
-def _apply(batches):
-    for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            part = batch.slice(at, 512)
-            n = part.num_columns
-            texts, known, firsts = (part.column(n - 3 + k).to_pylist() for k in range(3))
-            out = {"text": [], "n_chunks": [], "n_repeated": [], "removed": [], "first_ids": []}
-            for text, keys, ids in zip(texts, known, firsts, strict=True):
-                data, to, digests = chunked(text)
-                seen: dict[bytes, bool] = {}
-                first = dict(zip(keys or (), ids or (), strict=True))
-                again = np.zeros(len(to), bool)
-                sources = set()
-                pieces = _pieces(digests)
-                for i, key in enumerate(pieces):
-                    again[i] = key in seen or key in first
-                    seen[key] = True
-                spans = _spans(to, again)
-                if spans:
-                    kept, last = [], 0
-                    for a, b in spans:
-                        kept.append(data[last:a])
-                        last = b
-                    kept.append(data[last:])
-                    text = b"".join(kept).decode()
-                    inside = np.zeros(len(to), bool)
-                    for a, b in spans:
-                        inside |= (to > a) & (to <= b)
-                    sources = {first[p] for p, x in zip(pieces, inside.tolist(), strict=True) if x and p in first}
-                out["text"].append(text)
-                out["n_chunks"].append(len(to))
-                out["n_repeated"].append(int(again.sum()))
-                out["removed"].append([{"start": a, "end": b} for a, b in spans])
-                out["first_ids"].append(sorted(sources - {LAST_ID}))
-            yield pa.RecordBatch.from_arrays(
-                [*part.columns[: n - 3], pa.array(out["text"], pa.string()), pa.array(out["n_chunks"], pa.int64()), pa.array(out["n_repeated"], pa.int64()), pa.array(out["removed"], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(out["first_ids"], pa.list_(pa.int64()))],
-                [*part.schema.names[: n - 3], *out],
-            )
-
-
-def dedup(docs: DataFrame, keep: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, the columns named in keep, text without repeated passages, n_chunks, n_repeated, removed
+def _kept(text: str | None, first: dict[bytes, int], run: int) -> tuple:
+    """The text without its repeated runs, how many chunks it has and how many are taken out, where, and who keeps them."""
+    data, to, digests = chunked(text)
+    pieces, seen = _pieces(digests), set()
+    again = np.zeros(len(to), bool)
+    for i, key in enumerate(pieces):
+        again[i] = key in seen or key in first
+        seen.add(key)
+    spans = _spans(to, again, run)
+    if not spans:
+        return text, len(to), 0, [], []
+    edges = [0, *(x for span in spans for x in span), len(data)]
+    text = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)).decode()
+    gone = np.zeros(len(to), bool)
+    for a, b in spans:
+        gone |= (to > a) & (to <= b)
+    sources = {first[p] for p, x in zip(pieces, gone.tolist(), strict=True) if x and p in first}
+    return text, len(to), int(gone.sum()), [{"start": a, "end": b} for a, b in spans], sorted(sources - {LAST_ID})
+
+
+_NEW = [("text", pa.string()), ("n_chunks", pa.int64()), ("n_repeated", pa.int64()), ("removed", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("first_ids", pa.list_(pa.int64()))]
+
+
+def _apply(run: int):
+    def applied(batches):
+        for batch in batches:
+            n = batch.num_columns
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
+                texts, known, firsts = (part.column(n - 3 + k).to_pylist() for k in range(3))
+                rows = [_kept(text, dict(zip(keys or (), ids or (), strict=True)), run) for text, keys, ids in zip(texts, known, firsts, strict=True)]
+                new = [pa.array([r[i] for r in rows], kind) for i, (_, kind) in enumerate(_NEW)]
+                yield pa.RecordBatch.from_arrays([*part.columns[: n - 3], *new], [*part.schema.names[: n - 3], *(name for name, _ in _NEW)])
+
+    return applied
+
+
+def dedup(docs: DataFrame, keep: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text", run: int = RUN) -> DataFrame:
+    """doc_id, the columns named in keep, text without repeated passages, n_chunks, n_repeated (chunks taken out), removed
     (byte spans of the text as it was), first_ids (documents that keep what was taken out)."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), F.col(text_col).cast("string").alias("text"))
     chunks = rows.select("doc_id", "text").mapInArrow(common.tidied(_emit), "hi long, lo long, doc_id long")
@@ -152,7 +151,7 @@ def dedup(docs: DataFrame, keep: tuple[str, ...] = (), id_col: str = "doc_id", t
     joined = rows.join(by_doc, F.coalesce(F.col("doc_id"), F.lit(LAST_ID)) == F.col("to_id"), "left").drop("to_id")
     kept = [f for f in joined.schema.fields if f.name == "doc_id" or f.name[0] == "k" and f.name[1:].isdigit()]
     ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept)
-    out = joined.select(*(f.name for f in kept), "text", "keys", "firsts").mapInArrow(common.tidied(_apply), f"{ddl}, text string, n_chunks long, n_repeated long, removed array<struct<start:long,end:long>>, first_ids array<long>")
+    out = joined.select(*(f.name for f in kept), "text", "keys", "firsts").mapInArrow(common.tidied(_apply(run)), f"{ddl}, text string, n_chunks long, n_repeated long, removed array<struct<start:long,end:long>>, first_ids array<long>")
     return out.withColumnsRenamed({f"k{i}": c for i, c in enumerate(keep)})
 
 
