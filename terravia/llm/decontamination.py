@@ -6,20 +6,24 @@ threshold fits items of all lengths. Every document is cut into passages of twic
 item, each overlapping the next by half, so any item stands whole in one; every passage is a query,
 whatever its words.
 
-Items are in blocks of PER or more, the same for all words, and a matrix holds each word's largest impact in
-each block. For all passages at once, the sums of these over a passage's distinct words bound what any item
-of a block can score; only blocks whose bound reaches the threshold are opened, and WAND goes through
-their items: lists in order of their next item, the bounds of the words so far up to the threshold give the
-pivot, lists before it skip to it. Every item at or above the threshold comes out. These are verified: at least
-``overlap`` of the question's shingles of five words, and of the answer's, stand in the passage (a question or
-answer with fewer words is one shingle). The answer is what follows the last question mark, else the last
+Postings are lists by word, in blocks of PER items, aligned for all words; a word has its largest impact in each block
+that holds it, and its largest of all. For a batch of passages, the words whose largest impacts together do not reach a share
+of the threshold are set aside (no item is found by these alone); the block impacts of the others are summed by passage and block, and
+where these and what was set aside could reach the threshold, the block impacts of the words set aside are looked up. Only blocks whose bound
+still reaches the threshold are opened, and WAND goes through their items: lists in order of their next item, the bounds of
+the words so far up to the threshold give the pivot, lists before it skip to it. Every item at or above the threshold comes
+out. These are verified: at least ``overlap`` of the question's shingles of five words, and of the answer's, stand in the passage (a
+question or answer with fewer words is one shingle). The answer is what follows the last question mark, else the last
 sentence, of a single sentence its last third.
 
-The index is broadcast; ``max_index_chars`` bounds the characters of the test items, and a larger benchmark is
-refused with an error that says to search it in parts. Documents have no bound.
+Memory follows the passages at hand (ENTRIES sums at once), and the index: this is made in parts of ``part_chars`` characters of
+test items or so, each broadcast and searched in turn, with the word counts of all items; so a benchmark may be of any
+size, and scores do not depend on its parts. Documents have no bound.
 
 Defined results: null and empty texts hold nothing; items without words are never found; null item_ids and
-doc_ids are passed through; rows that repeat an id are searched alone, each with rows of its own.
+doc_ids are passed through; rows that repeat an id are searched alone, each with rows of its own; of passages that
+score alike the first is told; very long texts are searched whole; an empty benchmark finds nothing, and empty documents give no rows;
+further columns are not read by search(), and stay as they are in filtered().
 """
 
 from __future__ import annotations
@@ -35,9 +39,11 @@ from pyspark.sql import functions as F
 from . import common
 
 K1, B, SHINGLE = 1.2, 0.75, 5
-#: Items in a block; more where the matrix of bounds would have over MATRIX numbers.
-PER, MATRIX = 2, 1 << 24
-BATCH = 1 << 19
+#: Items in a block; sums of passage and block that are held at once; characters of texts in a batch.
+PER, ENTRIES, BATCH = 4, 1 << 20, 1 << 19
+#: The words set aside can give this share of the threshold at most: more spares sums, less spares looking up.
+ASIDE = 0.3
+EPS, TIE = 1e-6, 1e-9
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
@@ -92,36 +98,58 @@ def question_and_answer(text: str) -> tuple[str, str]:
     return " ".join(words[:cut]), " ".join(words[cut:])
 
 
+class Statistics:
+    """What BM25 weighs with: the number of items, their mean and greatest length, and how many hold each word."""
+
+    def __init__(self):
+        self.words, self.held = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.items, self.length, self.longest = 0, 0, 1
+
+    def add(self, texts: list[str]) -> None:
+        hashes, first = word_hashes(texts)
+        n = np.diff(first)
+        owner = np.repeat(np.arange(len(n)), n)
+        order = np.lexsort((hashes, owner))
+        h, o = hashes[order], owner[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (o[1:] != o[:-1])
+        words, held = np.unique(h[new], return_counts=True)
+        self.words, at = np.unique(np.concatenate([self.words, words]), return_inverse=True)
+        self.held = np.bincount(at, np.concatenate([self.held, held]), len(self.words)).astype(np.int64)
+        self.items += int((n > 0).sum())
+        self.length += int(n.sum())
+        self.longest = max(self.longest, int(n.max(initial=0)))
+
+
 class Index:
-    """Postings by word: items in order, impacts, and the largest impact of each block."""
+    """Postings by word, in order of items: impacts, and the largest impact of each block and of all."""
 
-    def __init__(self, items: list[tuple[int | None, str | None]], threshold: float, overlap: float):
+    def __init__(self, items: list[tuple[int | None, str | None]], threshold: float, overlap: float, statistics: Statistics | None = None):
         self.threshold, self.overlap = threshold, overlap
         kept = [(i, t) for i, t in items if t]
+        if statistics is None:
+            statistics = Statistics()
+            statistics.add([t for _, t in kept])
         hashes, first = word_hashes([t for _, t in kept])
-        words = [hashes[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
-        kept, words = [k for k, w in zip(kept, words, strict=True) if len(w)], [w for w in words if len(w)]
-        self.ids = [i for i, _ in kept]
-        self.longest = max(map(len, words), default=1)
-        mean = np.mean([len(w) for w in words]) if words else 1
-        counts = [np.unique(w, return_counts=True) for w in words]
-        self.words, held = np.unique(np.concatenate([np.zeros(0, np.uint64), *(c[0] for c in counts)]), return_counts=True)
-        idf = np.log1p((len(words) - held + 0.5) / (held + 0.5))
-        postings: list[list] = [[] for _ in self.words]
-        for d, (w, n) in enumerate(counts):
-            at = np.searchsorted(self.words, w)
-            weight = idf[at] * n * (K1 + 1) / (n + K1 * (1 - B + B * n.sum() / mean))
-            for t, x in zip(at.tolist(), (weight / weight.sum()).tolist(), strict=True):
-                postings[t].append((d, x))
-        self.docs = [[d for d, _ in p] for p in postings]
-        self.impacts = [[x for _, x in p] for p in postings]
-        n = len(words)
-        blocks = max(1, min(-(-n // PER), MATRIX // max(1, len(self.words))))
-        self.per = max(1, -(-n // blocks))
-        self.bounds = np.zeros((len(self.words), -(-n // self.per) if n else 1), np.float32)
-        for t, p in enumerate(postings):
-            for d, x in p:
-                self.bounds[t, d // self.per] = max(self.bounds[t, d // self.per], x)
+        n = np.diff(first)
+        kept, n = [k for k, x in zip(kept, n.tolist(), strict=True) if x], n[n > 0]
+        self.ids, self.longest = [i for i, _ in kept], statistics.longest
+        self.words, term = np.unique(hashes, return_inverse=True)
+        self.blocks = max(1, -(-len(n) // PER))
+        pair, count = np.unique(term * max(1, len(n)) + np.repeat(np.arange(len(n)), n), return_counts=True)
+        term, self.items = pair // max(1, len(n)), pair % max(1, len(n))
+        held = statistics.held[np.searchsorted(statistics.words, self.words)]
+        idf = np.log1p((statistics.items - held + 0.5) / (held + 0.5))
+        mean = statistics.length / max(1, statistics.items)
+        weight = idf[term] * count * (K1 + 1) / (count + K1 * (1 - B + B * n[self.items] / max(mean, 1e-9)))
+        self.impacts = weight / np.bincount(self.items, weight, len(n))[self.items]
+        # (word, block): where its postings begin, and its largest impact; then the same by word
+        key = term * self.blocks + self.items // PER
+        self.begin = np.flatnonzero(np.diff(key, prepend=-1))
+        self.keys, self.end = key[self.begin], np.append(self.begin, len(key))[1:]
+        self.bounds = np.maximum.reduceat(self.impacts, self.begin) if len(key) else np.zeros(0)
+        self.first = np.searchsorted(self.keys, np.arange(len(self.words) + 1) * self.blocks)
+        self.most = np.maximum.reduceat(self.bounds, self.first[:-1]) if len(key) else np.zeros(0)
         self.maybe = np.zeros(1 << 16, bool)
         self.maybe[(self.words >> np.uint64(48)).astype(np.int64)] = True
         parts = [question_and_answer(t) for _, t in kept]
@@ -141,42 +169,99 @@ class Index:
         out[some[hit]] = at[hit]
         return out
 
-    def search(self, terms: list[int], block: int) -> list[tuple[int, float]]:
+    def postings(self, term: int) -> tuple[np.ndarray, np.ndarray]:
+        """The items that hold a word, and its impacts."""
+        a, b = self.first[term], self.first[term + 1]
+        if a == b:
+            return self.items[:0], self.impacts[:0]
+        some = slice(self.begin[a], self.end[b - 1])
+        return self.items[some], self.impacts[some]
+
+    def _bounds(self, word: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each (word, block), and its largest impact, 0 where the block doesn't hold the word."""
+        key = word * self.blocks + block
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return at, np.where(self.keys[at] == key, self.bounds[at], 0.0)
+
+    def opened(self, of: np.ndarray, word: np.ndarray, n: int) -> list[tuple[int, int]]:
+        """(passage, block) where the sum of the largest impacts reaches the threshold. Passage of[i] (from 0, sorted) holds word[i], once."""
+        need = self.threshold - 1e-5
+        if not len(word):
+            return []
+        order = np.lexsort((self.most[word], of))  # by passage, the least impacts first
+        most = np.cumsum(self.most[word[order]])
+        cut = np.searchsorted(of, np.arange(n + 1))
+        before = np.concatenate([[0.0], most])[cut[:-1]]
+        upto = most - before[of[order]]  # of is sorted, so of[order] is of
+        essential = upto >= need * ASIDE
+        aside = np.zeros(n)
+        np.maximum.at(aside, of[~essential], upto[~essential])
+        ranked, out = word[order], []
+        step = max(1, ENTRIES // self.blocks)
+        for low in range(0, n, step):
+            high = min(n, low + step)
+            here = np.arange(cut[low], cut[high])
+            some = here[essential[here]]
+            if not len(some):
+                continue
+            a, size = self.first[ranked[some]], np.diff(self.first)[ranked[some]]
+            sums = np.zeros((high - low) * self.blocks)
+            at = 0
+            ends = np.cumsum(size)
+            while at < len(some):  # as many words at once as have ENTRIES blocks
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + ENTRIES, "right")))
+                k = size[at:to]
+                entry = np.repeat(a[at:to] - (np.cumsum(k) - k), k) + np.arange(k.sum())
+                where = np.repeat((of[some[at:to]] - low) * self.blocks, k) + self.keys[entry] % self.blocks
+                sums += np.bincount(where, self.bounds[entry], len(sums))
+                at = to
+            found = np.flatnonzero(sums + np.repeat(aside[low:high], self.blocks) >= need)
+            found = found[sums[found] > 0]
+            passage, block, total = found // self.blocks + low, found % self.blocks, sums[found]
+            # what was set aside stands before the rest of its passage
+            n_aside = np.bincount(of[here[~essential[here]]] - low, minlength=high - low)[passage - low]
+            pick = np.repeat(cut[passage] - (np.cumsum(n_aside) - n_aside), n_aside) + np.arange(n_aside.sum())
+            _, more = self._bounds(ranked[pick], np.repeat(block, n_aside))
+            total += np.bincount(np.repeat(np.arange(len(found)), n_aside), more, len(found))
+            out += [(int(p), int(k)) for p, k in zip(passage[total >= need], block[total >= need], strict=True)]
+        return out
+
+    def search(self, terms: np.ndarray, block: int) -> list[tuple[int, float]]:
         """Every item of the block whose score for a query of these words is at least the threshold."""
-        need, found = self.threshold - 1e-6, []
-        begin, end = block * self.per, (block + 1) * self.per
+        need, found, end = self.threshold - EPS, [], (block + 1) * PER
+        at, bounds = self._bounds(np.asarray(terms), np.full(len(terms), block))
         lists = []
-        for t, most in zip(terms, self.bounds[terms, block].tolist(), strict=True):
-            if most > 0:
-                i = bisect_left(self.docs[t], begin)
-                lists.append([self.docs[t][i], i, t, most])
+        for i in np.flatnonzero(bounds).tolist():
+            some = slice(self.begin[at[i]], self.end[at[i]])
+            docs = self.items[some].tolist()
+            lists.append([docs[0], i, 0, docs, self.impacts[some].tolist(), float(bounds[i])])
         while True:
             lists.sort()
             total, pivot = 0.0, None
-            for item, _, _, most in lists:
-                total += most
+            for x in lists:
+                total += x[5]
                 if total >= need:
-                    pivot = item
+                    pivot = x[0]
                     break
             if pivot is None:
                 return found
             if lists[0][0] == pivot:
                 here = [x for x in lists if x[0] == pivot]
-                score = sum(self.impacts[t][i] for _, i, t, _ in here)
+                score = sum(x[4][x[2]] for x in here)
                 if score >= need:
                     found.append((pivot, score))
-                skip = here, pivot + 1
+                skip, to = here, pivot + 1
             else:
-                skip = [x for x in lists if x[0] < pivot], pivot
-            for x in skip[0]:
-                docs = self.docs[x[2]]
-                x[1] = bisect_left(docs, skip[1], x[1])
-                x[0] = docs[x[1]] if x[1] < len(docs) else end
+                skip, to = [x for x in lists if x[0] < pivot], pivot
+            for x in skip:
+                x[2] = bisect_left(x[3], to, x[2])
+                x[0] = x[3][x[2]] if x[2] < len(x[3]) else end
             lists = [x for x in lists if x[0] < end]
 
     def search_all(self, terms: list[int]) -> list[tuple[int, float]]:
-        blocks = np.flatnonzero(self.bounds[terms].sum(0) >= self.threshold - 1e-5)
-        return [x for k in blocks.tolist() for x in self.search(terms, k)]
+        """Every item whose score for a query of these distinct words is at least the threshold."""
+        words = np.array(terms, np.int64)
+        return [x for _, k in self.opened(np.zeros(len(words), np.int64), words, 1) for x in self.search(words, k)]
 
     def verified(self, item: int, passage: np.ndarray) -> tuple[float, float]:
         """Shares of the question's and the answer's shingles in the passage."""
@@ -198,39 +283,31 @@ class Index:
         hashes, first = word_hashes([t or "" for t in texts])
         terms = self.terms(hashes)
         step, out, n = self.longest, {}, np.diff(first)
-        if not len(hashes):
+        known = np.flatnonzero(terms >= 0)
+        if not len(known):
             return []
-        # Half passages: their distinct words, and from these the bound of each block.
-        halves = np.maximum(1, -(-n // step))
-        base = np.cumsum(halves) - halves
-        text = np.repeat(np.arange(len(n)), n)
-        half = base[text] + (np.arange(len(hashes)) - first[:-1][text]) // step
-        known = terms >= 0
-        keys = np.unique(half[known] * len(self.words) + terms[known])
-        of, word = keys // max(1, len(self.words)), keys % max(1, len(self.words))
-        cut = np.searchsorted(of, np.arange(halves.sum() + 1))
-        bound = np.zeros((int(halves.sum()), self.bounds.shape[1]), np.float32)
-        some = np.flatnonzero(np.diff(cut))
-        if len(some):
-            bound[some] = np.add.reduceat(self.bounds[word], cut[some], axis=0)
         # A passage is a half and the next of its text; the last half begins one only if it is the only one.
-        last = np.zeros(len(bound), bool)
-        last[base + halves - 1] = True
-        bound[:-1] += np.where(last[:-1, None], 0, bound[1:])
-        bound[last] *= (halves == 1)[:, None]
-        for k, block in zip(*(x.tolist() for x in np.nonzero(bound >= self.threshold - 1e-5)), strict=True):
-            query = np.unique(word[cut[k] : cut[k + 1 if last[k] else k + 2]])
-            if self.bounds[query, block].sum() < self.threshold - 1e-5:
-                continue
+        halves = np.maximum(1, -(-n // step))
+        count = np.maximum(1, halves - 1)
+        base = np.cumsum(count) - count
+        text = np.repeat(np.arange(len(n)), n)[known]
+        half = (known - first[:-1][text]) // step
+        words = max(1, len(self.words))
+        own = half < count[text]
+        keys = np.concatenate([((base[text] + half) * words + terms[known])[own], ((base[text] + half - 1) * words + terms[known])[half > 0]])
+        keys = np.unique(keys)
+        of, word = keys // words, keys % words
+        cut = np.searchsorted(of, np.arange(count.sum() + 1))
+        for k, block in self.opened(of, word, int(count.sum())):
             i = int(np.searchsorted(base, k, "right")) - 1
             a = int(first[i]) + step * (k - int(base[i]))
             b = min(a + 2 * step, int(first[i + 1]))
-            for item, score in self.search(query.tolist(), block):
+            for item, score in self.search(word[cut[k] : cut[k + 1]], block):
                 question, answer = self.verified(item, hashes[a:b])
                 if question >= self.overlap and answer >= self.overlap:
                     key = i, item
                     row = (*key, score, question, answer, a - int(first[i]))
-                    if key not in out or out[key][2] < score:
+                    if key not in out or out[key][2] < score - TIE:
                         out[key] = row
         return [out[k] for k in sorted(out)]
 
@@ -245,16 +322,23 @@ class Index:
                 held, size = [], 0
 
 
-def index_of(benchmark: DataFrame, threshold: float = 0.5, overlap: float = 0.8, max_index_chars: int = 64_000_000) -> Index:
-    chars = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
-    if chars > max_index_chars:
-        raise ValueError(f"the benchmark has {chars} characters, over max_index_chars={max_index_chars}: search it in parts, by item_id")
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).collect()
-    return Index(sorted(((r.item_id, r.text) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")), threshold, overlap)
+def index_of(benchmark: DataFrame, threshold: float = 0.5, overlap: float = 0.8, part_chars: int = 4_000_000) -> list[Index]:
+    """The index of the test items, in parts; each part's items pass the driver, one part at a time."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("length(text) > 0")
+    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    n = max(1, -(-chars // part_chars))
 
+    def part(i: int) -> list[tuple[int | None, str]]:
+        rows = items.where(F.pmod(F.xxhash64("text", "item_id"), F.lit(n)) == i).collect()
+        return sorted(((r.item_id, r.text) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
 
-def search(docs: DataFrame, index: Index) -> DataFrame:
-    """doc_id and item_id of every verified hit, with its score, overlaps and place."""
+    statistics = Statistics()
+    for i in range(n):
+        statistics.add([t for _, t in part(i)])
+    return [Index(part(i), threshold, overlap, statistics) for i in range(n)]
+
+
+def _search(docs: DataFrame, index: Index) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches):
@@ -270,8 +354,15 @@ def search(docs: DataFrame, index: Index) -> DataFrame:
     return rows.mapInArrow(common.tidied(run), "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, first_word long")
 
 
-def filtered(docs: DataFrame, index: Index) -> DataFrame:
-    """The rows of docs without a verified hit, all columns as they are."""
+def search(docs: DataFrame, index: list[Index]) -> DataFrame:
+    """doc_id and item_id of every verified hit, with its score, overlaps and place."""
+    out = _search(docs, index[0])
+    for part in index[1:]:
+        out = out.unionByName(_search(docs, part))
+    return out
+
+
+def _filtered(docs: DataFrame, index: Index) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(index)
     ddl = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields))
 
@@ -287,5 +378,14 @@ def filtered(docs: DataFrame, index: Index) -> DataFrame:
     return named.mapInArrow(common.tidied(run), ddl).toDF(*docs.columns)
 
 
+def filtered(docs: DataFrame, index: list[Index]) -> DataFrame:
+    """The rows of docs without a verified hit, all columns as they are. Between parts of the index what is left is stored, so a
+    worker has one part at a time."""
+    out = _filtered(docs, index[0])
+    for part in index[1:]:
+        out = _filtered(common.stored(out, "decontaminated"), part)
+    return out
+
+
 def op5(spark, sf_dir: str) -> DataFrame:
     return search(common.table(spark, sf_dir, "documents"), index_of(common.table(spark, sf_dir, "benchmark")))

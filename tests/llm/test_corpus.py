@@ -213,13 +213,14 @@ def brute_dedup(rows):
     for i in sorted(chunked):
         for p in substrings._pieces(chunked[i][2]):
             first.setdefault(p, i)
-    out = {}
+    out, many = {}, {}
     for i, t in rows:
         data, to, digests = chunked[i]
         seen, again = set(), []
         for p in substrings._pieces(digests):
             again.append(p in seen or first[p] < i)
             seen.add(p)
+        many[i] = 0
         keep, at, run = [], 0, []
         for end, x in [*zip(to.tolist(), again, strict=True), (None, False)]:
             if x:
@@ -227,12 +228,14 @@ def brute_dedup(rows):
             else:
                 if run and run[-1][1] - run[0][0] < substrings.RUN:
                     keep += run
+                else:
+                    many[i] += len(run)
                 run = []
                 if end is not None:
                     keep.append((at, end))
             at = end
         out[i] = b"".join(data[a:b] for a, b in keep).decode()
-    return out
+    return {i: (t, many[i]) for i, t in out.items()}
 
 
 def test_substring_dedup(spark, edge_docs, no_docs):
@@ -245,7 +248,8 @@ def test_substring_dedup(spark, edge_docs, no_docs):
         rows[i] = (i, " ".join([*w[:at], passage, *w[at:]]))
     rows.append((90, rows[5][1]))
     got = {r.doc_id: r for r in substrings.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
-    assert {i: r.text for i, r in got.items()} == brute_dedup(rows)
+    assert {i: (r.text, r.n_repeated) for i, r in got.items()} == brute_dedup(rows)
+    assert all(set(r.text.split()) <= set(dict(rows)[i].split()) for i, r in got.items())  # no word is cut
     assert all(got[i].first_ids == [3] and len(got[i].text) < len(dict(rows)[i]) - 150 for i in (20, 41, 77))
     assert got[3].text == dict(rows)[3] and got[90].text == "" and got[90].first_ids == [5]
     assert sum(r.text != t for i, t in rows for r in [got[i]]) == 4
@@ -269,11 +273,61 @@ def test_decontamination_finds_what_brute_force_finds():
         terms = sorted({int(t) for t in ix.terms(h) if t >= 0})
         score = np.zeros(len(bench))
         for t in terms:
-            for d, x in zip(ix.docs[t], ix.impacts[t], strict=True):
+            for d, x in zip(*ix.postings(t), strict=True):
                 score[d] += x
         assert {i for i, _ in ix.search_all(terms)} == set(np.flatnonzero(score >= 0.5 - 1e-6).tolist())
 
 
+def naive_hits(bench, texts, threshold, overlap):
+    """BM25 shares by dictionaries, of every passage against every item, and the overlaps of their words."""
+    split = lambda t: [w.lower() for w in re.findall(r"[^\W_]+", t)]
+    held = {i: Counter(split(t)) for i, t in bench if split(t)}
+    df = Counter(w for c in held.values() for w in c)
+    mean = sum(sum(c.values()) for c in held.values()) / len(held)
+    impact = {}
+    for i, c in held.items():
+        n = sum(c.values())
+        raw = {w: np.log1p((len(held) - df[w] + 0.5) / (df[w] + 0.5)) * k * 2.2 / (k + 1.2 * (0.25 + 0.75 * n / mean)) for w, k in c.items()}
+        impact[i] = {w: x / sum(raw.values()) for w, x in raw.items()}
+
+    def shares(part, passage):
+        k = min(5, len(part))
+        grams = lambda w: {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if k else set()
+        return len(grams(part) & grams(passage)) / len(grams(part)) if part else 1.0
+
+    step, out = max(sum(c.values()) for c in held.values()), {}
+    for k, t in enumerate(texts):
+        w = split(t)
+        for at in range(0, max(1, len(w) - step), step):
+            passage = w[at : at + 2 * step]
+            for i, t in bench:
+                score = sum(impact[i].get(x, 0) for x in set(passage))
+                if score >= threshold:
+                    q, a = (shares(split(x), passage) for x in decontamination.question_and_answer(t))
+                    if q >= overlap and a >= overlap and score > out.get((k, i), (0,))[0] + 1e-9:
+                        out[k, i] = (score, q, a, at)
+    return out
+
+
+@pytest.mark.parametrize("threshold, overlap", [(0.5, 0.8), (0.3, 0.0), (0.8, 0.4)])
+def test_decontamination_hits_are_those_of_brute_force(monkeypatch, threshold, overlap):
+    monkeypatch.setattr(decontamination, "ENTRIES", 300)  # many rounds
+    rng = random.Random(13)
+    common_words = words(rng, 30)  # so that items share words, and blocks hold several
+    bench = [(i, " ".join(rng.choice(common_words) if rng.random() < 0.5 else words(rng, 1)[0] for _ in range(rng.randint(3, 25))) + ". " + " ".join(words(rng, rng.randint(2, 8))) + ".") for i in range(70)]
+    texts = []
+    for _ in range(40):
+        w = [rng.choice(common_words) for _ in range(rng.randint(0, 150))]
+        for _ in range(rng.randint(0, 3)):
+            at, share = rng.randrange(len(w) + 1), rng.choice([0.6, 0.95, 1])
+            w[at:at] = [x for x in rng.choice(bench)[1].split() if rng.random() < share]
+        texts.append(" ".join(w))
+    want = naive_hits(bench, texts, threshold, overlap)
+    got = {(k, bench[i][0]): rest for k, i, *rest in decontamination.Index(bench, threshold, overlap).hits(texts)}
+    assert len(want) > 10 and set(got) == set(want)
+    assert all(np.allclose(got[x][:3], want[x][:3]) and got[x][3] == want[x][3] for x in want)
+
+
 def test_decontamination_of_documents(spark, edge_docs, no_docs):
     rng = random.Random(12)
     bench = items(rng, 40)
@@ -298,8 +352,10 @@ def test_decontamination_of_documents(spark, edge_docs, no_docs):
     assert kept.columns == edge_docs.columns and kept.count() == len(EDGES)
     assert decontamination.search(no_docs, ix).count() == 0
     assert decontamination.search(d, decontamination.index_of(b.where("false"))).count() == 0
-    with pytest.raises(ValueError):
-        decontamination.index_of(b, max_index_chars=10)
+    parts = decontamination.index_of(b, part_chars=500)
+    assert len(parts) > 5 and sum(len(p.ids) for p in parts) == 40
+    assert sorted(decontamination.search(d, parts).collect()) == sorted(decontamination.search(d, ix).collect())
+    assert sorted(decontamination.filtered(d, parts).collect()) == sorted(decontamination.filtered(d, ix).collect())
 
 
 def labelled(spark, column):
