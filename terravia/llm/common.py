@@ -21,18 +21,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes that Python workers are handed at once, at most; Spark's own 64 MB are several times that as Python objects.
+ARROW_BYTES = 8 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package wherever the driver was started."""
+    """Let Python workers import this package wherever the driver was started, and bound what they are handed at once."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b") == "67108864b":  # as Spark has it; who sets it keeps it
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or a folder of our own where it is unset."""
+    """The folder all executors see: spark.checkpoint.dir; on one machine, where it is unset, a folder of our own."""
     sc = spark.sparkContext
     where = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not where:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir is unset: on a cluster it must name a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="terravia-")
         sc.setCheckpointDir(where)
     return where
@@ -86,8 +94,8 @@ def held_out(doc_id: Column, folds: int, fold: int) -> Column:
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _BASE = 0x9E3779B97F4A7C15 | 1
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BYTE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -122,7 +130,7 @@ def words(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     none = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     if not len(raw):
         return none
-    space = _SPACE[raw]
+    space = SPACE[raw]
     edge = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]]).view(np.int8)))
     starts, ends = edge[::2], edge[1::2]
     if not len(starts):
