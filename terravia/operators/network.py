@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Sequence
 
 import numpy as np
@@ -47,68 +46,136 @@ def reverse(edges: DataFrame) -> DataFrame:
 
 
 class Paths:
-    """A compact adjacency for searches in one worker."""
+    """A compact adjacency for searches in one worker: the edges of a node stand together."""
 
     def __init__(self, u: np.ndarray, v: np.ndarray, weights: dict[str, np.ndarray]):
         self.nodes, back = np.unique(np.concatenate([u, v]), return_inverse=True)
         a, b = back[: len(u)], back[len(u) :]
         order = np.argsort(a, kind="stable")
-        self.to, self.at = b[order], np.searchsorted(a[order], np.arange(len(self.nodes) + 1))
+        self.to, self.at = b[order].astype(np.int32), np.searchsorted(a[order], np.arange(len(self.nodes) + 1))
         self.weights = {k: w[order] for k, w in weights.items()}
-
-    def place(self, node: int) -> int:
-        k = int(np.searchsorted(self.nodes, node))
-        return k if k < len(self.nodes) and self.nodes[k] == node else -1
-
-    def search(self, sources: dict[int, str], by: str, carry: str | None = None) -> dict[int, tuple[float, float, str]]:
-        """node -> (cost, carried sum, source), by Dijkstra from all sources at once; ties by source, then carried sum."""
-        done: dict[int, tuple[float, float, str]] = {}
-        heap = [(0.0, name, 0.0, k) for node, name in sources.items() if (k := self.place(node)) >= 0]
-        heapq.heapify(heap)
-        cost, along = self.weights[by], self.weights[carry or by]
-        while heap:
-            c, name, s, k = heapq.heappop(heap)
-            if k in done:
-                continue
-            done[k] = (c, s, name)
-            for e in range(self.at[k], self.at[k + 1]):
-                if (to := int(self.to[e])) not in done:
-                    heapq.heappush(heap, (c + float(cost[e]), name, s + float(along[e]), to))
-        return {int(self.nodes[k]): x for k, x in done.items()}
-
-
-#: Edges of one mode that a worker may hold (about 100 bytes each in numpy and the heap).
+        self.step = {k: float(w.mean()) * 2 if len(w) else 1.0 for k, w in weights.items()}
+
+    def places(self, nodes: np.ndarray) -> np.ndarray:
+        """The number of each node, or -1."""
+        if not len(self.nodes):
+            return np.full(len(nodes), -1)
+        k = np.minimum(np.searchsorted(self.nodes, nodes), len(self.nodes) - 1)
+        return np.where(self.nodes[k] == nodes, k, -1)
+
+    def _from(self, front: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The edges that leave some nodes, and for each the number of its node among these."""
+        n = self.at[front + 1] - self.at[front]
+        first = np.repeat(self.at[front] - (np.cumsum(n) - n), n)
+        return first + np.arange(n.sum()), np.repeat(np.arange(len(front)), n)
+
+    def search(self, sources: np.ndarray, by: str, carry: str | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each node the least cost from any source (inf: none leads there), the number of that source, and what was carried
+        along; ties by source, then by the carried sum. Nodes are relaxed in steps of cost, all of a step at once."""
+        n = len(self.nodes)
+        cost, name, along = np.full(n, np.inf), np.full(n, len(sources)), np.full(n, np.inf)
+        weight, carried = self.weights[by], self.weights[carry or by]
+        places = self.places(sources)
+        for i in np.flatnonzero(places >= 0)[::-1].tolist():
+            cost[places[i]], name[places[i]], along[places[i]] = 0.0, i, 0.0
+        later = np.zeros(n, bool)
+        later[places[places >= 0]] = True
+        while later.any():
+            open_ = np.flatnonzero(later)
+            limit = cost[open_].min() + self.step[by]
+            front = open_[cost[open_] < limit]
+            while len(front):
+                later[front] = False
+                edge, own = self._from(front)
+                if carry is None and len(sources) == 1:  # the cost is all there is to tell
+                    to, c = self.to[edge], cost[front][own] + weight[edge]
+                    better = c < cost[to]
+                    np.minimum.at(cost, to[better], c[better])
+                    to = np.unique(to[better])
+                    name[to], along[to], later[to] = 0, cost[to], True
+                    front = to[cost[to] < limit]
+                    continue
+                to, c, s, m = self.to[edge], cost[front][own] + weight[edge], along[front][own] + carried[edge], name[front][own]
+                better = c <= cost[to]
+                to, c, s, m = to[better], c[better], s[better], m[better]
+                order = np.lexsort((s, m, c, to))
+                to, c, s, m = to[order], c[order], s[order], m[order]
+                first = np.ones(len(to), bool)
+                first[1:] = to[1:] != to[:-1]
+                to, c, s, m = to[first], c[first], s[first], m[first]
+                new = (c < cost[to]) | ((c == cost[to]) & ((m < name[to]) | ((m == name[to]) & (s < along[to]))))
+                to = to[new]
+                cost[to], name[to], along[to] = c[new], m[new], s[new]
+                later[to] = True
+                front = to[cost[to] < limit]
+        return cost, name, along
+
+
+#: Edges of one mode that a worker may hold (24 bytes each in numpy); larger graphs are searched on tables.
 MAX_EDGES = 8_000_000
 
 
 def _adjacency(edges: DataFrame):
-    """The reversed graph, broadcast: only up to MAX_EDGES edges; beyond it relaxed_times() stays distributed."""
-    n = edges.count()
-    if n > MAX_EDGES:
-        raise ValueError(f"{n} edges are over MAX_EDGES={MAX_EDGES}: use relaxed_times(), which keeps the graph distributed, or one department at a time")
+    """The reversed graph, built once and broadcast; None where it has more than MAX_EDGES edges."""
+    if edges.limit(MAX_EDGES + 1).count() > MAX_EDGES:
+        return None
     table = edges.select(F.col("v").cast("long").alias("a"), F.col("u").cast("long").alias("b"), F.col("time_s").cast("double"), F.col("length").cast("double")).toPandas()
-    return edges.sparkSession.sparkContext.broadcast((table["a"].to_numpy(), table["b"].to_numpy(), {"time": table["time_s"].to_numpy(), "length": table["length"].to_numpy()}))
+    paths = Paths(table["a"].to_numpy(), table["b"].to_numpy(), {"time": table["time_s"].to_numpy(), "length": table["length"].to_numpy()})
+    return edges.sparkSession.sparkContext.broadcast(paths)
+
+
+def relaxed(edges: DataFrame, sources: DataFrame, weight: str, carry: str | None = None, by: Sequence[str] = (), rounds: int = 100_000) -> DataFrame:
+    """by..., node, cost, source, carried: the least cost from a node to any source of each value of `by`, ties by source and carried
+    sum, by rounds of relaxation on distributed tables. sources: by..., node_id, source. Only what got better is carried on; lineage is cut by
+    checkpoint(). Every shortest path has fewer edges than there are nodes; should `rounds` not be enough, an error says so."""
+    _checkpoints(edges)
+    keys = [*by, "node"]
+    back = edges.select(F.col("v").alias("node"), F.col("u").alias("next"), F.col(weight).cast("double").alias("w"), F.col(carry or weight).cast("double").alias("c")).checkpoint()
+    best = sources.select(*by, F.col("node_id").cast("long").alias("node"), F.struct(F.lit(0.0).alias("cost"), F.col("source"), F.lit(0.0).alias("carried")).alias("b"))
+    known = back.select(F.explode(F.array("node", "next")).alias("node")).distinct()
+    best = best.join(known, "node", "left_semi").groupBy(*keys).agg(F.min("b").alias("b")).checkpoint()
+    front = best
+    for _ in range(rounds):
+        step = F.struct((F.col("b.cost") + F.col("w")).alias("cost"), F.col("b.source").alias("source"), (F.col("b.carried") + F.col("c")).alias("carried"))
+        found = front.join(back, "node").select(*by, F.col("next").alias("node"), step.alias("new")).groupBy(*keys).agg(F.min("new").alias("new"))
+        front = found.join(best, keys, "left").where(F.col("b").isNull() | (F.col("new") < F.col("b"))).select(*keys, F.col("new").alias("b")).checkpoint()
+        if front.isEmpty():
+            return best.select(*keys, "b.cost", "b.source", "b.carried")
+        best = best.unionByName(front).groupBy(*keys).agg(F.min("b").alias("b")).checkpoint()
+    raise RuntimeError(f"shortest paths did not settle in {rounds} rounds")
+
+
+def _checkpoints(df: DataFrame) -> None:
+    if df.sparkSession.sparkContext.getCheckpointDir() is None:
+        from ..sources import io
+
+        io.checkpoint_dir(df.sparkSession)
 
 
 def reach(edges: DataFrame, facilities: DataFrame, demand_nodes: DataFrame) -> DataFrame:
     """facility_id, node_id, time_s, distance_m of each facility and demand node that a path joins: quickest time and, of
-    another search, shortest length (G3's kernel). One search a facility on the reversed graph."""
-    shared = _adjacency(edges)
+    another search, shortest length (G3's kernel). One search a facility on the reversed graph, facilities spread over the workers; a
+    graph of more than MAX_EDGES edges is relaxed on tables, for all facilities at once."""
     wanted = demand_nodes.select(F.col("node_id").cast("long")).where("node_id is not null").distinct()
-    targets = edges.sparkSession.sparkContext.broadcast(np.sort(wanted.toPandas()["node_id"].to_numpy())) if wanted.count() <= MAX_EDGES else None
+    pairs = facilities.select(F.col("facility_id").cast("string"), F.col("node_id").cast("long")).where("node_id is not null")
+    shared = _adjacency(edges)
+    if shared is None:
+        seeds = pairs.select("facility_id", "node_id", F.col("facility_id").alias("source"))
+        times, lengths = (relaxed(edges, seeds, w, by=["facility_id"]).select("facility_id", F.col("node").alias("node_id"), F.col("cost").alias(c)) for w, c in (("time_s", "time_s"), ("length", "distance_m")))
+        return times.join(lengths, ["facility_id", "node_id"]).join(wanted, "node_id", "left_semi")
 
     def run(batches):
-        u, v, w = shared.value
-        paths = Paths(u, v, w)
-        keep = set(targets.value.tolist()) if targets is not None else None
+        paths = shared.value
         for batch in batches:
             for fid, node in zip(batch["facility_id"], batch["node_id"], strict=True):
-                times, lengths = paths.search({int(node): fid}, "time"), paths.search({int(node): fid}, "length")
-                rows = [(fid, n, t[0], lengths[n][0]) for n, t in times.items() if keep is None or n in keep]
-                yield pd.DataFrame(rows, columns=["facility_id", "node_id", "time_s", "distance_m"])
+                time, length = (paths.search(np.array([node]), by)[0] for by in ("time", "length"))
+                there = np.flatnonzero(np.isfinite(time))
+                yield pd.DataFrame({"facility_id": fid, "node_id": paths.nodes[there], "time_s": time[there], "distance_m": length[there]})
 
-    pairs = facilities.select(F.col("facility_id").cast("string"), F.col("node_id").cast("long")).where("node_id is not null")
-    return pairs.repartition("facility_id").mapInPandas(run, "facility_id string, node_id long, time_s double, distance_m double")
+    spark = edges.sparkSession
+    tasks = max(1, min(pairs.count(), 4 * spark.sparkContext.defaultParallelism))
+    found = pairs.repartitionByRange(tasks, "facility_id").mapInPandas(run, "facility_id string, node_id long, time_s double, distance_m double")
+    return found.join(wanted, "node_id", "left_semi").select("facility_id", "node_id", "time_s", "distance_m")
 
 
 def matrix(edges: DataFrame, demand: DataFrame, facilities: DataFrame, mode: str) -> DataFrame:
@@ -130,43 +197,30 @@ def matrix(edges: DataFrame, demand: DataFrame, facilities: DataFrame, mode: str
 def nearest_multi_source(edges: DataFrame, demand: DataFrame, facilities: DataFrame, mode: str, same_department: bool = False) -> DataFrame:
     """The quickest facility of each demand point, by one search from all at once; distance_m is the length of that quickest path.
     Facilities of one node count as the one with the greatest id. With same_department, a search for each department."""
+    dep = (F.col("dep") if same_department else F.lit("*")).cast("string").alias("dep")
+    some = facilities.where("node_id is not null").select(dep, F.col("node_id").cast("long"), F.col("facility_id").cast("string")).groupBy("dep", "node_id").agg(F.max("facility_id").alias("facility_id"))
     shared = _adjacency(edges)
 
     def run(table: pd.DataFrame) -> pd.DataFrame:
-        u, v, w = shared.value
-        sources = {int(n): f for f, n in sorted(zip(table["facility_id"], table["node_id"], strict=True))}
-        rows = [(table["dep"].iloc[0], n, f, t, m) for n, (t, m, f) in Paths(u, v, w).search(sources, "time", "length").items()]
-        return pd.DataFrame(rows, columns=["r_dep", "r_node", "facility_id", "time_s", "distance_m"])
-
-    dep = F.col("dep") if same_department else F.lit("*")
-    some = facilities.where("node_id is not null").select(F.col("facility_id").cast("string"), F.col("node_id").cast("long"), dep.cast("string").alias("dep"))
-    found = some.groupBy("dep").applyInPandas(run, "r_dep string, r_node long, facility_id string, time_s double, distance_m double")
-    d = demand.select("demand_id", "node_id", dep.cast("string").alias("dep"))
+        paths, table = shared.value, table.sort_values("facility_id")
+        cost, name, along = paths.search(table["node_id"].to_numpy(), "time", "length")
+        there = np.flatnonzero(np.isfinite(cost))
+        return pd.DataFrame({"r_dep": table["dep"].iloc[0], "r_node": paths.nodes[there], "facility_id": table["facility_id"].to_numpy()[name[there]], "time_s": cost[there], "distance_m": along[there]})
+
+    if shared is None:
+        found = relaxed(edges, some.withColumnRenamed("facility_id", "source"), "time_s", "length", ["dep"])
+        found = found.select(F.col("dep").alias("r_dep"), F.col("node").alias("r_node"), F.col("source").alias("facility_id"), F.col("cost").alias("time_s"), F.col("carried").alias("distance_m"))
+    else:
+        found = some.groupBy("dep").applyInPandas(run, "r_dep string, r_node long, facility_id string, time_s double, distance_m double")
+    d = demand.select("demand_id", "node_id", dep)
     out = d.join(found, (F.col("node_id") == F.col("r_node")) & (F.col("dep") == F.col("r_dep")), "left")
     ok = F.col("time_s").isNotNull()
     return out.select("demand_id", "facility_id", F.lit(mode).alias("mode"), "distance_m", (F.col("time_s") / 60).alias("travel_time_min"), ok.alias("reachable"), X.classify_demand(F.col("node_id").isNotNull(), ok).alias("routing_status"))
 
 
-def relaxed_times(edges: DataFrame, sources: DataFrame, rounds: int = 10_000, every: int = 4) -> DataFrame:
-    """node, time_s of the quickest way from a node to any source, by rounds of relaxation on distributed tables; for graphs that one worker
-    can't hold, and to check the kernel. Only nodes that got nearer are carried on; lineage is cut by checkpoint()."""
-    spark = edges.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        from ..sources import io
-
-        io.checkpoint_dir(spark)
-    back = edges.select(F.col("v").alias("node"), F.col("u").alias("next"), F.col("time_s").alias("step"))
-    best = sources.select(F.col("node_id").alias("node"), F.lit(0.0).alias("time_s")).distinct()
-    front = best
-    for k in range(rounds):
-        found = front.join(back, "node").groupBy(F.col("next").alias("node")).agg(F.min(F.col("time_s") + F.col("step")).alias("new"))
-        front = found.join(best, "node", "left").where(F.col("time_s").isNull() | (F.col("new") < F.col("time_s"))).select("node", F.col("new").alias("time_s")).checkpoint()
-        if front.isEmpty():
-            break
-        best = best.unionByName(front).groupBy("node").agg(F.min("time_s").alias("time_s"))
-        if k % every == 0:
-            best = best.checkpoint()
-    return best
+def relaxed_times(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """node, time_s of the quickest way from a node to any source, on distributed tables."""
+    return relaxed(edges, sources.select("node_id", F.lit(0).alias("source")), "time_s").select("node", F.col("cost").alias("time_s"))
 
 
 def nearest_by_mode(pairs: DataFrame) -> DataFrame:
@@ -245,13 +299,10 @@ def straight_line_vs_network(rows: DataFrame, demand: DataFrame, facilities: Dat
     return out.withColumn("straight_m", metres).withColumn("ratio", X.ratio(F.col("distance_m"), F.col("straight_m"))).drop("d_lon", "d_lat", "f_lon", "f_lat")
 
 
-def weak_components(edges: DataFrame, rounds: int = 200) -> DataFrame:
-    """node, component (least node) without regard to direction: labels spread to neighbours and then to the label's own label."""
-    spark = edges.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        from ..sources import io
-
-        io.checkpoint_dir(spark)
+def weak_components(edges: DataFrame, rounds: int = 100) -> DataFrame:
+    """node, component (least node) without regard to direction: labels spread to neighbours and then to the label's own label.
+    Labels that have not settled in `rounds` are an error, not a result."""
+    _checkpoints(edges)
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct().checkpoint()
     label = both.select(F.col("u").alias("node")).distinct().withColumn("component", F.col("node"))
     for _ in range(rounds):
@@ -259,11 +310,11 @@ def weak_components(edges: DataFrame, rounds: int = 200) -> DataFrame:
         new = label.join(near, F.col("node") == F.col("u"), "left").select("node", F.least("component", "m").alias("component"))
         jump = new.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
         new = new.join(jump, F.col("component") == F.col("_n")).select("node", F.least("component", "_c").alias("component")).checkpoint()
-        changed = new.join(label.withColumnRenamed("component", "old"), "node").where("component <> old").isEmpty()
+        settled = new.join(label.withColumnRenamed("component", "old"), "node").where("component <> old").isEmpty()
         label = new
-        if changed:
-            break
-    return label
+        if settled:
+            return label
+    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def track_recovery(isolated: DataFrame, demand: DataFrame, edges: DataFrame, routed: DataFrame) -> DataFrame:

@@ -661,19 +661,63 @@ def _places(spark, sf):
     return d, f
 
 
-@query("g3_matrix")
+#: Rounds that the SQL of shortest paths and components takes; the road graph has 997 nodes and few hops between any two.
+_ROUNDS = 40
+_PLACES = """n AS (SELECT lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS facility_id, CASE WHEN n_nationkey % 9 <> 0 THEN CAST(n_nationkey AS BIGINT) * 41 % 997 END AS node_id, n_regionkey AS dep FROM nation),
+pts AS (SELECT lpad(CAST(c_custkey AS VARCHAR), 8, '0') AS demand_id, CASE WHEN c_custkey % 13 <> 0 THEN c_custkey * 3 % 997 END AS node_id, n_regionkey AS dep FROM customer JOIN nation ON c_nationkey = n_nationkey)"""
+
+
+def _graph_sql(ok: str, speed: str, fwd: str = "fwd", bwd: str = "bwd") -> str:
+    return f"""{T.EDGES}, {_PARSED}, one AS (SELECT u, v, length / ({speed} * 1000.0 / 3600.0) AS t, length AS l, {fwd} AS f, {bwd} AS b FROM ways WHERE {ok}),
+g AS MATERIALIZED (SELECT u, v, min(t) AS t, arg_min(l, (t, l)) AS l FROM (SELECT u, v, t, l FROM one WHERE f UNION ALL SELECT v, u, t, l FROM one WHERE b) GROUP BY u, v)"""
+
+
+def _rounds_sql(name: str, seed: str, step: str, keys: str, value: str) -> str:
+    """Tables name0, name1, ...: the least value of each key, of the last table and of one step from it."""
+    out = f"{name}0 AS MATERIALIZED ({seed})"
+    for i in range(_ROUNDS):
+        out += f", {name}{i + 1} AS MATERIALIZED (SELECT {keys}, min({value}) AS {value} FROM (SELECT {keys}, {value} FROM {name}{i} UNION ALL {step.format(last=f'{name}{i}')}) GROUP BY {keys})"
+    return out
+
+
+def _least_sql(name: str, weight: str) -> str:
+    seed = "SELECT facility_id, node_id AS node, 0e0 AS c FROM n WHERE node_id IN (SELECT u FROM g UNION SELECT v FROM g)"
+    return _rounds_sql(name, seed, f"SELECT facility_id, g.u, c + g.{weight} FROM {{last}} JOIN g ON g.v = node", "facility_id, node", "c")
+
+
+@query(
+    "g3_matrix",
+    f"""WITH {_graph_sql(_CAR_OK, f"coalesce(ms, {_CAR})")}, {_PLACES}, {_least_sql("t", "t")}, {_least_sql("l", "l")},
+cells AS (SELECT pts.demand_id, n.facility_id, pts.node_id AS origin_node, n.node_id AS dest_node, pts.dep = n.dep AS same, t{_ROUNDS}.c AS s, l{_ROUNDS}.c AS m FROM pts CROSS JOIN n
+  LEFT JOIN t{_ROUNDS} ON t{_ROUNDS}.facility_id = n.facility_id AND t{_ROUNDS}.node = pts.node_id LEFT JOIN l{_ROUNDS} ON l{_ROUNDS}.facility_id = n.facility_id AND l{_ROUNDS}.node = pts.node_id),
+st AS (SELECT *, CASE WHEN origin_node IS NULL OR dest_node IS NULL THEN 'snap_failed' WHEN NOT same THEN 'cross_department_not_evaluated' WHEN s IS NOT NULL THEN 'routed' ELSE 'no_route_same_department' END AS routing_status FROM cells)
+SELECT demand_id, facility_id, 'car' AS mode, CASE WHEN routing_status = 'routed' THEN round(m, 6) END AS distance_m, CASE WHEN routing_status = 'routed' THEN round(s / 60, 6) END AS travel_time_min, routing_status = 'routed' AS reachable, routing_status, origin_node, dest_node FROM st""",
+)
 def _(spark, sf):
     d, f = _places(spark, sf)
     return network.matrix(network.graph(T.edges(spark, sf), "car"), d, f, "car")
 
 
-@query("g4_multi_source")
+_BEST = "{'c': 0e0, 'f': max(facility_id), 's': 0e0}"
+
+
+@query(
+    "g4_multi_source",
+    f"""WITH {_graph_sql(_FOOT_OK, "CASE WHEN highway = 'steps' THEN 2e0 ELSE 5e0 END", "true", "true")}, {_PLACES},
+{_rounds_sql("r", f"SELECT node_id AS node, {_BEST} AS x FROM n WHERE node_id IN (SELECT u FROM g UNION SELECT v FROM g) GROUP BY node_id", "SELECT g.u, {{'c': x.c + g.t, 'f': x.f, 's': x.s + g.l}} FROM {last} JOIN g ON g.v = node", "node", "x")}
+SELECT demand_id, x.f AS facility_id, 'foot' AS mode, round(x.s, 6) AS distance_m, round(x.c / 60, 6) AS travel_time_min, x IS NOT NULL AS reachable, CASE WHEN node_id IS NULL THEN 'snap_failed' WHEN x IS NULL THEN 'no_route_same_department' ELSE 'routed' END AS routing_status
+FROM pts LEFT JOIN r{_ROUNDS} ON node = node_id""",
+)
 def _(spark, sf):
     d, f = _places(spark, sf)
     return network.nearest_multi_source(network.graph(T.edges(spark, sf), "foot"), d, f, "foot")
 
 
-@query("g5_components")
+@query(
+    "g5_components",
+    f"""WITH {_graph_sql(_BIKE_OK, _BIKE)}, two AS (SELECT u, v FROM g UNION SELECT v, u FROM g),
+{_rounds_sql("c", "SELECT DISTINCT u AS node, u AS component FROM two", "SELECT two.u, component FROM {last} JOIN two ON two.v = node", "node", "component")} SELECT node, component FROM c{_ROUNDS}""",
+)
 def _(spark, sf):
     return network.weak_components(network.graph(T.edges(spark, sf), "bike"))
 
