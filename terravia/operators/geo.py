@@ -98,42 +98,56 @@ def simplify(polygons: DataFrame, rings: str = "rings", tolerance: float = 0.001
     return polygons.withColumn(rings, run(rings))
 
 
-def snap(points: DataFrame, nodes: DataFrame, point_id: str, node_id: str, max_m: float, lon: str = "lon", lat: str = "lat", cell: float = 0.05, widen: int = 8) -> DataFrame:
+#: Cells a side into which nodes are grouped to bound distances; their table has so many squared rows at most.
+BOUND_CELLS = 32
+
+
+def _far_cells(left: DataFrame, cells: DataFrame, scale: float) -> DataFrame:
+    """left with each cell that may hold the nearest node: none of its nodes need be nearer than the farthest corner of another cell."""
+    dx, dy = F.greatest(F.col("x0") - F.col("px"), F.col("px") - F.col("x1"), F.lit(0.0)) * scale, F.greatest(F.col("y0") - F.col("py"), F.col("py") - F.col("y1"), F.lit(0.0))
+    ex, ey = F.greatest(F.abs(F.col("px") - F.col("x0")), F.abs(F.col("px") - F.col("x1"))) * scale, F.greatest(F.abs(F.col("py") - F.col("y0")), F.abs(F.col("py") - F.col("y1")))
+    pairs = left.join(F.broadcast(cells)).select("point_id", "px", "py", "cx", "cy", (dx * dx + dy * dy).alias("least"), (ex * ex + ey * ey).alias("most"))
+    bound = pairs.groupBy("point_id", "px", "py").agg(F.min("most").alias("bound"))
+    return pairs.join(bound, ["point_id", "px", "py"]).where(F.col("least") <= F.col("bound") * (1 + 1e-9)).select("point_id", "px", "py", "cx", "cy")
+
+
+def snap(points: DataFrame, nodes: DataFrame, point_id: str, node_id: str, max_m: float, lon: str = "lon", lat: str = "lat", cell: float = 0.05) -> DataFrame:
     """point_id, node_id, snap_distance_m, status, fail_reason.
 
     Nearest by longitude scaled with the cosine of the mean latitude; the distance reported is the great circle's. Points look in the
-    3 x 3 cells around them; a find is final if it is nearer than the border of these. Others look again with cells ``widen`` times as
-    wide, until all are settled, so each round is an equi-join on a cell, and no round pairs all points with all nodes."""
-    spark = points.sparkSession
+    3 x 3 cells around them; a find is final if it is nearer than the border of these. For the few others, nodes are grouped in BOUND_CELLS x
+    BOUND_CELLS cells at most, and only cells that may hold the nearest node by the bounds of their nodes are searched. Both steps are
+    equi-joins on a cell; no step pairs points with all nodes."""
+    from ..sources import io
+
+    io.checkpoint_dir(points.sparkSession)
     p = points.select(F.col(point_id).alias("point_id"), F.col(lon).alias("px"), F.col(lat).alias("py"))
-    n = nodes.select(F.col(node_id).alias("node_id"), F.col(lon).alias("nx"), F.col(lat).alias("ny"))
+    n = nodes.select(F.col(node_id).alias("node_id"), F.col(lon).alias("nx"), F.col(lat).alias("ny")).where("nx is not null and ny is not null")
     box = n.agg(F.avg("ny").alias("m"), F.count(F.lit(1)).alias("n"), F.min("nx").alias("a"), F.max("nx").alias("b"), F.min("ny").alias("c"), F.max("ny").alias("d")).first()
-    empty = p.select("point_id", F.lit(None).cast("long").alias("node_id"), F.lit(None).cast("double").alias("snap_distance_m"), F.lit("failure").alias("status"))
     if not box.n:
+        empty = p.select("point_id", F.lit(None).cast("long").alias("node_id"), F.lit(None).cast("double").alias("snap_distance_m"), F.lit("failure").alias("status"))
         return empty.withColumn("fail_reason", F.lit("grafo_vacio"))
     scale = math.cos(math.radians(box.m))
-    wide = max(box.b - box.a, box.d - box.c, cell) * 2 + cell
-    have = p.where(F.col("px").isNotNull() & F.col("py").isNotNull())
-    left, found = have, None
-    size = cell
-    while True:
-        last = size >= wide
-        cells = n.select("node_id", "nx", "ny", F.floor(F.col("nx") / size).alias("cx"), F.floor(F.col("ny") / size).alias("cy"))
-        around = F.array(*(F.struct((F.floor(F.col("px") / size) + i).alias("cx"), (F.floor(F.col("py") / size) + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-        if last:  # the cells are as wide as all nodes together: what is left is far outside and meets them all once
-            near = left.join(F.broadcast(n) if box.n < 100_000 else n)
-        else:
-            near = left.withColumn("c", F.explode(around)).select("*", "c.cx", "c.cy").drop("c").join(cells, ["cx", "cy"])
+
+    def nearest(near: DataFrame) -> DataFrame:
         d2 = F.pow((F.col("px") - F.col("nx")) * scale, 2) + F.pow(F.col("py") - F.col("ny"), 2)
-        best = near.withColumn("d2", d2).groupBy("point_id", "px", "py").agg(F.min(F.struct("d2", "node_id", "nx", "ny")).alias("b"))
-        settled = best if last else best.where(F.sqrt("b.d2") <= size * scale)
-        found = settled if found is None else found.unionByName(settled)
-        if last:
-            break
-        left = left.join(settled.select("point_id"), "point_id", "left_anti")
-        size *= widen
+        return near.withColumn("d2", d2).groupBy("point_id", "px", "py").agg(F.min(F.struct("d2", "node_id", "nx", "ny")).alias("b"))
+
+    have = p.where(F.col("px").isNotNull() & F.col("py").isNotNull()).distinct()
+    cells = n.select("node_id", "nx", "ny", F.floor(F.col("nx") / cell).alias("cx"), F.floor(F.col("ny") / cell).alias("cy"))
+    around = F.array(*(F.struct((F.floor(F.col("px") / cell) + i).alias("cx"), (F.floor(F.col("py") / cell) + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
+    close = nearest(have.withColumn("c", F.explode(around)).select("*", "c.cx", "c.cy").drop("c").join(cells, ["cx", "cy"])).where(F.sqrt("b.d2") <= cell * scale).checkpoint()
+    left = have.join(close.select("point_id", "px", "py"), ["point_id", "px", "py"], "left_anti").checkpoint()
+    wide = max(box.b - box.a, box.d - box.c, 1e-9) / BOUND_CELLS
+    own = [F.least(F.floor((F.col(c) - F.lit(low)) / wide), F.lit(BOUND_CELLS - 1)).alias(name) for c, low, name in (("nx", box.a, "cx"), ("ny", box.c, "cy"))]
+    placed = n.select("node_id", "nx", "ny", *own)
+    bounds_ = placed.groupBy("cx", "cy").agg(F.min("nx").alias("x0"), F.max("nx").alias("x1"), F.min("ny").alias("y0"), F.max("ny").alias("y1"))
+    far = nearest(_far_cells(left, bounds_, scale).join(placed, ["cx", "cy"]))
+    found = close.unionByName(far)
     metres = X.haversine_m(F.col("px"), F.col("py"), F.col("b.nx"), F.col("b.ny"))
-    out = p.select("point_id").join(found.select("point_id", F.col("b.node_id").alias("node_id"), metres.alias("snap_distance_m")), "point_id", "left")
+    found = found.select(F.col("point_id").alias("_id"), F.col("px").alias("_x"), F.col("py").alias("_y"), F.col("b.node_id").alias("node_id"), metres.alias("snap_distance_m"))
+    same = F.col("point_id").eqNullSafe(F.col("_id")) & (F.col("px") == F.col("_x")) & (F.col("py") == F.col("_y"))
+    out = p.join(found, same, "left").select("point_id", "node_id", "snap_distance_m")
     ok = F.coalesce(F.col("snap_distance_m") <= max_m, F.lit(False))
     return out.withColumn("status", F.when(ok, "success").otherwise("failure")).withColumn("fail_reason", F.when(ok, F.lit(None)).when(F.col("node_id").isNull(), "sin_coordenadas").otherwise("distancia_maxima"))
 

@@ -1,5 +1,5 @@
-"""Ordered statistics over weights. Rows are first summed by value, then numbered in two steps: sums of value ranges on the
-driver-free side, running sums within a range, so no task sorts the whole table."""
+"""Ordered statistics over weights. Rows are first summed by value and stored once, then numbered in two steps: sums of value
+ranges, and running sums within a range, so no task sorts a whole table or a whole group."""
 
 from __future__ import annotations
 
@@ -18,35 +18,42 @@ def by_value(df: DataFrame, value: str, weight: str, groups: Sequence[str] = ())
     return rows.groupBy(*groups, F.col(value).alias("v")).agg(F.sum(weight).alias("w"))
 
 
-def running(rows: DataFrame, groups: Sequence[str] = (), buckets: int = 256) -> DataFrame:
-    """rows (v, w) with cw, cwv: sums up to and with v, in order of v.
+def _range(v: Column, cuts: Sequence[float], at: int = 0) -> Column:
+    """The number of cuts that are less than v, as a balanced tree of comparisons (compiled, unlike a fold over an array)."""
+    if not cuts:
+        return F.lit(at)
+    k = len(cuts) // 2
+    return F.when(v > cuts[k], _range(v, cuts[k + 1 :], at + k + 1)).otherwise(_range(v, cuts[:k], at))
+
+
+def running(rows: DataFrame, groups: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
+    """rows (v, w) with cw, cwv: sums up to and with v, in order of v, and tw, twv: those of all.
 
     Values are cut into buckets at approximate quantiles; running sums are taken within a bucket, and what the buckets
-    before it hold, one row a bucket, is added: the sort is spread over buckets, and the result is exact."""
+    before it hold, one row a bucket and group, is added: the sort is spread over buckets, as many as there are shuffle
+    partitions unless told, and the result is exact."""
+    from ..sources import io
+
+    io.checkpoint_dir(rows.sparkSession)
+    buckets = buckets or max(8, min(1024, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    rows = rows.checkpoint()  # read three times below
     wv = F.col("w") * F.col("v")
-    if groups:
-        within = Window.partitionBy(*groups).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-        return rows.withColumn("cw", F.sum("w").over(within)).withColumn("cwv", F.sum(wv).over(within))
     found = rows.agg(F.percentile_approx(F.col("v").cast("double"), [i / buckets for i in range(1, buckets)], 10_000).alias("q")).first().q or []
-    cuts = F.array(*(F.lit(float(q)) for q in sorted(set(found)))) if found else F.array().cast("array<double>")
-    place = F.aggregate(cuts, F.lit(0), lambda n, q: n + (F.col("v").cast("double") > q).cast("int"))
-    dealt = rows.withColumn("_b", place)
-    sums = dealt.groupBy("_b").agg(F.sum("w").alias("sw"), F.sum(wv).alias("swv"))  # at most `buckets` rows
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("_b", F.coalesce(F.sum("sw").over(before), F.lit(0)).alias("bw"), F.coalesce(F.sum("swv").over(before), F.lit(0)).alias("bwv"))
-    within = Window.partitionBy("_b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    out = dealt.join(F.broadcast(sums), "_b").withColumn("cw", F.col("bw") + F.sum("w").over(within)).withColumn("cwv", F.col("bwv") + F.sum(wv).over(within))
-    return out.drop("_b", "bw", "bwv")
+    dealt = rows.withColumn("_b", _range(F.col("v").cast("double"), sorted(set(found))))
+    sums = dealt.groupBy(*groups, "_b").agg(F.sum("w").alias("sw"), F.sum(wv).alias("swv"))  # at most `buckets` rows a group
+    all_ = Window.partitionBy(*groups)
+    before = all_.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*groups, "_b", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_{c}") for c in ("sw", "swv")), F.sum("sw").over(all_).alias("tw"), F.sum("swv").over(all_).alias("twv"))
+    within = Window.partitionBy(*groups, "_b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    dealt = dealt.withColumn("cw", F.sum("w").over(within)).withColumn("cwv", F.sum(wv).over(within))
+    out = dealt.join(sums if groups else F.broadcast(sums), [*groups, "_b"])
+    return out.withColumn("cw", F.col("cw") + F.col("_sw")).withColumn("cwv", F.col("cwv") + F.col("_swv")).drop("_b", "_sw", "_swv")
 
 
 def weighted_median(df: DataFrame, value: str, weight: str, groups: Sequence[str] = ()) -> DataFrame:
     """The lower weighted median: the first value whose running weight reaches half of all."""
     rows = running(by_value(df, value, weight, groups), groups)
-    if groups:
-        half = rows.withColumn("_t", F.sum("w").over(Window.partitionBy(*groups)))
-        return half.groupBy(*groups).agg(F.min(F.when(F.col("cw") * 2 >= F.col("_t"), F.col("v"))).alias("weighted_median"))
-    total = rows.agg(F.sum("w").alias("_t"))
-    return rows.crossJoin(F.broadcast(total)).agg(F.min(F.when(F.col("cw") * 2 >= F.col("_t"), F.col("v"))).alias("weighted_median"))
+    return rows.groupBy(*groups).agg(F.min(F.when(F.col("cw") * 2 >= F.col("tw"), F.col("v"))).alias("weighted_median"))
 
 
 def weighted_gini(df: DataFrame, value: str, weight: str) -> DataFrame:
@@ -55,7 +62,7 @@ def weighted_gini(df: DataFrame, value: str, weight: str) -> DataFrame:
     rows = running(by_value(df, value, weight))
     wv = F.col("w") * F.col("v")
     area = F.sum(F.col("w").cast("double") * (2 * F.col("cwv") - wv).cast("double"))
-    sums = rows.agg(area.alias("a"), F.sum("w").alias("sw"), F.sum(wv).alias("swv"))
+    sums = rows.agg(area.alias("a"), F.max("tw").alias("sw"), F.max("twv").alias("swv"))
     w = F.col(weight)
     has = F.col(value).isNotNull() & (w > 0)
     counts = df.agg(F.count_if(has).alias("n_included"), F.coalesce(F.sum(F.when(has, w)), F.lit(0)).alias("population_included"), F.sum(F.when(w > 0, w)).alias("_all"))
@@ -67,23 +74,22 @@ def weighted_gini(df: DataFrame, value: str, weight: str) -> DataFrame:
 def lorenz_curve(df: DataFrame, value: str, weight: str) -> DataFrame:
     """ord, cum_population, cum_value from (0, 0) on, a point per value; empty without rows."""
     rows = running(by_value(df, value, weight))
-    total = rows.agg(F.sum("w").alias("tw"), F.sum(F.col("w") * F.col("v")).alias("twv"))
-    points = rows.crossJoin(F.broadcast(total)).select(F.col("v").cast("double").alias("ord"), X.ratio(F.col("cw"), F.col("tw")).alias("cum_population"), X.ratio(F.col("cwv"), F.col("twv")).alias("cum_value"))
-    origin = total.where("tw is not null").select(F.lit(-1.0).alias("ord"), F.lit(0.0).alias("cum_population"), F.lit(0.0).alias("cum_value"))
+    points = rows.select(F.col("v").cast("double").alias("ord"), X.ratio(F.col("cw"), F.col("tw")).alias("cum_population"), X.ratio(F.col("cwv"), F.col("twv")).alias("cum_value"))
+    origin = rows.agg(F.count(F.lit(1)).alias("n")).where("n > 0").select(F.lit(-1.0).alias("ord"), F.lit(0.0).alias("cum_population"), F.lit(0.0).alias("cum_value"))
     return origin.unionByName(points)
 
 
 def weighted_ecdf(df: DataFrame, value: str, weight: str, groups: Sequence[str]) -> DataFrame:
     """Cumulative share of weight by value within each group."""
     rows = running(by_value(df, value, weight, groups), groups)
-    return rows.select(*groups, "v", X.percent(F.col("cw"), F.sum("w").over(Window.partitionBy(*groups))).alias("cum_pct"))
+    return rows.select(*groups, "v", X.percent(F.col("cw"), F.col("tw")).alias("cum_pct"))
 
 
 def ecdf(df: DataFrame, value: str) -> DataFrame:
-    """Share of rows at or below each value."""
+    """A row for each row that has a value, in order i / n of all; rows of one value have the shares of their places."""
     rows = running(df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("w")))
-    total = rows.agg(F.sum("w").alias("n"))
-    return rows.crossJoin(F.broadcast(total)).select("v", X.ratio(F.col("cw"), F.col("n")).alias("share"))
+    places = F.explode(F.sequence(F.col("cw") - F.col("w") + 1, F.col("cw"))).alias("i")
+    return rows.select("v", "tw", places).select("v", X.ratio(F.col("i"), F.col("tw")).alias("share"))
 
 
 def rank_gaps(df: DataFrame, keys: Sequence[str], mean: str = "weighted_mean", share: str = "share_with_time_pct", least_share: float = 50.0) -> DataFrame:

@@ -6,7 +6,6 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .. import constants as K
 from ..functions import exprs as X
@@ -38,19 +37,20 @@ def match_report(demand: DataFrame, pop: DataFrame, key: str, pop_key: str, pop_
 
 def flag_representative(df: DataFrame, key: str, id_col: str, override: Mapping[str, str] | None = None) -> DataFrame:
     """is_representative: a unique or null key is; of a shared key only the id that override names."""
-    shared = F.count(F.lit(1)).over(Window.partitionBy(key)) > 1
+    several = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     named = F.lit(None).cast("string")
     if override:
         named = F.try_element_at(F.create_map(*(F.lit(x) for kv in override.items() for x in kv)), F.col(key).cast("string"))
     chosen = F.coalesce(named == F.col(id_col).cast("string"), F.lit(False))
-    return df.withColumn("is_representative", F.col(key).isNull() | ~shared | chosen)
+    out = df.join(several, F.col(key) == F.col("_k"), "left")  # a null key meets nothing, so null keys need not come together
+    return out.withColumn("is_representative", F.col("_n").isNull() | chosen).drop("_k", "_n")
 
 
 def population_universe(df: DataFrame, pop: DataFrame, key: str, pop_key: str, pop_value: str) -> DataFrame:
     """Representative rows whose key has a record, its population, and how many rows share the key."""
     first = pop.groupBy(F.col(pop_key).alias("_k")).agg(F.first(pop_value, ignorenulls=True).alias("population"))
-    rows = df.withColumn("n_rows_for_key", F.count(F.lit(1)).over(Window.partitionBy(key))).where("is_representative")
-    return rows.join(first, F.col(key) == F.col("_k")).drop("_k")
+    counts = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.count(F.lit(1)).alias("n_rows_for_key"))
+    return df.where("is_representative").join(counts.join(first, "_k"), F.col(key) == F.col("_k")).select(*df.columns, "n_rows_for_key", "population")
 
 
 def duplicate_resolution(df: DataFrame, key: str, id_col: str, lon: str, lat: str) -> DataFrame:

@@ -46,11 +46,14 @@ def correct_swapped(df: DataFrame, inside_swapped: Column, lon: str = "lon", lat
 def duplicate_flags(df: DataFrame, key: str, columns: Sequence[str] | None = None, order: Sequence[str] | None = None) -> DataFrame:
     """Rule 5: dup_any, dup_conflict, dup_drop (an exact copy but the first). Null keys are no duplicates."""
     columns = list(columns or df.columns)
-    by_key, by_row = Window.partitionBy(key), Window.partitionBy(*columns)
-    df = df.withColumns({"_n_key": F.count(F.lit(1)).over(by_key), "_n_row": F.count(F.lit(1)).over(by_row), "_nth": F.row_number().over(by_row.orderBy(*(order or columns)))})
-    any_ = (F.col("_n_key") > 1) & F.col(key).isNotNull()
+    several = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    own = df.columns
+    df = df.join(several, F.col(key) == F.col("_k"), "left")  # a null key meets nothing, so null keys need not come together
+    any_ = F.col("_k").isNotNull()
+    by_row = Window.partitionBy(*columns)
+    df = df.withColumns({"_n_row": F.count(F.lit(1)).over(by_row), "_nth": F.row_number().over(by_row.orderBy(*(order or columns)))})
     exact = F.col("_n_row") > 1
-    return df.withColumns({"dup_any": any_, "dup_conflict": any_ & ~exact, "dup_drop": any_ & exact & (F.col("_nth") > 1)}).drop("_n_key", "_n_row", "_nth")
+    return df.select(*own, any_.alias("dup_any"), (any_ & ~exact).alias("dup_conflict"), (any_ & exact & (F.col("_nth") > 1)).alias("dup_drop"))
 
 
 def encoding_report(df: DataFrame, columns: Sequence[str], most_pct: float = 0.0) -> DataFrame:

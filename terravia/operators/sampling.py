@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -24,19 +24,35 @@ def quotas(strata: DataFrame, key: str, size: str, n: int) -> DataFrame:
     return df.withColumn("quota", F.least(F.col("_floor") + extra, F.col(size)).cast("long")).drop("_total", "_floor", "_rest", "_left", "_nth")
 
 
+#: Strata over this size are cut by a quantile of the hash before they are sorted; the quantile's error, and the margin over it.
+LARGE, ACCURACY, MARGIN = 20_000, 10_000, 3e-4
+
+
+def draw(key: str, seed: int) -> Column:
+    """A number from the key and the seed, by which records are drawn."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def stratified_sample(df: DataFrame, stratum: str, key: str, n: int, seed: int = 42) -> DataFrame:
     """A simple random sample of its quota from each stratum, with stratum_n, stratum_sample_n, inclusion_prob and
-    design_weight. The order within a stratum is that of a seeded hash, so it is the same in any partitioning."""
-    sizes = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("stratum_n"))
+    design_weight. The order within a stratum is that of a seeded hash, so it is the same in any partitioning. Of a large stratum
+    only the rows up to a quantile of the hash, a little over its quota, are sorted; the sample is exact."""
+    h = draw(key, seed)
+    total = df.count()
+    share = min(1.0, n / max(1, total) + MARGIN)  # quotas are in proportion, but for one unit
+    cut = F.when(F.count(F.lit(1)) > LARGE, F.percentile_approx(h, share, ACCURACY)).alias("_cut")
+    sizes = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("stratum_n"), cut)
     plan = quotas(sizes, stratum, "stratum_n", n).withColumnRenamed("quota", "stratum_sample_n")
-    at = F.row_number().over(Window.partitionBy(stratum).orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)))
-    out = df.withColumn("_at", at).join(F.broadcast(plan), stratum).where(F.col("_at") <= F.col("stratum_sample_n")).drop("_at")
+    some = df.join(F.broadcast(plan), stratum).where(F.col("_cut").isNull() | (h <= F.col("_cut"))).drop("_cut")  # a row a stratum
+    at = F.row_number().over(Window.partitionBy(stratum).orderBy(h, F.col(key)))
+    out = some.withColumn("_at", at).where(F.col("_at") <= F.col("stratum_sample_n")).drop("_at")
     return out.withColumn("inclusion_prob", F.col("stratum_sample_n") / F.col("stratum_n")).withColumn("design_weight", F.col("stratum_n") / F.col("stratum_sample_n"))
 
 
 def sample_if_needed(df: DataFrame, stratum: str, key: str, most: int, seed: int = 42) -> DataFrame:
     """Samples only above ``most`` records; else every weight is 1."""
-    if df.count() > most:
+    if df.limit(most + 1).count() > most if most < 1 << 31 else df.count() > most:
         return stratified_sample(df, stratum, key, most, seed)
-    n = F.count(F.lit(1)).over(Window.partitionBy(stratum))
-    return df.withColumns({"stratum_n": n, "stratum_sample_n": n, "inclusion_prob": F.lit(1.0), "design_weight": F.lit(1.0)})
+    sizes = df.groupBy(F.col(stratum).alias("_s")).agg(F.count(F.lit(1)).alias("stratum_n"))
+    out = df.join(F.broadcast(sizes), F.col(stratum).eqNullSafe(F.col("_s"))).drop("_s")  # a row a stratum
+    return out.withColumns({"stratum_sample_n": F.col("stratum_n"), "inclusion_prob": F.lit(1.0), "design_weight": F.lit(1.0)})

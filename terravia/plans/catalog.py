@@ -322,16 +322,36 @@ def _(spark, sf):
     return s.groupBy("prov").agg(F.count_distinct("demand_id").alias("n"), F.max("stratum_n").alias("stratum_n"), F.max("stratum_sample_n").alias("stratum_sample_n"), F.max("inclusion_prob").alias("inclusion_prob"), F.max("design_weight").alias("design_weight"))
 
 
-@query("p20_verify_weights", "SELECT true AS consistent, true AS one_weight_per_stratum")
+_DRAWN = f"""{T.DEMAND}, {_QUOTA.format(n=777)}, drawn AS (SELECT demand_id, prov, stratum_n, quota, row_number() OVER (PARTITION BY prov ORDER BY CAST('0x' || substr(md5('42:' || demand_id), 1, 15) AS BIGINT), demand_id) AS nth FROM demand JOIN quotas USING (prov)),
+sample AS (SELECT demand_id, prov, stratum_n, quota AS stratum_sample_n, CAST(quota AS DOUBLE) / stratum_n AS inclusion_prob, CAST(stratum_n AS DOUBLE) / quota AS design_weight FROM drawn WHERE nth <= quota)"""
+
+
+@query("sm2_sample", f"WITH {_DRAWN} SELECT demand_id, prov, stratum_n, stratum_sample_n, {R('inclusion_prob')} AS inclusion_prob, {R('design_weight')} AS design_weight FROM sample")
+def _(spark, sf):
+    s = sampling.stratified_sample(T.demand(spark, sf).drop("design_weight"), "prov", "demand_id", 777)
+    return s.select("demand_id", "prov", "stratum_n", "stratum_sample_n", "inclusion_prob", "design_weight")
+
+
+_P20 = "bool_and(abs(1 / inclusion_prob - w) <= 1e-8 + 1e-5 * abs(w)) AS consistent, (SELECT max(n) <= 1 FROM (SELECT count(DISTINCT w) AS n FROM {t} GROUP BY prov)) AS one_weight_per_stratum, round(max(abs(1 / inclusion_prob - w)), 6) AS max_abs_diff FROM {t}"
+
+
+@query(
+    "p20_verify_weights",
+    f"""WITH {_DRAWN}, own AS (SELECT *, design_weight AS w FROM sample), scaled AS (SELECT *, CASE WHEN prov = 'CHINA' THEN 1.5e0 ELSE 1e0 END * design_weight AS w FROM sample),
+uneven AS (SELECT *, CASE WHEN demand_id LIKE '%7' THEN 1e0 ELSE 0e0 END + design_weight AS w FROM sample) SELECT 'own' AS which, {_P20.format(t="own")} UNION ALL SELECT 'scaled', {_P20.format(t="scaled")} UNION ALL SELECT 'uneven', {_P20.format(t="uneven")}""",
+)
 def _(spark, sf):
     s = sampling.stratified_sample(T.demand(spark, sf).drop("design_weight"), "prov", "demand_id", 777)
-    return weights.verify_design_weights(s, "prov").select("consistent", "one_weight_per_stratum")
+    w = F.col("design_weight")
+    kinds = {"own": w, "scaled": F.when(F.col("prov") == "CHINA", 1.5).otherwise(1.0) * w, "uneven": F.when(F.col("demand_id").endswith("7"), 1.0).otherwise(0.0) + w}
+    each = [weights.verify_design_weights(s.withColumn("design_weight", c), "prov").select(F.lit(k).alias("which"), "consistent", "one_weight_per_stratum", "max_abs_diff") for k, c in kinds.items()]
+    return each[0].unionByName(each[1]).unionByName(each[2])
 
 
-@query("sm3_not_needed", f"WITH {T.DEMAND} SELECT prov, count(*) AS n, count(*) AS stratum_n FROM demand GROUP BY prov")
+@query("sm3_not_needed", f"WITH {T.DEMAND} SELECT prov, count(*) AS n, count(*) AS stratum_n, count(*) * count(*) AS sampled, 1e0 AS least_prob, CAST(count(*) AS DOUBLE) AS weights FROM demand GROUP BY prov")
 def _(spark, sf):
     s = sampling.sample_if_needed(T.demand(spark, sf).drop("design_weight"), "prov", "demand_id", 10**12)
-    return s.groupBy("prov").agg(F.count(F.lit(1)).alias("n"), F.max("stratum_n").alias("stratum_n"))
+    return s.groupBy("prov").agg(F.count(F.lit(1)).alias("n"), F.max("stratum_n").alias("stratum_n"), F.sum("stratum_sample_n").alias("sampled"), F.min("inclusion_prob").alias("least_prob"), F.sum("design_weight").alias("weights"))
 
 
 # --- inequality and ranks ----------------------------------------------------------------------------------------
@@ -364,7 +384,7 @@ def _(spark, sf):
     return inequality.weighted_ecdf(T.demand(spark, sf), "t_min", "weight", ["dep"])
 
 
-@query("w5_ecdf", f"SELECT value AS v, {R('CAST(sum(count(*)) OVER (ORDER BY value) AS DOUBLE) / CAST(sum(count(*)) OVER () AS DOUBLE)')} AS share FROM events GROUP BY value")
+@query("w5_ecdf", f"SELECT value AS v, {R('CAST(row_number() OVER (ORDER BY value) AS DOUBLE) / CAST(count(*) OVER () AS DOUBLE)')} AS share FROM events WHERE value IS NOT NULL")
 def _(spark, sf):
     return inequality.ecdf(T.read(spark, sf, "events"), "value")
 
@@ -519,10 +539,17 @@ def _(spark, sf):
     return geo.outside_declared(T.facilities(spark, sf), boxes, "s_nationkey", buffer_m=0).select("facility_id", "district_mismatch")
 
 
-@query("a23_dissolve", "SELECT n_regionkey, count(*) AS n_rings, lpad(CAST(min(n_nationkey) AS VARCHAR), 2, '0') AS first_code FROM nation GROUP BY n_regionkey")
+@query(
+    "a23_dissolve",
+    f"""WITH {T.FACILITIES}, box AS (SELECT n_regionkey, n_nationkey, -81.4e0 + 0.5e0 * n_nationkey AS x FROM nation), inside AS (SELECT n_regionkey, count(*) AS n FROM box JOIN facilities ON lon >= x AND lon < x + 0.5e0 AND lat >= -18.4e0 AND lat < 0e0 GROUP BY n_regionkey)
+SELECT n_regionkey, count(*) AS n_rings, lpad(CAST(min(n_nationkey) AS VARCHAR), 2, '0') AS first_code, any_value(coalesce(inside.n, 0)) AS n_inside FROM box LEFT JOIN inside USING (n_regionkey) GROUP BY n_regionkey""",
+)
 def _(spark, sf):
     b = _boxes(spark, sf).join(T.read(spark, sf, "nation"), "n_nationkey").withColumn("first_code", F.lpad(F.col("n_nationkey").cast("string"), 2, "0"))
-    return geo.dissolve(b, ["n_regionkey"], firsts=("first_code",)).select("n_regionkey", F.size("rings").cast("long").alias("n_rings"), "first_code")
+    regions = geo.dissolve(b, ["n_regionkey"], firsts=("first_code",))
+    inside = T.facilities(spark, sf).join(F.broadcast(regions), geo.contains(F.col("lon"), F.col("lat"), F.col("rings")))  # five regions
+    counts = inside.groupBy(F.col("n_regionkey").alias("_r")).agg(F.count(F.lit(1)).alias("n_inside"))
+    return regions.join(counts, F.col("n_regionkey") == F.col("_r"), "left").select("n_regionkey", F.size("rings").cast("long").alias("n_rings"), "first_code", F.coalesce("n_inside", F.lit(0)).alias("n_inside"))
 
 
 def _points(spark, sf, table, key):
