@@ -47,3 +47,15 @@ BIKE_SPEED = {
 BIKE_DEFAULT, FOOT_SPEED, FOOT_STEPS = 12.0, 5.0, 2.0
 EARTH_M = 6_371_000.0
 BBOX = (-81.4, -18.4, -68.6, 0.0)
+
+# The rules of a quality report, as it names them, and what each does.
+RULES = {
+    "coord_missing": "1. coordenadas ausentes/null/cero",
+    "coord_out_of_bbox": "2. coordenadas fuera del bbox de Perú",
+    "swap_candidate": "3. lat/lon intercambiadas",
+    "district_mismatch": "4. punto fuera de su distrito declarado",
+    "duplicates": "5. códigos de establecimiento duplicados",
+    "encoding": "6. problemas de encoding",
+}
+EXCLUDE, CORRECT, WARN, DROP_COPY, VERIFIED = "keep_flag_exclude_from_routing", "correct_with_audit", "keep_warning", "drop_duplicate_keep_first", "verificado_ok"
+LAYER_RESOLUTIVE, LAYER_UPGRADE, LAYER_OTHER = "Resolutivo", "Candidato upgrade (I-3/I-4)", "Otro"

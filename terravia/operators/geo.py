@@ -34,31 +34,52 @@ def contains(x: Column, y: Column, rings: Column) -> Column:
     return F.aggregate(F.transform(rings, lambda r: _ring_hits(x, y, r)), F.lit(0), lambda n, c: n + c) % 2 == 1
 
 
-def ring_distance_m(lon: Column, lat: Column, rings: Column) -> Column:
-    """Metres to the nearest edge, on UTM coordinates."""
-    px, py = X.utm18s(lon, lat)
+def utm_rings(rings: Column) -> Column:
+    """The rings with their points in metres; made once a polygon."""
+    def metres(p):
+        x, y = X.utm18s(p["x"], p["y"])
+        return F.struct(x.alias("x"), y.alias("y"))
 
+    return F.transform(rings, lambda r: F.transform(r, metres))
+
+
+def ring_distance_m(px: Column, py: Column, rings: Column) -> Column:
+    """Distance of a point to the nearest edge of rings, all in metres. Each step has the last one's results as its argument, so that no
+    expression is evaluated twice."""
     def edge(ring, i):
         a, b = F.get(ring, i), F.get(ring, (i + 1) % F.size(ring))
-        (ax, ay), (bx, by) = X.utm18s(a["x"], a["y"]), X.utm18s(b["x"], b["y"])
-        dx, dy = bx - ax, by - ay
-        t = F.coalesce(F.try_divide((px - ax) * dx + (py - ay) * dy, dx * dx + dy * dy), F.lit(0.0))
-        t = F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0))
-        return F.sqrt(F.pow(px - ax - t * dx, 2) + F.pow(py - ay - t * dy, 2))
+        return F.struct((px - a["x"]).alias("ox"), (py - a["y"]).alias("oy"), (b["x"] - a["x"]).alias("dx"), (b["y"] - a["y"]).alias("dy"))
 
-    return F.array_min(F.transform(rings, lambda r: F.array_min(F.transform(F.sequence(F.lit(0), F.size(r) - 1), lambda i: edge(r, i)))))
+    def along(e):
+        t = F.coalesce(F.try_divide(e["ox"] * e["dx"] + e["oy"] * e["dy"], e["dx"] * e["dx"] + e["dy"] * e["dy"]), F.lit(0.0))
+        return F.struct(e["ox"].alias("ox"), e["oy"].alias("oy"), e["dx"].alias("dx"), e["dy"].alias("dy"), F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0)).alias("t"))
 
+    def distance(e):
+        return F.sqrt(F.pow(e["ox"] - e["t"] * e["dx"], 2) + F.pow(e["oy"] - e["t"] * e["dy"], 2))
 
-def outside_declared(df: DataFrame, districts: DataFrame, key: str, lon: str = "lon", lat: str = "lat", rings: str = "rings", buffer_m: float = 1000.0) -> DataFrame:
-    """district_mismatch: the point is neither in the polygon of the district it declares nor within the buffer of it. Points without
-    coordinates or with an unknown district are not judged (rule 4, J13). The polygon is found by its key, not by search."""
-    polygons = districts.select(F.col(key).alias("_k"), F.col(rings).alias("_rings"))
+    edges = lambda r: F.transform(F.sequence(F.lit(0), F.size(r) - 1), lambda i: edge(r, i))
+    return F.array_min(F.transform(rings, lambda r: F.array_min(F.transform(F.transform(edges(r), along), distance))))
+
+
+def within_declared(df: DataFrame, districts: DataFrame, key: str, lon: str = "lon", lat: str = "lat", rings: str = "rings", buffer_m: float = 1000.0, name: str = "within") -> DataFrame:
+    """A boolean: whether the point is in the polygon of the district it declares, or nearer to it than the buffer; null for points without
+    coordinates or with an unknown district. The polygon is found by its key, not by search (J13)."""
+    polygons = districts.select(F.col(key).alias("_k"), F.col(rings).alias("_rings"), utm_rings(F.col(rings)).alias("_urings"))
     out = df.join(polygons, F.col(key) == F.col("_k"), "left")
-    judged = F.col("_rings").isNotNull() & F.col(lon).isNotNull() & F.col(lat).isNotNull()
+    x, y = X.utm18s(F.col(lon), F.col(lat))
     near = contains(F.col(lon), F.col(lat), F.col("_rings"))
     if buffer_m > 0:
-        near = near | (ring_distance_m(F.col(lon), F.col(lat), F.col("_rings")) < buffer_m)
-    return out.withColumn("district_mismatch", F.when(judged, ~near).otherwise(F.lit(False))).drop("_k", "_rings")
+        out = out.withColumns({"_px": x, "_py": y})
+        near = near | (ring_distance_m(F.col("_px"), F.col("_py"), F.col("_urings")) < buffer_m)
+    judged = F.col("_rings").isNotNull() & F.col(lon).isNotNull() & F.col(lat).isNotNull()
+    return out.withColumn(name, F.when(judged, near)).drop("_k", "_rings", "_urings", "_px", "_py")
+
+
+def outside_declared(df: DataFrame, districts: DataFrame, key: str, lon: str = "lon", lat: str = "lat", rings: str = "rings", buffer_m: float = 1000.0) -> DataFrame:
+    """district_mismatch: the point is neither in the polygon of the district it declares nor within the buffer of it; points that can't be
+    judged do not mismatch (rule 4)."""
+    out = within_declared(df, districts, key, lon, lat, rings, buffer_m, "_within")
+    return out.withColumn("district_mismatch", F.coalesce(~F.col("_within"), F.lit(False))).drop("_within")
 
 
 def dissolve(polygons: DataFrame, groups: list[str], rings: str = "rings", firsts: tuple[str, ...] = ()) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import exprs as X
 from ..operators import access, filters, geo, inequality, linkage, network, quality, sampling, scenario, weights
+from . import phases
 from . import tables as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -533,10 +534,14 @@ def _boxes(spark, sf):
     return n.select("n_nationkey", F.array(F.array(p(0.0, -18.4), p(0.5, -18.4), p(0.5, 0.0), p(0.0, 0.0))).alias("rings"))
 
 
-@query("v4_declared_district", f"WITH {T.FACILITIES} SELECT facility_id, CASE WHEN lon IS NULL OR lat IS NULL THEN false ELSE NOT (lon >= -81.4e0 + 0.5e0 * s_nationkey AND lon < -81.4e0 + 0.5e0 * s_nationkey + 0.5e0 AND lat >= -18.4e0 AND lat < 0e0) END AS district_mismatch FROM facilities")
+@query(
+    "v4_declared_district",
+    f"""WITH {T.FACILITIES}, {T.STRIPS}, own AS (SELECT *, lpad(CAST(s_nationkey AS VARCHAR), 6, '0') AS code FROM facilities), {T.near_sql("n", "own", "facility_id", "lon", "lat")}
+SELECT facility_id, coalesce(NOT n.near, false) AS district_mismatch FROM facilities LEFT JOIN n ON n.key = facility_id""",
+)
 def _(spark, sf):
-    boxes = _boxes(spark, sf).withColumnRenamed("n_nationkey", "s_nationkey")
-    return geo.outside_declared(T.facilities(spark, sf), boxes, "s_nationkey", buffer_m=0).select("facility_id", "district_mismatch")
+    f = T.facilities(spark, sf).withColumn("code", F.lpad(F.col("s_nationkey").cast("string"), 6, "0"))
+    return geo.outside_declared(f, T.strips(spark, sf, "code"), "code").select("facility_id", "district_mismatch")
 
 
 @query(
@@ -796,3 +801,103 @@ def _(spark, sf):
     keys = ["dep", "prov", "dist"]
     before, after = T.rounded(access.weighted_mean_access(d, keys)), T.rounded(access.weighted_mean_access(d, keys, time="scenario_t"))
     return scenario.improvement_top(before, after, keys)
+
+
+# --- whole phases and dashboard tables --------------------------------------------------------------------------
+
+_SCOPE = ["AFRICA", "Asia", "EUROPE"]
+_SCOPE_SQL = "('AFRICA', 'ASIA', 'EUROPE')"
+
+
+def _phase_sql(raw: str, key: str, dep: str, texts: str, extra: str) -> str:
+    """flags: the records without copies, with all flags; dups: counts of copies; bad: values decoded wrongly."""
+    bad = " + ".join(f"coalesce(CAST(regexp_matches({c}, 'Ã.|Â.|â€.|�') AS INTEGER), 0)" for c in texts.split())
+    some = " + ".join(f"CAST({c} IS NOT NULL AS INTEGER)" for c in texts.split())
+    return f"""WITH {raw}, {T.STRIPS}, scoped AS (SELECT *, UBIGEO AS code, count(*) OVER (PARTITION BY {key}) AS n_key, row_number() OVER (PARTITION BY {key}, {texts.split()[0]} ORDER BY k) AS nth, count(*) OVER (PARTITION BY {key}, {texts.split()[0]}) AS n_row FROM raw WHERE upper({dep}) IN {_SCOPE_SQL}),
+dups AS (SELECT count(*) FILTER (WHERE n_key > 1) AS dups, count(*) FILTER (WHERE n_row > 1 AND nth > 1) AS copies, count(*) FILTER (WHERE n_key > 1 AND n_row = 1) AS conflicts FROM scoped),
+f1 AS (SELECT *, {key} || '/' || {texts.split()[0]} AS rid, n_key > 1 AND n_row = 1 AS conflict, {_MISSING} AS coord_missing, NOT {_MISSING} AND NOT {_IN} AS out_, NOT {_MISSING} AND NOT {_IN} AND {_SWAP} AS swap FROM scoped WHERE nth = 1),
+{T.near_sql("sw", "f1", "rid", "lat", "lon")}, f2 AS (SELECT f1.*, swap AND coalesce(sw.near, false) AS fixed FROM f1 LEFT JOIN sw ON sw.key = rid),
+f3 AS (SELECT * REPLACE (CASE WHEN fixed THEN lat ELSE lon END AS lon, CASE WHEN fixed THEN lon ELSE lat END AS lat), coord_missing OR (out_ AND NOT fixed) AS excluded FROM f2),
+{T.near_sql("ne", "f3", "rid", "lon", "lat")}, flags AS (SELECT f3.*, NOT excluded AND coalesce(NOT ne.near, false) AS apart, {bad} AS bad, {some} AS vals FROM f3 LEFT JOIN ne ON ne.key = rid){extra}"""
+
+
+def _report_sql(columns: str) -> str:
+    """The rule report, or the alarms, of flags and dups."""
+    rows = [
+        (K.RULES["coord_missing"], "count(*) FILTER (WHERE coord_missing)", f"'{K.EXCLUDE}'", "0", "0", "count(*) FILTER (WHERE coord_missing)"),
+        (K.RULES["coord_out_of_bbox"], "count(*) FILTER (WHERE out_)", f"'{K.EXCLUDE}'", "0", "0", "count(*) FILTER (WHERE out_)"),
+        (K.RULES["swap_candidate"], "count(*) FILTER (WHERE swap)", f"'{K.CORRECT} / {K.WARN}'", "count(*) FILTER (WHERE fixed)", "0", "count(*) FILTER (WHERE swap AND NOT fixed)"),
+        (K.RULES["district_mismatch"], "count(*) FILTER (WHERE apart)", f"'{K.WARN}'", "0", "0", "count(*) FILTER (WHERE apart)"),
+        (K.RULES["duplicates"], "any_value(dups)", f"'{K.DROP_COPY} / {K.WARN}'", "0", "any_value(copies)", "any_value(conflicts)"),
+        (K.RULES["encoding"], "CAST(sum(bad) AS BIGINT)", f"CASE WHEN 100.0 * sum(bad) / sum(vals) <= 1 THEN '{K.VERIFIED}' ELSE '{K.CORRECT}' END", "0", "0", "CASE WHEN 100.0 * sum(bad) / sum(vals) <= 1 THEN 0 ELSE CAST(sum(bad) AS BIGINT) END"),
+    ]
+    each = " UNION ALL ".join(f"SELECT '{n}' AS regla, {a} AS n_afectados, {act} AS accion, {c}::BIGINT AS n_corregidos, {d}::BIGINT AS n_eliminados, ({w})::BIGINT AS n_warnings, count(*) AS total FROM flags, dups" for n, a, act, c, d, w in rows)
+    return f" SELECT {columns} FROM ({each})"
+
+
+_FAC_PHASE = _phase_sql(T.RAW_FACILITIES, "COD_IPRESS", "DEPARTAMENTO", "NOMBRE DIRECCION DISTRITO PROVINCIA", "")
+_DEM_PHASE = _phase_sql(T.RAW_SETTLEMENTS, "CODCP", "DEP", "NOMCP DIST PROV", "")
+_REPORT = "regla, n_afectados, accion, n_corregidos, n_eliminados, n_warnings"
+_AUDIT = "{key} AS record_key, conflict AS qc_duplicate_conflicting, coord_missing AS qc_coord_missing, out_ AS qc_coord_out_of_bbox, fixed AS qc_latlon_swap_corrected, swap AND NOT fixed AS qc_latlon_swap_ambiguous, apart AS qc_district_mismatch FROM flags WHERE conflict OR coord_missing OR out_ OR apart"
+_ALARMS = "regla, 'ALARM {name}: ' || n_afectados || '/' || total AS alarm"
+_OVER = f" WHERE (regla = '{K.RULES['coord_missing']}' AND 100.0 * n_afectados / total > 15) OR (regla = '{K.RULES['coord_out_of_bbox']}' AND 100.0 * n_afectados / total > 5)"
+
+
+def _facility_phase(spark, sf):
+    return phases.process_facilities(T.raw_facilities(spark, sf), _SCOPE, T.strips(spark, sf), order=["k"])
+
+
+def _demand_phase(spark, sf):
+    return phases.process_demand(T.raw_settlements(spark, sf), _SCOPE, T.strips(spark, sf), max_points=200, order=["k"])
+
+
+@query(
+    "v6_facilities",
+    f"""{_FAC_PHASE}, normed AS (SELECT *, CATEGORIA AS raw_category, regexp_replace(upper(trim(CATEGORIA)), '\\s*-\\s*', '-', 'g') AS norm FROM flags), c AS (SELECT *, {T.CATEGORY} AS CATEGORIA_NORM, coalesce(upper(trim(ESTADO)) = 'ACTIVO', false) AS is_active FROM normed),
+d AS (SELECT *, is_active AND CATEGORIA_NORM IN ('II-1','II-2','II-E','III-1','III-2','III-E') AS is_resolutive FROM c)
+SELECT COD_IPRESS, NOMBRE, DEPARTAMENTO, PROVINCIA, DISTRITO, UBIGEO, CATEGORIA, CATEGORIA_NORM, ESTADO, is_active, is_resolutive, is_resolutive AND NOT excluded AS usable_for_routing, excluded AS qc_excluded_from_routing, apart AS qc_district_mismatch, {R("lon")} AS lon, {R("lat")} AS lat FROM d""",
+)
+def _(spark, sf):
+    return _facility_phase(spark, sf)["facilities"]
+
+
+@query("v6_facility_report", _FAC_PHASE + _report_sql(_REPORT))
+def _(spark, sf):
+    return _facility_phase(spark, sf)["quality"]
+
+
+@query("v6_facility_audit", f"{_FAC_PHASE} SELECT 'facilities' AS dataset, {_AUDIT.format(key='COD_IPRESS')}")
+def _(spark, sf):
+    return _facility_phase(spark, sf)["audit"]
+
+
+@query("v6_facility_alarms", _FAC_PHASE + _report_sql(_ALARMS.format(name="facilities")) + _OVER)
+def _(spark, sf):
+    return _facility_phase(spark, sf)["alarms"]
+
+
+_USABLE = _DEM_PHASE + """, demand AS (SELECT *, UBIGEO AS prov_ FROM flags WHERE NOT excluded), strata AS (SELECT UBIGEO, count(*) AS stratum_n FROM demand GROUP BY UBIGEO), total AS (SELECT sum(stratum_n) AS t FROM strata),
+q AS (SELECT UBIGEO, stratum_n, t, CASE WHEN t <= 200 THEN stratum_n ELSE (stratum_n * 200) // t END AS f, CASE WHEN t <= 200 THEN 0 ELSE (stratum_n * 200) % t END AS r FROM strata, total),
+quotas AS (SELECT UBIGEO, stratum_n, CAST(f + CASE WHEN t > 200 AND row_number() OVER (ORDER BY r DESC, UBIGEO) <= 200 - (SELECT sum(f) FROM q) THEN 1 ELSE 0 END AS BIGINT) AS quota FROM q),
+drawn AS (SELECT demand.*, stratum_n, quota, row_number() OVER (PARTITION BY UBIGEO ORDER BY CAST('0x' || substr(md5('42:' || CODCP), 1, 15) AS BIGINT), CODCP) AS place FROM demand JOIN quotas USING (UBIGEO))"""
+
+
+@query("v6_demand", f"{_USABLE} SELECT CODCP, DEP, PROV, DIST, UBIGEO, CPINEI, apart AS qc_district_mismatch, stratum_n, quota AS stratum_sample_n, {R('CAST(quota AS DOUBLE) / stratum_n')} AS inclusion_prob, {R('CAST(stratum_n AS DOUBLE) / quota')} AS design_weight, {R('lon')} AS lon, {R('lat')} AS lat FROM drawn WHERE place <= quota")
+def _(spark, sf):
+    d = _demand_phase(spark, sf)["demand"]
+    return d.select("CODCP", "DEP", "PROV", "DIST", "UBIGEO", "CPINEI", "qc_district_mismatch", "stratum_n", "stratum_sample_n", "inclusion_prob", "design_weight", "lon", "lat")
+
+
+@query("v6_demand_report", _DEM_PHASE + _report_sql(_REPORT))
+def _(spark, sf):
+    return _demand_phase(spark, sf)["quality"]
+
+
+@query("v6_demand_audit", f"{_DEM_PHASE} SELECT 'demand' AS dataset, {_AUDIT.format(key='CODCP')}")
+def _(spark, sf):
+    return _demand_phase(spark, sf)["audit"]
+
+
+@query("v6_demand_counts", f"{_DEM_PHASE} SELECT (SELECT count(*) FROM raw) AS n_national, (SELECT count(*) FROM scoped) AS n_in_scope, count(*) FILTER (WHERE NOT excluded) AS n_usable FROM flags")
+def _(spark, sf):
+    return _demand_phase(spark, sf)["counts"]

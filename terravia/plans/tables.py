@@ -139,3 +139,75 @@ def _pick_sql(xs, c):
 EDGES = f"""lines AS (SELECT l_orderkey AS id, l_partkey % 997 AS u, l_suppkey * 7 % 997 AS v, min(l_linenumber) AS ln, min(l_returnflag) AS rf, CAST(min(l_quantity) AS INTEGER) AS q FROM lineitem GROUP BY ALL),
 edges AS (SELECT id, u, v, {_pick_sql(_HIGHWAYS, "ln")} AS highway, CASE rf WHEN 'A' THEN 'yes' WHEN 'R' THEN '-1' END AS oneway, {_pick_sql(_SPEEDS, "q")} AS maxspeed, CASE WHEN q % 10 = 0 THEN 'no' END AS access,
   CASE WHEN q % 7 = 0 THEN 'roundabout' END AS junction, CASE WHEN q % 3 = 0 THEN 'yes' WHEN q % 11 = 0 THEN 'no' END AS bicycle, CASE WHEN q % 4 = 0 THEN 'yes' WHEN q % 13 = 0 THEN 'no' END AS foot, 100e0 + (id % 50) * 10 AS length FROM lines)"""
+
+
+def raw_facilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facility records as a register has them: some twice, some twice with another name, some wrongly decoded; two of three declare
+    the district (a strip of half a degree) that they lie in."""
+    f = facilities(spark, sf_dir)
+    n, r = read(spark, sf_dir, "nation"), read(spark, sf_dir, "region")
+    k = F.col("k")
+    own = F.least(F.floor(12.8 * ((k * 37) % 1000) / 1000.0 / 0.5), F.lit(24))
+    rows = f.join(n, f.s_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey).select(
+        F.col("facility_id").alias("COD_IPRESS"), F.when(k % 19 == 0, F.lit("SEÃ‘OR")).otherwise(F.col("name")).alias("NOMBRE"), F.col("r_name").alias("DEPARTAMENTO"), F.col("n_name").alias("PROVINCIA"),
+        F.concat(F.lit("D"), (k % 10).cast("string")).alias("DISTRITO"), F.lpad(F.when(k % 3 != 0, own).otherwise(F.col("s_nationkey")).cast("string"), 6, "0").alias("UBIGEO"), F.lit(None).cast("string").alias("DIRECCION"),
+        F.col("raw_category").alias("CATEGORIA"), F.col("state").alias("ESTADO"), F.col("lat").cast("string").alias("NORTE"), F.col("lon").cast("string").alias("ESTE"), k.alias("k"),
+    )
+    twice = rows.where("k % 17 = 0").unionByName(rows.where("k % 23 = 0").withColumn("NOMBRE", F.lit("OTRO")))
+    return rows.unionByName(twice)
+
+
+_STRIP = "lpad(CAST(CASE WHEN {k} % 3 <> 0 THEN least(CAST(floor(12.8e0 * (({k} * 37) % 1000) / 1000e0 / 0.5e0) AS BIGINT), 24) ELSE n_nationkey END AS VARCHAR), 6, '0')"
+RAW_FACILITIES = f"""{FACILITIES}, rows_ AS (SELECT facility_id AS COD_IPRESS, CASE WHEN k % 19 = 0 THEN 'SEÃ‘OR' ELSE name END AS NOMBRE, r_name AS DEPARTAMENTO, n_name AS PROVINCIA, 'D' || (k % 10) AS DISTRITO, {_STRIP.format(k="k")} AS UBIGEO,
+  CAST(NULL AS VARCHAR) AS DIRECCION, raw_category AS CATEGORIA, state AS ESTADO, lat, lon, k FROM facilities JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+raw AS (SELECT * FROM rows_ UNION ALL SELECT * FROM rows_ WHERE k % 17 = 0 UNION ALL SELECT * REPLACE ('OTRO' AS NOMBRE) FROM rows_ WHERE k % 23 = 0)"""
+
+
+def raw_settlements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settlements as a register has them, made from customers in the same way."""
+    c, n, r = read(spark, sf_dir, "customer"), read(spark, sf_dir, "nation"), read(spark, sf_dir, "region")
+    k = F.col("k")
+    own = F.least(F.floor(12.8 * ((k * 37) % 1000) / 1000.0 / 0.5), F.lit(24))
+    rows = located(c.withColumn("k", F.col("c_custkey"))).join(n, F.col("c_nationkey") == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
+    rows = rows.select(
+        F.lpad(k.cast("string"), 8, "0").alias("CODCP"), F.col("c_name").alias("NOMCP"), F.col("r_name").alias("DEP"), F.col("n_name").alias("PROV"), F.col("c_mktsegment").alias("DIST"),
+        F.lpad(F.when(k % 3 != 0, own).otherwise(F.col("n_nationkey")).cast("string"), 6, "0").alias("UBIGEO"), F.col("lon").alias("XGD"), F.col("lat").alias("YGD"), F.when(k % 5 != 0, k.cast("string")).alias("CPINEI"), k.alias("k"),
+    )
+    return rows.unionByName(rows.where("k % 17 = 0")).unionByName(rows.where("k % 23 = 0").withColumn("NOMCP", F.lit("OTRO")))
+
+
+RAW_SETTLEMENTS = f"""located AS (SELECT *, c_custkey AS k, {located_sql("c_custkey")} FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+rows_ AS (SELECT lpad(CAST(k AS VARCHAR), 8, '0') AS CODCP, c_name AS NOMCP, r_name AS DEP, n_name AS PROV, c_mktsegment AS DIST, {_STRIP.format(k="k")} AS UBIGEO, lon, lat, CASE WHEN k % 5 <> 0 THEN CAST(k AS VARCHAR) END AS CPINEI, k FROM located),
+raw AS (SELECT * FROM rows_ UNION ALL SELECT * FROM rows_ WHERE k % 17 = 0 UNION ALL SELECT * REPLACE ('OTRO' AS NOMCP) FROM rows_ WHERE k % 23 = 0)"""
+
+
+def strips(spark: SparkSession, sf_dir: str, code: str = "UBIGEO") -> DataFrame:
+    """A district per nation: strips of half a degree, side by side."""
+    n = read(spark, sf_dir, "nation").select("n_nationkey", (-81.4 + 0.5 * F.col("n_nationkey")).alias("x"))
+    p = lambda dx, y: F.struct((F.col("x") + dx).alias("x"), F.lit(y).alias("y"))
+    return n.select(F.lpad(F.col("n_nationkey").cast("string"), 6, "0").alias(code), F.array(F.array(p(0.0, -18.4), p(0.5, -18.4), p(0.5, 0.0), p(0.0, 0.0))).alias("rings"))
+
+
+def utm_sql(name: str, source: str, lon: str, lat: str) -> str:
+    """Tables ending in `name`: the rows of source with ux, uy, their coordinates in UTM zone 18 south."""
+    f = 1 / 298.257223563
+    n = f / (2 - f)
+    scale = 0.9996 * 6_378_137.0 / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    alpha = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240)
+    e = 2 * n**0.5 / (1 + n)
+    x = " + ".join(["eta", *(f"{a!r}::DOUBLE * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, a in enumerate(alpha, 1))])
+    y = " + ".join(["xi", *(f"{a!r}::DOUBLE * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, a in enumerate(alpha, 1))])
+    return f"""{name}1 AS (SELECT *, sin(radians({lat})) AS s_, radians({lon} + 75e0) AS l_ FROM {source}), {name}2 AS (SELECT *, sinh(atanh(s_) - {e!r}::DOUBLE * atanh({e!r}::DOUBLE * s_)) AS t_ FROM {name}1),
+{name}3 AS (SELECT *, atan2(t_, cos(l_)) AS xi, atanh(sin(l_) / sqrt(1 + t_ * t_)) AS eta FROM {name}2), {name} AS (SELECT * EXCLUDE (s_, l_, t_, xi, eta), 500000e0 + {scale!r}::DOUBLE * ({x}) AS ux, 10000000e0 + {scale!r}::DOUBLE * ({y}) AS uy FROM {name}3)"""
+
+
+#: code, ax, ay, ex, ey: the edges of the strips in metres.
+STRIPS = f"""corner AS (SELECT lpad(CAST(n_nationkey AS VARCHAR), 6, '0') AS code, i, -81.4e0 + 0.5e0 * n_nationkey + CASE WHEN i IN (1, 2) THEN 0.5e0 ELSE 0e0 END AS clon, CASE WHEN i < 2 THEN -18.4e0 ELSE 0e0 END AS clat FROM nation, range(4) r(i)),
+{utm_sql("cu", "corner", "clon", "clat")}, side AS (SELECT a.code, a.ux AS ax, a.uy AS ay, b.ux AS ex, b.uy AS ey FROM cu a JOIN cu b ON a.code = b.code AND b.i = (a.i + 1) % 4)"""
+
+
+def near_sql(name: str, source: str, key: str, lon: str, lat: str) -> str:
+    """Table `name`: key, near: whether points with a known district are in it or nearer than 1000 m."""
+    return f"""{name}_in AS (SELECT DISTINCT {key} AS key, code, {lon} AS plon, {lat} AS plat FROM {source} WHERE {lon} IS NOT NULL AND {lat} IS NOT NULL AND abs({lat}) < 90), {utm_sql(f"{name}_u", f"{name}_in", "plon", "plat")},
+{name}_d AS (SELECT key, u.code, plon, plat, ux, uy, ax, ay, ex - ax AS dx, ey - ay AS dy, least(greatest(((ux - ax) * (ex - ax) + (uy - ay) * (ey - ay)) / ((ex - ax) * (ex - ax) + (ey - ay) * (ey - ay)), 0), 1) AS t FROM {name}_u u JOIN side ON side.code = u.code),
+{name} AS (SELECT key, any_value(plon >= -81.4e0 + 0.5e0 * CAST(code AS INTEGER) AND plon < -81.4e0 + 0.5e0 * CAST(code AS INTEGER) + 0.5e0 AND plat >= -18.4e0 AND plat < 0e0) OR min(sqrt(pow(ux - ax - t * dx, 2) + pow(uy - ay - t * dy, 2))) < 1000 AS near FROM {name}_d GROUP BY key)"""
