@@ -20,7 +20,7 @@ MODES_REACHABLE = ("none_reachable", "exactly_one_reachable", "exactly_two_reach
 CATEGORIES = ("I-1", "I-2", "I-3", "I-4", "II-1", "II-2", "II-E", "III-1", "III-2", "III-E")
 RESOLUTIVE = ("II-1", "II-2", "II-E", "III-1", "III-2", "III-E")
 NO_CATEGORY, UNKNOWN_CATEGORY = "SIN_CATEGORIA", "DESCONOCIDA"
-ALL = "Todos"
+ALL, ALL_TOKEN = "Todos", "todos"
 STATUS_LABELS = {
     "computable": "Computable",
     "low_routing_coverage": "Baja cobertura de ruteo",

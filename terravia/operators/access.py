@@ -155,6 +155,13 @@ def extreme_ratio(df: DataFrame, ratio: str = "foot_over_car_ratio", threshold:
     return df.where(F.col(ratio) > threshold).orderBy(F.desc(ratio))
 
 
+def kpi_header(df: DataFrame, time: str = "t_min", weight: str = "calibrated_weight", threshold: float = 60) -> DataFrame:
+    """The indicators with the weighted median."""
+    from . import inequality
+
+    return kpis(df, time, weight, threshold).crossJoin(F.broadcast(inequality.weighted_median(df, time, weight)))  # one row each
+
+
 def track_impact(before: int, after: int) -> dict[str, float]:
     """What a change brings, from counts before and after."""
     return {"before": before, "after": after, "gain": after - before, "gain_pct": 100.0 * (after - before) / before if before else None}

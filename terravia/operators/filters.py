@@ -15,9 +15,15 @@ def _chosen(values: Sequence[str] | None) -> bool:
 
 
 def scope(df: DataFrame, column: str, names: Sequence[str]) -> DataFrame:
+    """Rows whose declared department is one of a study's, in any case."""
     return df.where(F.upper(F.trim(F.col(column))).isin([n.upper() for n in names]))
 
 
+def by_code(df: DataFrame, column: str, codes: Sequence[str]) -> DataFrame:
+    """Rows whose code is one of a study's."""
+    return df.where(F.col(column).isin(list(codes)))
+
+
 def geographic(df: DataFrame, choices: Mapping[str, Sequence[str] | None]) -> DataFrame:
     """Each level filters unless nothing, or "all", is chosen."""
     for column, values in choices.items():
@@ -27,6 +33,7 @@ def geographic(df: DataFrame, choices: Mapping[str, Sequence[str] | None]) -> Da
 
 
 def facilities(df: DataFrame, categories: Sequence[str] | None = None, institutions: Sequence[str] | None = None, resolutive: bool | None = None) -> DataFrame:
+    """Facilities by category, institution and whether they are resolutive; what isn't chosen doesn't filter."""
     df = geographic(df, {"category": categories, "institution": institutions})
     return df if resolutive is None else df.where(F.col("is_resolutive") == resolutive)
 

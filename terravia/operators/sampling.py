@@ -24,8 +24,8 @@ def quotas(strata: DataFrame, key: str, size: str, n: int) -> DataFrame:
     return df.withColumn("quota", F.least(F.col("_floor") + extra, F.col(size)).cast("long")).drop("_total", "_floor", "_rest", "_left", "_nth")
 
 
-#: Strata over this size are cut by a quantile of the hash before they are sorted; the quantile's error, and the margin over it.
-LARGE, ACCURACY, MARGIN = 20_000, 10_000, 3e-4
+#: Strata over this size are cut by a quantile of the hash before they are sorted; the quantile's rank is off by 1 / ACCURACY at most.
+LARGE, ACCURACY = 20_000, 10_000
 
 
 def draw(key: str, seed: int) -> Column:
@@ -39,7 +39,7 @@ def stratified_sample(df: DataFrame, stratum: str, key: str, n: int, seed: int =
     only the rows up to a quantile of the hash, a little over its quota, are sorted; the sample is exact."""
     h = draw(key, seed)
     total = df.count()
-    share = min(1.0, n / max(1, total) + MARGIN)  # quotas are in proportion, but for one unit
+    share = min(1.0, n / max(1, total) + 1 / ACCURACY + 2 / LARGE)  # quotas are in proportion, but for one unit
     cut = F.when(F.count(F.lit(1)) > LARGE, F.percentile_approx(h, share, ACCURACY)).alias("_cut")
     sizes = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("stratum_n"), cut)
     plan = quotas(sizes, stratum, "stratum_n", n).withColumnRenamed("quota", "stratum_sample_n")

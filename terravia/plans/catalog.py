@@ -901,3 +901,163 @@ def _(spark, sf):
 @query("v6_demand_counts", f"{_DEM_PHASE} SELECT (SELECT count(*) FROM raw) AS n_national, (SELECT count(*) FROM scoped) AS n_in_scope, count(*) FILTER (WHERE NOT excluded) AS n_usable FROM flags")
 def _(spark, sf):
     return _demand_phase(spark, sf)["counts"]
+
+
+@query("p1_scope", f"WITH {T.RAW_FACILITIES} SELECT COD_IPRESS, NOMBRE FROM raw WHERE upper(DEPARTAMENTO) IN {_SCOPE_SQL}")
+def _(spark, sf):
+    return filters.scope(T.raw_facilities(spark, sf), "DEPARTAMENTO", _SCOPE).select("COD_IPRESS", "NOMBRE")
+
+
+@query("p2_study_codes", f"WITH {T.RAW_FACILITIES} SELECT COD_IPRESS, UBIGEO FROM raw WHERE UBIGEO IN ('000003', '000011', '000024')")
+def _(spark, sf):
+    return filters.by_code(T.raw_facilities(spark, sf), "UBIGEO", ["000003", "000011", "000024"]).select("COD_IPRESS", "UBIGEO")
+
+
+_LAYER = f"""{T.FACILITIES}, {T.NORMED}, cat AS (SELECT *, {T.CATEGORY} AS category, coalesce(upper(trim(state)) = 'ACTIVO', false) AS is_active FROM normed),
+layer AS (SELECT facility_id, category, is_active, category IN ('II-1','II-2','II-E','III-1','III-2','III-E') AND is_active AS is_resolutive, CASE WHEN k % 10 <> 3 THEN 'INST' || k % 4 END AS institution FROM cat)"""
+
+
+def _layer(spark, sf):
+    f = T.facilities(spark, sf).withColumns({"category": X.normalize_category("raw_category"), "is_active": X.is_active("state")})
+    f = f.withColumn("is_resolutive", F.col("category").isin(*K.RESOLUTIVE) & F.col("is_active"))
+    raw = f.where("k % 10 <> 3").select("facility_id", F.concat(F.lit("INST"), (F.col("k") % 4).cast("string")).alias("INSTITUCION"))
+    return f.withColumnRenamed("category", "CATEGORIA_NORM"), raw
+
+
+@query("j19_facility_layer", f"WITH {_LAYER} SELECT facility_id, category, institution, CASE WHEN is_resolutive THEN '{K.LAYER_RESOLUTIVE}' WHEN category IN ('I-3', 'I-4') AND is_active THEN '{K.LAYER_UPGRADE}' ELSE '{K.LAYER_OTHER}' END AS layer_category FROM layer")
+def _(spark, sf):
+    return phases.facility_layer(*_layer(spark, sf), key="facility_id").select("facility_id", F.col("CATEGORIA_NORM").alias("category"), F.col("INSTITUCION").alias("institution"), "layer_category")
+
+
+@query(
+    "p13_facility_filter",
+    f"""WITH {_LAYER} SELECT 'category' AS chosen, facility_id FROM layer WHERE category IN ('I-4', 'II-1') UNION ALL SELECT 'institution', facility_id FROM layer WHERE institution IN ('INST0', 'INST2')
+UNION ALL SELECT 'resolutive', facility_id FROM layer WHERE is_resolutive UNION ALL SELECT 'others', facility_id FROM layer WHERE NOT is_resolutive UNION ALL SELECT 'all', facility_id FROM layer""",
+)
+def _(spark, sf):
+    f, raw = _layer(spark, sf)
+    f = phases.attach(f.withColumnRenamed("CATEGORIA_NORM", "category"), raw, ["facility_id"], ["INSTITUCION"]).withColumnRenamed("INSTITUCION", "institution")
+    kinds = {"category": {"categories": ["I-4", "II-1"]}, "institution": {"institutions": ["INST0", "INST2"]}, "resolutive": {"resolutive": True}, "others": {"resolutive": False}, "all": {"categories": [K.ALL]}}
+    out = [filters.facilities(f, **kw).select(F.lit(name).alias("chosen"), "facility_id") for name, kw in kinds.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3]).unionByName(out[4])
+
+
+_REPRESENTED = f"""{_LINKED}, rep AS (SELECT *, code IS NULL OR count(*) OVER (PARTITION BY code) = 1 OR demand_id IN ('0000000007', '0000000500') AS is_rep FROM linked)"""
+
+
+@query("j4_duplicate_key_excluded", f"{_REPRESENTED} SELECT demand_id, CASE WHEN match_status = 'matched' AND NOT is_rep THEN '{K.DUPLICATE_EXCLUDED}' ELSE match_status END AS match_status, CASE WHEN match_status = 'matched' AND is_rep THEN population END AS population FROM rep")
+def _(spark, sf):
+    d = _keyed(spark, sf)
+    d = d.withColumn("is_representative", _chosen(d))
+    return linkage.match_report(d, T.population(spark, sf), "code", "code", "pop", representative="is_representative").select("demand_id", "match_status", "population")
+
+
+def _chosen(d):
+    """Alone in its key, without one, or named."""
+    from pyspark.sql.window import Window
+
+    return F.col("code").isNull() | (F.count(F.lit(1)).over(Window.partitionBy("code")) == 1) | F.col("demand_id").isin("0000000007", "0000000500")
+
+
+@query("a27_kpi_header", ORACLE_SQL["a27_kpis"].replace(f"WITH {T.DEMAND} SELECT", f"WITH {T.DEMAND}, {_VALUES}, k AS (SELECT") + f") SELECT k.*, (SELECT {R('min(v)')} FROM run WHERE cw * 2 >= (SELECT sum(w) FROM vals)) AS weighted_median FROM k")
+def _(spark, sf):
+    return access.kpi_header(T.demand(spark, sf), weight="weight")
+
+
+@query("a26_captured_population", "WITH pop AS (SELECT c_custkey, n_name AS dep, 100 + c_custkey % 900 AS pop FROM customer JOIN nation ON c_nationkey = n_nationkey), d AS (SELECT DISTINCT o_custkey FROM orders WHERE o_custkey % 4 <> 0) SELECT dep, o_custkey IS NOT NULL AS matched, count(*) AS n_cp, CAST(sum(pop) AS BIGINT) AS population FROM pop LEFT JOIN d ON c_custkey = o_custkey GROUP BY ALL")
+def _(spark, sf):
+    c = T.read(spark, sf, "customer").join(T.read(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    pop = c.select(F.col("c_custkey").cast("string").alias("code"), F.col("n_name").alias("dep"), (100 + F.col("c_custkey") % 900).alias("pop"))
+    demand = T.read(spark, sf, "orders").select(F.when(F.col("o_custkey") % 4 != 0, F.col("o_custkey")).alias("c"))
+    return phases.captured_population(pop, demand, "dep", "code", "pop", "c")
+
+
+@query("a30_render_stats", f"{_DIST} SELECT count(weighted_mean) AS n, {R('min(weighted_mean)')} AS min_value, {R('max(weighted_mean)')} AS max_value, count(DISTINCT dep) AS n_colors FROM d")
+def _(spark, sf):
+    return geo.render_stats(_districts(spark, sf), "weighted_mean", "dep")
+
+
+@query("j17_district_status", f"{_DIST}, st AS (SELECT dep, prov, dist, {_QUALITY} AS district_status FROM d WHERE prov <> 'NATION_3') SELECT dep, prov, dist, weighted_mean, district_status FROM d LEFT JOIN st USING (dep, prov, dist)")
+def _(spark, sf):
+    keys = ["dep", "prov", "dist"]
+    status = _with_quality(spark, sf).where("prov <> 'NATION_3'")
+    return phases.attach(_districts(spark, sf), status, keys, ["district_status"]).select(*keys, "weighted_mean", "district_status")
+
+
+@query("j18_map_layer", f"{_DIST}, geo AS (SELECT n_name AS prov, -81.4e0 + 0.5e0 * n_nationkey AS x FROM nation WHERE n_nationkey % 4 <> 0) SELECT dep, prov, dist, weighted_mean, {R('x')} AS min_x FROM d JOIN geo USING (prov)")
+def _(spark, sf):
+    boxes = T.strips(spark, sf).join(T.read(spark, sf, "nation").select(F.lpad(F.col("n_nationkey").cast("string"), 6, "0").alias("UBIGEO"), F.col("n_name").alias("prov"), "n_nationkey"), "UBIGEO").where("n_nationkey % 4 <> 0")
+    out = phases.attach(_districts(spark, sf), boxes, ["prov"], ["rings"], "inner")
+    return out.select("dep", "prov", "dist", "weighted_mean", F.array_min(F.transform(F.col("rings")[0], lambda p: p["x"])).alias("min_x"))
+
+
+@query("j22_candidate_table", f"WITH {T.FACILITIES}, scores AS ({ORACLE_SQL['x4_candidate_scores']}) SELECT scores.facility_id, pop_gain_le_60, name, state FROM scores LEFT JOIN facilities USING (facility_id)")
+def _(spark, sf):
+    return phases.attach(scenario.candidate_scores(T.demand(spark, sf), T.matrix(spark, sf)), T.facilities(spark, sf), ["facility_id"], ["name", "state"]).select("facility_id", "pop_gain_le_60", "name", "state")
+
+
+_ROUTED = f"{T.MODE_PAIRS}, routed AS (SELECT *, 'routed' AS routing_status FROM nearest), ids AS (SELECT lpad(CAST(o_orderkey AS VARCHAR), 10, '0') AS demand_id, o_orderkey AS k FROM orders)"
+
+
+def _routed(spark, sf):
+    ids = T.read(spark, sf, "orders").select(F.lpad(F.col("o_orderkey").cast("string"), 10, "0").alias("demand_id"), F.col("o_orderkey").alias("k"))
+    return _nearest(spark, sf).withColumn("routing_status", F.lit(K.ROUTED)), ids
+
+
+@query("u3_with_failed", f"WITH {_ROUTED}, m AS (SELECT unnest(['car', 'foot']) AS mode) SELECT ids.demand_id, m.mode, facility_id, coalesce(reachable, false) AS reachable, coalesce(routing_status, 'snap_failed') AS routing_status FROM ids CROSS JOIN m LEFT JOIN routed r ON r.demand_id = ids.demand_id AND r.mode = m.mode")
+def _(spark, sf):
+    rows, ids = _routed(spark, sf)
+    return network.with_failed(rows.where("mode <> 'bike'"), ids, ["car", "foot"]).select("demand_id", "mode", "facility_id", "reachable", "routing_status")
+
+
+_ONE_MODE = "coalesce(max(routing_status) FILTER (WHERE mode = '{m}'), 'snap_failed') AS routing_status_{m}, max(facility_id) FILTER (WHERE mode = '{m}') AS nearest_facility_{m}, round(max(travel_time_min) FILTER (WHERE mode = '{m}'), 6) AS travel_time_min_{m}, round(max(distance_m) FILTER (WHERE mode = '{m}'), 6) AS distance_m_{m}"
+
+
+@query("j12_status_table", f"WITH {_ROUTED} SELECT ids.demand_id, CASE WHEN k % 13 = 0 THEN 'failure' ELSE 'success' END AS snap_status, CAST(k % 700 AS DOUBLE) AS snap_distance_m, {', '.join(_ONE_MODE.format(m=m) for m in ('car', 'bike', 'foot'))} FROM ids LEFT JOIN routed USING (demand_id) GROUP BY ids.demand_id, k")
+def _(spark, sf):
+    rows, ids = _routed(spark, sf)
+    snaps = ids.select(F.col("demand_id").alias("point_id"), F.when(F.col("k") % 13 == 0, "failure").otherwise("success").alias("status"), (F.col("k") % 700).cast("double").alias("snap_distance_m"))
+    return network.status_table(snaps, rows)
+
+
+@query("g9_snap_group", f"{_SNAP.replace('SELECT p.point_id,', 'SELECT p.point_id, j.node_id,')} SELECT point_id, 'facility' AS point_type, status, CASE WHEN status = 'success' THEN node_id END AS routing_node FROM s")
+def _(spark, sf):
+    nodes = _points(spark, sf, "part", "p_partkey").where("lon is not null and lon <> 0")
+    return phases.snap_group(_points(spark, sf, "supplier", "s_suppkey"), nodes, "facility", "k", "k", 5000.0).select("point_id", "point_type", "status", "routing_node")
+
+
+@query(
+    "g6_track_recovery",
+    f"""WITH {_graph_sql(_CAR_OK, f"coalesce(ms, {_CAR})")}, {_PLACES}, iso AS (SELECT range AS node_id FROM range(0, 1500, 3)), has AS (SELECT u AS n FROM g WHERE u % 5 <> 0 AND v % 5 <> 0 UNION SELECT v FROM g WHERE u % 5 <> 0 AND v % 5 <> 0),
+p AS (SELECT demand_id, node_id, node_id IN (SELECT n FROM has) AS e, CAST(demand_id AS BIGINT) % 7 = 0 AS r FROM pts WHERE node_id IN (SELECT node_id FROM iso))
+SELECT (SELECT count(*) FROM iso) AS n_previously_isolated, count(*) FILTER (WHERE e) AS n_recovers_edges, count(*) FILTER (WHERE r) AS n_recovers_route, count(*) FILTER (WHERE NOT e) AS n_still_isolated FROM p""",
+)
+def _(spark, sf):
+    d, _ = _places(spark, sf)
+    e = network.graph(T.edges(spark, sf), "car").where("u % 5 <> 0 and v % 5 <> 0")
+    routed = d.withColumn("routing_status", F.when(F.col("demand_id").cast("long") % 7 == 0, K.ROUTED).otherwise(K.NO_ROUTE))
+    return network.track_recovery(spark.range(0, 1500, 3).select(F.col("id").alias("node_id")), d, e, routed)
+
+
+@query("f13_filter_token", "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'todos' WHEN doc_id % 5 = 1 THEN 'todos' ELSE array_to_string(list_sort([lang, source, 'x' || doc_id % 3]), '-') END AS token FROM documents")
+def _(spark, sf):
+    i = F.col("doc_id") % 5
+    chosen = F.when(i == 0, F.array().cast("array<string>")).when(i == 1, F.array(F.lit(K.ALL))).otherwise(F.array("lang", "source", F.concat(F.lit("x"), (F.col("doc_id") % 3).cast("string"))))
+    return T.read(spark, sf, "documents").select("doc_id", X.serialized(chosen).alias("token"))
+
+
+_SPECIALS = "p_brand || ' 5% & x_ {y} $'"
+for _c in "&%$#_{}":
+    _SPECIALS = f"replace({_SPECIALS}, '{_c}', chr(92) || '{_c}')"
+
+
+@query("f14_latex", f"SELECT p_partkey, {_SPECIALS} AS escaped, CASE WHEN p_size % 7 = 0 THEN '--' ELSE format('{{:,.1f}}', CAST(p_partkey * 1250 AS DOUBLE)) END AS num FROM part")
+def _(spark, sf):
+    text = F.concat(F.col("p_brand"), F.lit(" 5% & x_ {y} $"))
+    return T.read(spark, sf, "part").select("p_partkey", X.latex_escape(text).alias("escaped"), X.fmt_num(F.when(F.col("p_size") % 7 != 0, F.col("p_partkey") * 1250)).alias("num"))
+
+
+@query("k5_heads", "(SELECT 'facilities' AS part, CAST(s_suppkey AS VARCHAR) AS id FROM supplier ORDER BY s_suppkey LIMIT 5) UNION ALL (SELECT 'demand', CAST(c_custkey AS VARCHAR) FROM customer ORDER BY c_custkey LIMIT 20)")
+def _(spark, sf):
+    h = phases.heads({"facilities": (T.read(spark, sf, "supplier"), "s_suppkey", 5), "demand": (T.read(spark, sf, "customer"), "c_custkey", 20)})
+    return h["facilities"].select(F.lit("facilities").alias("part"), F.col("s_suppkey").cast("string").alias("id")).unionByName(h["demand"].select(F.lit("demand").alias("part"), F.col("c_custkey").cast("string").alias("id")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from terravia import constants as K
 from terravia.functions import exprs as X
+from terravia.plans import phases
 from terravia.operators import access, filters, geo, inequality, linkage, network, quality, sampling, scenario, weights
 
 
@@ -247,6 +248,28 @@ def test_multi_source_agrees_with_relaxation(spark):
     assert set(want) - set(got) <= {"n3", "n40"}
 
 
+def test_large_graphs_are_searched_on_tables(spark, monkeypatch):
+    """Beyond one worker the same rows come from relaxation on tables, ties included."""
+    import random
+
+    rng = random.Random(8)
+    e = {(rng.randrange(40), rng.randrange(40)): (float(rng.randint(1, 6)), float(rng.randint(1, 9))) for _ in range(110)}
+    g = spark.createDataFrame([(u, v, t, m) for (u, v), (t, m) in e.items() if u != v], "u long, v long, time_s double, length double")
+    f = spark.createDataFrame([("FA", 3, "x"), ("FB", 20, "x"), ("FC", 20, "y"), ("FD", None, "x"), ("FE", 999, "y")], "facility_id string, node_id long, dep string")
+    d = spark.createDataFrame([(f"n{i}", i if i % 9 else None, "xy"[i % 2]) for i in range(45)], "demand_id string, node_id long, dep string")
+    runs = []
+    for most in (8_000_000, 3):
+        monkeypatch.setattr(network, "MAX_EDGES", most)
+        near = [sorted(network.nearest_multi_source(g, d, f, "car", same).collect()) for same in (False, True)]
+        runs.append([sorted(network.matrix(g, d, f, "car").collect()), *near])
+    assert runs[0] == runs[1] and any(r.reachable for r in runs[0][0]) and {r.facility_id for r in runs[0][2]} > {"FA", "FC"}
+    monkeypatch.undo()
+    with pytest.raises(RuntimeError):
+        network.relaxed(g, f.where("node_id = 3").selectExpr("node_id", "facility_id source"), "time_s", rounds=1)
+    with pytest.raises(RuntimeError):
+        network.weak_components(spark.range(30).selectExpr("id u", "id + 1 v"), rounds=1)
+
+
 def test_weak_components(spark):
     got = {r.node: r.component for r in network.weak_components(small_graph(spark)).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 7: 7, 8: 7}
@@ -275,6 +298,48 @@ def test_snap(spark):
     assert (r.n_total, r.n_failed, r.pct_failed, r.max_snap_m, r.p95_snap_m) == (2, 1, 50, 3000, 2850.5)
 
 
+def test_snap_finds_what_brute_force_finds(spark):
+    """Near, far and very far points, and some alike."""
+    import random
+
+    rng = random.Random(3)
+    nodes = [(i, -75 + rng.random() * rng.choice([0.2, 6]), -10 + rng.random() * rng.choice([0.2, 6])) for i in range(300)]
+    points = [(f"p{i}", *rng.choice([(-75 + rng.random(), -10 + rng.random()), (-90 + 30 * rng.random(), -20 + 30 * rng.random()), (10.0, 50.0), (-74.9, -9.9)])) for i in range(150)]
+    points.append(points[0])
+    got = geo.snap(spark.createDataFrame(points, "id string, lon double, lat double"), spark.createDataFrame(nodes, "id long, lon double, lat double"), "id", "id", 500).collect()
+    scale = math.cos(math.radians(sum(n[2] for n in nodes) / len(nodes)))
+    want = {p[0]: min((((p[1] - n[1]) * scale) ** 2 + (p[2] - n[2]) ** 2, n[0]) for n in nodes)[1] for p in points}
+    assert len(got) == 151 and {r.point_id: r.node_id for r in got} == want
+
+
+def test_large_strata_are_cut_before_they_are_sorted(spark, monkeypatch):
+    df = spark.range(3000).selectExpr("cast(id as string) k", "if(id % 3 = 0, 'a', 'b') s")
+    whole = sorted(sampling.stratified_sample(df, "s", "k", 200).collect())
+    monkeypatch.setattr(sampling, "LARGE", 500)
+    assert sorted(sampling.stratified_sample(df, "s", "k", 200).collect()) == whole and len(whole) == 200
+
+
+def test_latex_and_numbers(spark):
+    r = spark.range(1).select(X.latex_escape(F.lit("a\\b {c} ~^ 5%")).alias("t"), X.fmt_num(F.lit(1234567.86)).alias("n"), X.fmt_num(F.lit(None)).alias("none")).first()
+    assert tuple(r) == (r"a\textbackslash{}b \{c\} \textasciitilde{}\textasciicircum{} 5\%", "1,234,567.9", "--")
+    assert X.map_component_key("map", ["b", "a"], None, [K.ALL]) == "map_a-b_todos_todos"
+
+
+def test_phases_keep_a_trace_of_everything(spark):
+    names = "COD_IPRESS NOMBRE DEPARTAMENTO PROVINCIA DISTRITO UBIGEO DIRECCION CATEGORIA ESTADO NORTE ESTE".split()
+    own = lambda code, ub, lat, lon, name="N": (code, name, "cusco", "P", "D", ub, None, "II-1", "ACTIVO", lat, lon)
+    rows = [own("1", "A", "-3.55", "-80.55"), own("1", "A", "-3.55", "-80.55"), own("2", "A", "-3.55", "-80.45"), own("3", "A", "-80.55", "-3.55"), own("4", "A", "-80.45", "-3.55"), own("5", "A", "-0.0000001", "0.0"), own("6", "B", "50", "10"), own("7", "B", "-3.55", "-80.45", "x"), own("7", "B", "-3.55", "-80.45", "y")]
+    ring = lambda a, b: [[{"x": a, "y": -3.6}, {"x": b, "y": -3.6}, {"x": b, "y": -3.5}, {"x": a, "y": -3.5}]]
+    districts = spark.createDataFrame([("A", ring(-80.6, -80.5)), ("B", ring(-80.5, -80.4))], f"UBIGEO string, rings {geo.RINGS}")
+    out = phases.process_facilities(spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names)), ["Cusco"], districts)
+    f = {(r.COD_IPRESS, r.NOMBRE): r for r in out["facilities"].collect()}
+    assert len(f) == 8 and f["2", "N"].qc_district_mismatch and f["2", "N"].UBIGEO == "A" and f["2", "N"].usable_for_routing
+    assert (f["3", "N"].lon, f["3", "N"].lat) == (-80.55, -3.55) and f["4", "N"].qc_excluded_from_routing and f["5", "N"].qc_excluded_from_routing
+    report = {r.regla[0]: (r.n_afectados, r.n_corregidos, r.n_eliminados, r.n_warnings) for r in out["quality"].collect()}
+    assert report == {"1": (1, 0, 0, 1), "2": (3, 0, 0, 3), "3": (2, 1, 0, 1), "4": (1, 0, 0, 1), "5": (4, 0, 1, 2), "6": (0, 0, 0, 0)}
+    assert {r.record_key for r in out["audit"].collect()} == {"2", "3", "4", "5", "6", "7"} and [r.regla[0] for r in out["alarms"].collect()] == ["2"]
+
+
 def test_declared_district(spark):
     ring = [{"x": -72.5, "y": -14.0}, {"x": -71.5, "y": -14.0}, {"x": -71.5, "y": -13.0}, {"x": -72.5, "y": -13.0}]
     box = spark.createDataFrame([("U", [ring])], f"code string, rings {geo.RINGS}")
