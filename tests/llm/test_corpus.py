@@ -382,6 +382,7 @@ def test_quality_on_held_out_rows(spark):
 
 def test_quality_gradients():
     net = quality.Network(1)
+    net.p["bias"][:] = 0.05  # at 0 the padding's responses stand at the rectifier's corner, where there is no gradient
     x, first = quality.encoded(["some text of words " * 30, "X!! Y!! " * 60, None])
     y = np.array([1, 0, 1], np.float32)
 
@@ -390,7 +391,7 @@ def test_quality_gradients():
         return -np.mean(np.where(y == 1, np.log(p), np.log(1 - p)))
 
     g = net.gradients(x, first, y)
-    for name, at in (("out", (3,)), ("out", (30,)), ("bias", (2,)), ("filter", (1, 2, 3)), ("byte", (ord("t"), 4)), ("flag", (0, 1))):
+    for name, at in (("out", (3,)), ("out", (30,)), ("bias", (2,)), ("filter", (1, 2, 3)), ("byte", (ord("t"), 4)), ("byte", (ord("X"), 1))):
         old, step = net.p[name][at], 2e-3
         net.p[name][at] = old + step
         up = loss()
@@ -400,6 +401,24 @@ def test_quality_gradients():
         assert g[name][at] == pytest.approx((up - down) / (2 * step), rel=0.15, abs=2e-3)
 
 
+def test_quality_forward_pass_is_the_plain_one():
+    """Filter by filter, place by place, chunk by chunk."""
+    net, texts = quality.Network(5), ["a few words, ü and more " * 40, "short", "", "x" * 700]
+    net.p["bias"][:] = np.linspace(-0.2, 0.2, quality.FILTERS)
+    vectors, filters = net.p["byte"].astype(float), net.p["filter"].astype(float)
+    for text, got in zip(texts, net.scores(texts), strict=True):
+        raw = list(text.encode())
+        halves = max(2, -(-(len(raw) + quality.WIDTH) // quality.HALF))
+        raw += [quality.PADDING] * (halves * quality.HALF - len(raw))
+        top = []
+        for h in range(halves):
+            places = [i for i in range(h * quality.HALF, (h + 1) * quality.HALF, quality.STRIDE) if i + quality.WIDTH <= len(raw)]
+            top.append(np.max([np.maximum(0, net.p["bias"] + sum(vectors[raw[i + k]] @ filters[k] for k in range(quality.WIDTH))) for i in places], axis=0))
+        chunks = [np.maximum(a, b) for a, b in zip(top, top[1:], strict=False)]
+        z = np.concatenate([np.mean(chunks, axis=0), np.max(chunks, axis=0)]) @ net.p["out"] + net.p["constant"][0]
+        assert got == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-4)
+
+
 def test_quality_chunks_cover_the_document():
     net = quality.Network(2)
     base = "plain words only " * 400
