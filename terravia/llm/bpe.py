@@ -14,8 +14,9 @@ hash. The ids of a batch are decoded and held against its bytes, so a collision
 batch is then done again piece by piece.
 
 Texts over CHUNK characters are cut before white space, where a piece always ends. Null text is
-empty: no ids, empty decoded. Ids and repeated rows pass through as they are. The cache of encoded
-pieces is emptied when it holds CACHE pieces; this bounds memory and changes no result.
+empty: no ids, empty decoded. Null and repeated ids pass through as they are, equal texts have equal ids, an empty table
+gives no rows; a column of the input that is called n_tokens, ids or decoded stays, with _in after its name. The cache of
+encoded pieces is emptied when it holds CACHE pieces; this bounds memory and changes no result.
 """
 
 from __future__ import annotations
@@ -363,12 +364,19 @@ def _columns(path: str, pattern: str):
 
 
 def encode(docs: DataFrame, vocabulary: str | None = None, pattern: str | None = None, text_col: str = "text") -> DataFrame:
-    """docs with n_tokens, ids and decoded (the text decoded from the ids); columns that had these names are left out."""
+    """docs with n_tokens, ids and decoded (the text decoded from the ids); columns that had these names end in _in."""
     path, pat = default_vocabulary()
-    kept = [f for f in docs.schema.fields if f.name not in ("n_tokens", "ids", "decoded")]
+    kept, new = docs.schema.fields, ("n_tokens", "ids", "decoded")
+    taken, names = {f.name.lower() for f in kept} | set(new), []
+    for f in kept:
+        name = f.name
+        while name.lower() in new or (name != f.name and name.lower() in taken):
+            name += "_in"
+        taken.add(name.lower())
+        names.append(name)
     named = docs.select(*(F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(kept)), F.col(text_col).cast("string").alias("encoded"))
     ddl = "".join(f"c{i} {f.dataType.simpleString()}, " for i, f in enumerate(kept))
-    return named.mapInArrow(common.tidied(_columns(vocabulary or path, pattern or pat)), ddl + "n_tokens long, ids array<int>, decoded string").toDF(*(f.name for f in kept), "n_tokens", "ids", "decoded")
+    return named.mapInArrow(common.tidied(_columns(vocabulary or path, pattern or pat)), ddl + "n_tokens long, ids array<int>, decoded string").toDF(*names, *new)
 
 
 def digests(docs: DataFrame, vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:

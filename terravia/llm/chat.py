@@ -8,7 +8,8 @@ are trained, as ``start-end`` in characters, joined by commas: of each assistant
 
 Defined results: null roles and texts are empty strings and equal to these; turns are in order of turn,
 null turns first, ties by role, then text; rows without a conv_id belong to no conversation and are left
-out; equal conversations have empty completions and empty masks; a missing conversation is one without turns.
+out; equal conversations have empty completions and empty masks; a missing conversation is one without turns; turns that repeat
+are turns; an empty table gives no rows; texts of any length are rendered whole; further columns are not read.
 """
 
 from __future__ import annotations

@@ -59,10 +59,14 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
 
 def dropped(df: DataFrame) -> None:
     """Deletes the files of a table that stored() wrote, once nothing reads it any more."""
-    spark = df.sparkSession
     for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        removed(df.sparkSession, name)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared one."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def released(spark: SparkSession) -> None:

@@ -493,7 +493,8 @@ def groups(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id", text_c
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs whose document is the first of its group, all columns as they are; rows without an id stay."""
+    """The rows of docs whose document is the first of its group, all columns as they are; rows without an id stay. Rows of one doc_id are
+    one document: they stay or go together."""
     found = common.stored(groups(docs, k, percent).where("component <> doc_id").select(F.col("doc_id").alias("gone_id")).distinct(), "jaccard-gone")
     named = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)), F.col("doc_id").cast("long").alias("own_id"))
     near = common.marked(named, "own_id", common.bitmap(found, "gone_id"), "maybe")

@@ -8,7 +8,9 @@ the band), and pairs of an anchor peak with the next FAN peaks within REACH fram
 time << 24 | f1 << 15 | f2 << 6 | dt, kept as an array in order of time.
 
 Frames are transformed BLOCK at a time, so memory is bounded by the text, not by its spectrogram.
-Null text is empty: its payload is 576 bytes of 255. Null and repeated ids are rows like others.
+Null text is empty: its payload is 576 bytes of 255. Null and repeated ids are rows like others; equal texts have equal
+values; of bins of equal strength in a band the lowest is the peak, of equal frames the first; very long texts are
+one file, whole; an empty table gives no rows; further columns are not read.
 """
 
 from __future__ import annotations

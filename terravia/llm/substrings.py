@@ -155,5 +155,17 @@ def dedup(docs: DataFrame, keep: tuple[str, ...] = (), id_col: str = "doc_id", t
     return out.withColumnsRenamed({f"k{i}": c for i, c in enumerate(keep)})
 
 
+def cleaned(docs: DataFrame, run: int = RUN) -> DataFrame:
+    """docs with texts that have no repeated passage, all other columns as they are; where n_chars is one, it counts what is left."""
+    names = docs.columns
+    kept = {i: c for i, c in enumerate(names) if c != "text"}
+    own = docs.select(F.col("doc_id").alias("own_id"), F.col("text").alias("own_text"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in kept.items()))
+    out = dedup(own, tuple(f"c{i}" for i in kept), "own_id", "own_text", run)
+    columns = {c: F.col(f"c{i}") for i, c in kept.items()} | {"text": F.col("text")}
+    if "n_chars" in names:
+        columns["n_chars"] = F.when(F.size("removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(columns["n_chars"])
+    return out.select(*(columns[c].alias(c) for c in names))
+
+
 def op2(spark, sf_dir: str) -> DataFrame:
     return dedup(common.table(spark, sf_dir, "documents"))

@@ -25,7 +25,9 @@ rows), ``max_chars`` the length of a document that may be in it. Scored document
 
 Defined results: null and empty texts have the score of a document without segments; without
 training documents of both kinds every score is 0; labels other than 0 and 1, or null, are not used; of
-labels that repeat a doc_id the smallest counts; ids are passed through.
+labels that repeat a doc_id the smallest counts; ids are passed through, repeated ones with a score for each row; equal texts
+score alike; very long texts are scored whole; an empty table gives no rows; further columns are not read by score(), and
+stay as they are in filtered(). The query's held_out is null where doc_id is; a score of 0.5 is predicted 1.
 """
 
 from __future__ import annotations

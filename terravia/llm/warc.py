@@ -16,7 +16,9 @@ that is lost leaves files that nobody reads. All are written in the folder of sp
 
 Defined results: null html is an empty payload; a null url becomes urn:page:<id>; line breaks in a
 url are percent-encoded. A null page_id is never referred to; it revisits an equal payload that has
-an id. Rows that repeat both page_id and payload are all response. No pages, no rows.
+an id. Rows that repeat both page_id and payload are all response. No pages, no rows. A payload of any length
+is one record; further columns are not read. The normalised archives and their indexes stay, as they are the result; the
+monolithic ones and the tables of the way there are deleted.
 """
 
 from __future__ import annotations
@@ -242,6 +244,9 @@ def archive_pages(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     plan = common.stored(revisits(written, min_bytes), "warc-plan")
     tasks = max(1, min(plan.count(), 100_000))
     index = common.stored(normalise(plan.repartition(tasks), raw, final), "warc-index")
+    common.dropped(written)
+    common.dropped(plan)
+    common.removed(spark, raw)
     return read(index, final)
 
 

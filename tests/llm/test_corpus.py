@@ -537,6 +537,27 @@ def test_pipeline(spark):
         assert stage(spark, before.where("false"), SF).count() == 0, name
 
 
+def test_pipeline_on_odd_rows(spark, edge_docs):
+    """Nulls in any column, empty and very long texts, rows that repeat, ids that repeat, further columns with clashing names."""
+    import corpus_pipeline as p
+
+    again = documents(spark, [(1, PROSE), (None, None), (11, None), (12, "one of a kind and nothing else"), (12, "another text of the same document"), (13, "another text of the same document")])
+    nulls = documents(spark, [(14, "a row of nulls")]).select("doc_id", "text", *(F.lit(None).cast(f.dataType).alias(f.name) for f in edge_docs.schema.fields[2:]))
+    docs = common.stored(edge_docs.unionByName(again).unionByName(nulls), "odd-docs")
+    rows = docs.collect()
+    assert "ids" in docs.columns and "n_tokens" in docs.columns
+    for name, stage in p.STAGES[:-1]:
+        after = common.stored(stage(spark, docs, SF), "odd-stage")
+        assert after.columns == docs.columns, name
+        docs = after
+    got = p.STAGES[-1][1](spark, docs, SF).collect()
+    gone = {13}  # its text is one of document 12's
+    assert Counter(r.doc_id for r in got) == Counter(r.doc_id for r in rows if r.doc_id not in gone)
+    assert all(r.decoded == (r.text or "") and r.n_tokens == len(r.ids) and r.ids_in in ("x", None) for r in got)
+    assert sum(r.doc_id == 1 and r.text == PROSE for r in got) == 3 and sum(r.doc_id is None and r.text is None for r in got) == 2
+    assert {r.text for r in got if r.doc_id == 12} == {"one of a kind and nothing else", "another text of the same document"}
+
+
 def test_queries_are_registered():
     import __spark_entry__ as e
 
