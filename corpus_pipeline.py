@@ -7,13 +7,19 @@ substring_dedup     passages that stand in a document before are taken out of th
 decontamination     documents that hold a benchmark item go
 byte_bpe            ids of the text, and the text decoded from them
 
-All but the last return the columns of documents.
+All but the last return the columns of documents, whatever their names; the last adds n_tokens, ids and decoded.
+
+Defined results: null and empty texts are kept by every stage (toxicity scores them as clean, they are linked with nothing, hold
+no passage and no item, and have no ids); so are rows with a null doc_id, whose texts are still scored, searched and
+encoded, but which no other document's copy or passage is measured against. Rows of one doc_id are one document: the
+join keeps or drops them together, and passages that they share stay. Rows that repeat in all columns stay as many as they
+are where their document stays. Very long texts are read whole. Empty documents give no rows at every stage; without labels nothing
+is toxic, without a benchmark nothing is contaminated. A stage's table is deleted once the next one is written.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from terravia.llm import bpe, common, decontamination, jaccard, substrings, toxicity
 
@@ -29,11 +35,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     common.ship(spark)
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    out = substrings.dedup(docs, others)
-    if "n_chars" in others:
-        out = out.withColumn("n_chars", F.when(F.size("removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
+    return substrings.cleaned(docs)
 
 
 def reject_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +59,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
+    docs, before = common.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = common.stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            common.dropped(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
