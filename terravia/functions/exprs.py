@@ -21,6 +21,11 @@ def number(c: str | Column) -> Column:
     return col(c).try_cast("double")
 
 
+def is_missing(c: str | Column) -> Column:
+    """Whether a number is none, or not a number (H7)."""
+    return col(c).isNull() | F.isnan(col(c))
+
+
 def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), b.cast("double"))
 

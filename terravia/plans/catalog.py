@@ -1061,3 +1061,60 @@ def _(spark, sf):
 def _(spark, sf):
     h = phases.heads({"facilities": (T.read(spark, sf, "supplier"), "s_suppkey", 5), "demand": (T.read(spark, sf, "customer"), "c_custkey", 20)})
     return h["facilities"].select(F.lit("facilities").alias("part"), F.col("s_suppkey").cast("string").alias("id")).unionByName(h["demand"].select(F.lit("demand").alias("part"), F.col("c_custkey").cast("string").alias("id")))
+
+
+_PHASE3 = f"""WITH {T.DEMAND}, {T.POPULATION}, {_COUNTED}, own AS (SELECT *, CASE WHEN k % 31 <> 0 THEN CAST(CASE WHEN k % 10 = 3 THEN k - 1 ELSE k END AS VARCHAR) END AS code FROM demand),
+rep AS (SELECT own.*, code IS NULL OR count(*) OVER (PARTITION BY code) = 1 OR (code = '12' AND demand_id = '0000000012') OR (code = '22' AND demand_id = '0000000023') AS is_rep FROM own),
+lk AS (SELECT rep.*, p.pop, CASE WHEN p.n = 1 AND is_rep THEN p.pop * design_weight END AS ht FROM rep LEFT JOIN counted p ON p.code = rep.code),
+known AS (SELECT dep, prov, dist, sum(pop) AS known FROM lk WHERE is_rep AND pop IS NOT NULL GROUP BY ALL), fac AS (SELECT dep, prov, dist, coalesce(sum(ht), 0) AS total FROM lk GROUP BY ALL),
+da AS (SELECT lk.*, CASE WHEN status = 'routed' THEN t_raw END AS t, CAST(ht AS DOUBLE) * CASE WHEN total > 0 THEN CAST(known AS DOUBLE) / CAST(total AS DOUBLE) END AS cw FROM lk LEFT JOIN fac USING (dep, prov, dist) LEFT JOIN known USING (dep, prov, dist))"""
+_CUM = ", ".join(f"round(100.0 * coalesce(sum(cw) FILTER (WHERE {c}), 0) / nullif(sum(cw), 0), 6) AS {n}" for c, n in (("t <= 30", "pct_le_30"), ("t <= 60", "pct_le_60"), ("t <= 120", "pct_le_120"), ("t > 120", "pct_gt_120"), ("t IS NULL", "pct_no_time")))
+_CMEAN = "round(sum(CAST(t AS DOUBLE) * cw) / sum(cw) FILTER (WHERE t IS NOT NULL), 6) AS weighted_mean"
+
+
+def _phase3(spark, sf):
+    d = T.demand(spark, sf).withColumn("CPINEI", F.when(F.col("k") % 31 != 0, F.when(F.col("k") % 10 == 3, F.col("k") - 1).otherwise(F.col("k")).cast("string")))
+    demand = d.select("demand_id", "CPINEI", "dep", "prov", "dist", "design_weight")
+    routing = d.select("demand_id", F.col("status").alias("routing_status_car"), F.col("t_raw").alias("travel_time_min_car"))
+    areas = d.select("demand_id", "urban_rural")
+    return phases.analyse(demand, routing, T.population(spark, sf), areas, demand, override={"12": "0000000012", "22": "0000000023"})
+
+
+@query("h12_access_by_department", f"{_PHASE3} SELECT CASE WHEN grouping(dep) = 1 THEN 'Total' ELSE dep END AS scope, round(sum(cw), 6) AS population, {_CMEAN}, {_CUM} FROM da GROUP BY ROLLUP (dep)")
+def _(spark, sf):
+    return _phase3(spark, sf)["access_by_department"]
+
+
+@query("phase3_districts", f"{_PHASE3} SELECT dep, prov, dist, count(*) AS n_cp, count(cw) AS n_cp_with_weight, {_CMEAN}, {_CUM} FROM da GROUP BY dep, prov, dist")
+def _(spark, sf):
+    out = _phase3(spark, sf)["districts"]
+    return out.select("dep", "prov", "dist", "n_cp", "n_cp_with_weight", "weighted_mean", "pct_le_30", "pct_le_60", "pct_le_120", "pct_gt_120", "pct_no_time")
+
+
+@query("h11_macros", ORACLE_SQL["a16_summary"].join(["WITH one AS (", ") SELECT unnest(['n_demand', 'n_matched']) AS name, unnest([format('{:,}', n_demand), format('{:,}', n_matched)]) AS value FROM one"]))
+def _(spark, sf):
+    return phases.macros(QUERIES["a16_summary"](spark, sf)).where("name in ('n_demand', 'n_matched')")
+
+
+@query("u6_audits", f"SELECT * FROM ({ORACLE_SQL['v6_facility_audit']}) UNION ALL SELECT * FROM ({ORACLE_SQL['v6_demand_audit']})")
+def _(spark, sf):
+    return phases.audits(_facility_phase(spark, sf)["audit"], _demand_phase(spark, sf)["audit"])
+
+
+@query("a28_facility_panel", f"SELECT regla, n_afectados, accion, 'declared' AS justificacion FROM ({ORACLE_SQL['v6_facility_report']})")
+def _(spark, sf):
+    both = [_facility_phase(spark, sf)["quality"].withColumn("dataset", F.lit("facilities")), _demand_phase(spark, sf)["quality"].withColumn("dataset", F.lit("demand"))]
+    return filters.facility_quality(both[0].unionByName(both[1]).withColumn("justificacion", F.lit("declared")))
+
+
+@query("a28_routing_panel", f"WITH {_ROUTED}, c AS (SELECT count(*) AS n, (SELECT count(*) FROM pairs WHERE mode = 'car' AND NOT reachable) AS lost FROM ids) SELECT 17e0 AS car_snap_failed, round(100.0 * 17 / n, 6) AS car_snap_failed_pct, CAST(lost AS DOUBLE) AS car_no_route, round(100.0 * lost / n, 6) AS car_no_route_pct, CAST(n AS DOUBLE) AS demand_total FROM c")
+def _(spark, sf):
+    lost = T.mode_pairs(spark, sf).where("mode = 'car' and not reachable").agg(F.count(F.lit(1)).cast("string").alias("value")).select(F.lit("car_no_route_same_department").alias("metric"), "value")
+    total = T.read(spark, sf, "orders").agg(F.count(F.lit(1)).cast("string").alias("value")).select(F.lit("demand_total").alias("metric"), "value")
+    return filters.routing_quality_panel(lost.unionByName(total).unionByName(spark.createDataFrame([("car_snap_failed", "17")], "metric string, value string")))
+
+
+@query("p17_area_categories", "SELECT c_custkey, CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'urban' WHEN c_mktsegment = 'FURNITURE' THEN 'rural' ELSE 'unknown' END AS urban_rural FROM customer")
+def _(spark, sf):
+    c = T.read(spark, sf, "customer")
+    return linkage.urban_rural(c, c.select(F.col("c_custkey").alias("id"), "c_mktsegment"), "c_custkey", "id", "c_mktsegment", urban=("BUILDING", "MACHINERY"), rural=("FURNITURE",)).select("c_custkey", "urban_rural")

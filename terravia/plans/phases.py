@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import exprs as X
-from ..operators import filters, geo, linkage, quality, sampling
+from ..operators import access, filters, geo, inequality, linkage, quality, sampling, weights
 
 #: Alarms: at most these shares in percent.
 MISSING_PCT, OUT_PCT, MOJIBAKE_PCT = 15.0, 5.0, 1.0
@@ -143,3 +143,57 @@ def captured_population(pop: DataFrame, demand: DataFrame, dep: str, code: str,
 def universe(demand: DataFrame, pop: DataFrame, key: str, id_col: str, pop_key: str, pop_value: str, override: dict[str, str] | None = None) -> DataFrame:
     """The population that settlements stand for, each record once (J3, then J5)."""
     return linkage.population_universe(linkage.flag_representative(demand, key, id_col, override), pop, key, pop_key, pop_value)
+
+
+def analyse(
+    demand: DataFrame, routing: DataFrame, pop: DataFrame, areas: DataFrame, frame: DataFrame | None = None, *, key: str = "CPINEI", pop_key: str = "code", pop_value: str = "pop",
+    groups: Sequence[str] = ("dep", "prov", "dist"), override: dict[str, str] | None = None, low_share: float = 50.0,
+) -> dict[str, DataFrame]:
+    """From demand, its routing, population and kinds of area to every table of the analysis. demand: demand_id, the key, the groups and
+    design_weight; frame: all settlements before sampling; where it is given, weights are calibrated by district to the population of the
+    frame, each record once; else the Horvitz-Thompson weight stands."""
+    groups = list(groups)
+    linked = linkage.match_report(linkage.flag_representative(demand, key, "demand_id", override), pop, key, pop_key, pop_value, representative="is_representative")
+    linked = linked.withColumns({"analysis_weight": weights.analysis_weight(), "population_match_status": F.col("match_status")})
+    table = linkage.demand_analysis(demand, routing, linked, areas)
+    out = {"match_summary": weights.match_summary(linked, groups[0])}
+    if frame is not None:
+        known = universe(frame, pop, key, "demand_id", pop_key, pop_value, override).groupBy(*groups).agg(F.sum("population").alias("known_population"))
+        out["calibration"] = weights.calibration_factors(table, known, groups, "ht_population_weight", "known_population")
+        table = weights.calibrated(table, out["calibration"], groups, "ht_population_weight")
+    else:
+        table = table.withColumn("calibrated_weight", F.col("ht_population_weight"))
+    weight = "calibrated_weight"
+    districts = access.district_metrics(table, groups, weight=weight)
+    districts = districts.withColumn("district_status", X.district_quality(F.col("n_cp_with_weight"), F.col("n_cp_with_time"), F.col("share_with_time_pct"), least_share=low_share))
+    ranked, rest = inequality.split_gaps(districts, groups)
+    return out | {
+        "demand_analysis": table, "access_by_department": report_access(table, groups[0], weight=weight), "districts": districts, "worst_computable": ranked, "insufficient": rest,
+        "coverage": access.bands_cumulative(table, weight=weight), "urban_rural": access.urban_rural_summary(table, weight=weight), "inequality": inequality.weighted_gini(table, "t_min", weight),
+        "lorenz": inequality.lorenz_curve(table, "t_min", weight), "header": access.kpi_header(table, weight=weight),
+    }
+
+
+def report_access(df: DataFrame, dep: str, time: str = "t_min", weight: str = "weight") -> DataFrame:
+    """The total and each department: population, mean time, and cumulative shares of all weight, in one rollup."""
+    names = {"<=30": "pct_le_30", "<=60 (cum)": "pct_le_60", "<=120 (cum)": "pct_le_120", ">120": "pct_gt_120", "sin_tiempo_estimable": "pct_no_time"}
+    t, w = F.col(time), F.col(weight)
+    both = t.isNotNull() & w.isNotNull()
+    rows = df.where(F.col(dep).isNotNull()).rollup(dep).agg(F.grouping(dep).alias("_g"), F.sum(w).alias("population"), X.ratio(F.sum(F.when(both, t * w)), F.sum(F.when(both, w))).alias("weighted_mean"), *access.cumulative_columns(time, weight))
+    shares = (X.percent(F.col(f"`{k}`"), F.nullif(F.col("population"), F.lit(0))).alias(v) for k, v in names.items())
+    return rows.select(F.when(F.col("_g") == 1, "Total").otherwise(F.col(dep)).alias("scope"), "population", "weighted_mean", *shares)
+
+
+def macros(one: DataFrame, digits: int = 1) -> DataFrame:
+    """name, value of a one-row table: whole numbers with thousands set off, others with so many digits, a dash for none."""
+    whole = ("tinyint", "smallint", "int", "bigint")
+    rows = F.array(*(F.struct(F.lit(n).alias("name"), X.fmt_num(n, 0 if k in whole else digits).alias("value")) for n, k in one.dtypes if k != "string"))
+    return one.select(F.inline(rows))
+
+
+def audits(*each: DataFrame) -> DataFrame:
+    """The details of several data sets as one table."""
+    out = each[0]
+    for a in each[1:]:
+        out = out.unionByName(a)
+    return out

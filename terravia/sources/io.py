@@ -280,6 +280,11 @@ def ensure_downloaded(url: str, to: str, fetch: Callable[[str], bytes], **more:
     return to, new
 
 
+def acquire_all(sources: Sequence[dict], folder: str, fetch: Callable[[str], bytes]) -> dict[str, tuple[str, bool]]:
+    """Every source (name, url, resource) in a folder of its own; name -> (file, whether it was fetched now)."""
+    return {s["name"]: ensure_downloaded(s["url"], os.path.join(folder, s["name"], s["resource"]), fetch, source_name=s["name"]) for s in sources}
+
+
 def extract_zip(path: str, folder: str) -> bool:
     """Extracts unless the folder has something already."""
     if os.path.isdir(folder) and os.listdir(folder):

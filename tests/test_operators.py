@@ -319,6 +319,25 @@ def test_large_strata_are_cut_before_they_are_sorted(spark, monkeypatch):
     assert sorted(sampling.stratified_sample(df, "s", "k", 200).collect()) == whole and len(whole) == 200
 
 
+def test_missing_numbers(spark):
+    df = spark.createDataFrame([(1.0,), (float("nan"),), (None,)], "x double")
+    assert [r.m for r in df.select(X.is_missing("x").alias("m")).collect()] == [False, True, True]
+    r = {x.name: x.value for x in phases.macros(spark.sql("select 1234567L n, 2.345 p, cast(null as double) q, 'text' t")).collect()}
+    assert r == {"n": "1,234,567", "p": "2.3", "q": "--"}
+
+
+def test_analysis_without_a_frame_keeps_the_design_weight(spark):
+    demand = spark.createDataFrame([("1", "a", "A", "P", "X", 2), ("2", "b", "A", "P", "X", 3), ("3", None, "B", "P", "Y", 1)], "demand_id string, CPINEI string, dep string, prov string, dist string, design_weight long")
+    routing = spark.createDataFrame([("1", "routed", 10.0), ("2", "snap_failed", 9.0)], "demand_id string, routing_status_car string, travel_time_min_car double")
+    pop = spark.createDataFrame([("a", 100), ("b", 10)], "code string, pop long")
+    areas = spark.createDataFrame([("1", "urban")], "demand_id string, urban_rural string")
+    out = phases.analyse(demand, routing, pop, areas)
+    assert {r.demand_id: r.calibrated_weight for r in out["demand_analysis"].collect()} == {"1": 200, "2": 30, "3": None}
+    total = {r.scope: r for r in out["access_by_department"].collect()}["Total"]
+    assert (total.population, total.weighted_mean, round(total.pct_no_time, 4)) == (230, 10.0, round(100 * 30 / 230, 4)) and "calibration" not in out
+    assert out["worst_computable"].count() + out["insufficient"].count() == 2 and out["header"].first().weighted_median == 10.0
+
+
 def test_latex_and_numbers(spark):
     r = spark.range(1).select(X.latex_escape(F.lit("a\\b {c} ~^ 5%")).alias("t"), X.fmt_num(F.lit(1234567.86)).alias("n"), X.fmt_num(F.lit(None)).alias("none")).first()
     assert tuple(r) == (r"a\textbackslash{}b \{c\} \textasciitilde{}\textasciicircum{} 5\%", "1,234,567.9", "--")
