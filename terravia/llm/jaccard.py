@@ -505,3 +505,24 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 def op9(spark, sf_dir: str) -> DataFrame:
     out = groups(common.table(spark, sf_dir, "documents"), 3, 90)
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+def sql(k: int, percent: int, rounds: int = 20) -> str:
+    """The rows of op9, by pairing all documents that share a shingle; labels go along links in so many rounds."""
+    lowered = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    step = """, l{next} AS MATERIALIZED (
+  SELECT node, min(label) AS label FROM (SELECT node, label FROM l{last} UNION ALL SELECT e.a, label FROM e JOIN l{last} ON node = e.b UNION ALL SELECT e.b, label FROM e JOIN l{last} ON node = e.a) GROUP BY node)"""
+    return f"""
+WITH w AS (SELECT doc_id, list_filter(regexp_extract_all({lowered}, '[^\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, unnest(
+    CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {k} THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - {k - 2}), lambda i: array_to_string(w[i:i + {k - 1}], ' ')) END) AS shingle
+  FROM w),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both_ FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id > y.doc_id GROUP BY ALL),
+e AS MATERIALIZED (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * both_ >= {percent} * (x.n + y.n - both_)),
+l0 AS (SELECT doc_id AS node, doc_id AS label FROM documents){"".join(step.format(last=i, next=i + 1) for i in range(rounds))}
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, label AS component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN l{rounds} ON node = d.doc_id
+"""

@@ -17,4 +17,4 @@ QUERIES = {
     "op10_sharding": sharding.op10,
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_chat_formatting": chat.SQL}
+ORACLE_SQL: dict[str, str] = {"op7_chat_formatting": chat.SQL, "op8_warc": warc.SQL, "op9_jaccard_join": jaccard.sql(3, 90), "op10_sharding": sharding.sql()}

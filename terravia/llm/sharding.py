@@ -13,7 +13,7 @@ counted before they are numbered.
 
 Defined results: a null text has 0 bytes and null texts are one group; empty text is a group of its
 own; groups of one size are told apart by the digest of their text; a null or repeated doc_id is a row like any other
-(places follow a hash of doc_id, text_crc32 and size, then these, so only rows that are alike may change places); texts of any
+(places follow doc_id, text_crc32 and size within a part, so only rows that are alike may change places); texts of any
 length count whole; an empty table gives no rows; further columns of the input, whatever their names, are not read.
 """
 
@@ -89,7 +89,7 @@ def numbered(rows: DataFrame, by: list[str], parts: str, order: list, weight: st
     rows = rows.withColumn("nr_part", F.pmod(F.xxhash64(*order), F.col(parts)))
     earlier = Window.partitionBy(*by).orderBy("nr_part").rowsBetween(Window.unboundedPreceding, -1)
     first = rows.groupBy(*by, "nr_part").agg(spark_sum.alias("nr_n")).withColumn("nr_first", F.coalesce(F.sum("nr_n").over(earlier), F.lit(0))).drop("nr_n")
-    within = Window.partitionBy(*by, "nr_part").orderBy(F.xxhash64(*order), *order).rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy(*by, "nr_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum(weight if weight else F.lit(1)).over(within), F.lit(0))
     out = rows.withColumn("nr_before", before).join(first, [*by, "nr_part"])
     return out.withColumn(name, F.col("nr_first") + F.col("nr_before")).drop("nr_part", "nr_before", "nr_first")
@@ -128,3 +128,34 @@ def assign(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col
 def op10(spark, sf_dir: str) -> DataFrame:
     out = assign(common.table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def sql(n_shards: int = 24) -> str:
+    """The rows of op10 where no size and no shard has more than PART rows: the greedy rule group by group, and CRC-32 byte by byte."""
+    return f"""
+WITH RECURSIVE tab AS MATERIALIZED (
+  SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+d AS MATERIALIZED (
+  SELECT doc_id, text, coalesce(strlen(text), 0) + 8 AS size, coalesce(md5(text), '00') AS grp,
+    list_transform(regexp_extract_all(coalesce(hex(encode(text)), ''), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS bytes
+  FROM documents),
+crc AS MATERIALIZED (
+  SELECT doc_id, size, grp, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bytes),
+    lambda c, b: xor(c >> 8, t[CAST(xor(c, b) & 255 AS INTEGER) + 1])), 4294967295) AS text_crc32
+  FROM d, tab),
+g AS MATERIALIZED (SELECT grp, CAST(sum(size) AS BIGINT) AS bytes FROM d GROUP BY grp),
+seq AS MATERIALIZED (SELECT bytes, row_number() OVER (ORDER BY bytes DESC) AS i FROM g),
+greedy AS (
+  SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS bytes, CAST(NULL AS INTEGER) AS shard, list_transform(range({n_shards}), lambda x: CAST(0 AS BIGINT)) AS loads
+  UNION ALL
+  SELECT seq.i, seq.bytes, CAST(list_position(loads, list_min(loads)) - 1 AS INTEGER),
+    list_transform(loads, lambda x, nr: x + CASE WHEN nr = list_position(loads, list_min(loads)) THEN seq.bytes ELSE 0 END)
+  FROM greedy JOIN seq ON seq.i = greedy.i + 1),
+dealt AS (SELECT bytes, shard, row_number() OVER (PARTITION BY bytes ORDER BY shard, i) AS nth FROM greedy WHERE i > 0),
+named AS (SELECT grp, bytes, row_number() OVER (PARTITION BY bytes ORDER BY grp) AS nth FROM g),
+home AS (SELECT grp, shard FROM named JOIN dealt USING (bytes, nth))
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS slot,
+  CAST(NULL AS INTEGER) AS grown_shard
+FROM crc JOIN home USING (grp)
+"""

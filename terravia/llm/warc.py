@@ -251,4 +251,20 @@ def archive_pages(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
-    return archive_pages(common.table(spark, sf_dir, "pages"), 0)
+    records = archive_pages(common.table(spark, sf_dir, "pages"), 0)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+_LETTERS = " || ".join(f"substr('{_BASE32}', CAST((v[{i}] >> {bits}) & 31 AS INTEGER) + 1, 1)" for i in range(1, 9) for bits in (15, 10, 5, 0))
+#: The rows of op8: a digest's 160 bits are eight numbers of 20, each four letters.
+SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS digest FROM pages),
+f AS (
+  SELECT *, min(page_id) OVER (PARTITION BY html) AS first,
+    list_transform(range(8), lambda i: CAST('0x' || substr(digest, CAST(1 + 5 * i AS BIGINT), 5) AS BIGINT)) AS v
+  FROM p)
+SELECT page_id, strlen(html) AS payload_bytes, {_LETTERS} AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM f
+"""
