@@ -388,4 +388,55 @@ def filtered(docs: DataFrame, index: list[Index]) -> DataFrame:
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
-    return search(common.table(spark, sf_dir, "documents"), index_of(common.table(spark, sf_dir, "benchmark")))
+    found = search(common.table(spark, sf_dir, "documents"), index_of(common.table(spark, sf_dir, "benchmark")))
+    shares = (F.round(c, 6).alias(c) for c in ("score", "question_overlap", "answer_overlap"))
+    return found.select("doc_id", "item_id", *shares, "first_word")
+
+
+def _words_sql(column: str) -> str:
+    return f"list_filter(regexp_extract_all(lower(coalesce({column}, '')), '[\\p{{L}}\\p{{N}}\\p{{M}}]+'), lambda x: x <> '')"
+
+
+def _shingles_sql(words: str, k: str) -> str:
+    return f"CASE WHEN len({words}) < {k} THEN [] ELSE list_transform(range(1, len({words}) - {k} + 2), lambda i: array_to_string({words}[i:i + {k} - 1], ' ')) END"
+
+
+def _overlap_sql(side: str) -> str:
+    return f"coalesce((SELECT len(list_intersect(g, {_shingles_sql('w', 'k')})) / len(g) FROM shingled s WHERE s.item_id = hit.item_id AND side = '{side}'), 1.0)"
+
+
+def sql(threshold: float = 0.5, overlap: float = 0.8) -> str:
+    """The rows of op5, by scoring every passage against every item that shares a word."""
+    cut = "greatest(1, len(ws) - greatest(1, len(ws) // 3))"
+    word = "'[\\p{L}\\p{N}_]'"
+    return f"""
+WITH b AS (SELECT item_id, rtrim(text, ' ' || chr(9) || chr(10) || chr(13)) AS text, {_words_sql("text")} AS w FROM benchmark WHERE len({_words_sql("text")}) > 0),
+size AS (SELECT count(*) AS items, avg(len(w)) AS mean, max(len(w)) AS step FROM b),
+tf AS (SELECT item_id, word, count(*) AS n FROM (SELECT item_id, unnest(w) AS word FROM b) GROUP BY ALL),
+df AS (SELECT word, count(*) AS held FROM tf GROUP BY word),
+raw AS (
+  SELECT item_id, word, ln(1 + (items - held + 0.5e0) / (held + 0.5e0)) * n * {K1 + 1}e0 / (n + {K1}e0 * ({1 - B}e0 + {B}e0 * len(w) / mean)) AS x
+  FROM tf JOIN df USING (word) JOIN b USING (item_id), size),
+impact AS MATERIALIZED (SELECT item_id, word, x / sum(x) OVER (PARTITION BY item_id) AS x FROM raw),
+cutting AS (
+  SELECT *, regexp_extract(text, '(?s)^(.*\\?)(.*[\\p{{L}}\\p{{N}}_].*)$', ['q', 'a']) AS one,
+    regexp_extract(text, '(?s)^(.*[.!?。])\\s+(\\S.*)$', ['q', 'a']) AS two, string_split_regex(trim(text), '\\s+') AS ws
+  FROM b),
+part AS (
+  SELECT item_id, unnest(['q', 'a']) AS side, unnest(
+    CASE WHEN one.q <> '' AND regexp_matches(one.q, {word}) THEN [one.q, one.a] WHEN two.q <> '' AND regexp_matches(two.q, {word}) THEN [two.q, two.a]
+    ELSE [array_to_string(ws[1:{cut}], ' '), array_to_string(ws[{cut} + 1:], ' ')] END) AS p
+  FROM cutting),
+shingled AS MATERIALIZED (
+  SELECT item_id, side, list_distinct({_shingles_sql("w", f"least({SHINGLE}, len(w))")}) AS g, least({SHINGLE}, len(w)) AS k
+  FROM (SELECT item_id, side, {_words_sql("p")} AS w FROM part) WHERE len(w) > 0),
+d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {_words_sql("text")} AS w FROM documents),
+passage AS MATERIALIZED (
+  SELECT r, doc_id, j, w[j * step + 1:j * step + 2 * step] AS w, j * step AS first_word
+  FROM (SELECT *, unnest(range(greatest(1, CAST(ceil(len(w) / step) AS BIGINT) - 1))) AS j FROM d, size)),
+words AS (SELECT DISTINCT r, j, unnest(w) AS word FROM passage),
+hit AS MATERIALIZED (SELECT r, j, item_id, sum(x) AS score FROM words JOIN impact USING (word) GROUP BY ALL HAVING sum(x) >= {threshold} - {EPS}),
+verified AS (SELECT hit.*, doc_id, first_word, {_overlap_sql("q")} AS q, {_overlap_sql("a")} AS a FROM hit JOIN passage USING (r, j)),
+best AS (SELECT *, row_number() OVER (PARTITION BY r, item_id ORDER BY round(score, 8) DESC, j) AS nth FROM verified WHERE q >= {overlap} AND a >= {overlap})
+SELECT doc_id, item_id, round(score, 6) AS score, round(q, 6) AS question_overlap, round(a, 6) AS answer_overlap, first_word FROM best WHERE nth = 1
+"""

@@ -17,4 +17,10 @@ QUERIES = {
     "op10_sharding": sharding.op10,
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_chat_formatting": chat.SQL, "op8_warc": warc.SQL, "op9_jaccard_join": jaccard.sql(3, 90), "op10_sharding": sharding.sql()}
+ORACLE_SQL: dict[str, str] = {
+    "op5_decontamination": decontamination.sql(),
+    "op7_chat_formatting": chat.SQL,
+    "op8_warc": warc.SQL,
+    "op9_jaccard_join": jaccard.sql(3, 90),
+    "op10_sharding": sharding.sql(),
+}
