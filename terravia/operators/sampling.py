@@ -43,7 +43,7 @@ def stratified_sample(df: DataFrame, stratum: str, key: str, n: int, seed: int =
     cut = F.when(F.count(F.lit(1)) > LARGE, F.percentile_approx(h, share, ACCURACY)).alias("_cut")
     sizes = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("stratum_n"), cut)
     plan = quotas(sizes, stratum, "stratum_n", n).withColumnRenamed("quota", "stratum_sample_n")
-    some = df.join(F.broadcast(plan), stratum).where(F.col("_cut").isNull() | (h <= F.col("_cut"))).drop("_cut")  # a row a stratum
+    some = df.join(plan, stratum).where(F.col("_cut").isNull() | (h <= F.col("_cut"))).drop("_cut")  # a row a stratum: Spark sees their size
     at = F.row_number().over(Window.partitionBy(stratum).orderBy(h, F.col(key)))
     out = some.withColumn("_at", at).where(F.col("_at") <= F.col("stratum_sample_n")).drop("_at")
     return out.withColumn("inclusion_prob", F.col("stratum_sample_n") / F.col("stratum_n")).withColumn("design_weight", F.col("stratum_n") / F.col("stratum_sample_n"))
@@ -54,5 +54,5 @@ def sample_if_needed(df: DataFrame, stratum: str, key: str, most: int, seed: int
     if df.limit(most + 1).count() > most if most < 1 << 31 else df.count() > most:
         return stratified_sample(df, stratum, key, most, seed)
     sizes = df.groupBy(F.col(stratum).alias("_s")).agg(F.count(F.lit(1)).alias("stratum_n"))
-    out = df.join(F.broadcast(sizes), F.col(stratum).eqNullSafe(F.col("_s"))).drop("_s")  # a row a stratum
+    out = df.join(sizes, F.col(stratum).eqNullSafe(F.col("_s"))).drop("_s")
     return out.withColumns({"stratum_sample_n": F.col("stratum_n"), "inclusion_prob": F.lit(1.0), "design_weight": F.lit(1.0)})

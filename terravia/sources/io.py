@@ -37,6 +37,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return where
 
 
+def ship(spark: SparkSession) -> None:
+    """Lets Python workers import this package wherever the driver was started."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(":"):
+        env["PYTHONPATH"] = ":".join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+
+
 # --- delimited text, Parquet, tables of keys and values ---------------------------------------------
 
 
