@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from . import common
 from .toxicity import labelled
 
-WIDTH, STRIDE, HALF, DIMS, FILTERS = 12, 2, 256, 8, 40
+WIDTH, STRIDE, HALF, DIMS, FILTERS = 16, 4, 256, 8, 32
 PADDING = 256
 BATCH = 1 << 20
 
