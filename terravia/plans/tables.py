@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.io import ship
 
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
