@@ -108,6 +108,71 @@ def parse_wkb(raw: bytes) -> list[list[dict]]:
     return out
 
 
+def _inside(x: float, y: float, ring: list[dict]) -> bool:
+    out = False
+    for a, b in zip(ring, [*ring[1:], ring[0]], strict=True):
+        if (a["y"] > y) != (b["y"] > y) and x < (b["x"] - a["x"]) * (y - a["y"]) / (b["y"] - a["y"]) + a["x"]:
+            out = not out
+    return out
+
+
+def wkb_of(rings: list[dict]) -> bytes:
+    """Rings as a WKB multipolygon: a ring within an odd number of others is a hole of the last of these, others begin a polygon."""
+    around = [[j for j, other in enumerate(rings) if j != i and _inside(r[0]["x"], r[0]["y"], other)] for i, r in enumerate(rings)]
+    polygons: dict[int, list[int]] = {i: [i] for i in range(len(rings)) if len(around[i]) % 2 == 0}
+    for i, outer in enumerate(around):
+        if len(outer) % 2:
+            polygons[max((j for j in outer if j in polygons), key=lambda j: len(around[j]))].append(i)
+    body = b""
+    for members in polygons.values():
+        body += struct.pack("<BII", 1, 3, len(members))
+        for i in members:
+            body += struct.pack("<I", len(rings[i])) + b"".join(struct.pack("<2d", p["x"], p["y"]) for p in rings[i])
+    return struct.pack("<BII", 1, 6, len(polygons)) + body
+
+
+def rings_wkb(column: str):
+    """WKB of rings, as a pandas UDF, to be written in Parquet."""
+    @F.pandas_udf("binary")
+    def run(batch):
+        return batch.map(lambda rings: None if rings is None else wkb_of([[{"x": p["x"], "y": p["y"]} for p in r] for r in rings]))
+
+    return run(column)
+
+
+def _gpkg_wkb(raw: bytes | None) -> bytes | None:
+    """The WKB of a GeoPackage geometry: its header has 8 bytes and, by its flags, a box."""
+    if raw is None:
+        return None
+    if raw[:2] != b"GP":
+        raise ValueError("not a GeoPackage geometry")
+    return raw[8 + (0, 32, 48, 48, 64)[(raw[3] >> 1) & 7] :]
+
+
+def read_gpkg(spark: SparkSession, path: str, layer: str) -> DataFrame:
+    """fields (a map of strings) and wkb of each feature of a layer of a GeoPackage (S4). The file comes through Spark and is opened in memory."""
+    ship(spark)
+
+    def run(batches):
+        import sqlite3
+
+        import pyarrow as pa
+
+        for batch in batches:
+            for content in batch.column(0):
+                db = sqlite3.connect(":memory:")
+                db.deserialize(content.as_py())
+                (geometry,) = db.execute("SELECT column_name FROM gpkg_geometry_columns WHERE table_name = ?", (layer,)).fetchone()
+                rows = db.execute('SELECT * FROM "{}"'.format(layer.replace('"', '""')))
+                names = [c[0] for c in rows.description]
+                while some := rows.fetchmany(1000):
+                    each = [dict(zip(names, r, strict=True)) for r in some]
+                    maps = [[(k, None if v is None else str(v)) for k, v in r.items() if k != geometry] for r in each]
+                    yield pa.RecordBatch.from_arrays([pa.array(maps, pa.map_(pa.string(), pa.string())), pa.array([_gpkg_wkb(r[geometry]) for r in each], pa.binary())], ["fields", "wkb"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "fields map<string,string>, wkb binary")
+
+
 def dbf_rows(raw: bytes, encoding: str = "utf-8") -> tuple[list[str], list[dict[str, str]]]:
     n, head, size = struct.unpack_from("<IHH", raw, 4)
     fields, at = [], 32
