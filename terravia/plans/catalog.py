@@ -1118,3 +1118,20 @@ def _(spark, sf):
 def _(spark, sf):
     c = T.read(spark, sf, "customer")
     return linkage.urban_rural(c, c.select(F.col("c_custkey").alias("id"), "c_mktsegment"), "c_custkey", "id", "c_mktsegment", urban=("BUILDING", "MACHINERY"), rural=("FURNITURE",)).select("c_custkey", "urban_rural")
+
+
+@query("v8_simplify", "SELECT lpad(CAST(n_nationkey AS VARCHAR), 6, '0') AS code, 6 AS n_points, round(-81.4e0 + 0.5e0 * n_nationkey, 6) AS min_x, round(-81.4e0 + 0.5e0 * n_nationkey + 0.5e0, 6) AS max_x, -18.4e0 AS min_y, 0.2e0 AS max_y FROM nation")
+def _(spark, sf):
+    n = T.read(spark, sf, "nation").select(F.lpad(F.col("n_nationkey").cast("string"), 6, "0").alias("code"), (-81.4 + 0.5 * F.col("n_nationkey")).alias("x"))
+    p = lambda dx, y: F.struct((F.col("x") + dx).alias("x"), F.lit(y).alias("y"))
+    # points on a straight side, or nearer to it than the tolerance, go; the roof's top stays
+    ring = F.array(p(0.0, -18.4), p(0.1, -18.4), p(0.3, -18.4005), p(0.5, -18.4), p(0.5, -9.0), p(0.5, 0.0), p(0.25, 0.2), p(0.0, 0.0), p(0.0, -18.4))
+    done = geo.simplify(n.select("code", F.array(ring).alias("rings"))).select("code", F.col("rings")[0].alias("r"))
+    of = lambda f, c: f(F.transform("r", lambda q: q[c]))
+    return done.select("code", F.size("r").alias("n_points"), of(F.array_min, "x").alias("min_x"), of(F.array_max, "x").alias("max_x"), of(F.array_min, "y").alias("min_y"), of(F.array_max, "y").alias("max_y"))
+
+
+@query("a17_track_impact", "WITH a AS (SELECT count(*) FILTER (WHERE o_orderkey % 20 > 5) AS before, count(*) FILTER (WHERE o_orderkey % 20 > 3) AS after FROM orders) SELECT before, after, after - before AS gain, round(100.0 * (after - before) / before, 6) AS gain_pct FROM a")
+def _(spark, sf):
+    one = T.read(spark, sf, "orders").agg(F.count_if(F.col("o_orderkey") % 20 > 5).alias("b"), F.count_if(F.col("o_orderkey") % 20 > 3).alias("a")).first()
+    return spark.createDataFrame([access.track_impact(one.b, one.a)], "before long, after long, gain long, gain_pct double")

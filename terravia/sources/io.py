@@ -173,20 +173,24 @@ def read_gpkg(spark: SparkSession, path: str, layer: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "fields map<string,string>, wkb binary")
 
 
-def dbf_rows(raw: bytes, encoding: str = "utf-8") -> tuple[list[str], list[dict[str, str]]]:
-    n, head, size = struct.unpack_from("<IHH", raw, 4)
-    fields, at = [], 32
+def dbf_fields(raw: bytes) -> list[tuple[str, int]]:
+    """Names and widths of a table's fields, from its first bytes."""
+    out, at = [], 32
     while raw[at] != 0x0D:
-        fields.append((raw[at : at + 11].split(b"\0")[0].decode("ascii"), raw[at + 16]))
+        out.append((raw[at : at + 11].split(b"\0")[0].decode("ascii"), raw[at + 16]))
         at += 32
-    rows = []
+    return out
+
+
+def dbf_rows(raw: bytes, encoding: str = "utf-8") -> Iterator[list[str]]:
+    n, head, size = struct.unpack_from("<IHH", raw, 4)
+    widths = [w for _, w in dbf_fields(raw)]
     for i in range(n):
-        p, row = head + i * size + 1, {}
-        for name, width in fields:
-            row[name] = raw[p : p + width].decode(encoding, "replace").strip()
-            p += width
-        rows.append(row)
-    return [name for name, _ in fields], rows
+        at, row = head + i * size + 1, []
+        for width in widths:
+            row.append(raw[at : at + width].decode(encoding, "replace").strip())
+            at += width
+        yield row
 
 
 def shp_shapes(raw: bytes) -> Iterator[list[list[dict]] | None]:
@@ -211,14 +215,32 @@ def shp_shapes(raw: bytes) -> Iterator[list[list[dict]] | None]:
 
 
 def read_shapefile(spark: SparkSession, folder: str, encoding: str = "utf-8") -> DataFrame:
-    """The first .shp of a folder with its .dbf: string columns and rings (S2). Bytes come through Spark, so any store will do."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{shp,dbf}").load(folder).select("path", "content")
-    names = sorted(r.path for r in files.select("path").collect())
-    shp = next(n for n in names if n.endswith(".shp"))
-    found = {r.path: bytes(r.content) for r in files.where(F.col("path").isin(shp, shp[:-4] + ".dbf")).collect()}
-    columns, rows = dbf_rows(found[shp[:-4] + ".dbf"], encoding)
-    data = [(*(row[c] for c in columns), rings) for row, rings in zip(rows, shp_shapes(found[shp]), strict=True)]
-    return spark.createDataFrame(data, ", ".join(f"`{c}` string" for c in columns) + f", rings {RINGS}")
+    """The first .shp of a folder with its .dbf: string columns and rings (S2). Bytes come through Spark, so any store will do; the driver
+    sees the names of the fields only, and a task decodes the file, a thousand rows at a time."""
+    import pandas as pd
+
+    ship(spark)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{shp,dbf}").load(folder)
+    base = F.regexp_replace("path", r"\.(shp|dbf)$", "")
+    files = files.select(base.alias("base"), F.col("path").endswith(".shp").alias("shp"), "content")
+    first = files.where("shp").agg(F.min("base").alias("b")).first().b
+    head = files.where((F.col("base") == first) & ~F.col("shp")).select(F.substring("content", 1, 1 << 16).alias("head")).first().head
+    columns = [name for name, _ in dbf_fields(bytes(head))]
+    both = files.where(F.col("base") == first).groupBy("base").agg(F.first(F.when(F.col("shp"), F.col("content")), True).alias("shapes"), F.first(F.when(~F.col("shp"), F.col("content")), True).alias("rows"))
+
+    def run(batches):
+        for batch in batches:
+            for shapes, rows in zip(batch["shapes"], batch["rows"], strict=True):
+                held: list[list] = []
+                for row, rings in zip(dbf_rows(bytes(rows), encoding), shp_shapes(bytes(shapes)), strict=True):
+                    held.append([*row, rings])
+                    if len(held) == 1000:
+                        yield pd.DataFrame(held, columns=[*columns, "rings"])
+                        held = []
+                if held:
+                    yield pd.DataFrame(held, columns=[*columns, "rings"])
+
+    return both.select("shapes", "rows").mapInPandas(run, ", ".join(f"`{c}` string" for c in columns) + f", rings {RINGS}")
 
 
 # --- spreadsheets, paged services, downloads, configuration ---------------------------------------------------
