@@ -340,7 +340,10 @@ def _digests(path: str, pattern: str):
                 for x in raw:
                     of_raw.update(x.tobytes())
                 rows.append((sum(map(len, ids)), of_ids.hexdigest(), of_raw.hexdigest()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string())))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string())))],
+                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            )
         t.forget()
 
     return run
@@ -357,7 +360,10 @@ def _columns(path: str, pattern: str):
                     ids.append(np.concatenate([*x, np.zeros(0, np.uint32)]).astype(np.int32))
                     decoded.append(b"".join(r.tobytes() for r in raw).decode("utf-8"))
                 kept = batch.slice(at, 512).columns[:-1]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())], [*batch.schema.names[:-1], *("n_tokens", "ids", "decoded")])
+                yield pa.RecordBatch.from_arrays(
+                    [*kept, pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())],
+                    [*batch.schema.names[:-1], *("n_tokens", "ids", "decoded")]
+                )
         t.forget()
 
     return run
@@ -376,14 +382,20 @@ def encode(docs: DataFrame, vocabulary: str | None = None, pattern: str | None =
         names.append(name)
     named = docs.select(*(F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(kept)), F.col(text_col).cast("string").alias("encoded"))
     ddl = "".join(f"c{i} {f.dataType.simpleString()}, " for i, f in enumerate(kept))
-    return named.mapInArrow(common.tidied(_columns(vocabulary or path, pattern or pat)), ddl + "n_tokens long, ids array<int>, decoded string").toDF(*names, *new)
+    return named.mapInArrow(
+        common.tidied(_columns(vocabulary or path, pattern or pat)),
+        ddl + "n_tokens long, ids array<int>, decoded string"
+    ).toDF(*names, *new)
 
 
 def digests(docs: DataFrame, vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
     """The same ids and decoded bytes, as their digests."""
     path, pat = default_vocabulary()
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(common.tidied(_digests(vocabulary or path, pattern or pat)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return source.mapInArrow(
+        common.tidied(_digests(vocabulary or path, pattern or pat)),
+        "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    )
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

@@ -25,7 +25,13 @@ OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 def common_turns(a: Column, b: Column) -> Column:
     """Number of turns that both begin with."""
     n = F.least(F.size(a), F.size(b))
-    same = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: (F.get(a, i)["role"] == F.get(b, i)["role"]) & (F.get(a, i)["text"] == F.get(b, i)["text"])))
+    same = F.when(
+        n > 0,
+        F.transform(
+            F.sequence(F.lit(0), n - 1),
+            lambda i: (F.get(a, i)["role"] == F.get(b, i)["role"]) & (F.get(a, i)["text"] == F.get(b, i)["text"])
+        )
+    )
     differs = F.array_position(same, False)
     return F.coalesce(F.when(differs == 0, n).otherwise(differs - 1), F.lit(0)).cast("int")
 
@@ -51,7 +57,11 @@ def format_preferences(pairs: DataFrame) -> DataFrame:
     return (
         pairs.withColumn("common_turns", common_turns(F.col("chosen"), F.col("rejected")))
         .withColumns({"head": F.slice("chosen", 1, n), "chosen_rest": rest("chosen"), "rejected_rest": rest("rejected")})
-        .select("pair_id", "common_turns", rendered(F.col("head")).alias("prompt"), rendered(F.col("chosen_rest")).alias("chosen"), rendered(F.col("rejected_rest")).alias("rejected"), mask(F.col("chosen_rest")).alias("chosen_mask"), mask(F.col("rejected_rest")).alias("rejected_mask"))
+        .select(
+            "pair_id", "common_turns", rendered(F.col("head")).alias("prompt"),
+            rendered(F.col("chosen_rest")).alias("chosen"), rendered(F.col("rejected_rest")).alias("rejected"),
+            mask(F.col("chosen_rest")).alias("chosen_mask"), mask(F.col("rejected_rest")).alias("rejected_mask")
+        )
     )
 
 
@@ -65,9 +75,15 @@ def preference_pairs(conversations: DataFrame) -> DataFrame:
     convs = convs.withColumn("turns", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))))
     from_end = F.array_position(F.reverse(F.transform("turns", lambda t: t["role"])), "assistant")
     convs = convs.withColumn("before", F.when(from_end > 0, F.size("turns") - from_end).cast("int")).where("before is not null")
-    answers = convs.select(F.col("conv_id").bitwiseXOR(F.lit(1).cast("long")).alias("conv_id"), F.get("turns", F.col("before"))["text"].alias("answer"))
+    answers = convs.select(
+        F.col("conv_id").bitwiseXOR(F.lit(1).cast("long")).alias("conv_id"),
+        F.get("turns", F.col("before"))["text"].alias("answer")
+    )
     other = F.array(F.struct(F.lit("assistant").alias("role"), F.coalesce("answer", F.lit("")).alias("text")))
-    return convs.join(answers, "conv_id", "left").select(F.col("conv_id").alias("pair_id"), F.col("turns").alias("chosen"), F.concat(F.slice("turns", 1, F.col("before")), other).alias("rejected"))
+    return convs.join(answers, "conv_id", "left").select(
+        F.col("conv_id").alias("pair_id"), F.col("turns").alias("chosen"),
+        F.concat(F.slice("turns", 1, F.col("before")), other).alias("rejected")
+    )
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

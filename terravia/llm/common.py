@@ -170,7 +170,10 @@ def bitmap(ids: DataFrame, column: str) -> DataFrame:
     """A filter of the ids in 2^18 words of 64 bits (word, bits): passes each of them, and few others as long as they
     are fewer than 2^24. Its size does not depend on theirs, so it may be broadcast; where it is full it passes all."""
     h = F.xxhash64(F.col(column))
-    words = ids.select(F.pmod(h, F.lit(_WORDS)).cast("int").alias("bm_word"), F.expr(f"shiftleft(1L, cast(pmod(shiftright(xxhash64(`{column}`), 24), 64) as int))").alias("bit"))
+    words = ids.select(
+        F.pmod(h, F.lit(_WORDS)).cast("int").alias("bm_word"),
+        F.expr(f"shiftleft(1L, cast(pmod(shiftright(xxhash64(`{column}`), 24), 64) as int))").alias("bit")
+    )
     return words.groupBy("bm_word").agg(F.bit_or("bit").alias("bm_bits"))
 
 

@@ -42,4 +42,6 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
         state = new
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    return now.select(
+        F.col("a").alias("node"), F.col("b").alias("component")
+    ).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -348,10 +348,16 @@ def _search(docs: DataFrame, index: Index) -> DataFrame:
             rows = [(ids[i], ix.ids[item], *rest) for i, item, *rest in ix.hits_of(batch.column(1).to_pylist())]
             cols = list(zip(*rows, strict=True)) or [()] * 6
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "first_word"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)],
+                ["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "first_word"]
+            )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(common.tidied(run), "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, first_word long")
+    return rows.mapInArrow(
+        common.tidied(run),
+        "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, first_word long"
+    )
 
 
 def search(docs: DataFrame, index: list[Index]) -> DataFrame:
@@ -374,7 +380,10 @@ def _filtered(docs: DataFrame, index: Index) -> DataFrame:
                 keep[i] = False
             yield pa.RecordBatch.from_arrays(batch.columns[:-1], batch.schema.names[:-1]).filter(pa.array(keep))
 
-    named = docs.select(*(F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(docs.schema.fields)), F.col("text").cast("string").alias("searched"))
+    named = docs.select(
+        *(F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(docs.schema.fields)),
+        F.col("text").cast("string").alias("searched")
+    )
     return named.mapInArrow(common.tidied(run), ddl).toDF(*docs.columns)
 
 

@@ -115,7 +115,9 @@ class Bands:
                 light = held <= self.light[band]
                 if frequent is not None and len(frequent):
                     light |= np.diff(rare[at]) == 0
-                keys = common.mix(total[at[1:]] - total[at[:-1]]) + np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(band) * np.uint64(0xC2B2AE3D27D4EB4F)
+                keys = common.mix(
+                    total[at[1:]] - total[at[:-1]]
+                ) + np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(band) * np.uint64(0xC2B2AE3D27D4EB4F)
                 few, most = int(light.sum()), self.spare[band] + self.extra[band] - 2
                 out.append(common.mix(keys[~light] if few <= most else keys))
                 largest = min(self.high[band], 100 * size // t)  # of the sets that may be linked and share this band
@@ -189,7 +191,10 @@ def _keyed(k: int, percent: int, shared):
                         seen.add(own)
                         if len(seen) > SEEN:
                             seen.clear()
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(needs, pa.int32()), _lists(keys)], ["doc_id", "n", "cls", "need", "keys"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(needs, pa.int32()), _lists(keys)],
+                    ["doc_id", "n", "cls", "need", "keys"]
+                )
 
     return run
 
@@ -223,13 +228,23 @@ def _met(batches):
         told = bool(again[-1]) or (told and carried and len(hubs) == 1)
         firsts = np.flatnonzero(same)
         start = np.flatnonzero(new)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([keys[other], keys[start[firsts]]])), pa.array(np.concatenate([classes[other], hubs[firsts]])), pa.nulls(int(other.sum()) + len(firsts), pa.int32())], ["key", "cls", "task"])
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.concatenate([keys[other], keys[start[firsts]]])),
+                pa.array(np.concatenate([classes[other], hubs[firsts]])),
+                pa.nulls(int(other.sum()) + len(firsts), pa.int32())
+            ],
+            ["key", "cls", "task"]
+        )
         key, hub, last = keys[-1], hubs[-1], classes[-1]
         if not ends:
             ends.append((keys[0], hubs[0]))
     if ends:
         ends.append((key, hub))
-        yield pa.RecordBatch.from_arrays([pa.array([int(k) for k, _ in ends]), pa.array([int(h) for _, h in ends]), pa.array([2 * task, 2 * task + 1], pa.int32())], ["key", "cls", "task"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([int(k) for k, _ in ends]), pa.array([int(h) for _, h in ends]), pa.array([2 * task, 2 * task + 1], pa.int32())],
+            ["key", "cls", "task"]
+        )
 
 
 def _classed(k: int):
@@ -359,8 +374,13 @@ def _stored_groups(k: int, percent: int):
             root = roots(names, sets, percent)
             for g in grouped(names, sets):
                 first = np.array([root[n] for n in g.names.tolist()], np.int64)
-                columns = [_lists([x.astype(np.int64, copy=False).view(np.uint64)]) for x in (g.names, first, g.sizes)] + [_lists([g.tokens]), _lists([g.union])]
-                yield pa.RecordBatch.from_arrays([pa.array([grp], pa.int64()), pa.array([part], pa.int32()), *columns], ["grp", "part", "classes", "roots", "sizes", "tokens", "union"])
+                columns = [_lists([x.astype(np.int64, copy=False).view(np.uint64)]) for x in (g.names, first, g.sizes)] + [
+                    _lists([g.tokens]), _lists([g.union])
+                ]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([grp], pa.int64()), pa.array([part], pa.int32()), *columns],
+                    ["grp", "part", "classes", "roots", "sizes", "tokens", "union"]
+                )
 
     return run
 
@@ -400,8 +420,13 @@ def _across(matrix: DataFrame, asks: DataFrame, texts: DataFrame, k: int, percen
     many = asks.groupBy("grp", "part").agg(F.ceil(F.count(F.lit(1)) / ASKS).cast("int").alias("shares"))
     share = lambda nth: F.concat_ws("/", "part", nth).alias("share")
     own = matrix.join(many, ["grp", "part"]).withColumn("nth", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
-    own = own.select("grp", share("nth"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("cls"), F.lit(None).cast("string").alias("text"), "classes", "roots", "sizes", "tokens", "union")
-    theirs = asks.join(many, ["grp", "part"]).join(texts, "cls").select("grp", share(F.pmod(F.xxhash64("cls"), "shares")), F.lit(1).alias("kind"), "cls", "text")
+    own = own.select(
+        "grp", share("nth"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("cls"),
+        F.lit(None).cast("string").alias("text"), "classes", "roots", "sizes", "tokens", "union"
+    )
+    theirs = asks.join(many, ["grp", "part"]).join(texts, "cls").select(
+        "grp", share(F.pmod(F.xxhash64("cls"), "shares")), F.lit(1).alias("kind"), "cls", "text"
+    )
     rows = own.unionByName(theirs, allowMissingColumns=True).repartition(tasks, "grp", "share").sortWithinPartitions("grp", "share", "kind", "cls")
     return rows.mapInArrow(common.tidied(_asked(k, percent)), "a long, b long")
 
@@ -411,7 +436,10 @@ def groups(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id", text_c
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     frequent = spark.sparkContext.broadcast(frequent_tokens(rows.select("text"), k))  # 8 bytes each, MOST at most
-    keyed = common.stored(rows.mapInArrow(common.tidied(_keyed(k, percent, frequent)), "doc_id long, n long, cls long, need int, keys array<long>"), "jaccard-keys")
+    keyed = common.stored(
+        rows.mapInArrow(common.tidied(_keyed(k, percent, frequent)), "doc_id long, n long, cls long, need int, keys array<long>"),
+        "jaccard-keys"
+    )
     base = common.stored(keyed.drop("keys"), "jaccard-rows")
 
     # Keys that several classes have.
@@ -422,28 +450,42 @@ def groups(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id", text_c
     common.dropped(keyed)
     common.released(spark)
     ends = sorted((r.task, r.key, r.cls) for r in met.where("task is not null").collect())  # two for each task
-    over = {x for before, here in zip(ends[1::2], ends[2::2], strict=False) if before[1] == here[1] and before[2] != here[2] for x in ((here[1], here[2]), (here[1], before[2]))}
+    over = {
+        x for before,
+        here in zip(ends[1::2], ends[2::2], strict=False) if before[1] == here[1] and before[2] != here[2] for x in (
+            (here[1], here[2]), (here[1], before[2])
+        )
+    }
     held = met.where("task is null").select("key", "cls")
     if over:
         held = held.unionByName(spark.createDataFrame(sorted(over), "key long, cls long"))
-    classes = base.where("doc_id is not null").groupBy("cls").agg(F.min("need").alias("need"), F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
+    classes = base.where("doc_id is not null").groupBy("cls").agg(
+        F.min("need").alias("need"), F.min("doc_id").alias("doc_id"), F.first("n").alias("n")
+    )
     classes = common.stored(classes, "jaccard-classes")
     enough = held.groupBy("cls").agg(F.count(F.lit(1)).alias("c")).join(classes, "cls").where("c >= need").select("cls")
     held = common.marked(held, "cls", common.bitmap(enough, "cls"), "maybe").where("maybe").select("key", "cls")
     held = common.stored(held, "jaccard-held")
     common.dropped(met)
-    several = held.groupBy("key").agg(F.min("cls").alias("least"), F.max("cls").alias("most")).where("least < most").select("key", F.col("least").alias("hub"))
+    several = held.groupBy("key").agg(
+        F.min("cls").alias("least"), F.max("cls").alias("most")
+    ).where("least < most").select("key", F.col("least").alias("hub"))
     used = [held]
     held = common.stored(held.join(several, "key"), "jaccard-held")
     used.append(held)
 
     # Clusters: each class points to the class it meets first for most of its keys.
     shared = held.where("cls <> hub").groupBy("cls", "hub").agg(F.count(F.lit(1)).alias("keys"))
-    nearest = shared.groupBy("cls").agg(F.max(F.struct("keys", F.negate("hub").alias("minus"))).alias("x")).select("cls", F.negate("x.minus").alias("hub"))
+    nearest = shared.groupBy("cls").agg(F.max(F.struct("keys", F.negate("hub").alias("minus"))).alias("x")).select(
+        "cls", F.negate("x.minus").alias("hub")
+    )
     clusters = components(nearest, "cls", "hub")
     sized = clusters.join(classes, F.col("node") == F.col("cls"))
     parts = sized.groupBy("component").agg(F.ceil(F.greatest(F.sum("n") / PART_TOKENS, F.count(F.lit(1)) / PART_MEMBERS)).alias("parts"))
-    placed = clusters.join(parts, "component").select(F.col("node").alias("cls"), F.col("component").alias("grp"), F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"))
+    placed = clusters.join(parts, "component").select(
+        F.col("node").alias("cls"), F.col("component").alias("grp"),
+        F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part")
+    )
     placed = common.stored(placed, "jaccard-placed")
     used.append(placed)
 
@@ -454,9 +496,13 @@ def groups(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id", text_c
     texts = common.stored(texts, "jaccard-texts")
 
     # The token-group matrix of each part, and the links within it.
-    dealt = placed.join(texts, "cls").select("grp", "part", "cls", "text").repartition(tasks, "grp", "part").sortWithinPartitions("grp", "part", "cls")
+    dealt = placed.join(texts, "cls").select(
+        "grp", "part", "cls", "text"
+    ).repartition(tasks, "grp", "part").sortWithinPartitions("grp", "part", "cls")
     matrix = common.stored(dealt.mapInArrow(common.tidied(_stored_groups(k, percent)), f"grp long, part int, {_MATRIX}"), "jaccard-matrix")
-    within = matrix.select(F.explode(F.arrays_zip("classes", "roots")).alias("x")).select(F.col("x.classes").alias("a"), F.col("x.roots").alias("b")).where("a <> b")
+    within = matrix.select(F.explode(F.arrays_zip("classes", "roots")).alias("x")).select(
+        F.col("x.classes").alias("a"), F.col("x.roots").alias("b")
+    ).where("a <> b")
     used += [asked, texts, matrix]
     common.released(spark)
 
@@ -464,7 +510,9 @@ def groups(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id", text_c
     # share `need` keys or more, so PREFIX at least beside the need - PREFIX most frequent of either.
     apart = held.select("key", "cls").join(placed, "cls")
     where = F.struct("grp", "part")
-    open_keys = apart.groupBy("key").agg(F.min(where).alias("x"), F.max(where).alias("y"), F.count(F.lit(1)).alias("often")).where("x < y").select("key", "often")
+    open_keys = apart.groupBy("key").agg(
+        F.min(where).alias("x"), F.max(where).alias("y"), F.count(F.lit(1)).alias("often")
+    ).where("x < y").select("key", "often")
     nth = F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("often"), "key"))
     standing = apart.join(open_keys, "key").withColumn("nth", nth).join(classes.select("cls", "need"), "cls")
     standing = standing.where(F.col("nth") > F.col("need") - F.least(F.lit(PREFIX), "need")).select("key", "cls", "need", "grp", "part")
@@ -489,7 +537,10 @@ def groups(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id", text_c
     least_of = names.groupBy("component").agg(F.min("doc_id").alias("least_id"))
     by_class = names.select("cls", "component").join(least_of, "component").select("cls", "least_id")
     out = base.select("doc_id", "n", "cls").join(by_class, "cls", "left")
-    return out.select("doc_id", "n", F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("least_id"))).otherwise(F.col("doc_id")).alias("component"))
+    return out.select(
+        "doc_id", "n",
+        F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("least_id"))).otherwise(F.col("doc_id")).alias("component")
+    )
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -498,7 +549,9 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     found = common.stored(groups(docs, k, percent).where("component <> doc_id").select(F.col("doc_id").alias("gone_id")).distinct(), "jaccard-gone")
     named = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)), F.col("doc_id").cast("long").alias("own_id"))
     near = common.marked(named, "own_id", common.bitmap(found, "gone_id"), "maybe")
-    kept = near.where("not maybe").drop("maybe").unionByName(near.where("maybe").drop("maybe").join(found, F.col("own_id") == F.col("gone_id"), "left_anti"))
+    kept = near.where("not maybe").drop("maybe").unionByName(
+        near.where("maybe").drop("maybe").join(found, F.col("own_id") == F.col("gone_id"), "left_anti")
+    )
     return kept.drop("own_id").toDF(*docs.columns)
 
 

@@ -83,7 +83,9 @@ def fingerprint(samples: bytes) -> np.ndarray:
 
 FIELDS = pa.schema([
     ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()),
-    ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("fingerprint", pa.list_(pa.int64())),
+    ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), (
+        "fingerprint", pa.list_(pa.int64())
+    ),
 ])
 SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, fingerprint array<long>"
 
@@ -104,11 +106,16 @@ def _batches(batches):
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
-            yield pa.RecordBatch.from_pylist([described(i, t) for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)], FIELDS)
+            yield pa.RecordBatch.from_pylist(
+                [described(i, t) for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)],
+                FIELDS
+            )
 
 
 def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(common.tidied(_batches), SCHEMA)
+    return docs.select(
+        docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")
+    ).mapInArrow(common.tidied(_batches), SCHEMA)
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

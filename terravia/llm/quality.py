@@ -49,7 +49,10 @@ class Network:
     def __init__(self, seed: int = 11):
         rng = np.random.default_rng(seed)
         n = lambda *shape: (rng.standard_normal(shape) * 0.3).astype(np.float32)
-        self.p = {"byte": n(257, DIMS), "filter": n(WIDTH, DIMS, FILTERS) * 0.5, "bias": np.zeros(FILTERS, np.float32), "out": n(2 * FILTERS) * 0.5, "constant": np.zeros(1, np.float32)}
+        self.p = {
+            "byte": n(257, DIMS), "filter": n(WIDTH, DIMS, FILTERS) * 0.5, "bias": np.zeros(FILTERS, np.float32),
+            "out": n(2 * FILTERS) * 0.5, "constant": np.zeros(1, np.float32)
+        }
         self.p["byte"][PADDING] = 0
 
     def responses(self, x: np.ndarray) -> np.ndarray:
@@ -118,7 +121,10 @@ class Network:
         return g
 
 
-def train(texts: list[str], labels: list[int], epochs: int = 10, size: int = 32, rate: float = 0.01, decay: float = 1e-4, seed: int = 11) -> Network | float:
+def train(
+    texts: list[str], labels: list[int], epochs: int = 10, size: int = 32, rate: float = 0.01, decay: float = 1e-4,
+    seed: int = 11
+) -> Network | float:
     y = np.array(labels, np.float32)
     if not len(y) or y.min() == y.max():
         return float(y.mean()) if len(y) else 0.0
@@ -161,7 +167,10 @@ def score(docs: DataFrame, model: Network | float) -> DataFrame:
     def run(batches):
         m = shared.value
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score_texts(m, batch.column(1).to_pylist()), pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(score_texts(m, batch.column(1).to_pylist()), pa.float64())],
+                ["doc_id", "score"]
+            )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(common.tidied(run), "doc_id long, score double")

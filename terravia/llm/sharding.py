@@ -88,7 +88,9 @@ def numbered(rows: DataFrame, by: list[str], parts: str, order: list, weight: st
     spark_sum = F.sum(weight) if weight else F.count(F.lit(1))
     rows = rows.withColumn("nr_part", F.pmod(F.xxhash64(*order), F.col(parts)))
     earlier = Window.partitionBy(*by).orderBy("nr_part").rowsBetween(Window.unboundedPreceding, -1)
-    first = rows.groupBy(*by, "nr_part").agg(spark_sum.alias("nr_n")).withColumn("nr_first", F.coalesce(F.sum("nr_n").over(earlier), F.lit(0))).drop("nr_n")
+    first = rows.groupBy(*by, "nr_part").agg(spark_sum.alias("nr_n")).withColumn(
+        "nr_first", F.coalesce(F.sum("nr_n").over(earlier), F.lit(0))
+    ).drop("nr_n")
     within = Window.partitionBy(*by, "nr_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum(weight if weight else F.lit(1)).over(within), F.lit(0))
     out = rows.withColumn("nr_before", before).join(first, [*by, "nr_part"])
@@ -110,7 +112,11 @@ def assign(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col
     classes = [(r.bytes, r.n) for r in groups.groupBy("bytes").agg(F.count(F.lit(1)).alias("n")).collect()]
     plan = schedule(classes, n_shards)
     many = dict(classes)
-    columns = [pa.array([p[0] for p in plan], pa.int64()), pa.array([p[1] for p in plan], pa.list_(pa.int32())), pa.array([p[2] for p in plan], pa.list_(pa.int64())), pa.array([-(-many[p[0]] // PART) for p in plan], pa.int64())]
+    columns = [
+        pa.array([p[0] for p in plan], pa.int64()), pa.array([p[1] for p in plan], pa.list_(pa.int32())),
+        pa.array([p[2] for p in plan], pa.list_(pa.int64())),
+        pa.array([-(-many[p[0]] // PART) for p in plan], pa.int64())
+    ]
     goes = spark.createDataFrame(pa.table(columns, ["bytes", "shards", "upto", "parts"]))
     ranked = numbered(groups.join(goes, "bytes"), ["bytes"], "parts", ["grp"], None, "rank")
     place = F.size(F.filter("upto", lambda x: x <= F.col("rank")))

@@ -90,7 +90,10 @@ def _emit(batches):
                 digests.append(own)
                 ids.append(np.full(len(own), LAST_ID if doc_id is None else doc_id))
             flat = np.concatenate(digests).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1]), pa.array(np.concatenate([*ids, np.zeros(0, np.int64)]).astype(np.int64))], ["hi", "lo", "doc_id"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(flat[:, 0]), pa.array(flat[:, 1]), pa.array(np.concatenate([*ids, np.zeros(0, np.int64)]).astype(np.int64))],
+                ["hi", "lo", "doc_id"]
+            )
 
 
 def _spans(to: np.ndarray, again: np.ndarray, run: int) -> list[tuple[int, int]]:
@@ -122,7 +125,10 @@ def _kept(text: str | None, first: dict[bytes, int], run: int) -> tuple:
     return text, len(to), int(gone.sum()), [{"start": a, "end": b} for a, b in spans], sorted(sources - {LAST_ID})
 
 
-_NEW = [("text", pa.string()), ("n_chunks", pa.int64()), ("n_repeated", pa.int64()), ("removed", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("first_ids", pa.list_(pa.int64()))]
+_NEW = [
+    ("text", pa.string()), ("n_chunks", pa.int64()), ("n_repeated", pa.int64()),
+    ("removed", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("first_ids", pa.list_(pa.int64()))
+]
 
 
 def _apply(run: int):
@@ -142,16 +148,24 @@ def _apply(run: int):
 def dedup(docs: DataFrame, keep: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text", run: int = RUN) -> DataFrame:
     """doc_id, the columns named in keep, text without repeated passages, n_chunks, n_repeated (chunks taken out), removed
     (byte spans of the text as it was), first_ids (documents that keep what was taken out)."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), *(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)),
+        F.col(text_col).cast("string").alias("text")
+    )
     chunks = rows.select("doc_id", "text").mapInArrow(common.tidied(_emit), "hi long, lo long, doc_id long")
     first = chunks.groupBy("hi", "lo").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("other")).where("first < other").drop("other")
     key = F.unhex(F.concat(F.lpad(F.hex("hi"), 16, "0"), F.lpad(F.hex("lo"), 16, "0")))
     again = chunks.join(first, ["hi", "lo"]).where("doc_id > first").select("doc_id", key.alias("key"), "first")
-    by_doc = again.groupBy("doc_id").agg(F.collect_list(F.struct("key", "first")).alias("again")).select(F.col("doc_id").alias("to_id"), F.col("again.key").alias("keys"), F.col("again.first").alias("firsts"))
+    by_doc = again.groupBy("doc_id").agg(F.collect_list(F.struct("key", "first")).alias("again")).select(
+        F.col("doc_id").alias("to_id"), F.col("again.key").alias("keys"), F.col("again.first").alias("firsts")
+    )
     joined = rows.join(by_doc, F.coalesce(F.col("doc_id"), F.lit(LAST_ID)) == F.col("to_id"), "left").drop("to_id")
     kept = [f for f in joined.schema.fields if f.name == "doc_id" or f.name[0] == "k" and f.name[1:].isdigit()]
     ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept)
-    out = joined.select(*(f.name for f in kept), "text", "keys", "firsts").mapInArrow(common.tidied(_apply(run)), f"{ddl}, text string, n_chunks long, n_repeated long, removed array<struct<start:long,end:long>>, first_ids array<long>")
+    out = joined.select(*(f.name for f in kept), "text", "keys", "firsts").mapInArrow(
+        common.tidied(_apply(run)),
+        f"{ddl}, text string, n_chunks long, n_repeated long, removed array<struct<start:long,end:long>>, first_ids array<long>"
+    )
     return out.withColumnsRenamed({f"k{i}": c for i, c in enumerate(keep)})
 
 

@@ -271,7 +271,10 @@ def train(texts: list[str], labels: list[int], seed: int = 5, n_marks: int = 96)
         marks.append(d[at : at + 8])
     machine = Machine(marks)
     # To begin with, a segment counts by the telling strings that it holds.
-    table, constant = machine.fit([*marks], np.array([1.0] * (len(marks) - min(n_marks, len(some))) + [-1.0] * min(n_marks, len(some))), np.ones(len(marks)))
+    table, constant = machine.fit(
+        [*marks], np.array([1.0] * (len(marks) - min(n_marks, len(some))) + [-1.0] * min(n_marks, len(some))),
+        np.ones(len(marks))
+    )
     negatives: list[np.ndarray] = []
     for d in (some[i] for i in rng.permutation(len(some))[:1500]):
         at = int(rng.integers(0, len(d) - long))
@@ -321,7 +324,9 @@ def score_texts(model: dict | None, texts: list[str | None]) -> np.ndarray:
 
 def labelled(docs: DataFrame, labels: DataFrame, column: str, where, most: dict[int, int], max_chars: int) -> list:
     """(label, text) of a bounded sample of the labelled documents, the same for the same tables."""
-    known = labels.where(F.col(column).isin(list(most)) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(column).alias("label")).where(where)
+    known = labels.where(
+        F.col(column).isin(list(most)) & F.col("doc_id").isNotNull()
+    ).groupBy("doc_id").agg(F.min(column).alias("label")).where(where)
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     ids = None
     for label, n in most.items():  # bounded: n ids of each label
@@ -331,7 +336,9 @@ def labelled(docs: DataFrame, labels: DataFrame, column: str, where, most: dict[
     if not rows:
         return []
     wanted = docs.sparkSession.createDataFrame([(r.doc_id, int(r.label)) for r in rows], "doc_id long, label int")
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.length("text") <= max_chars).join(F.broadcast(wanted), "doc_id")
+    found = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
+    ).where(F.length("text") <= max_chars).join(F.broadcast(wanted), "doc_id")
     picked = found.groupBy("doc_id").agg(F.min("label").alias("label"), F.min("text").alias("text")).collect()
     return [(r.label, r.text) for r in sorted(picked, key=lambda r: r.doc_id)]
 
@@ -346,7 +353,10 @@ def _score(model):
     return run
 
 
-def model_of(docs: DataFrame, labels: DataFrame, where: str | object = "true", max_toxic: int = 1000, max_clean: int = 2000, max_chars: int = 10_000) -> dict | None:
+def model_of(
+    docs: DataFrame, labels: DataFrame, where: str | object = "true", max_toxic: int = 1000, max_clean: int = 2000,
+    max_chars: int = 10_000
+) -> dict | None:
     rows = labelled(docs, labels, "toxic", where, {1: max_toxic, 0: max_clean}, max_chars)
     return train([t for _, t in rows], [k for k, _ in rows])
 
@@ -369,7 +379,10 @@ def filtered(docs: DataFrame, model: dict | None, most: float = 0.5) -> DataFram
             keep = score_texts(m, batch.column(batch.num_columns - 1).to_pylist()) < most
             yield pa.RecordBatch.from_arrays(batch.columns[:-1], batch.schema.names[:-1]).filter(pa.array(keep))
 
-    named = docs.select(*(F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(docs.schema.fields)), F.col("text").cast("string").alias("scored"))
+    named = docs.select(
+        *(F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(docs.schema.fields)),
+        F.col("text").cast("string").alias("scored")
+    )
     return named.mapInArrow(common.tidied(run), ddl).toDF(*docs.columns)
 
 
@@ -377,4 +390,7 @@ def op6(spark, sf_dir: str) -> DataFrame:
     docs, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
     model = model_of(docs, labels, ~common.held_out(F.col("doc_id"), 5, 0))
     out = score(docs, model)
-    return out.select("doc_id", common.held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return out.select(
+        "doc_id", common.held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )

@@ -53,7 +53,10 @@ def base32_sha1(payload: bytes) -> str:
 
 
 def record(kind: str, headers: list[tuple[str, str]], block: bytes) -> bytes:
-    lines = [f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", f"WARC-Date: {DATE}", *(f"{k}: {v}" for k, v in headers), f"Content-Length: {len(block)}"]
+    lines = [
+        f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", f"WARC-Date: {DATE}",
+        *(f"{k}: {v}" for k, v in headers), f"Content-Length: {len(block)}"
+    ]
     return ("WARC/1.1\r\n" + "\r\n".join(lines) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
 
 
@@ -66,11 +69,26 @@ def target(page_id, url: str | None) -> str:
 
 
 def response(page_id, url: str | None, payload: bytes, digest: str) -> bytes:
-    return record("response", [("WARC-Target-URI", target(page_id, url)), (PAGE, json.dumps(page_id)), ("WARC-Payload-Digest", f"sha1:{digest}"), ("Content-Type", "application/http; msgtype=response")], http_block(len(payload), payload))
+    return record(
+        "response",
+        [
+            ("WARC-Target-URI", target(page_id, url)), (PAGE, json.dumps(page_id)),
+            ("WARC-Payload-Digest", f"sha1:{digest}"), ("Content-Type", "application/http; msgtype=response")
+        ],
+        http_block(len(payload), payload)
+    )
 
 
 def revisit(headers: dict[str, str], n: int, refers_to: int) -> bytes:
-    return record("revisit", [("WARC-Target-URI", headers["WARC-Target-URI"]), (PAGE, headers[PAGE]), ("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<urn:page:{refers_to}>"), ("WARC-Payload-Digest", headers["WARC-Payload-Digest"]), ("Content-Type", "application/http; msgtype=response")], http_block(n))
+    return record(
+        "revisit",
+        [
+            ("WARC-Target-URI", headers["WARC-Target-URI"]), (PAGE, headers[PAGE]), ("WARC-Profile", PROFILE),
+            ("WARC-Refers-To", f"<urn:page:{refers_to}>"), ("WARC-Payload-Digest", headers["WARC-Payload-Digest"]),
+            ("Content-Type", "application/http; msgtype=response")
+        ],
+        http_block(n)
+    )
 
 
 def parsed(raw: bytes) -> tuple[dict[str, str], bytes]:
@@ -126,7 +144,10 @@ READ_BACK = "page_id long, payload_bytes long, payload_digest string, record_typ
 def _arrow(rows: list[tuple], ddl: str) -> pa.RecordBatch:
     fields = [x.split(" ") for x in ddl.split(", ")]
     cols = list(zip(*rows, strict=True)) or [()] * len(fields)
-    return pa.RecordBatch.from_arrays([pa.array(c, {"long": pa.int64(), "string": pa.string()}[k]) for c, (_, k) in zip(cols, fields, strict=True)], [n for n, _ in fields])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, {"long": pa.int64(), "string": pa.string()}[k]) for c, (_, k) in zip(cols, fields, strict=True)],
+        [n for n, _ in fields]
+    )
 
 
 def _write(folder: str, level: int):
@@ -168,8 +189,12 @@ def write_monolithic(pages: DataFrame, folder: str, level: int = 3) -> DataFrame
 
 def revisits(written: DataFrame, min_bytes: int = 0) -> DataFrame:
     """archive and its revisit records as (seq, refers_to); archives without any are kept."""
-    first = written.where(F.col("payload_bytes") >= min_bytes).groupBy("digest", "payload_bytes").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null")
-    again = written.join(first, ["digest", "payload_bytes"], "left").withColumn("again", F.col("first").isNotNull() & ~F.coalesce(F.col("first") == F.col("page_id"), F.lit(False)))
+    first = written.where(F.col("payload_bytes") >= min_bytes).groupBy("digest", "payload_bytes").agg(
+        F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")
+    ).where("n > 1 and first is not null")
+    again = written.join(first, ["digest", "payload_bytes"], "left").withColumn(
+        "again", F.col("first").isNotNull() & ~F.coalesce(F.col("first") == F.col("page_id"), F.lit(False))
+    )
     return again.groupBy("archive").agg(F.collect_list(F.when(F.col("again"), F.struct("seq", "first"))).alias("again"))
 
 
@@ -182,14 +207,18 @@ def _normalise(source: str, folder: str, level: int):
             for archive, again in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 refers = {x["seq"]: x["first"] for x in again or ()}
                 name, offset, rows, lines = f"{uuid.uuid4().hex}.warc.gz", 0, [], []
-                with fs.open_input_stream(posixpath.join(root, archive), compression=None) as f, to.open_output_stream(posixpath.join(to_root, name), compression=None) as out:
+                with fs.open_input_stream(
+                    posixpath.join(root, archive), compression=None
+                ) as f, to.open_output_stream(posixpath.join(to_root, name), compression=None) as out:
                     for seq, raw in enumerate(records(inflated(f))):
                         headers, block = parsed(raw)
                         if seq in refers:
                             raw = revisit(headers, len(block.partition(b"\r\n\r\n")[2]), refers[seq])
                         data = member(raw, level)
                         out.write(data)
-                        lines.append(f"{offset} {len(data)} {'revisit' if seq in refers else 'response'} {headers['WARC-Payload-Digest']} {headers[PAGE]}\n")
+                        lines.append(
+                            f"{offset} {len(data)} {'revisit' if seq in refers else 'response'} {headers['WARC-Payload-Digest']} {headers[PAGE]}\n"
+                        )
                         rows.append((name, json.loads(headers[PAGE]), offset, len(data)))
                         offset += len(data)
                 with to.open_output_stream(posixpath.join(to_root, name + ".idx")) as out:

@@ -13,7 +13,10 @@ def documents(spark, rows):
 
 LONG = " ".join(f"w{i * i % 9973} and{i % 7}" for i in range(30_000))
 PROSE = "The quick brown fox jumps over the lazy dog while the old farmer counts his sheep near the river and hums a quiet song about distant hills in autumn light."
-EDGES = [(1, PROSE), (1, PROSE), (2, None), (3, ""), (4, " \t\n "), (None, "no id here at all, my friend"), (None, None), (5, LONG), (6, "é" * 3000), (7, "a"), (8, "Ünï çödé 日本語 😀 text")]
+EDGES = [
+    (1, PROSE), (1, PROSE), (2, None), (3, ""), (4, " \t\n "), (None, "no id here at all, my friend"), (None, None),
+    (5, LONG), (6, "é" * 3000), (7, "a"), (8, "Ünï çödé 日本語 😀 text")
+]
 
 
 @pytest.fixture()

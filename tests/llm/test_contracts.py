@@ -88,13 +88,23 @@ def naive_fingerprint(payload):
 
 
 def test_media(spark, texts):
-    got = {r.doc_id: r for r in result(spark, 4, {"doc_id": "bigint", "n_bytes": "bigint", "payload_bytes": "bigint", "payload_sha256": "string", "tail_crc32": "bigint", "media_bytes": "bigint", "media_sha256": "string", "feature": "string"})}
+    got = {
+        r.doc_id: r for r in result(
+            spark, 4,
+            {
+                "doc_id": "bigint", "n_bytes": "bigint", "payload_bytes": "bigint", "payload_sha256": "string",
+                "tail_crc32": "bigint", "media_bytes": "bigint", "media_sha256": "string", "feature": "string"
+            }
+        )
+    }
     assert set(got) == set(texts)
     for i, t in texts.items():
         raw = (t or "").encode()
         payload = raw + b"\xff" * (-len(raw) % 576 or (0 if raw else 576))
         r = got[i]
-        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (
+            len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:])
+        )
     for i in sorted(texts, key=lambda i: len(texts[i] or ""))[10:60:10]:
         assert list(got[i].fingerprint) == naive_fingerprint(media.payload_of(texts[i])[1]), i
 
@@ -109,7 +119,11 @@ def test_decontamination(spark, texts):
 
 def test_toxicity_scores_are_those_of_the_kernel(spark):
     """A document's score from the machine's own weights, segment by segment, by loops."""
-    docs = [(r["text"], y) for r in rows_of("documents") for y in [{x["doc_id"]: x["toxic"] for x in rows_of("labels")}.get(r["doc_id"])] if y in (0, 1) and r["text"] and len(r["text"]) < 3000]
+    docs = [
+        (r["text"], y) for r in rows_of("documents") for y in [
+            {x["doc_id"]: x["toxic"] for x in rows_of("labels")}.get(r["doc_id"])
+        ] if y in (0, 1) and r["text"] and len(r["text"]) < 3000
+    ]
     model = toxicity.train([t for t, _ in docs], [y for _, y in docs], n_marks=24)
     for text in [docs[0][0][:300], docs[3][0][:200], "y0u a r e", "ab", ""]:
         got, first = toxicity.symbols([text])
@@ -139,8 +153,17 @@ def test_warc(spark):
     first = {}
     for i in sorted(payload):
         first.setdefault(payload[i], i)
-    got = result(spark, 8, {"page_id": "bigint", "payload_bytes": "bigint", "payload_digest": "string", "record_type": "string", "refers_to": "bigint"})
-    want = {i: (len(p), base64.b32encode(hashlib.sha1(p).digest()).decode(), "response" if first[p] == i else "revisit", None if first[p] == i else first[p]) for i, p in payload.items()}
+    got = result(
+        spark, 8,
+        {"page_id": "bigint", "payload_bytes": "bigint", "payload_digest": "string", "record_type": "string", "refers_to": "bigint"}
+    )
+    want = {
+        i: (
+            len(p), base64.b32encode(hashlib.sha1(p).digest()).decode(), "response" if first[p] == i else "revisit",
+            None if first[p] == i else first[p]
+        ) for i,
+        p in payload.items()
+    }
     assert {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got} == want and len(got) == len(pages)
 
 
@@ -150,7 +173,10 @@ def test_jaccard(spark, texts):
 
 
 def test_sharding(spark, texts):
-    got = result(spark, 10, {"doc_id": "bigint", "size": "bigint", "text_crc32": "bigint", "law": "string", "shard": "int", "slot": "bigint", "grown_shard": "int"})
+    got = result(
+        spark, 10,
+        {"doc_id": "bigint", "size": "bigint", "text_crc32": "bigint", "law": "string", "shard": "int", "slot": "bigint", "grown_shard": "int"}
+    )
     assert sorted(r.doc_id for r in got) == sorted(texts) and {(r.law, r.grown_shard) for r in got} == {("bytes", None)}
     raw = {i: (t or "").encode() for i, t in texts.items()}
     groups = Counter()
@@ -179,4 +205,7 @@ def test_index_parts_have_the_statistics_of_all(spark):
     whole, parts = decontamination.index_of(bench)[0], decontamination.index_of(bench, part_chars=1000)
     weights = {(ix.ids[d], int(ix.words[t])): x for ix in parts for t in range(len(ix.words)) for d, x in zip(*ix.postings(t), strict=True)}
     assert len(parts) > 3 and len(weights) == len(whole.items)
-    assert all(weights[whole.ids[d], int(whole.words[t])] == pytest.approx(x) for t in range(len(whole.words)) for d, x in zip(*whole.postings(t), strict=True))
+    assert all(
+        weights[whole.ids[d], int(whole.words[t])] == pytest.approx(x) for t in range(len(whole.words)) for d,
+        x in zip(*whole.postings(t), strict=True)
+    )

@@ -65,7 +65,11 @@ def families(seed, n):
 @pytest.mark.parametrize("k, percent", [(3, 90), (5, 80)])
 def test_jaccard_is_exact(spark, k, percent):
     rows = families(k, 220)
-    got = {r.doc_id: (r.n, r.component) for r in jaccard.groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), k, percent).collect()}
+    got = {
+        r.doc_id: (r.n, r.component) for r in jaccard.groups(
+            spark.createDataFrame(rows, "doc_id long, text string").repartition(5), k, percent
+        ).collect()
+    }
     assert got == brute(rows, k, percent)
 
 
@@ -80,7 +84,9 @@ def test_jaccard_is_exact_where_clusters_are_dealt_to_many_parts(spark, monkeypa
         for at in rng.sample(range(len(w)), rng.randint(1, 3)):
             w[at] = words(rng, 1)[0]
         rows.append((1000 + i, " ".join(w)))
-    got = {r.doc_id: (r.n, r.component) for r in jaccard.groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 3, 90).collect()}
+    got = {
+        r.doc_id: (r.n, r.component) for r in jaccard.groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 3, 90).collect()
+    }
     assert got == brute(rows, 3, 90)
     assert 1 < len({c for i, (_, c) in got.items() if i >= 1000}) < 110
 
@@ -152,7 +158,9 @@ def test_jaccard_finds_pairs_where_one_keeps_its_light_blocks(spark):
         w = [f"d{i}w{j}" for j in range(size)]
         v = [*w[: size - 10], *(f"d{i}v{j}" for j in range(10))]
         rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(v))]
-    got = {r.doc_id: (r.n, r.component) for r in jaccard.groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 3, 90).collect()}
+    got = {
+        r.doc_id: (r.n, r.component) for r in jaccard.groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 3, 90).collect()
+    }
     assert all(got[2 * i + 1][1] == 2 * i for i in range(400))
 
 
@@ -164,13 +172,18 @@ def test_jaccard_edge_cases(spark, edge_docs, no_docs):
     assert jaccard.groups(no_docs, 3, 90).count() == 0
     kept = jaccard.one_of_each(edge_docs)
     assert kept.columns == edge_docs.columns and kept.count() == len(EDGES)
-    twice = documents(spark, [(1, "one two three four"), (1, "other words that stand here"), (2, "other words that stand here"), (9, "one two three four")])
+    twice = documents(
+        spark,
+        [(1, "one two three four"), (1, "other words that stand here"), (2, "other words that stand here"), (9, "one two three four")]
+    )
     assert {(r.doc_id, r.component) for r in jaccard.groups(twice, 3, 90).collect()} == {(1, 1), (2, 1), (9, 1)}
 
 
 def test_components(spark):
     rng = random.Random(8)
-    e = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000, 1000 + i) for i in range(1, 200)] + [(2000 + i, 2001 + i) for i in range(60)] + [(None, 5), (7, 7)]
+    e = [
+        (rng.randrange(300), rng.randrange(300)) for _ in range(220)
+    ] + [(1000, 1000 + i) for i in range(1, 200)] + [(2000 + i, 2001 + i) for i in range(60)] + [(None, 5), (7, 7)]
     parent = {}
 
     def find(x):
@@ -203,7 +216,9 @@ def test_chunks_are_the_text_and_resist_insertions():
     same = set(substrings._pieces(digests)) & set(substrings._pieces(other))
     assert len(same) > 0.95 * len(set(substrings._pieces(digests)))
     raw = np.frombuffer(data[:300], np.uint8)
-    slow = [sum(int(substrings._GEAR[raw[i - j]]) << (substrings.SHIFT * j) for j in range(min(substrings.WINDOW, i + 1))) % 2**32 for i in range(300)]
+    slow = [
+        sum(int(substrings._GEAR[raw[i - j]]) << (substrings.SHIFT * j) for j in range(min(substrings.WINDOW, i + 1))) % 2**32 for i in range(300)
+    ]
     assert substrings.gear(raw).tolist() == slow
 
 
@@ -260,7 +275,12 @@ def test_substring_dedup(spark, edge_docs, no_docs):
 
 
 def items(rng, n):
-    return [(i, " ".join(words(rng, rng.randint(6, 40))).capitalize() + ". " + " ".join(words(rng, rng.randint(3, 12))).capitalize() + ".") for i in range(n)]
+    return [
+        (
+            i,
+            " ".join(words(rng, rng.randint(6, 40))).capitalize() + ". " + " ".join(words(rng, rng.randint(3, 12))).capitalize() + "."
+        ) for i in range(n)
+    ]
 
 
 def test_decontamination_finds_what_brute_force_finds():
@@ -314,7 +334,14 @@ def test_decontamination_hits_are_those_of_brute_force(monkeypatch, threshold, o
     monkeypatch.setattr(decontamination, "ENTRIES", 300)  # many rounds
     rng = random.Random(13)
     common_words = words(rng, 30)  # so that items share words, and blocks hold several
-    bench = [(i, " ".join(rng.choice(common_words) if rng.random() < 0.5 else words(rng, 1)[0] for _ in range(rng.randint(3, 25))) + ". " + " ".join(words(rng, rng.randint(2, 8))) + ".") for i in range(70)]
+    bench = [
+        (
+            i,
+            " ".join(
+                rng.choice(common_words) if rng.random() < 0.5 else words(rng, 1)[0] for _ in range(rng.randint(3, 25))
+            ) + ". " + " ".join(words(rng, rng.randint(2, 8))) + "."
+        ) for i in range(70)
+    ]
     texts = []
     for _ in range(40):
         w = [rng.choice(common_words) for _ in range(rng.randint(0, 150))]
@@ -413,7 +440,9 @@ def test_quality_forward_pass_is_the_plain_one():
         top = []
         for h in range(halves):
             places = [i for i in range(h * quality.HALF, (h + 1) * quality.HALF, quality.STRIDE) if i + quality.WIDTH <= len(raw)]
-            top.append(np.max([np.maximum(0, net.p["bias"] + sum(vectors[raw[i + k]] @ filters[k] for k in range(quality.WIDTH))) for i in places], axis=0))
+            top.append(
+                np.max([np.maximum(0, net.p["bias"] + sum(vectors[raw[i + k]] @ filters[k] for k in range(quality.WIDTH))) for i in places], axis=0)
+            )
         chunks = [np.maximum(a, b) for a, b in zip(top, top[1:], strict=False)]
         z = np.concatenate([np.mean(chunks, axis=0), np.max(chunks, axis=0)]) @ net.p["out"] + net.p["constant"][0]
         assert got == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-4)
@@ -522,7 +551,11 @@ def test_pipeline(spark):
     clean, long = " ".join(words(rng, 200)), words(rng, 300)
     near = [*long[:150], "changed", *long[151:]]
     passage = " ".join(words(rng, 70))
-    planted = [(10_001, clean), (10_002, " ".join(long)), (10_003, " ".join(near)), (10_004, " ".join(words(rng, 50)) + " " + item + " " + " ".join(words(rng, 50))), (10_005, " ".join(words(rng, 80)) + " " + passage), (10_006, passage + " " + " ".join(words(rng, 80)))]
+    planted = [
+        (10_001, clean), (10_002, " ".join(long)), (10_003, " ".join(near)),
+        (10_004, " ".join(words(rng, 50)) + " " + item + " " + " ".join(words(rng, 50))),
+        (10_005, " ".join(words(rng, 80)) + " " + passage), (10_006, passage + " " + " ".join(words(rng, 80)))
+    ]
     docs = common.stored(docs.unionByName(spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in planted], docs.schema)), "test-docs")
     before = docs
     for name, stage in p.STAGES[:-1]:
@@ -541,8 +574,16 @@ def test_pipeline_on_odd_rows(spark, edge_docs):
     """Nulls in any column, empty and very long texts, rows that repeat, ids that repeat, further columns with clashing names."""
     import corpus_pipeline as p
 
-    again = documents(spark, [(1, PROSE), (None, None), (11, None), (12, "one of a kind and nothing else"), (12, "another text of the same document"), (13, "another text of the same document")])
-    nulls = documents(spark, [(14, "a row of nulls")]).select("doc_id", "text", *(F.lit(None).cast(f.dataType).alias(f.name) for f in edge_docs.schema.fields[2:]))
+    again = documents(
+        spark,
+        [
+            (1, PROSE), (None, None), (11, None), (12, "one of a kind and nothing else"),
+            (12, "another text of the same document"), (13, "another text of the same document")
+        ]
+    )
+    nulls = documents(spark, [(14, "a row of nulls")]).select(
+        "doc_id", "text", *(F.lit(None).cast(f.dataType).alias(f.name) for f in edge_docs.schema.fields[2:])
+    )
     docs = common.stored(edge_docs.unionByName(again).unionByName(nulls), "odd-docs")
     rows = docs.collect()
     assert "ids" in docs.columns and "n_tokens" in docs.columns

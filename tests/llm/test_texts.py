@@ -31,7 +31,10 @@ def encoded(texts):
 
 def test_bpe_is_exact(reference):
     rng = random.Random(1)
-    texts = ["", " ", "  ", "a  b", "a \n b", "it's we'll they're 'sx ''s !'s 've\n's", "x\t's", "日本語 テスト", "a" * 5000, "!" * 3000, " " * 3000, "'", "😀 a😀'll", "\r\n\r\n  \tq", "　x y"]
+    texts = [
+        "", " ", "  ", "a  b", "a \n b", "it's we'll they're 'sx ''s !'s 've\n's", "x\t's", "日本語 テスト", "a" * 5000,
+        "!" * 3000, " " * 3000, "'", "😀 a😀'll", "\r\n\r\n  \tq", "　x y"
+    ]
     texts += ["".join(rng.choice("ab'srtvelmd \n!1é　😀.THEing") for _ in range(rng.randint(0, 80))) for _ in range(3000)]
     for text, (ids, raw) in zip(texts, encoded(texts), strict=True):
         assert ids == reference.encode_ordinary(text) and raw == text.encode()
@@ -63,7 +66,12 @@ def test_bpe_columns(spark, edge_docs, no_docs, reference):
     assert len(got) == len(EDGES)
     for r in got:
         assert r.ids == reference.encode_ordinary(r.text or "") and r.n_tokens == len(r.ids) and r.decoded == (r.text or "") and r.score == "x"
-    want = sorted((r.doc_id or -1, r.n_tokens, hashlib.sha256(b"".join(i.to_bytes(4, "little") for i in r.ids)).hexdigest(), hashlib.sha256(r.decoded.encode()).hexdigest()) for r in got)
+    want = sorted(
+        (
+            r.doc_id or -1, r.n_tokens, hashlib.sha256(b"".join(i.to_bytes(4, "little") for i in r.ids)).hexdigest(),
+            hashlib.sha256(r.decoded.encode()).hexdigest()
+        ) for r in got
+    )
     assert sorted((r.doc_id or -1, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.digests(edge_docs).collect()) == want
     assert bpe.encode(no_docs).count() == 0
 
@@ -78,7 +86,9 @@ def test_media_round_trip(spark, edge_docs, no_docs):
         media_bytes = media.to_wav(payload)
         assert media.from_wav(media_bytes) == payload and media_bytes[:4] == b"RIFF"
         mine = [r for r in got if r.payload_sha256 == hashlib.sha256(payload).hexdigest() and r.n_bytes == len(raw)]
-        assert len(mine) >= texts[text] and {(r.payload_bytes, r.tail_crc32, r.media_bytes, r.media_sha256) for r in mine} == {(len(payload), zlib.crc32(payload[-32:]), len(media_bytes), hashlib.sha256(media_bytes).hexdigest())}
+        assert len(mine) >= texts[text] and {(r.payload_bytes, r.tail_crc32, r.media_bytes, r.media_sha256) for r in mine} == {
+            (len(payload), zlib.crc32(payload[-32:]), len(media_bytes), hashlib.sha256(media_bytes).hexdigest())
+        }
         assert len({r.feature for r in mine}) == 1
     assert media.media_column(no_docs).count() == 0
 
@@ -108,7 +118,10 @@ def turns(*texts, role="assistant"):
 
 
 def test_chat_prefix_and_masks(spark):
-    pairs = [(1, turns("q", "a", "q2", "good"), turns("q", "a", "q2", "bad")), (2, turns("q", "a"), turns("q", "a")), (3, turns("x"), turns("y")), (4, [], turns("q", "a")), (5, turns("q", "a", "b", "c"), turns("q", "a"))]
+    pairs = [
+        (1, turns("q", "a", "q2", "good"), turns("q", "a", "q2", "bad")), (2, turns("q", "a"), turns("q", "a")),
+        (3, turns("x"), turns("y")), (4, [], turns("q", "a")), (5, turns("q", "a", "b", "c"), turns("q", "a"))
+    ]
     schema = "pair_id long, chosen array<struct<role:string,text:string>>, rejected array<struct<role:string,text:string>>"
     for r in chat.format_preferences(spark.createDataFrame(pairs, schema)).collect():
         _, a, b = pairs[r.pair_id - 1]
@@ -121,7 +134,11 @@ def test_chat_prefix_and_masks(spark):
 
 
 def test_chat_pairs(spark):
-    c = [(0, 0, "user", "q"), (0, 1, "assistant", "a"), (0, 1, "assistant", "a"), (1, 0, "user", None), (1, 1, "assistant", "b"), (1, 2, "user", "thanks"), (2, 0, "user", "alone"), (4, 0, None, "s"), (4, 1, "assistant", "z"), (None, 0, "user", "x"), (7, None, "assistant", "first")]
+    c = [
+        (0, 0, "user", "q"), (0, 1, "assistant", "a"), (0, 1, "assistant", "a"), (1, 0, "user", None),
+        (1, 1, "assistant", "b"), (1, 2, "user", "thanks"), (2, 0, "user", "alone"), (4, 0, None, "s"),
+        (4, 1, "assistant", "z"), (None, 0, "user", "x"), (7, None, "assistant", "first")
+    ]
     d = spark.createDataFrame([(*x, "extra") for x in c], "conv_id long, turn long, role string, text string, turns string")
     got = {r.pair_id: r for r in chat.format_preferences(chat.preference_pairs(d)).collect()}
     assert set(got) == {0, 1, 4, 7}
@@ -136,14 +153,22 @@ def test_warc(spark, tmp_path):
     import os
 
     long = "<p>" + "x" * 300_000 + "é</p>"
-    data = [(5, "http://a", "same"), (3, "http://b", "same"), (9, None, "same"), (1, "http://c\r\nX: y", None), (2, "http://d", ""), (4, "http://e", long), (4, "http://e", long), (None, "http://f", "same"), (None, "http://g", "lone"), (6, "u", "WARC/1.1\r\n\r\nContent-Length: 3")]
+    data = [
+        (5, "http://a", "same"), (3, "http://b", "same"), (9, None, "same"), (1, "http://c\r\nX: y", None),
+        (2, "http://d", ""), (4, "http://e", long), (4, "http://e", long), (None, "http://f", "same"),
+        (None, "http://g", "lone"), (6, "u", "WARC/1.1\r\n\r\nContent-Length: 3")
+    ]
     pages = spark.createDataFrame([(*x, "z") for x in data], "page_id long, url string, html string, digest string")
     got = warc.archive_pages(pages).collect()
     assert len(got) == len(data)
     digest = lambda h: base64.b32encode(hashlib.sha1((h or "").encode()).digest()).decode()
-    assert Counter((r.page_id, r.payload_bytes, r.payload_digest) for r in got) == Counter((p, len((h or "").encode()), digest(h)) for p, _, h in data)
+    assert Counter((r.page_id, r.payload_bytes, r.payload_digest) for r in got) == Counter(
+        (p, len((h or "").encode()), digest(h)) for p, _, h in data
+    )
     kinds = {(r.page_id, r.payload_digest): (r.record_type, r.refers_to) for r in got}
-    assert kinds[3, digest("same")] == ("response", None) and kinds[5, digest("same")] == kinds[9, digest("same")] == kinds[None, digest("same")] == ("revisit", 3)
+    assert kinds[3, digest("same")] == ("response", None) and kinds[5, digest("same")] == kinds[9, digest("same")] == kinds[
+        None, digest("same")
+    ] == ("revisit", 3)
     assert kinds[1, digest("")] == ("response", None) and kinds[2, digest("")] == ("revisit", 1)
     assert kinds[4, digest(long)] == ("response", None) and kinds[None, digest("lone")] == ("response", None)
     assert {r.record_type for r in warc.archive_pages(pages, 10).where("payload_bytes < 10").collect()} == {"response"}
