@@ -62,14 +62,19 @@ def band(t: str | Column, cuts: Sequence[float] = (30, 60, 120)) -> Column:
 
 
 def classify_pair(snap_ok: Column, same_department: Column, reachable: Column) -> Column:
-    return F.when(~F.coalesce(snap_ok, F.lit(False)), K.SNAP_FAILED).when(~F.coalesce(same_department, F.lit(False)), K.CROSS_DEPARTMENT).when(reachable, K.ROUTED).otherwise(K.NO_ROUTE)
+    return F.when(~F.coalesce(snap_ok, F.lit(False)), K.SNAP_FAILED).when(
+        ~F.coalesce(same_department, F.lit(False)), K.CROSS_DEPARTMENT
+    ).when(reachable, K.ROUTED).otherwise(K.NO_ROUTE)
 
 
 def classify_demand(snap_ok: Column, reachable: Column) -> Column:
     return F.when(~F.coalesce(snap_ok, F.lit(False)), K.SNAP_FAILED).when(reachable, K.ROUTED).otherwise(K.NO_ROUTE)
 
 
-def district_quality(n_weight: Column, n_time: Column, share: Column, calibration: Column | None = None, least_share: float = 50.0, least_n: int = 3) -> Column:
+def district_quality(
+    n_weight: Column, n_time: Column, share: Column, calibration: Column | None = None, least_share: float = 50.0,
+    least_n: int = 3
+) -> Column:
     """Why a district can or can't be ranked."""
     impossible = F.coalesce(calibration == K.NO_SAMPLE, F.lit(False)) if calibration is not None else F.lit(False)
     return (
@@ -131,7 +136,10 @@ def _speed(highway: Column, table: Mapping[str, float], default: float) -> Colum
 def _edge(open_: Column, speed: Column, length: Column, direction: Column) -> Column:
     return F.when(
         open_,
-        F.struct(speed.alias("speed_kmh"), (length / (speed * 1000.0 / 3600.0)).alias("time_s"), length.alias("length_m"), direction["forward"].alias("forward"), direction["backward"].alias("backward")),
+        F.struct(
+            speed.alias("speed_kmh"), (length / (speed * 1000.0 / 3600.0)).alias("time_s"), length.alias("length_m"),
+            direction["forward"].alias("forward"), direction["backward"].alias("backward")
+        ),
     )
 
 

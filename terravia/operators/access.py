@@ -39,8 +39,12 @@ def band_weights(time: str, weight: str, with_none: bool = False) -> list[Column
 
 
 def _long(one: DataFrame, names: Sequence[str], total: Column) -> DataFrame:
-    rows = F.array(*(F.struct(F.lit(i).alias("ord"), F.lit(n).alias("band"), F.col(f"`{n}`").cast("double").alias("population")) for i, n in enumerate(names)))
-    return one.withColumn("_total", total).select(F.inline(rows), F.col("_total")).select("ord", "band", "population", X.percent(F.col("population"), F.nullif(F.col("_total"), F.lit(0.0))).alias("pct")).orderBy("ord")
+    rows = F.array(
+        *(F.struct(F.lit(i).alias("ord"), F.lit(n).alias("band"), F.col(f"`{n}`").cast("double").alias("population")) for i, n in enumerate(names))
+    )
+    return one.withColumn("_total", total).select(F.inline(rows), F.col("_total")).select(
+        "ord", "band", "population", X.percent(F.col("population"), F.nullif(F.col("_total"), F.lit(0.0))).alias("pct")
+    ).orderBy("ord")
 
 
 def _sum(names: Sequence[str]) -> Column:
@@ -74,7 +78,10 @@ def bands_wide(df: DataFrame, groups: Sequence[str], time: str = "t_min", weight
     """Reading A by group: pop_<band> and pct_<band> (A3)."""
     rows = df.groupBy(*groups).agg(*band_weights(time, weight))
     total = F.nullif(_sum(K.BANDS), F.lit(0.0))
-    return rows.select(*groups, *(F.col(f"`{b}`").cast("double").alias(f"pop_{b}") for b in K.BANDS), *(X.percent(F.col(f"`{b}`"), total).alias(f"pct_{b}") for b in K.BANDS))
+    return rows.select(
+        *groups, *(F.col(f"`{b}`").cast("double").alias(f"pop_{b}") for b in K.BANDS),
+        *(X.percent(F.col(f"`{b}`"), total).alias(f"pct_{b}") for b in K.BANDS)
+    )
 
 
 def district_metrics(df: DataFrame, groups: Sequence[str], time: str = "t_min", weight: str = "weight") -> DataFrame:
@@ -91,7 +98,10 @@ def _with_total(rows: DataFrame, df: DataFrame, weight: str) -> DataFrame:
 def completeness(df: DataFrame, status: str, weight: str = "weight") -> DataFrame:
     """By routing status: records, weight, and their shares (A5)."""
     rows = _with_total(df.groupBy(status).agg(F.count(F.lit(1)).alias("n"), F.sum(weight).alias("population")), df, weight)
-    return rows.select(status, "n", "population", X.percent(F.col("population"), F.nullif("_w", F.lit(0))).alias("pct_population"), X.percent(F.col("n"), F.col("_n")).alias("pct_n"))
+    return rows.select(
+        status, "n", "population", X.percent(F.col("population"), F.nullif("_w", F.lit(0))).alias("pct_population"),
+        X.percent(F.col("n"), F.col("_n")).alias("pct_n")
+    )
 
 
 def unroutable_concentration(df: DataFrame, groups: Sequence[str], status: str, weight: str = "weight") -> DataFrame:
@@ -110,20 +120,33 @@ def urban_rural_summary(df: DataFrame, time: str = "t_min", weight: str = "weigh
         bands = [F.sum(F.when(X.band(t) == b, w)) for b in K.BANDS]
         total = F.sum(F.when(both, w))
         fields = F.struct(
-            F.lit(name).alias("urban_rural"), F.count_if(mine).alias("n_cp"), F.count_if(both).alias("n_cp_with_time"), X.ratio(F.sum(F.when(both, t * w)), total).alias("weighted_mean"),
-            *(F.coalesce(X.percent(b, F.nullif(total, F.lit(0))), F.when(total > 0, F.lit(0.0))).alias(f"pct_{n}") for b, n in zip(bands, K.BANDS, strict=True)),
+            F.lit(name).alias("urban_rural"), F.count_if(mine).alias("n_cp"), F.count_if(both).alias("n_cp_with_time"), X.ratio(
+                F.sum(F.when(both, t * w)), total
+            ).alias("weighted_mean"),
+            *(
+                F.coalesce(X.percent(b, F.nullif(total, F.lit(0))), F.when(total > 0, F.lit(0.0))).alias(f"pct_{n}") for b,
+                n in zip(bands, K.BANDS, strict=True)
+            ),
             X.percent(F.count_if(mine & F.col(time).isNull()), F.nullif(F.count_if(mine), F.lit(0))).alias("pct_without_route"),
         )
         out = [*(out or []), fields]
     rows = df.agg(F.array(*out).alias("r")).select(F.inline("r"))
-    return rows.withColumns({"cum_pct_le_60": F.col("`pct_<=30`") + F.col("`pct_>30_<=60`"), "cum_pct_le_120": F.col("`pct_<=30`") + F.col("`pct_>30_<=60`") + F.col("`pct_>60_<=120`")})
+    return rows.withColumns(
+        {
+            "cum_pct_le_60": F.col("`pct_<=30`") + F.col("`pct_>30_<=60`"),
+            "cum_pct_le_120": F.col("`pct_<=30`") + F.col("`pct_>30_<=60`") + F.col("`pct_>60_<=120`")
+        }
+    )
 
 
 def urban_rural_coverage(df: DataFrame, weight: str = "weight", kind: str = "urban_rural") -> DataFrame:
     """One row: weight by kind and the share that is known."""
     w, known = F.col(weight), F.col(kind).isin(K.URBAN, K.RURAL)
     part = lambda n: F.coalesce(F.sum(F.when(F.col(kind) == n, w)), F.lit(0))
-    return df.agg(part(K.URBAN).alias("urban"), part(K.RURAL).alias("rural"), part(K.UNKNOWN).alias("unknown"), X.percent(F.sum(F.when(known, w)), F.nullif(F.sum(w), F.lit(0))).alias("pct_classified"))
+    return df.agg(
+        part(K.URBAN).alias("urban"), part(K.RURAL).alias("rural"), part(K.UNKNOWN).alias("unknown"),
+        X.percent(F.sum(F.when(known, w)), F.nullif(F.sum(w), F.lit(0))).alias("pct_classified")
+    )
 
 
 def compare_weights(df: DataFrame, dep: str, weight_a: str, weight_b: str, time: str = "t_min") -> DataFrame:
@@ -132,16 +155,25 @@ def compare_weights(df: DataFrame, dep: str, weight_a: str, weight_b: str, time:
         both = F.col(time).isNotNull() & F.col(w).isNotNull()
         return X.ratio(F.sum(F.when(both, F.col(time) * F.col(w))), F.sum(F.when(both, F.col(w))))
 
-    rows = df.where(F.col(dep).isNotNull()).rollup(dep).agg(F.grouping(dep).alias("_g"), mean(weight_a).alias("mean_ht"), mean(weight_b).alias("mean_calibrated"))
-    return rows.select(F.when(F.col("_g") == 1, "TOTAL").otherwise(F.col(dep)).alias("scope"), "mean_ht", "mean_calibrated", (F.col("mean_calibrated") - F.col("mean_ht")).alias("difference"))
+    rows = df.where(F.col(dep).isNotNull()).rollup(dep).agg(
+        F.grouping(dep).alias("_g"), mean(weight_a).alias("mean_ht"), mean(weight_b).alias("mean_calibrated")
+    )
+    return rows.select(
+        F.when(F.col("_g") == 1, "TOTAL").otherwise(F.col(dep)).alias("scope"), "mean_ht", "mean_calibrated",
+        (F.col("mean_calibrated") - F.col("mean_ht")).alias("difference")
+    )
 
 
 def summary(df: DataFrame, time: str = "t_min", weight: str = "weight", match: str = "match_status") -> DataFrame:
     """The one-row summary."""
     both = F.col(time).isNotNull() & F.col(weight).isNotNull()
     return df.agg(
-        F.count(F.lit(1)).alias("n_demand"), F.count_if(F.col(match) == K.MATCHED).alias("n_matched"), X.percent(F.count_if(F.col(match) == K.MATCHED), F.count(F.lit(1))).alias("pct_matched"),
-        F.sum(weight).alias("population"), X.ratio(F.sum(F.when(both, F.col(time) * F.col(weight))), F.sum(F.when(both, F.col(weight)))).alias("weighted_mean"),
+        F.count(F.lit(1)).alias("n_demand"), F.count_if(F.col(match) == K.MATCHED).alias("n_matched"), X.percent(
+            F.count_if(F.col(match) == K.MATCHED), F.count(F.lit(1))
+        ).alias("pct_matched"),
+        F.sum(weight).alias("population"), X.ratio(
+            F.sum(F.when(both, F.col(time) * F.col(weight))), F.sum(F.when(both, F.col(weight)))
+        ).alias("weighted_mean"),
         X.percent(F.sum(F.when(both, F.col(weight))), F.nullif(F.sum(weight), F.lit(0))).alias("pct_with_time"),
     )
 
@@ -174,7 +206,11 @@ def kpis(df: DataFrame, time: str = "t_min", weight: str = "calibrated_weight",
     some = lambda c: F.coalesce(F.sum(F.when(c, w)), F.lit(0))
     all_ = F.nullif(F.sum(w), F.lit(0))
     return df.agg(
-        F.coalesce(F.sum(w), F.lit(0)).alias("population_frame"), some(t <= threshold).alias("population_le"), X.percent(some(t <= threshold), all_).alias("pct_le"),
-        some(t > threshold).alias("population_gt"), some(t.isNull()).alias("population_no_time"), X.percent(some(t.isNull()), all_).alias("pct_no_time"),
+        F.coalesce(F.sum(w), F.lit(0)).alias("population_frame"), some(t <= threshold).alias("population_le"), X.percent(
+            some(t <= threshold), all_
+        ).alias("pct_le"),
+        some(t > threshold).alias("population_gt"), some(t.isNull()).alias("population_no_time"), X.percent(
+            some(t.isNull()), all_
+        ).alias("pct_no_time"),
         X.ratio(F.sum(F.when(both, t * w)), F.nullif(F.sum(F.when(both, w)), F.lit(0))).alias("weighted_mean"),
     )

@@ -32,7 +32,10 @@ def geographic(df: DataFrame, choices: Mapping[str, Sequence[str] | None]) -> Da
     return df
 
 
-def facilities(df: DataFrame, categories: Sequence[str] | None = None, institutions: Sequence[str] | None = None, resolutive: bool | None = None) -> DataFrame:
+def facilities(
+    df: DataFrame, categories: Sequence[str] | None = None, institutions: Sequence[str] | None = None,
+    resolutive: bool | None = None
+) -> DataFrame:
     """Facilities by category, institution and whether they are resolutive; what isn't chosen doesn't filter."""
     df = geographic(df, {"category": categories, "institution": institutions})
     return df if resolutive is None else df.where(F.col("is_resolutive") == resolutive)
@@ -68,14 +71,21 @@ def routing_quality_panel(report: DataFrame) -> DataFrame:
     pick = lambda m: F.max(F.when(F.col("metric") == m, F.col("value").try_cast("double")))
     total = F.coalesce(F.nullif(pick("demand_total"), F.lit(0.0)), F.lit(1.0))
     return report.agg(
-        pick("car_snap_failed").alias("car_snap_failed"), (100 * F.coalesce(pick("car_snap_failed"), F.lit(0.0)) / total).alias("car_snap_failed_pct"),
-        pick("car_no_route_same_department").alias("car_no_route"), (100 * F.coalesce(pick("car_no_route_same_department"), F.lit(0.0)) / total).alias("car_no_route_pct"), total.alias("demand_total"),
+        pick("car_snap_failed").alias("car_snap_failed"), (
+            100 * F.coalesce(pick("car_snap_failed"), F.lit(0.0)) / total
+        ).alias("car_snap_failed_pct"),
+        pick("car_no_route_same_department").alias("car_no_route"), (
+            100 * F.coalesce(pick("car_no_route_same_department"), F.lit(0.0)) / total
+        ).alias("car_no_route_pct"), total.alias("demand_total"),
     )
 
 
 def population_quality_panel(calibration: DataFrame) -> DataFrame:
     bad = F.col("calibration_status") == K.NO_SAMPLE
-    return calibration.agg(F.count_if(bad).alias("n_impossible"), F.coalesce(F.sum(F.when(bad, F.col("known_population"))), F.lit(0)).alias("population_impossible"))
+    return calibration.agg(
+        F.count_if(bad).alias("n_impossible"),
+        F.coalesce(F.sum(F.when(bad, F.col("known_population"))), F.lit(0)).alias("population_impossible")
+    )
 
 
 def statistical_quality_panel(calibration: DataFrame, low: float = 0.5, high: float = 2.0) -> DataFrame:

@@ -52,7 +52,10 @@ def ring_distance_m(px: Column, py: Column, rings: Column) -> Column:
 
     def along(e):
         t = F.coalesce(F.try_divide(e["ox"] * e["dx"] + e["oy"] * e["dy"], e["dx"] * e["dx"] + e["dy"] * e["dy"]), F.lit(0.0))
-        return F.struct(e["ox"].alias("ox"), e["oy"].alias("oy"), e["dx"].alias("dx"), e["dy"].alias("dy"), F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0)).alias("t"))
+        return F.struct(
+            e["ox"].alias("ox"), e["oy"].alias("oy"), e["dx"].alias("dx"), e["dy"].alias("dy"),
+            F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0)).alias("t")
+        )
 
     def distance(e):
         return F.sqrt(F.pow(e["ox"] - e["t"] * e["dx"], 2) + F.pow(e["oy"] - e["t"] * e["dy"], 2))
@@ -61,7 +64,10 @@ def ring_distance_m(px: Column, py: Column, rings: Column) -> Column:
     return F.array_min(F.transform(rings, lambda r: F.array_min(F.transform(F.transform(edges(r), along), distance))))
 
 
-def within_declared(df: DataFrame, districts: DataFrame, key: str, lon: str = "lon", lat: str = "lat", rings: str = "rings", buffer_m: float = 1000.0, name: str = "within") -> DataFrame:
+def within_declared(
+    df: DataFrame, districts: DataFrame, key: str, lon: str = "lon", lat: str = "lat", rings: str = "rings",
+    buffer_m: float = 1000.0, name: str = "within"
+) -> DataFrame:
     """A boolean: whether the point is in the polygon of the district it declares, or nearer to it than the buffer; null for points without
     coordinates or with an unknown district. The polygon is found by its key, not by search (J13)."""
     polygons = districts.select(F.col(key).alias("_k"), F.col(rings).alias("_rings"), utm_rings(F.col(rings)).alias("_urings"))
@@ -75,7 +81,10 @@ def within_declared(df: DataFrame, districts: DataFrame, key: str, lon: str = "l
     return out.withColumn(name, F.when(judged, near)).drop("_k", "_rings", "_urings", "_px", "_py")
 
 
-def outside_declared(df: DataFrame, districts: DataFrame, key: str, lon: str = "lon", lat: str = "lat", rings: str = "rings", buffer_m: float = 1000.0) -> DataFrame:
+def outside_declared(
+    df: DataFrame, districts: DataFrame, key: str, lon: str = "lon", lat: str = "lat", rings: str = "rings",
+    buffer_m: float = 1000.0
+) -> DataFrame:
     """district_mismatch: the point is neither in the polygon of the district it declares nor within the buffer of it; points that can't be
     judged do not mismatch (rule 4)."""
     out = within_declared(df, districts, key, lon, lat, rings, buffer_m, "_within")
@@ -114,7 +123,9 @@ def simplify(polygons: DataFrame, rings: str = "rings", tolerance: float = 0.001
     @F.pandas_udf(RINGS)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield batch.map(lambda rs: [[{"x": float(x), "y": float(y)} for x, y in simplified(np.array([(p["x"], p["y"]) for p in r]), tolerance)] for r in rs])
+            yield batch.map(
+                lambda rs: [[{"x": float(x), "y": float(y)} for x, y in simplified(np.array([(p["x"], p["y"]) for p in r]), tolerance)] for r in rs]
+            )
 
     return polygons.withColumn(rings, run(rings))
 
@@ -125,14 +136,23 @@ BOUND_CELLS = 32
 
 def _far_cells(left: DataFrame, cells: DataFrame, scale: float) -> DataFrame:
     """left with each cell that may hold the nearest node: none of its nodes need be nearer than the farthest corner of another cell."""
-    dx, dy = F.greatest(F.col("x0") - F.col("px"), F.col("px") - F.col("x1"), F.lit(0.0)) * scale, F.greatest(F.col("y0") - F.col("py"), F.col("py") - F.col("y1"), F.lit(0.0))
-    ex, ey = F.greatest(F.abs(F.col("px") - F.col("x0")), F.abs(F.col("px") - F.col("x1"))) * scale, F.greatest(F.abs(F.col("py") - F.col("y0")), F.abs(F.col("py") - F.col("y1")))
-    pairs = left.join(F.broadcast(cells)).select("point_id", "px", "py", "cx", "cy", (dx * dx + dy * dy).alias("least"), (ex * ex + ey * ey).alias("most"))
+    dx, dy = F.greatest(
+        F.col("x0") - F.col("px"), F.col("px") - F.col("x1"), F.lit(0.0)
+    ) * scale, F.greatest(F.col("y0") - F.col("py"), F.col("py") - F.col("y1"), F.lit(0.0))
+    ex, ey = F.greatest(
+        F.abs(F.col("px") - F.col("x0")), F.abs(F.col("px") - F.col("x1"))
+    ) * scale, F.greatest(F.abs(F.col("py") - F.col("y0")), F.abs(F.col("py") - F.col("y1")))
+    pairs = left.join(F.broadcast(cells)).select(
+        "point_id", "px", "py", "cx", "cy", (dx * dx + dy * dy).alias("least"), (ex * ex + ey * ey).alias("most")
+    )
     bound = pairs.groupBy("point_id", "px", "py").agg(F.min("most").alias("bound"))
     return pairs.join(bound, ["point_id", "px", "py"]).where(F.col("least") <= F.col("bound") * (1 + 1e-9)).select("point_id", "px", "py", "cx", "cy")
 
 
-def snap(points: DataFrame, nodes: DataFrame, point_id: str, node_id: str, max_m: float, lon: str = "lon", lat: str = "lat", cell: float = 0.05) -> DataFrame:
+def snap(
+    points: DataFrame, nodes: DataFrame, point_id: str, node_id: str, max_m: float, lon: str = "lon", lat: str = "lat",
+    cell: float = 0.05
+) -> DataFrame:
     """point_id, node_id, snap_distance_m, status, fail_reason.
 
     Nearest by longitude scaled with the cosine of the mean latitude; the distance reported is the great circle's. Points look in the
@@ -144,9 +164,15 @@ def snap(points: DataFrame, nodes: DataFrame, point_id: str, node_id: str, max_m
     io.checkpoint_dir(points.sparkSession)
     p = points.select(F.col(point_id).alias("point_id"), F.col(lon).alias("px"), F.col(lat).alias("py"))
     n = nodes.select(F.col(node_id).alias("node_id"), F.col(lon).alias("nx"), F.col(lat).alias("ny")).where("nx is not null and ny is not null")
-    box = n.agg(F.avg("ny").alias("m"), F.count(F.lit(1)).alias("n"), F.min("nx").alias("a"), F.max("nx").alias("b"), F.min("ny").alias("c"), F.max("ny").alias("d")).first()
+    box = n.agg(
+        F.avg("ny").alias("m"), F.count(F.lit(1)).alias("n"), F.min("nx").alias("a"), F.max("nx").alias("b"),
+        F.min("ny").alias("c"), F.max("ny").alias("d")
+    ).first()
     if not box.n:
-        empty = p.select("point_id", F.lit(None).cast("long").alias("node_id"), F.lit(None).cast("double").alias("snap_distance_m"), F.lit("failure").alias("status"))
+        empty = p.select(
+            "point_id", F.lit(None).cast("long").alias("node_id"), F.lit(None).cast("double").alias("snap_distance_m"),
+            F.lit("failure").alias("status")
+        )
         return empty.withColumn("fail_reason", F.lit("grafo_vacio"))
     scale = math.cos(math.radians(box.m))
 
@@ -156,31 +182,53 @@ def snap(points: DataFrame, nodes: DataFrame, point_id: str, node_id: str, max_m
 
     have = p.where(F.col("px").isNotNull() & F.col("py").isNotNull()).distinct()
     cells = n.select("node_id", "nx", "ny", F.floor(F.col("nx") / cell).alias("cx"), F.floor(F.col("ny") / cell).alias("cy"))
-    around = F.array(*(F.struct((F.floor(F.col("px") / cell) + i).alias("cx"), (F.floor(F.col("py") / cell) + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    close = nearest(have.withColumn("c", F.explode(around)).select("*", "c.cx", "c.cy").drop("c").join(cells, ["cx", "cy"])).where(F.sqrt("b.d2") <= cell * scale).checkpoint()
+    around = F.array(
+        *(
+            F.struct(
+                (F.floor(F.col("px") / cell) + i).alias("cx"), (F.floor(F.col("py") / cell) + j).alias("cy")
+            ) for i in (-1, 0, 1) for j in (-1, 0, 1)
+        )
+    )
+    close = nearest(
+        have.withColumn("c", F.explode(around)).select("*", "c.cx", "c.cy").drop("c").join(cells, ["cx", "cy"])
+    ).where(F.sqrt("b.d2") <= cell * scale).checkpoint()
     left = have.join(close.select("point_id", "px", "py"), ["point_id", "px", "py"], "left_anti").checkpoint()
     wide = max(box.b - box.a, box.d - box.c, 1e-9) / BOUND_CELLS
-    own = [F.least(F.floor((F.col(c) - F.lit(low)) / wide), F.lit(BOUND_CELLS - 1)).alias(name) for c, low, name in (("nx", box.a, "cx"), ("ny", box.c, "cy"))]
+    own = [
+        F.least(F.floor((F.col(c) - F.lit(low)) / wide), F.lit(BOUND_CELLS - 1)).alias(name) for c, low,
+        name in (("nx", box.a, "cx"), ("ny", box.c, "cy"))
+    ]
     placed = n.select("node_id", "nx", "ny", *own)
     bounds_ = placed.groupBy("cx", "cy").agg(F.min("nx").alias("x0"), F.max("nx").alias("x1"), F.min("ny").alias("y0"), F.max("ny").alias("y1"))
     far = nearest(_far_cells(left, bounds_, scale).join(placed, ["cx", "cy"]))
     found = close.unionByName(far)
     metres = X.haversine_m(F.col("px"), F.col("py"), F.col("b.nx"), F.col("b.ny"))
-    found = found.select(F.col("point_id").alias("_id"), F.col("px").alias("_x"), F.col("py").alias("_y"), F.col("b.node_id").alias("node_id"), metres.alias("snap_distance_m"))
+    found = found.select(
+        F.col("point_id").alias("_id"), F.col("px").alias("_x"), F.col("py").alias("_y"),
+        F.col("b.node_id").alias("node_id"), metres.alias("snap_distance_m")
+    )
     same = F.col("point_id").eqNullSafe(F.col("_id")) & (F.col("px") == F.col("_x")) & (F.col("py") == F.col("_y"))
     out = p.join(found, same, "left").select("point_id", "node_id", "snap_distance_m")
     ok = F.coalesce(F.col("snap_distance_m") <= max_m, F.lit(False))
-    return out.withColumn("status", F.when(ok, "success").otherwise("failure")).withColumn("fail_reason", F.when(ok, F.lit(None)).when(F.col("node_id").isNull(), "sin_coordenadas").otherwise("distancia_maxima"))
+    return out.withColumn("status", F.when(ok, "success").otherwise("failure")).withColumn(
+        "fail_reason",
+        F.when(ok, F.lit(None)).when(F.col("node_id").isNull(), "sin_coordenadas").otherwise("distancia_maxima")
+    )
 
 
 def snap_report(df: DataFrame) -> DataFrame:
     """One row on snapping: counts, and mean, median, p95 (exact, interpolated) and maximum of all distances."""
     d, failed = F.col("snap_distance_m"), F.count_if(F.col("status") != "success")
     return df.agg(
-        F.count(F.lit(1)).alias("n_total"), failed.alias("n_failed"), X.percent(failed, F.nullif(F.count(F.lit(1)), F.lit(0))).alias("pct_failed"), F.avg(d).alias("mean_snap_m"),
+        F.count(F.lit(1)).alias("n_total"), failed.alias("n_failed"), X.percent(
+            failed, F.nullif(F.count(F.lit(1)), F.lit(0))
+        ).alias("pct_failed"), F.avg(d).alias("mean_snap_m"),
         F.percentile(d, F.lit(0.5)).alias("median_snap_m"), F.percentile(d, F.lit(0.95)).alias("p95_snap_m"), F.max(d).alias("max_snap_m"),
     )
 
 
 def render_stats(df: DataFrame, value: str, color: str) -> DataFrame:
-    return df.agg(F.count(value).alias("n"), F.min(value).alias("min_value"), F.max(value).alias("max_value"), F.count_distinct(color).alias("n_colors"))
+    return df.agg(
+        F.count(value).alias("n"), F.min(value).alias("min_value"), F.max(value).alias("max_value"),
+        F.count_distinct(color).alias("n_colors")
+    )

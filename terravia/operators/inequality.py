@@ -43,7 +43,10 @@ def running(rows: DataFrame, groups: Sequence[str] = (), buckets: int | None = N
     sums = dealt.groupBy(*groups, "_b").agg(F.sum("w").alias("sw"), F.sum(wv).alias("swv"))  # at most `buckets` rows a group
     all_ = Window.partitionBy(*groups)
     before = all_.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*groups, "_b", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_{c}") for c in ("sw", "swv")), F.sum("sw").over(all_).alias("tw"), F.sum("swv").over(all_).alias("twv"))
+    sums = sums.select(
+        *groups, "_b", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_{c}") for c in ("sw", "swv")),
+        F.sum("sw").over(all_).alias("tw"), F.sum("swv").over(all_).alias("twv")
+    )
     within = Window.partitionBy(*groups, "_b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     dealt = dealt.withColumn("cw", F.sum("w").over(within)).withColumn("cwv", F.sum(wv).over(within))
     out = dealt.join(sums if groups else F.broadcast(sums), [*groups, "_b"])
@@ -65,17 +68,27 @@ def weighted_gini(df: DataFrame, value: str, weight: str) -> DataFrame:
     sums = rows.agg(area.alias("a"), F.max("tw").alias("sw"), F.max("twv").alias("swv"))
     w = F.col(weight)
     has = F.col(value).isNotNull() & (w > 0)
-    counts = df.agg(F.count_if(has).alias("n_included"), F.coalesce(F.sum(F.when(has, w)), F.lit(0)).alias("population_included"), F.sum(F.when(w > 0, w)).alias("_all"))
+    counts = df.agg(
+        F.count_if(has).alias("n_included"), F.coalesce(F.sum(F.when(has, w)), F.lit(0)).alias("population_included"),
+        F.sum(F.when(w > 0, w)).alias("_all")
+    )
     gini = F.when(F.col("swv") == 0, F.lit(1.0)).otherwise(1 - X.ratio(F.col("a"), F.col("sw").cast("double") * F.col("swv").cast("double")))
     left_out = 100.0 - X.percent(F.col("population_included"), F.nullif("_all", F.lit(0)))
-    return sums.crossJoin(F.broadcast(counts)).select(gini.alias("gini"), "n_included", "population_included", left_out.alias("pct_population_excluded"))
+    return sums.crossJoin(F.broadcast(counts)).select(
+        gini.alias("gini"), "n_included", "population_included", left_out.alias("pct_population_excluded")
+    )
 
 
 def lorenz_curve(df: DataFrame, value: str, weight: str) -> DataFrame:
     """ord, cum_population, cum_value from (0, 0) on, a point per value; empty without rows."""
     rows = running(by_value(df, value, weight))
-    points = rows.select(F.col("v").cast("double").alias("ord"), X.ratio(F.col("cw"), F.col("tw")).alias("cum_population"), X.ratio(F.col("cwv"), F.col("twv")).alias("cum_value"))
-    origin = rows.agg(F.count(F.lit(1)).alias("n")).where("n > 0").select(F.lit(-1.0).alias("ord"), F.lit(0.0).alias("cum_population"), F.lit(0.0).alias("cum_value"))
+    points = rows.select(
+        F.col("v").cast("double").alias("ord"), X.ratio(F.col("cw"), F.col("tw")).alias("cum_population"),
+        X.ratio(F.col("cwv"), F.col("twv")).alias("cum_value")
+    )
+    origin = rows.agg(F.count(F.lit(1)).alias("n")).where("n > 0").select(
+        F.lit(-1.0).alias("ord"), F.lit(0.0).alias("cum_population"), F.lit(0.0).alias("cum_value")
+    )
     return origin.unionByName(points)
 
 
@@ -92,7 +105,10 @@ def ecdf(df: DataFrame, value: str) -> DataFrame:
     return rows.select("v", "tw", places).select("v", X.ratio(F.col("i"), F.col("tw")).alias("share"))
 
 
-def rank_gaps(df: DataFrame, keys: Sequence[str], mean: str = "weighted_mean", share: str = "share_with_time_pct", least_share: float = 50.0) -> DataFrame:
+def rank_gaps(
+    df: DataFrame, keys: Sequence[str], mean: str = "weighted_mean", share: str = "share_with_time_pct",
+    least_share: float = 50.0
+) -> DataFrame:
     """All districts, longest mean first, unknown means before all; a warning where too little is known (W6). Districts are areas:
     the window without a partition sorts one row for each."""
     order = Window.orderBy(F.col(mean).desc_nulls_first(), *keys)

@@ -11,12 +11,17 @@ from .. import constants as K
 from ..functions import exprs as X
 
 
-def match_report(demand: DataFrame, pop: DataFrame, key: str, pop_key: str, pop_value: str, secondary: str | None = None, representative: str | None = None) -> DataFrame:
+def match_report(
+    demand: DataFrame, pop: DataFrame, key: str, pop_key: str, pop_value: str, secondary: str | None = None,
+    representative: str | None = None
+) -> DataFrame:
     """demand with n_population_records, population, match_status, match_method [, secondary_key_disagrees].
 
     The records of a key are counted before the join, so no row is multiplied; a key with several records is
     ambiguous and links to none."""
-    records = pop.groupBy(F.col(pop_key).cast("string").alias("_k")).agg(F.count(F.lit(1)).alias("_n"), F.first(pop_value, ignorenulls=True).alias("_v"))
+    records = pop.groupBy(F.col(pop_key).cast("string").alias("_k")).agg(
+        F.count(F.lit(1)).alias("_n"), F.first(pop_value, ignorenulls=True).alias("_v")
+    )
     own = F.col(key).cast("string")
     df = demand.join(records, own == F.col("_k"), "left")
     none = own.isNull() | (own == "")
@@ -55,22 +60,36 @@ def population_universe(df: DataFrame, pop: DataFrame, key: str, pop_key: str, p
 
 def duplicate_resolution(df: DataFrame, key: str, id_col: str, lon: str, lat: str) -> DataFrame:
     """A row per key that several rows share: how many, their ids, and their distance where they are two."""
-    rows = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(id_col).alias("id"), F.col(lon).alias("x"), F.col(lat).alias("y")))).alias("r")).where(F.size("r") > 1)
+    rows = df.where(F.col(key).isNotNull()).groupBy(key).agg(
+        F.sort_array(F.collect_list(F.struct(F.col(id_col).alias("id"), F.col(lon).alias("x"), F.col(lat).alias("y")))).alias("r")
+    ).where(F.size("r") > 1)
     a, b = F.get("r", F.lit(0)), F.get("r", F.lit(1))
     metres = F.when(F.size("r") == 2, X.haversine_m(a["x"], a["y"], b["x"], b["y"]))
-    return rows.select(key, F.size("r").cast("long").alias("n_rows"), F.array_join(F.transform("r", lambda x: x["id"].cast("string")), ",").alias("ids"), metres.alias("distance_m"))
+    return rows.select(
+        key, F.size("r").cast("long").alias("n_rows"),
+        F.array_join(F.transform("r", lambda x: x["id"].cast("string")), ",").alias("ids"), metres.alias("distance_m")
+    )
 
 
 def cross_validate(a: DataFrame, b: DataFrame, key: str, value_a: str, value_b: str) -> DataFrame:
     """The keys both sources have, with diff_abs and diff_pct (null where a is 0)."""
-    both = a.select(F.col(key).alias("_k"), F.col(value_a).alias("value_a")).join(b.select(F.col(key).alias("_k2"), F.col(value_b).alias("value_b")), F.col("_k") == F.col("_k2"))
+    both = a.select(F.col(key).alias("_k"), F.col(value_a).alias("value_a")).join(
+        b.select(F.col(key).alias("_k2"), F.col(value_b).alias("value_b")), F.col("_k") == F.col("_k2")
+    )
     diff = F.col("value_b") - F.col("value_a")
-    return both.select(F.col("_k").alias(key), "value_a", "value_b", F.abs(diff).alias("diff_abs"), (100.0 * X.ratio(diff, F.col("value_a"))).alias("diff_pct"))
+    return both.select(
+        F.col("_k").alias(key), "value_a", "value_b", F.abs(diff).alias("diff_abs"),
+        (100.0 * X.ratio(diff, F.col("value_a"))).alias("diff_pct")
+    )
 
 
 def cross_validation_summary(pairs: DataFrame) -> DataFrame:
     same = F.col("diff_abs") == 0
-    return pairs.agg(F.count(F.lit(1)).alias("n_common"), F.count_if(same).alias("n_identical"), F.count_if(~same).alias("n_discrepant"), F.max("diff_abs").alias("max_diff"), F.percentile("diff_abs", F.lit(0.5)).alias("median_diff"), F.stddev_samp("diff_abs").alias("std_diff"))
+    return pairs.agg(
+        F.count(F.lit(1)).alias("n_common"), F.count_if(same).alias("n_identical"),
+        F.count_if(~same).alias("n_discrepant"), F.max("diff_abs").alias("max_diff"),
+        F.percentile("diff_abs", F.lit(0.5)).alias("median_diff"), F.stddev_samp("diff_abs").alias("std_diff")
+    )
 
 
 def top_discrepant(pairs: DataFrame, key: str, n: int = 10) -> DataFrame:
@@ -81,14 +100,20 @@ def population_control(matched: DataFrame, benchmark: DataFrame, dep: str, value
     """Observed against benchmark population by department, from either side."""
     seen = matched.where(F.col(dep).isNotNull()).groupBy(F.col(dep).alias("_d")).agg(F.sum(value).alias("observed"))
     out = seen.join(benchmark.select(F.col(dep).alias("_b"), F.col(benchmark_value).alias("benchmark")), F.col("_d") == F.col("_b"), "full_outer")
-    return out.select(F.coalesce("_d", "_b").alias(dep), "observed", "benchmark", X.percent(F.col("observed"), F.col("benchmark")).alias("captured_pct"))
+    return out.select(
+        F.coalesce("_d", "_b").alias(dep), "observed", "benchmark",
+        X.percent(F.col("observed"), F.col("benchmark")).alias("captured_pct")
+    )
 
 
 def urban_rural(df: DataFrame, lookup: DataFrame, key: str, lookup_key: str, area: str, urban=(1,), rural=(2,)) -> DataFrame:
     """urban, rural or unknown by a lookup of one row per key."""
     one = lookup.groupBy(F.col(lookup_key).cast("string").alias("_k")).agg(F.min(area).alias("_a"))
     out = df.join(one, F.col(key).cast("string") == F.col("_k"), "left")
-    return out.withColumn("urban_rural", F.when(F.col("_a").isin(*urban), K.URBAN).when(F.col("_a").isin(*rural), K.RURAL).otherwise(K.UNKNOWN)).drop("_k", "_a")
+    return out.withColumn(
+        "urban_rural",
+        F.when(F.col("_a").isin(*urban), K.URBAN).when(F.col("_a").isin(*rural), K.RURAL).otherwise(K.UNKNOWN)
+    ).drop("_k", "_a")
 
 
 def merged(df: DataFrame, other: DataFrame, key: str, suffixes: tuple[str, str] = ("_x", "_y")) -> DataFrame:
@@ -104,12 +129,20 @@ def merged(df: DataFrame, other: DataFrame, key: str, suffixes: tuple[str, str]
     return own.join(theirs, F.col(key).eqNullSafe(F.col("_k")), "left").drop("_k")
 
 
-def demand_analysis(demand: DataFrame, routing: DataFrame, weights: DataFrame, areas: DataFrame, key: str = "demand_id", status: str = "routing_status_car", time: str = "travel_time_min_car") -> DataFrame:
+def demand_analysis(
+    demand: DataFrame, routing: DataFrame, weights: DataFrame, areas: DataFrame, key: str = "demand_id",
+    status: str = "routing_status_car", time: str = "travel_time_min_car"
+) -> DataFrame:
     """The master table: demand with its routing (clashing names end in _routing), its population and analysis_weight, its
     urban_rural (unknown where there is none), t_min and ht_population_weight; no demand row is lost (J10)."""
     linked = weights.select(key, "population", "population_match_status", "analysis_weight")
     df = merged(merged(merged(demand, routing, key, ("", "_routing")), linked, key), areas, key)
-    return df.withColumns({"urban_rural": F.coalesce("urban_rural", F.lit(K.UNKNOWN)), "t_min": X.access_time(status, time), "ht_population_weight": F.col("analysis_weight")})
+    return df.withColumns(
+        {
+            "urban_rural": F.coalesce("urban_rural", F.lit(K.UNKNOWN)), "t_min": X.access_time(status, time),
+            "ht_population_weight": F.col("analysis_weight")
+        }
+    )
 
 
 def unmatched_kinds(df: DataFrame, key: str, secondary: str, pop: DataFrame, pop_key: str) -> DataFrame:

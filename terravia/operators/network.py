@@ -37,8 +37,12 @@ def graph(edges: DataFrame, mode: str, track_kmh: float = K.TRACK_SPEED) -> Data
         F.when(F.col("w.forward"), F.struct(F.col("u").alias("u"), F.col("v").alias("v"))),
         F.when(F.col("w.backward"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"))),
     )
-    directed = rows.select(F.explode(F.array_compact(ways)).alias("e"), "w").select("e.u", "e.v", "w.time_s", F.col("w.length_m").alias("length"), "w.speed_kmh")
-    return directed.groupBy("u", "v").agg(F.min(F.struct("time_s", "length", "speed_kmh")).alias("b")).select("u", "v", "b.time_s", "b.length", "b.speed_kmh")
+    directed = rows.select(F.explode(F.array_compact(ways)).alias("e"), "w").select(
+        "e.u", "e.v", "w.time_s", F.col("w.length_m").alias("length"), "w.speed_kmh"
+    )
+    return directed.groupBy("u", "v").agg(F.min(F.struct("time_s", "length", "speed_kmh")).alias("b")).select(
+        "u", "v", "b.time_s", "b.length", "b.speed_kmh"
+    )
 
 
 def reverse(edges: DataFrame) -> DataFrame:
@@ -119,7 +123,10 @@ def _adjacency(edges: DataFrame):
     """The reversed graph, built once and broadcast; None where it has more than MAX_EDGES edges."""
     if edges.limit(MAX_EDGES + 1).count() > MAX_EDGES:
         return None
-    table = edges.select(F.col("v").cast("long").alias("a"), F.col("u").cast("long").alias("b"), F.col("time_s").cast("double"), F.col("length").cast("double")).toPandas()
+    table = edges.select(
+        F.col("v").cast("long").alias("a"), F.col("u").cast("long").alias("b"), F.col("time_s").cast("double"),
+        F.col("length").cast("double")
+    ).toPandas()
     paths = Paths(table["a"].to_numpy(), table["b"].to_numpy(), {"time": table["time_s"].to_numpy(), "length": table["length"].to_numpy()})
     return edges.sparkSession.sparkContext.broadcast(paths)
 
@@ -130,15 +137,26 @@ def relaxed(edges: DataFrame, sources: DataFrame, weight: str, carry: str | None
     checkpoint(). Every shortest path has fewer edges than there are nodes; should `rounds` not be enough, an error says so."""
     _checkpoints(edges)
     keys = [*by, "node"]
-    back = edges.select(F.col("v").alias("node"), F.col("u").alias("next"), F.col(weight).cast("double").alias("w"), F.col(carry or weight).cast("double").alias("c")).checkpoint()
-    best = sources.select(*by, F.col("node_id").cast("long").alias("node"), F.struct(F.lit(0.0).alias("cost"), F.col("source"), F.lit(0.0).alias("carried")).alias("b"))
+    back = edges.select(
+        F.col("v").alias("node"), F.col("u").alias("next"), F.col(weight).cast("double").alias("w"),
+        F.col(carry or weight).cast("double").alias("c")
+    ).checkpoint()
+    best = sources.select(
+        *by, F.col("node_id").cast("long").alias("node"),
+        F.struct(F.lit(0.0).alias("cost"), F.col("source"), F.lit(0.0).alias("carried")).alias("b")
+    )
     known = back.select(F.explode(F.array("node", "next")).alias("node")).distinct()
     best = best.join(known, "node", "left_semi").groupBy(*keys).agg(F.min("b").alias("b")).checkpoint()
     front = best
     for _ in range(rounds):
-        step = F.struct((F.col("b.cost") + F.col("w")).alias("cost"), F.col("b.source").alias("source"), (F.col("b.carried") + F.col("c")).alias("carried"))
+        step = F.struct(
+            (F.col("b.cost") + F.col("w")).alias("cost"), F.col("b.source").alias("source"),
+            (F.col("b.carried") + F.col("c")).alias("carried")
+        )
         found = front.join(back, "node").select(*by, F.col("next").alias("node"), step.alias("new")).groupBy(*keys).agg(F.min("new").alias("new"))
-        front = found.join(best, keys, "left").where(F.col("b").isNull() | (F.col("new") < F.col("b"))).select(*keys, F.col("new").alias("b")).checkpoint()
+        front = found.join(best, keys, "left").where(F.col("b").isNull() | (F.col("new") < F.col("b"))).select(
+            *keys, F.col("new").alias("b")
+        ).checkpoint()
         if front.isEmpty():
             return best.select(*keys, "b.cost", "b.source", "b.carried")
         best = best.unionByName(front).groupBy(*keys).agg(F.min("b").alias("b")).checkpoint()
@@ -161,7 +179,10 @@ def reach(edges: DataFrame, facilities: DataFrame, demand_nodes: DataFrame) -> D
     shared = _adjacency(edges)
     if shared is None:
         seeds = pairs.select("facility_id", "node_id", F.col("facility_id").alias("source"))
-        times, lengths = (relaxed(edges, seeds, w, by=["facility_id"]).select("facility_id", F.col("node").alias("node_id"), F.col("cost").alias(c)) for w, c in (("time_s", "time_s"), ("length", "distance_m")))
+        times, lengths = (
+            relaxed(edges, seeds, w, by=["facility_id"]).select("facility_id", F.col("node").alias("node_id"), F.col("cost").alias(c)) for w,
+            c in (("time_s", "time_s"), ("length", "distance_m"))
+        )
         return times.join(lengths, ["facility_id", "node_id"]).join(wanted, "node_id", "left_semi")
 
     def run(batches):
@@ -191,31 +212,50 @@ def matrix(edges: DataFrame, demand: DataFrame, facilities: DataFrame, mode: str
     status = X.classify_pair(F.col("origin_node").isNotNull() & F.col("dest_node").isNotNull(), same, F.col("time_s").isNotNull())
     ok = F.col("routing_status") == K.ROUTED
     out = out.withColumn("routing_status", status)
-    return out.select("demand_id", "facility_id", F.lit(mode).alias("mode"), F.when(ok, F.col("r_m")).alias("distance_m"), F.when(ok, F.col("time_s") / 60).alias("travel_time_min"), ok.alias("reachable"), "routing_status", "origin_node", "dest_node")
+    return out.select(
+        "demand_id", "facility_id", F.lit(mode).alias("mode"), F.when(ok, F.col("r_m")).alias("distance_m"),
+        F.when(ok, F.col("time_s") / 60).alias("travel_time_min"), ok.alias("reachable"), "routing_status",
+        "origin_node", "dest_node"
+    )
 
 
 def nearest_multi_source(edges: DataFrame, demand: DataFrame, facilities: DataFrame, mode: str, same_department: bool = False) -> DataFrame:
     """The quickest facility of each demand point, by one search from all at once; distance_m is the length of that quickest path.
     Facilities of one node count as the one with the greatest id. With same_department, a search for each department."""
     dep = (F.col("dep") if same_department else F.lit("*")).cast("string").alias("dep")
-    some = facilities.where("node_id is not null").select(dep, F.col("node_id").cast("long"), F.col("facility_id").cast("string")).groupBy("dep", "node_id").agg(F.max("facility_id").alias("facility_id"))
+    some = facilities.where("node_id is not null").select(
+        dep, F.col("node_id").cast("long"), F.col("facility_id").cast("string")
+    ).groupBy("dep", "node_id").agg(F.max("facility_id").alias("facility_id"))
     shared = _adjacency(edges)
 
     def run(table: pd.DataFrame) -> pd.DataFrame:
         paths, table = shared.value, table.sort_values("facility_id")
         cost, name, along = paths.search(table["node_id"].to_numpy(), "time", "length")
         there = np.flatnonzero(np.isfinite(cost))
-        return pd.DataFrame({"r_dep": table["dep"].iloc[0], "r_node": paths.nodes[there], "facility_id": table["facility_id"].to_numpy()[name[there]], "time_s": cost[there], "distance_m": along[there]})
+        return pd.DataFrame(
+            {
+                "r_dep": table["dep"].iloc[0], "r_node": paths.nodes[there],
+                "facility_id": table["facility_id"].to_numpy()[name[there]], "time_s": cost[there],
+                "distance_m": along[there]
+            }
+        )
 
     if shared is None:
         found = relaxed(edges, some.withColumnRenamed("facility_id", "source"), "time_s", "length", ["dep"])
-        found = found.select(F.col("dep").alias("r_dep"), F.col("node").alias("r_node"), F.col("source").alias("facility_id"), F.col("cost").alias("time_s"), F.col("carried").alias("distance_m"))
+        found = found.select(
+            F.col("dep").alias("r_dep"), F.col("node").alias("r_node"), F.col("source").alias("facility_id"),
+            F.col("cost").alias("time_s"), F.col("carried").alias("distance_m")
+        )
     else:
         found = some.groupBy("dep").applyInPandas(run, "r_dep string, r_node long, facility_id string, time_s double, distance_m double")
     d = demand.select("demand_id", "node_id", dep)
     out = d.join(found, (F.col("node_id") == F.col("r_node")) & (F.col("dep") == F.col("r_dep")), "left")
     ok = F.col("time_s").isNotNull()
-    return out.select("demand_id", "facility_id", F.lit(mode).alias("mode"), "distance_m", (F.col("time_s") / 60).alias("travel_time_min"), ok.alias("reachable"), X.classify_demand(F.col("node_id").isNotNull(), ok).alias("routing_status"))
+    return out.select(
+        "demand_id", "facility_id", F.lit(mode).alias("mode"), "distance_m",
+        (F.col("time_s") / 60).alias("travel_time_min"), ok.alias("reachable"),
+        X.classify_demand(F.col("node_id").isNotNull(), ok).alias("routing_status")
+    )
 
 
 def relaxed_times(edges: DataFrame, sources: DataFrame) -> DataFrame:
@@ -242,31 +282,52 @@ def status_table(snaps: DataFrame, rows: DataFrame, modes: Sequence[str] = ("car
     wide = rows.groupBy("demand_id").pivot("mode", list(modes)).agg(fields)
     out = snaps.select(F.col("point_id").alias("demand_id"), F.col("status").alias("snap_status"), "snap_distance_m").join(wide, "demand_id", "left")
     for m in modes:
-        out = out.withColumns({f"routing_status_{m}": F.coalesce(F.col(f"{m}.routing_status"), F.lit(K.SNAP_FAILED)), f"nearest_facility_{m}": F.col(f"{m}.facility_id"), f"travel_time_min_{m}": F.col(f"{m}.travel_time_min"), f"distance_m_{m}": F.col(f"{m}.distance_m")})
+        out = out.withColumns(
+            {
+                f"routing_status_{m}": F.coalesce(F.col(f"{m}.routing_status"), F.lit(K.SNAP_FAILED)),
+                f"nearest_facility_{m}": F.col(f"{m}.facility_id"),
+                f"travel_time_min_{m}": F.col(f"{m}.travel_time_min"), f"distance_m_{m}": F.col(f"{m}.distance_m")
+            }
+        )
     return out.drop(*modes)
 
 
 def car_vs_foot(nearest: DataFrame) -> DataFrame:
     """Points that both modes have, by category, with the ratio of times where both reach a facility."""
     def side(mode):
-        return nearest.where(F.col("mode") == mode).select("demand_id", F.col("facility_id").alias(f"facility_id_{mode}"), X.number("travel_time_min").alias(f"{mode}_time_min"), F.coalesce("reachable", F.lit(False)).alias(f"{mode}_ok"))
+        return nearest.where(F.col("mode") == mode).select(
+            "demand_id", F.col("facility_id").alias(f"facility_id_{mode}"),
+            X.number("travel_time_min").alias(f"{mode}_time_min"),
+            F.coalesce("reachable", F.lit(False)).alias(f"{mode}_ok")
+        )
 
     both = F.col("car_ok") & F.col("foot_ok")
     same = F.col("facility_id_car") == F.col("facility_id_foot")
-    category = F.when(both & same, K.BOTH_SAME).when(both, K.BOTH_DIFFERENT).when(F.col("car_ok"), K.CAR_ONLY).when(F.col("foot_ok"), K.FOOT_ONLY).otherwise(K.BOTH_UNREACHABLE)
+    category = F.when(both & same, K.BOTH_SAME).when(both, K.BOTH_DIFFERENT).when(F.col("car_ok"), K.CAR_ONLY).when(
+        F.col("foot_ok"), K.FOOT_ONLY
+    ).otherwise(K.BOTH_UNREACHABLE)
     rows = side("car").join(side("foot"), "demand_id")
-    return rows.select("demand_id", category.alias("category"), "facility_id_car", "facility_id_foot", "car_time_min", "foot_time_min", F.when(both, X.ratio(F.col("foot_time_min"), F.col("car_time_min"))).alias("foot_over_car_ratio"))
+    return rows.select(
+        "demand_id", category.alias("category"), "facility_id_car", "facility_id_foot", "car_time_min", "foot_time_min",
+        F.when(both, X.ratio(F.col("foot_time_min"), F.col("car_time_min"))).alias("foot_over_car_ratio")
+    )
 
 
 def car_vs_foot_summary(table: DataFrame) -> DataFrame:
     n = lambda c: F.count_if(F.col("category") == c)
     both = n(K.BOTH_SAME) + n(K.BOTH_DIFFERENT)
-    return table.agg(F.count(F.lit(1)).alias("n_total"), *(n(c).alias(c) for c in (K.BOTH_SAME, K.BOTH_DIFFERENT, K.CAR_ONLY, K.FOOT_ONLY, K.BOTH_UNREACHABLE)), X.percent(n(K.BOTH_DIFFERENT), F.nullif(both, F.lit(0))).alias("pct_different"))
+    return table.agg(
+        F.count(F.lit(1)).alias("n_total"),
+        *(n(c).alias(c) for c in (K.BOTH_SAME, K.BOTH_DIFFERENT, K.CAR_ONLY, K.FOOT_ONLY, K.BOTH_UNREACHABLE)),
+        X.percent(n(K.BOTH_DIFFERENT), F.nullif(both, F.lit(0))).alias("pct_different")
+    )
 
 
 def ratio_extremes(table: DataFrame, n: int = 20) -> DataFrame:
     """The n largest ratios among points whose modes reach different facilities (K3)."""
-    return table.where((F.col("category") == K.BOTH_DIFFERENT) & F.col("foot_over_car_ratio").isNotNull()).orderBy(F.desc("foot_over_car_ratio"), "demand_id").limit(n)
+    return table.where((F.col("category") == K.BOTH_DIFFERENT) & F.col("foot_over_car_ratio").isNotNull()).orderBy(
+        F.desc("foot_over_car_ratio"), "demand_id"
+    ).limit(n)
 
 
 def three_modes(nearest: DataFrame, ids: DataFrame) -> DataFrame:
@@ -286,7 +347,10 @@ def three_modes(nearest: DataFrame, ids: DataFrame) -> DataFrame:
     for a, b in (("bike", "car"), ("foot", "car"), ("foot", "bike")):
         out = out.withColumn(f"{a}_over_{b}_ratio", X.ratio(F.col(f"time_{a}_min"), F.col(f"time_{b}_min")))
     for a, b in (("car", "bike"), ("car", "foot"), ("bike", "foot")):
-        out = out.withColumn(f"{a}_{b}_same_facility", F.when(F.col(f"reachable_{a}") & F.col(f"reachable_{b}"), F.col(f"facility_{a}") == F.col(f"facility_{b}")))
+        out = out.withColumn(
+            f"{a}_{b}_same_facility",
+            F.when(F.col(f"reachable_{a}") & F.col(f"reachable_{b}"), F.col(f"facility_{a}") == F.col(f"facility_{b}"))
+        )
     return out
 
 
@@ -296,7 +360,9 @@ def straight_line_vs_network(rows: DataFrame, demand: DataFrame, facilities: Dat
     f = facilities.select("facility_id", F.col("lon").alias("f_lon"), F.col("lat").alias("f_lat"))
     out = rows.where(F.col("facility_id").isNotNull()).join(d, "demand_id").join(f, "facility_id")
     metres = X.haversine_m(F.col("d_lon"), F.col("d_lat"), F.col("f_lon"), F.col("f_lat"))
-    return out.withColumn("straight_m", metres).withColumn("ratio", X.ratio(F.col("distance_m"), F.col("straight_m"))).drop("d_lon", "d_lat", "f_lon", "f_lat")
+    return out.withColumn("straight_m", metres).withColumn(
+        "ratio", X.ratio(F.col("distance_m"), F.col("straight_m"))
+    ).drop("d_lon", "d_lat", "f_lon", "f_lat")
 
 
 def weak_components(edges: DataFrame, rounds: int = 100) -> DataFrame:
@@ -321,14 +387,23 @@ def track_recovery(isolated: DataFrame, demand: DataFrame, edges: DataFrame, rou
     """Of points on nodes that were isolated before: how many have edges now, how many a route, how many neither."""
     linked = edges.select(F.explode(F.array("u", "v")).alias("n")).distinct().withColumn("has_edge", F.lit(True))
     got = routed.where(F.col("routing_status") == K.ROUTED).select(F.col("demand_id").alias("r")).distinct().withColumn("has_route", F.lit(True))
-    rows = demand.join(isolated.select("node_id").distinct(), "node_id", "left_semi").join(linked, F.col("node_id") == F.col("n"), "left").join(got, F.col("demand_id") == F.col("r"), "left")
-    counts = rows.agg(F.count_if(F.col("has_edge")).alias("n_recovers_edges"), F.count_if(F.col("has_route")).alias("n_recovers_route"), F.count_if(F.col("has_edge").isNull()).alias("n_still_isolated"))
+    rows = demand.join(
+        isolated.select("node_id").distinct(), "node_id", "left_semi"
+    ).join(linked, F.col("node_id") == F.col("n"), "left").join(got, F.col("demand_id") == F.col("r"), "left")
+    counts = rows.agg(
+        F.count_if(F.col("has_edge")).alias("n_recovers_edges"),
+        F.count_if(F.col("has_route")).alias("n_recovers_route"),
+        F.count_if(F.col("has_edge").isNull()).alias("n_still_isolated")
+    )
     return isolated.select("node_id").distinct().agg(F.count(F.lit(1)).alias("n_previously_isolated")).crossJoin(F.broadcast(counts))
 
 
 def routing_quality(rows: DataFrame) -> DataFrame:
     """(metric, value) by mode: counts of each status."""
     n = lambda s: F.count_if(F.col("routing_status") == s)
-    wide = rows.groupBy("mode").agg(n(K.SNAP_FAILED).alias("snap_failed"), (F.count(F.lit(1)) - n(K.SNAP_FAILED)).alias("snap_success"), n(K.ROUTED).alias("routed"), n(K.NO_ROUTE).alias(K.NO_ROUTE))
+    wide = rows.groupBy("mode").agg(
+        n(K.SNAP_FAILED).alias("snap_failed"), (F.count(F.lit(1)) - n(K.SNAP_FAILED)).alias("snap_success"),
+        n(K.ROUTED).alias("routed"), n(K.NO_ROUTE).alias(K.NO_ROUTE)
+    )
     long = wide.unpivot("mode", ["snap_failed", "snap_success", "routed", K.NO_ROUTE], "name", "value")
     return long.select(F.concat_ws("_", "mode", "name").alias("metric"), "value")

@@ -68,7 +68,15 @@ def encoding_report(df: DataFrame, columns: Sequence[str], most_pct: float = 0.0
 def quality_report(df: DataFrame, rules: Mapping[str, str], actions: Mapping[str, str] | None = None) -> DataFrame:
     """A row per rule: regla, n_afectados, accion; rules: name -> flag column. One pass over df."""
     one = df.agg(*(F.coalesce(F.sum(F.col(c).cast("long")), F.lit(0)).alias(f"r{i}") for i, c in enumerate(rules.values())))
-    rows = F.array(*(F.struct(F.lit(name).alias("regla"), F.col(f"r{i}").alias("n_afectados"), F.lit((actions or {}).get(name, "keep_warning")).alias("accion")) for i, name in enumerate(rules)))
+    rows = F.array(
+        *(
+            F.struct(
+                F.lit(name).alias("regla"), F.col(f"r{i}").alias("n_afectados"),
+                F.lit((actions or {}).get(name, "keep_warning")).alias("accion")
+            ) for i,
+            name in enumerate(rules)
+        )
+    )
     return one.select(F.inline(rows))
 
 
@@ -97,4 +105,7 @@ def validated(df: DataFrame, key: str, lon: str = "lon", lat: str = "lat", insid
     df = df.withColumn("coord_missing", coord_missing(F.col(lon), F.col(lat)))
     df = df.withColumn("coord_out_of_bbox", coord_out_of_bbox(F.col(lon), F.col(lat), F.col("coord_missing")))
     df = correct_swapped(df, F.lit(False) if inside_swapped is None else inside_swapped, lon, lat)
-    return df.withColumn("qc_excluded_from_routing", excluded_from_routing(F.col("coord_missing"), F.col("coord_out_of_bbox"), F.col("swap_corrected")))
+    return df.withColumn(
+        "qc_excluded_from_routing",
+        excluded_from_routing(F.col("coord_missing"), F.col("coord_out_of_bbox"), F.col("swap_corrected"))
+    )

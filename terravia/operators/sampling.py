@@ -15,7 +15,10 @@ def quotas(strata: DataFrame, key: str, size: str, n: int) -> DataFrame:
     total = strata.agg(F.sum(size).alias("_total"))
     df = strata.crossJoin(F.broadcast(total))
     product = (F.col(size) * F.lit(n)).cast("decimal(38,0)")
-    df = df.withColumn("_floor", F.when(F.col("_total") <= n, F.col(size)).otherwise(F.expr(f"cast(floor(cast({size} as decimal(38,0)) * {n} / _total) as bigint)")))
+    df = df.withColumn(
+        "_floor",
+        F.when(F.col("_total") <= n, F.col(size)).otherwise(F.expr(f"cast(floor(cast({size} as decimal(38,0)) * {n} / _total) as bigint)"))
+    )
     df = df.withColumn("_rest", F.when(F.col("_total") <= n, F.lit(0)).otherwise(product - F.col("_floor") * F.col("_total")).cast("decimal(38,0)"))
     left = df.agg((F.lit(n) - F.sum("_floor")).alias("_left"))
     nth = F.row_number().over(Window.orderBy(F.desc("_rest"), F.col(key)))
@@ -46,7 +49,9 @@ def stratified_sample(df: DataFrame, stratum: str, key: str, n: int, seed: int =
     some = df.join(plan, stratum).where(F.col("_cut").isNull() | (h <= F.col("_cut"))).drop("_cut")  # a row a stratum: Spark sees their size
     at = F.row_number().over(Window.partitionBy(stratum).orderBy(h, F.col(key)))
     out = some.withColumn("_at", at).where(F.col("_at") <= F.col("stratum_sample_n")).drop("_at")
-    return out.withColumn("inclusion_prob", F.col("stratum_sample_n") / F.col("stratum_n")).withColumn("design_weight", F.col("stratum_n") / F.col("stratum_sample_n"))
+    return out.withColumn(
+        "inclusion_prob", F.col("stratum_sample_n") / F.col("stratum_n")
+    ).withColumn("design_weight", F.col("stratum_n") / F.col("stratum_sample_n"))
 
 
 def sample_if_needed(df: DataFrame, stratum: str, key: str, most: int, seed: int = 42) -> DataFrame:

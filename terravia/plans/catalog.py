@@ -57,7 +57,10 @@ def _(spark, sf):
 
 
 def _band_rows(bands, total):
-    parts = " UNION ALL ".join(f"SELECT {i} AS ord, '{n}' AS band, CAST(coalesce(sum(weight) FILTER (WHERE {c}), 0) AS DOUBLE) AS population, {R(f'100.0 * CAST(coalesce(sum(weight) FILTER (WHERE {c}), 0) AS DOUBLE) / nullif({total}, 0)')} AS pct FROM demand" for i, (n, c) in enumerate(bands))
+    parts = " UNION ALL ".join(
+        f"SELECT {i} AS ord, '{n}' AS band, CAST(coalesce(sum(weight) FILTER (WHERE {c}), 0) AS DOUBLE) AS population, {R(f'100.0 * CAST(coalesce(sum(weight) FILTER (WHERE {c}), 0) AS DOUBLE) / nullif({total}, 0)')} AS pct FROM demand" for i,
+        (n, c) in enumerate(bands)
+    )
     return f"WITH {T.DEMAND} {parts}"
 
 
@@ -80,7 +83,12 @@ def _(spark, sf):
     return access.bands_cumulative(T.demand(spark, sf))
 
 
-_WIDE = ", ".join(f'CAST(coalesce(sum(weight) FILTER (WHERE {c}), 0) AS DOUBLE) AS "pop_{n}", ' + R(f"100.0 * CAST(coalesce(sum(weight) FILTER (WHERE {c}), 0) AS DOUBLE) / nullif(sum(weight) FILTER (WHERE t_min IS NOT NULL), 0)") + f' AS "pct_{n}"' for n, c in _A)
+_WIDE = ", ".join(
+    f'CAST(coalesce(sum(weight) FILTER (WHERE {c}), 0) AS DOUBLE) AS "pop_{n}", ' + R(
+        f"100.0 * CAST(coalesce(sum(weight) FILTER (WHERE {c}), 0) AS DOUBLE) / nullif(sum(weight) FILTER (WHERE t_min IS NOT NULL), 0)"
+    ) + f' AS "pct_{n}"' for n,
+    c in _A
+)
 
 
 @query("a3_bands_wide", f"WITH {T.DEMAND} SELECT dep, dist, {_WIDE} FROM demand GROUP BY dep, dist")
@@ -88,7 +96,10 @@ def _(spark, sf):
     return access.bands_wide(T.demand(spark, sf), ["dep", "dist"])
 
 
-_CUM_COLS = ", ".join(R(f"100.0 * CAST(coalesce(sum(weight) FILTER (WHERE {c}), 0) AS DOUBLE) / nullif(sum(weight), 0)") + f" AS {n}" for n, (_, c) in zip(("pct_le_30", "pct_le_60", "pct_le_120", "pct_gt_120", "pct_no_time"), _CUM, strict=True))
+_CUM_COLS = ", ".join(
+    R(f"100.0 * CAST(coalesce(sum(weight) FILTER (WHERE {c}), 0) AS DOUBLE) / nullif(sum(weight), 0)") + f" AS {n}" for n,
+    (_, c) in zip(("pct_le_30", "pct_le_60", "pct_le_120", "pct_gt_120", "pct_no_time"), _CUM, strict=True)
+)
 
 
 @query("a4_district_metrics", f"WITH {T.DEMAND} SELECT dep, prov, dist, {MEAN}, {_CUM_COLS} FROM demand GROUP BY dep, prov, dist")
@@ -99,7 +110,10 @@ def _(spark, sf):
 _STATUS = f"count(*) AS n, CAST(sum(weight) AS BIGINT) AS population, {R('100.0 * CAST(sum(weight) AS DOUBLE) / (SELECT sum(weight) FROM demand)')} AS "
 
 
-@query("a5_completeness", f"WITH {T.DEMAND} SELECT status, {_STATUS} pct_population, {R('100.0 * count(*) / (SELECT count(*) FROM demand)')} AS pct_n FROM demand GROUP BY status")
+@query(
+    "a5_completeness",
+    f"WITH {T.DEMAND} SELECT status, {_STATUS} pct_population, {R('100.0 * count(*) / (SELECT count(*) FROM demand)')} AS pct_n FROM demand GROUP BY status"
+)
 def _(spark, sf):
     return access.completeness(T.demand(spark, sf), "status")
 
@@ -109,7 +123,12 @@ def _(spark, sf):
     return access.unroutable_concentration(T.demand(spark, sf), ["dep"], "status")
 
 
-_UR_BANDS = ", ".join(R(f"100.0 * CAST(coalesce(sum(weight) FILTER (WHERE {c}), 0) AS DOUBLE) / nullif(sum(weight) FILTER (WHERE t_min IS NOT NULL), 0)") + f' AS "pct_{n}"' for n, c in _A)
+_UR_BANDS = ", ".join(
+    R(
+        f"100.0 * CAST(coalesce(sum(weight) FILTER (WHERE {c}), 0) AS DOUBLE) / nullif(sum(weight) FILTER (WHERE t_min IS NOT NULL), 0)"
+    ) + f' AS "pct_{n}"' for n,
+    c in _A
+)
 _W_TIMED = "nullif(sum(weight) FILTER (WHERE t_min IS NOT NULL), 0)"
 
 
@@ -123,7 +142,10 @@ def _(spark, sf):
     return access.urban_rural_summary(T.demand(spark, sf))
 
 
-@query("a14_urban_rural_coverage", f"WITH {T.DEMAND} SELECT CAST(sum(weight) FILTER (WHERE urban_rural = 'urban') AS BIGINT) AS urban, CAST(sum(weight) FILTER (WHERE urban_rural = 'rural') AS BIGINT) AS rural, CAST(sum(weight) FILTER (WHERE urban_rural = 'unknown') AS BIGINT) AS unknown, {R('100.0 * CAST(sum(weight) FILTER (WHERE urban_rural <> $$unknown$$) AS DOUBLE) / sum(weight)')} AS pct_classified FROM demand")
+@query(
+    "a14_urban_rural_coverage",
+    f"WITH {T.DEMAND} SELECT CAST(sum(weight) FILTER (WHERE urban_rural = 'urban') AS BIGINT) AS urban, CAST(sum(weight) FILTER (WHERE urban_rural = 'rural') AS BIGINT) AS rural, CAST(sum(weight) FILTER (WHERE urban_rural = 'unknown') AS BIGINT) AS unknown, {R('100.0 * CAST(sum(weight) FILTER (WHERE urban_rural <> $$unknown$$) AS DOUBLE) / sum(weight)')} AS pct_classified FROM demand"
+)
 def _(spark, sf):
     return access.urban_rural_coverage(T.demand(spark, sf))
 
@@ -131,12 +153,18 @@ def _(spark, sf):
 _M = lambda w: f"CAST(sum(t_min * {w}) AS DOUBLE) / CAST(sum({w}) FILTER (WHERE t_min IS NOT NULL) AS DOUBLE)"
 
 
-@query("a15_compare_weights", f"WITH {T.DEMAND} SELECT CASE WHEN grouping(dep) = 1 THEN 'TOTAL' ELSE dep END AS scope, {R(_M('design_weight'))} AS mean_ht, {R(_M('weight'))} AS mean_calibrated, {R(_M('weight') + ' - ' + _M('design_weight'))} AS difference FROM demand GROUP BY ROLLUP (dep)")
+@query(
+    "a15_compare_weights",
+    f"WITH {T.DEMAND} SELECT CASE WHEN grouping(dep) = 1 THEN 'TOTAL' ELSE dep END AS scope, {R(_M('design_weight'))} AS mean_ht, {R(_M('weight'))} AS mean_calibrated, {R(_M('weight') + ' - ' + _M('design_weight'))} AS difference FROM demand GROUP BY ROLLUP (dep)"
+)
 def _(spark, sf):
     return access.compare_weights(T.demand(spark, sf), "dep", "design_weight", "weight")
 
 
-@query("a16_summary", f"WITH {T.DEMAND} SELECT count(*) AS n_demand, count(weight) AS n_matched, {R('100.0 * count(weight) / count(*)')} AS pct_matched, CAST(sum(weight) AS BIGINT) AS population, {R(_M('weight'))} AS weighted_mean, {R('100.0 * CAST(sum(weight) FILTER (WHERE t_min IS NOT NULL) AS DOUBLE) / sum(weight)')} AS pct_with_time FROM demand")
+@query(
+    "a16_summary",
+    f"WITH {T.DEMAND} SELECT count(*) AS n_demand, count(weight) AS n_matched, {R('100.0 * count(weight) / count(*)')} AS pct_matched, CAST(sum(weight) AS BIGINT) AS population, {R(_M('weight'))} AS weighted_mean, {R('100.0 * CAST(sum(weight) FILTER (WHERE t_min IS NOT NULL) AS DOUBLE) / sum(weight)')} AS pct_with_time FROM demand"
+)
 def _(spark, sf):
     d = T.demand(spark, sf).withColumn("match_status", F.when(F.col("weight").isNotNull(), K.MATCHED).otherwise(K.UNMATCHED))
     return access.summary(d)
@@ -145,12 +173,18 @@ def _(spark, sf):
 _S = lambda c: f"CAST(coalesce(sum(weight) FILTER (WHERE {c}), 0) AS BIGINT)"
 
 
-@query("a27_kpis", f"WITH {T.DEMAND} SELECT CAST(sum(weight) AS BIGINT) AS population_frame, {_S('t_min <= 60')} AS population_le, {R('100.0 * ' + _S('t_min <= 60') + ' / sum(weight)')} AS pct_le, {_S('t_min > 60')} AS population_gt, {_S('t_min IS NULL')} AS population_no_time, {R('100.0 * ' + _S('t_min IS NULL') + ' / sum(weight)')} AS pct_no_time, {R(_M('weight'))} AS weighted_mean FROM demand")
+@query(
+    "a27_kpis",
+    f"WITH {T.DEMAND} SELECT CAST(sum(weight) AS BIGINT) AS population_frame, {_S('t_min <= 60')} AS population_le, {R('100.0 * ' + _S('t_min <= 60') + ' / sum(weight)')} AS pct_le, {_S('t_min > 60')} AS population_gt, {_S('t_min IS NULL')} AS population_no_time, {R('100.0 * ' + _S('t_min IS NULL') + ' / sum(weight)')} AS pct_no_time, {R(_M('weight'))} AS weighted_mean FROM demand"
+)
 def _(spark, sf):
     return access.kpis(T.demand(spark, sf), weight="weight")
 
 
-@query("k1_topk", f"WITH {T.DEMAND} SELECT demand_id, dep, {R('t_min')} AS t_min FROM demand WHERE t_min IS NOT NULL ORDER BY demand.t_min DESC, demand_id LIMIT 20")
+@query(
+    "k1_topk",
+    f"WITH {T.DEMAND} SELECT demand_id, dep, {R('t_min')} AS t_min FROM demand WHERE t_min IS NOT NULL ORDER BY demand.t_min DESC, demand_id LIMIT 20"
+)
 def _(spark, sf):
     return access.top_extreme(T.demand(spark, sf), "demand_id").select("demand_id", "dep", "t_min")
 
@@ -164,19 +198,27 @@ linked AS (SELECT keyed.*, coalesce(p.n, 0) AS n_population_records, CASE WHEN k
 
 
 def _keyed(spark, sf):
-    return T.demand(spark, sf).withColumn("code", F.when(F.col("k") % 31 != 0, F.col("c").cast("string"))).withColumn("code2", (F.col("c") + 1).cast("string"))
+    return T.demand(spark, sf).withColumn(
+        "code", F.when(F.col("k") % 31 != 0, F.col("c").cast("string"))
+    ).withColumn("code2", (F.col("c") + 1).cast("string"))
 
 
 def _linked(spark, sf):
     return linkage.match_report(_keyed(spark, sf), T.population(spark, sf), "code", "code", "pop", "code2")
 
 
-@query("j1_match_report", f"{_LINKED} SELECT demand_id, n_population_records, match_method, match_status, population, secondary_key_disagrees FROM linked")
+@query(
+    "j1_match_report",
+    f"{_LINKED} SELECT demand_id, n_population_records, match_method, match_status, population, secondary_key_disagrees FROM linked"
+)
 def _(spark, sf):
     return _linked(spark, sf).select("demand_id", "n_population_records", "match_method", "match_status", "population", "secondary_key_disagrees")
 
 
-@query("j11_weights", f"{_LINKED} SELECT demand_id, CASE WHEN match_status = 'matched' THEN population * design_weight END AS analysis_weight FROM linked")
+@query(
+    "j11_weights",
+    f"{_LINKED} SELECT demand_id, CASE WHEN match_status = 'matched' THEN population * design_weight END AS analysis_weight FROM linked"
+)
 def _(spark, sf):
     return _linked(spark, sf).select("demand_id", weights.analysis_weight().alias("analysis_weight"))
 
@@ -189,11 +231,20 @@ SELECT d.demand_id, d.dist, r.dist AS dist_routing, r.routing_status_car, {R("r.
 FROM demand d LEFT JOIN routing r ON r.demand_id = d.demand_id LEFT JOIN weighted w ON w.demand_id = d.demand_id LEFT JOIN areas a ON a.demand_id = d.demand_id""")
 def _(spark, sf):
     d = T.demand(spark, sf)
-    routing = d.where("k % 13 <> 0").select("demand_id", F.col("prov").alias("dist"), F.col("status").alias("routing_status_car"), F.col("t_raw").alias("travel_time_min_car"))
+    routing = d.where("k % 13 <> 0").select(
+        "demand_id", F.col("prov").alias("dist"), F.col("status").alias("routing_status_car"),
+        F.col("t_raw").alias("travel_time_min_car")
+    )
     areas = d.where("k % 5 <> 0").select("demand_id", F.nullif("urban_rural", F.lit(K.UNKNOWN)).alias("urban_rural"))
-    linked = _linked(spark, sf).select("demand_id", "population", F.col("match_status").alias("population_match_status"), weights.analysis_weight().alias("analysis_weight"))
+    linked = _linked(spark, sf).select(
+        "demand_id", "population", F.col("match_status").alias("population_match_status"),
+        weights.analysis_weight().alias("analysis_weight")
+    )
     out = linkage.demand_analysis(d.select("demand_id", "dist"), routing, linked, areas)
-    return out.select("demand_id", "dist", "dist_routing", "routing_status_car", "travel_time_min_car", "population", "population_match_status", "analysis_weight", "urban_rural", "t_min", "ht_population_weight")
+    return out.select(
+        "demand_id", "dist", "dist_routing", "routing_status_car", "travel_time_min_car", "population",
+        "population_match_status", "analysis_weight", "urban_rural", "t_min", "ht_population_weight"
+    )
 
 
 @query("a7_match_summary_rollup", f"""{_LINKED} SELECT CASE WHEN grouping(dep) = 1 THEN 'TOTAL' ELSE dep END AS scope, count(*) AS n, count(*) FILTER (WHERE match_status = 'matched') AS n_matched, count(*) FILTER (WHERE match_status = 'unmatched') AS n_unmatched, count(*) FILTER (WHERE match_status = 'ambiguous') AS n_ambiguous,
@@ -202,18 +253,29 @@ def _(spark, sf):
     return weights.match_summary(_linked(spark, sf), "dep")
 
 
-@query("j21_unmatched_kinds", f"{_LINKED} SELECT CASE WHEN code IS NULL THEN 'A' WHEN code2 IN (SELECT code FROM population) THEN 'C' ELSE 'B' END AS unmatched_kind, count(*) AS n FROM linked WHERE match_status = 'unmatched' GROUP BY 1")
+@query(
+    "j21_unmatched_kinds",
+    f"{_LINKED} SELECT CASE WHEN code IS NULL THEN 'A' WHEN code2 IN (SELECT code FROM population) THEN 'C' ELSE 'B' END AS unmatched_kind, count(*) AS n FROM linked WHERE match_status = 'unmatched' GROUP BY 1"
+)
 def _(spark, sf):
-    return linkage.unmatched_kinds(_linked(spark, sf), "code", "code2", T.population(spark, sf), "code").groupBy("unmatched_kind").agg(F.count(F.lit(1)).alias("n"))
+    return linkage.unmatched_kinds(
+        _linked(spark, sf), "code", "code2", T.population(spark, sf), "code"
+    ).groupBy("unmatched_kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("j3_representative", "SELECT o_orderkey, (o_custkey % 5 = 0) OR count(*) OVER (PARTITION BY CASE WHEN o_custkey % 5 <> 0 THEN o_custkey END) = 1 AS is_representative FROM orders")
+@query(
+    "j3_representative",
+    "SELECT o_orderkey, (o_custkey % 5 = 0) OR count(*) OVER (PARTITION BY CASE WHEN o_custkey % 5 <> 0 THEN o_custkey END) = 1 AS is_representative FROM orders"
+)
 def _(spark, sf):
     o = T.read(spark, sf, "orders").withColumn("code", F.when(F.col("o_custkey") % 5 != 0, F.col("o_custkey")))
     return linkage.flag_representative(o, "code", "o_orderkey").select("o_orderkey", "is_representative")
 
 
-@query("j5_universe", f"WITH {T.POPULATION} SELECT c_custkey, 1::BIGINT AS n_rows_for_key, (SELECT min(pop) FROM population WHERE code = CAST(c_custkey AS VARCHAR)) AS population FROM customer WHERE CAST(c_custkey AS VARCHAR) IN (SELECT code FROM population)")
+@query(
+    "j5_universe",
+    f"WITH {T.POPULATION} SELECT c_custkey, 1::BIGINT AS n_rows_for_key, (SELECT min(pop) FROM population WHERE code = CAST(c_custkey AS VARCHAR)) AS population FROM customer WHERE CAST(c_custkey AS VARCHAR) IN (SELECT code FROM population)"
+)
 def _(spark, sf):
     c = linkage.flag_representative(T.read(spark, sf, "customer").withColumn("key", F.col("c_custkey").cast("string")), "key", "c_custkey")
     return linkage.population_universe(c, T.population(spark, sf), "key", "code", "pop").select("c_custkey", "n_rows_for_key", "population")
@@ -233,28 +295,45 @@ _CROSS = f"WITH {T.POPULATION}, a AS (SELECT code, min(pop) AS value_a FROM popu
 def _cross(spark, sf):
     a = T.population(spark, sf).groupBy("code").agg(F.min("pop").alias("pop"))
     key = F.col("c_custkey")
-    b = T.read(spark, sf, "customer").select(key.cast("string").alias("code"), (100 + key % 900 + F.when(key % 9 == 0, key % 50).otherwise(0)).alias("pop"))
+    b = T.read(spark, sf, "customer").select(
+        key.cast("string").alias("code"), (100 + key % 900 + F.when(key % 9 == 0, key % 50).otherwise(0)).alias("pop")
+    )
     return linkage.cross_validate(a, b, "code", "pop", "pop")
 
 
-@query("j7_cross_validate", f"{_CROSS} SELECT count(*) AS n_common, count(*) FILTER (WHERE diff_abs = 0) AS n_identical, count(*) FILTER (WHERE diff_abs <> 0) AS n_discrepant, max(diff_abs) AS max_diff, {R('quantile_cont(diff_abs, 0.5)')} AS median_diff, {R('stddev_samp(diff_abs)')} AS std_diff FROM x")
+@query(
+    "j7_cross_validate",
+    f"{_CROSS} SELECT count(*) AS n_common, count(*) FILTER (WHERE diff_abs = 0) AS n_identical, count(*) FILTER (WHERE diff_abs <> 0) AS n_discrepant, max(diff_abs) AS max_diff, {R('quantile_cont(diff_abs, 0.5)')} AS median_diff, {R('stddev_samp(diff_abs)')} AS std_diff FROM x"
+)
 def _(spark, sf):
     return linkage.cross_validation_summary(_cross(spark, sf))
 
 
-@query("k2_top_discrepant", f"{_CROSS} SELECT code, value_a, value_b, diff_abs, {R('diff_pct')} AS diff_pct FROM x ORDER BY diff_abs DESC, code LIMIT 10")
+@query(
+    "k2_top_discrepant",
+    f"{_CROSS} SELECT code, value_a, value_b, diff_abs, {R('diff_pct')} AS diff_pct FROM x ORDER BY diff_abs DESC, code LIMIT 10"
+)
 def _(spark, sf):
     return linkage.top_discrepant(_cross(spark, sf), "code")
 
 
-@query("j8_control", f"{_LINKED}, seen AS (SELECT dep, sum(population) AS observed FROM linked GROUP BY dep), bench AS (SELECT CASE WHEN r_name = 'ASIA' THEN 'ELSEWHERE' ELSE r_name END AS dep, 1000000 * (1 + r_regionkey) AS benchmark FROM region) SELECT coalesce(seen.dep, bench.dep) AS dep, CAST(observed AS BIGINT) AS observed, CAST(benchmark AS BIGINT) AS benchmark, {R('100.0 * CAST(observed AS DOUBLE) / benchmark')} AS captured_pct FROM seen FULL JOIN bench USING (dep)")
+@query(
+    "j8_control",
+    f"{_LINKED}, seen AS (SELECT dep, sum(population) AS observed FROM linked GROUP BY dep), bench AS (SELECT CASE WHEN r_name = 'ASIA' THEN 'ELSEWHERE' ELSE r_name END AS dep, 1000000 * (1 + r_regionkey) AS benchmark FROM region) SELECT coalesce(seen.dep, bench.dep) AS dep, CAST(observed AS BIGINT) AS observed, CAST(benchmark AS BIGINT) AS benchmark, {R('100.0 * CAST(observed AS DOUBLE) / benchmark')} AS captured_pct FROM seen FULL JOIN bench USING (dep)"
+)
 def _(spark, sf):
     r = T.read(spark, sf, "region")
-    bench = r.select(F.when(F.col("r_name") == "ASIA", "ELSEWHERE").otherwise(F.col("r_name")).alias("dep"), (F.lit(1000000) * (1 + F.col("r_regionkey"))).cast("long").alias("benchmark"))
+    bench = r.select(
+        F.when(F.col("r_name") == "ASIA", "ELSEWHERE").otherwise(F.col("r_name")).alias("dep"),
+        (F.lit(1000000) * (1 + F.col("r_regionkey"))).cast("long").alias("benchmark")
+    )
     return linkage.population_control(_linked(spark, sf), bench, "dep", "population", "benchmark")
 
 
-@query("p16_urban_rural", "SELECT o_orderkey, CASE WHEN c_custkey IS NULL OR o_custkey % 5 = 0 THEN 'unknown' WHEN c_nationkey % 3 = 1 THEN 'urban' WHEN c_nationkey % 3 = 2 THEN 'rural' ELSE 'unknown' END AS urban_rural FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
+@query(
+    "p16_urban_rural",
+    "SELECT o_orderkey, CASE WHEN c_custkey IS NULL OR o_custkey % 5 = 0 THEN 'unknown' WHEN c_nationkey % 3 = 1 THEN 'urban' WHEN c_nationkey % 3 = 2 THEN 'rural' ELSE 'unknown' END AS urban_rural FROM orders LEFT JOIN customer ON o_custkey = c_custkey"
+)
 def _(spark, sf):
     c = T.read(spark, sf, "customer").where("c_custkey % 5 <> 0").select(F.col("c_custkey").alias("code"), (F.col("c_nationkey") % 3).alias("area"))
     return linkage.urban_rural(T.read(spark, sf, "orders"), c.unionByName(c), "o_custkey", "code", "area").select("o_orderkey", "urban_rural")
@@ -265,21 +344,32 @@ _KNOWN = "known AS (SELECT dep, CASE WHEN dist = 'BUILDING' THEN 'NOWHERE' ELSE
 
 def _factors(spark, sf):
     d = T.demand(spark, sf)
-    known = d.groupBy("dep", F.when(F.col("dist") == "BUILDING", "NOWHERE").otherwise(F.col("dist")).alias("dist")).agg((F.sum("design_weight") * 2).alias("known"))
+    known = d.groupBy(
+        "dep", F.when(F.col("dist") == "BUILDING", "NOWHERE").otherwise(F.col("dist")).alias("dist")
+    ).agg((F.sum("design_weight") * 2).alias("known"))
     return weights.calibration_factors(d, known, ["dep", "dist"], "weight", "known")
 
 
-@query("a9_calibration", f"WITH {T.DEMAND}, {_KNOWN} SELECT dep, dist, CAST(ht_total AS BIGINT) AS ht_total, CAST(known_population AS BIGINT) AS known_population, {R('CAST(known_population AS DOUBLE) / nullif(ht_total, 0)')} AS calibration_factor, calibration_status FROM factors")
+@query(
+    "a9_calibration",
+    f"WITH {T.DEMAND}, {_KNOWN} SELECT dep, dist, CAST(ht_total AS BIGINT) AS ht_total, CAST(known_population AS BIGINT) AS known_population, {R('CAST(known_population AS DOUBLE) / nullif(ht_total, 0)')} AS calibration_factor, calibration_status FROM factors"
+)
 def _(spark, sf):
     return _factors(spark, sf)
 
 
-@query("a9_calibrated_weights", f"WITH {T.DEMAND}, {_KNOWN} SELECT demand_id, {R('weight * (CAST(known_population AS DOUBLE) / nullif(ht_total, 0))')} AS calibrated_weight FROM demand LEFT JOIN factors USING (dep, dist)")
+@query(
+    "a9_calibrated_weights",
+    f"WITH {T.DEMAND}, {_KNOWN} SELECT demand_id, {R('weight * (CAST(known_population AS DOUBLE) / nullif(ht_total, 0))')} AS calibrated_weight FROM demand LEFT JOIN factors USING (dep, dist)"
+)
 def _(spark, sf):
     return weights.calibrated(T.demand(spark, sf), _factors(spark, sf), ["dep", "dist"], "weight").select("demand_id", "calibrated_weight")
 
 
-@query("a28_quality_panels", f"WITH {T.DEMAND}, {_KNOWN} SELECT count(*) FILTER (WHERE calibration_status = 'impossible_no_sample') AS n_impossible, CAST(coalesce(sum(known_population) FILTER (WHERE calibration_status = 'impossible_no_sample'), 0) AS BIGINT) AS population_impossible, count(*) FILTER (WHERE CAST(known_population AS DOUBLE) / nullif(ht_total, 0) < 0.5) AS n_extreme_low, count(*) FILTER (WHERE CAST(known_population AS DOUBLE) / nullif(ht_total, 0) > 2.0) AS n_extreme_high FROM factors")
+@query(
+    "a28_quality_panels",
+    f"WITH {T.DEMAND}, {_KNOWN} SELECT count(*) FILTER (WHERE calibration_status = 'impossible_no_sample') AS n_impossible, CAST(coalesce(sum(known_population) FILTER (WHERE calibration_status = 'impossible_no_sample'), 0) AS BIGINT) AS population_impossible, count(*) FILTER (WHERE CAST(known_population AS DOUBLE) / nullif(ht_total, 0) < 0.5) AS n_extreme_low, count(*) FILTER (WHERE CAST(known_population AS DOUBLE) / nullif(ht_total, 0) > 2.0) AS n_extreme_high FROM factors"
+)
 def _(spark, sf):
     f = _factors(spark, sf)
     return filters.population_quality_panel(f).crossJoin(filters.statistical_quality_panel(f))
@@ -288,17 +378,26 @@ def _(spark, sf):
 _ESS = lambda w: f"pow(CAST(sum({w}) AS DOUBLE), 2) / CAST(sum({w} * {w}) AS DOUBLE)"
 
 
-@query("a10_a11_ess", f"WITH {T.DEMAND} SELECT CASE WHEN grouping(dep) = 1 THEN 'TOTAL' ELSE dep END AS scope, {R(_ESS('design_weight'))} AS n_eff_design_weight, {R(_ESS('weight'))} AS n_eff_weight FROM demand GROUP BY ROLLUP (dep)")
+@query(
+    "a10_a11_ess",
+    f"WITH {T.DEMAND} SELECT CASE WHEN grouping(dep) = 1 THEN 'TOTAL' ELSE dep END AS scope, {R(_ESS('design_weight'))} AS n_eff_design_weight, {R(_ESS('weight'))} AS n_eff_weight FROM demand GROUP BY ROLLUP (dep)"
+)
 def _(spark, sf):
     return weights.effective_sizes(T.demand(spark, sf), "dep", ["design_weight", "weight"])
 
 
-@query("a8_representativeness", f"WITH {T.DEMAND} SELECT CASE WHEN grouping(dep) = 1 THEN 'TOTAL' ELSE dep END AS scope, count(*) AS n, count(weight) AS n_with_weight, CAST(sum(weight) AS BIGINT) AS total_weight, CASE WHEN grouping(dep) = 0 THEN {R('100.0 * CAST(sum(weight) AS DOUBLE) / (SELECT sum(weight) FROM demand)')} END AS pct_of_total FROM demand GROUP BY ROLLUP (dep)")
+@query(
+    "a8_representativeness",
+    f"WITH {T.DEMAND} SELECT CASE WHEN grouping(dep) = 1 THEN 'TOTAL' ELSE dep END AS scope, count(*) AS n, count(weight) AS n_with_weight, CAST(sum(weight) AS BIGINT) AS total_weight, CASE WHEN grouping(dep) = 0 THEN {R('100.0 * CAST(sum(weight) AS DOUBLE) / (SELECT sum(weight) FROM demand)')} END AS pct_of_total FROM demand GROUP BY ROLLUP (dep)"
+)
 def _(spark, sf):
     return weights.representativeness(T.demand(spark, sf), "dep", "weight")
 
 
-@query("a25_compare_totals", f"WITH {T.DEMAND}, a AS (SELECT dep, prov, sum(weight) AS a FROM demand GROUP BY ALL), b AS (SELECT dep, prov, sum(design_weight) AS b FROM demand GROUP BY ALL) SELECT dep, prov, CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, {R('CAST(a AS DOUBLE) / b')} AS ratio, {R('100.0 * CAST(a - b AS DOUBLE) / b')} AS diff_pct FROM a FULL JOIN b USING (dep, prov)")
+@query(
+    "a25_compare_totals",
+    f"WITH {T.DEMAND}, a AS (SELECT dep, prov, sum(weight) AS a FROM demand GROUP BY ALL), b AS (SELECT dep, prov, sum(design_weight) AS b FROM demand GROUP BY ALL) SELECT dep, prov, CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, {R('CAST(a AS DOUBLE) / b')} AS ratio, {R('100.0 * CAST(a - b AS DOUBLE) / b')} AS diff_pct FROM a FULL JOIN b USING (dep, prov)"
+)
 def _(spark, sf):
     d = T.demand(spark, sf)
     return weights.compare_totals(d, d, ["dep", "prov"], "weight", "design_weight")
@@ -317,17 +416,27 @@ def _(spark, sf):
     return sampling.quotas(s, "prov", "stratum_n", 777)
 
 
-@query("sm2_sample_sizes", f"WITH {T.DEMAND}, {_QUOTA.format(n=777)} SELECT prov, quota AS n, stratum_n, quota AS stratum_sample_n, {R('CAST(quota AS DOUBLE) / stratum_n')} AS inclusion_prob, {R('CAST(stratum_n AS DOUBLE) / quota')} AS design_weight FROM quotas WHERE quota > 0")
+@query(
+    "sm2_sample_sizes",
+    f"WITH {T.DEMAND}, {_QUOTA.format(n=777)} SELECT prov, quota AS n, stratum_n, quota AS stratum_sample_n, {R('CAST(quota AS DOUBLE) / stratum_n')} AS inclusion_prob, {R('CAST(stratum_n AS DOUBLE) / quota')} AS design_weight FROM quotas WHERE quota > 0"
+)
 def _(spark, sf):
     s = sampling.stratified_sample(T.demand(spark, sf).drop("design_weight"), "prov", "demand_id", 777)
-    return s.groupBy("prov").agg(F.count_distinct("demand_id").alias("n"), F.max("stratum_n").alias("stratum_n"), F.max("stratum_sample_n").alias("stratum_sample_n"), F.max("inclusion_prob").alias("inclusion_prob"), F.max("design_weight").alias("design_weight"))
+    return s.groupBy("prov").agg(
+        F.count_distinct("demand_id").alias("n"), F.max("stratum_n").alias("stratum_n"),
+        F.max("stratum_sample_n").alias("stratum_sample_n"), F.max("inclusion_prob").alias("inclusion_prob"),
+        F.max("design_weight").alias("design_weight")
+    )
 
 
 _DRAWN = f"""{T.DEMAND}, {_QUOTA.format(n=777)}, drawn AS (SELECT demand_id, prov, stratum_n, quota, row_number() OVER (PARTITION BY prov ORDER BY CAST('0x' || substr(md5('42:' || demand_id), 1, 15) AS BIGINT), demand_id) AS nth FROM demand JOIN quotas USING (prov)),
 sample AS (SELECT demand_id, prov, stratum_n, quota AS stratum_sample_n, CAST(quota AS DOUBLE) / stratum_n AS inclusion_prob, CAST(stratum_n AS DOUBLE) / quota AS design_weight FROM drawn WHERE nth <= quota)"""
 
 
-@query("sm2_sample", f"WITH {_DRAWN} SELECT demand_id, prov, stratum_n, stratum_sample_n, {R('inclusion_prob')} AS inclusion_prob, {R('design_weight')} AS design_weight FROM sample")
+@query(
+    "sm2_sample",
+    f"WITH {_DRAWN} SELECT demand_id, prov, stratum_n, stratum_sample_n, {R('inclusion_prob')} AS inclusion_prob, {R('design_weight')} AS design_weight FROM sample"
+)
 def _(spark, sf):
     s = sampling.stratified_sample(T.demand(spark, sf).drop("design_weight"), "prov", "demand_id", 777)
     return s.select("demand_id", "prov", "stratum_n", "stratum_sample_n", "inclusion_prob", "design_weight")
@@ -344,15 +453,29 @@ uneven AS (SELECT *, CASE WHEN demand_id LIKE '%7' THEN 1e0 ELSE 0e0 END + desig
 def _(spark, sf):
     s = sampling.stratified_sample(T.demand(spark, sf).drop("design_weight"), "prov", "demand_id", 777)
     w = F.col("design_weight")
-    kinds = {"own": w, "scaled": F.when(F.col("prov") == "CHINA", 1.5).otherwise(1.0) * w, "uneven": F.when(F.col("demand_id").endswith("7"), 1.0).otherwise(0.0) + w}
-    each = [weights.verify_design_weights(s.withColumn("design_weight", c), "prov").select(F.lit(k).alias("which"), "consistent", "one_weight_per_stratum", "max_abs_diff") for k, c in kinds.items()]
+    kinds = {
+        "own": w, "scaled": F.when(F.col("prov") == "CHINA", 1.5).otherwise(1.0) * w,
+        "uneven": F.when(F.col("demand_id").endswith("7"), 1.0).otherwise(0.0) + w
+    }
+    each = [
+        weights.verify_design_weights(s.withColumn("design_weight", c), "prov").select(
+            F.lit(k).alias("which"), "consistent", "one_weight_per_stratum", "max_abs_diff"
+        ) for k,
+        c in kinds.items()
+    ]
     return each[0].unionByName(each[1]).unionByName(each[2])
 
 
-@query("sm3_not_needed", f"WITH {T.DEMAND} SELECT prov, count(*) AS n, count(*) AS stratum_n, count(*) * count(*) AS sampled, 1e0 AS least_prob, CAST(count(*) AS DOUBLE) AS weights FROM demand GROUP BY prov")
+@query(
+    "sm3_not_needed",
+    f"WITH {T.DEMAND} SELECT prov, count(*) AS n, count(*) AS stratum_n, count(*) * count(*) AS sampled, 1e0 AS least_prob, CAST(count(*) AS DOUBLE) AS weights FROM demand GROUP BY prov"
+)
 def _(spark, sf):
     s = sampling.sample_if_needed(T.demand(spark, sf).drop("design_weight"), "prov", "demand_id", 10**12)
-    return s.groupBy("prov").agg(F.count(F.lit(1)).alias("n"), F.max("stratum_n").alias("stratum_n"), F.sum("stratum_sample_n").alias("sampled"), F.min("inclusion_prob").alias("least_prob"), F.sum("design_weight").alias("weights"))
+    return s.groupBy("prov").agg(
+        F.count(F.lit(1)).alias("n"), F.max("stratum_n").alias("stratum_n"), F.sum("stratum_sample_n").alias("sampled"),
+        F.min("inclusion_prob").alias("least_prob"), F.sum("design_weight").alias("weights")
+    )
 
 
 # --- inequality and ranks ----------------------------------------------------------------------------------------
@@ -365,27 +488,42 @@ def _(spark, sf):
     return inequality.weighted_median(T.demand(spark, sf), "t_min", "weight")
 
 
-@query("w1_weighted_median_by_dep", f"WITH {T.DEMAND}, g AS (SELECT dep, t_min AS v, sum(weight) AS w FROM demand WHERE t_min IS NOT NULL AND weight > 0 GROUP BY ALL), r AS (SELECT dep, v, sum(w) OVER (PARTITION BY dep ORDER BY v) AS cw, sum(w) OVER (PARTITION BY dep) AS t FROM g) SELECT dep, {R('min(v)')} AS weighted_median FROM r WHERE cw * 2 >= t GROUP BY dep")
+@query(
+    "w1_weighted_median_by_dep",
+    f"WITH {T.DEMAND}, g AS (SELECT dep, t_min AS v, sum(weight) AS w FROM demand WHERE t_min IS NOT NULL AND weight > 0 GROUP BY ALL), r AS (SELECT dep, v, sum(w) OVER (PARTITION BY dep ORDER BY v) AS cw, sum(w) OVER (PARTITION BY dep) AS t FROM g) SELECT dep, {R('min(v)')} AS weighted_median FROM r WHERE cw * 2 >= t GROUP BY dep"
+)
 def _(spark, sf):
     return inequality.weighted_median(T.demand(spark, sf), "t_min", "weight", ["dep"])
 
 
-@query("w2_gini", f"WITH {T.DEMAND}, {_VALUES} SELECT {R('1 - sum(CAST(w AS DOUBLE) * CAST(2 * cwv - w * v AS DOUBLE)) / (CAST(sum(w) AS DOUBLE) * CAST(sum(w * v) AS DOUBLE))')} AS gini, (SELECT count(*) FROM demand WHERE t_min IS NOT NULL AND weight > 0) AS n_included, CAST(sum(w) AS BIGINT) AS population_included, {R('100.0 - 100.0 * CAST(sum(w) AS DOUBLE) / (SELECT sum(weight) FROM demand)')} AS pct_population_excluded FROM run")
+@query(
+    "w2_gini",
+    f"WITH {T.DEMAND}, {_VALUES} SELECT {R('1 - sum(CAST(w AS DOUBLE) * CAST(2 * cwv - w * v AS DOUBLE)) / (CAST(sum(w) AS DOUBLE) * CAST(sum(w * v) AS DOUBLE))')} AS gini, (SELECT count(*) FROM demand WHERE t_min IS NOT NULL AND weight > 0) AS n_included, CAST(sum(w) AS BIGINT) AS population_included, {R('100.0 - 100.0 * CAST(sum(w) AS DOUBLE) / (SELECT sum(weight) FROM demand)')} AS pct_population_excluded FROM run"
+)
 def _(spark, sf):
     return inequality.weighted_gini(T.demand(spark, sf), "t_min", "weight")
 
 
-@query("w3_lorenz", f"WITH {T.DEMAND}, {_VALUES} SELECT -1e0 AS ord, 0e0 AS cum_population, 0e0 AS cum_value UNION ALL SELECT {R('v')}, {R('CAST(cw AS DOUBLE) / CAST((SELECT sum(w) FROM vals) AS DOUBLE)')}, {R('CAST(cwv AS DOUBLE) / CAST((SELECT sum(w * v) FROM vals) AS DOUBLE)')} FROM run")
+@query(
+    "w3_lorenz",
+    f"WITH {T.DEMAND}, {_VALUES} SELECT -1e0 AS ord, 0e0 AS cum_population, 0e0 AS cum_value UNION ALL SELECT {R('v')}, {R('CAST(cw AS DOUBLE) / CAST((SELECT sum(w) FROM vals) AS DOUBLE)')}, {R('CAST(cwv AS DOUBLE) / CAST((SELECT sum(w * v) FROM vals) AS DOUBLE)')} FROM run"
+)
 def _(spark, sf):
     return inequality.lorenz_curve(T.demand(spark, sf), "t_min", "weight")
 
 
-@query("w4_ecdf", f"WITH {T.DEMAND}, g AS (SELECT dep, t_min AS v, sum(weight) AS w FROM demand WHERE t_min IS NOT NULL AND weight > 0 GROUP BY ALL) SELECT dep, {R('v')} AS v, {R('100.0 * CAST(sum(w) OVER (PARTITION BY dep ORDER BY g.v) AS DOUBLE) / CAST(sum(w) OVER (PARTITION BY dep) AS DOUBLE)')} AS cum_pct FROM g")
+@query(
+    "w4_ecdf",
+    f"WITH {T.DEMAND}, g AS (SELECT dep, t_min AS v, sum(weight) AS w FROM demand WHERE t_min IS NOT NULL AND weight > 0 GROUP BY ALL) SELECT dep, {R('v')} AS v, {R('100.0 * CAST(sum(w) OVER (PARTITION BY dep ORDER BY g.v) AS DOUBLE) / CAST(sum(w) OVER (PARTITION BY dep) AS DOUBLE)')} AS cum_pct FROM g"
+)
 def _(spark, sf):
     return inequality.weighted_ecdf(T.demand(spark, sf), "t_min", "weight", ["dep"])
 
 
-@query("w5_ecdf", f"SELECT value AS v, {R('CAST(row_number() OVER (ORDER BY value) AS DOUBLE) / CAST(count(*) OVER () AS DOUBLE)')} AS share FROM events WHERE value IS NOT NULL")
+@query(
+    "w5_ecdf",
+    f"SELECT value AS v, {R('CAST(row_number() OVER (ORDER BY value) AS DOUBLE) / CAST(count(*) OVER () AS DOUBLE)')} AS share FROM events WHERE value IS NOT NULL"
+)
 def _(spark, sf):
     return inequality.ecdf(T.read(spark, sf, "events"), "value")
 
@@ -398,16 +536,24 @@ def _districts(spark, sf):
     return T.rounded(access.weighted_mean_access(d, ["dep", "prov", "dist"]))
 
 
-@query("w6_rank_gaps", f"{_DIST} SELECT dep, prov, dist, weighted_mean, CAST(row_number() OVER (ORDER BY weighted_mean DESC NULLS FIRST, dep, prov, dist) AS INTEGER) AS rank, share_with_time_pct IS NULL OR share_with_time_pct < 50 AS low_coverage_warning FROM d")
+@query(
+    "w6_rank_gaps",
+    f"{_DIST} SELECT dep, prov, dist, weighted_mean, CAST(row_number() OVER (ORDER BY weighted_mean DESC NULLS FIRST, dep, prov, dist) AS INTEGER) AS rank, share_with_time_pct IS NULL OR share_with_time_pct < 50 AS low_coverage_warning FROM d"
+)
 def _(spark, sf):
-    return inequality.rank_gaps(_districts(spark, sf), ["dep", "prov", "dist"]).select("dep", "prov", "dist", "weighted_mean", "rank", "low_coverage_warning")
+    return inequality.rank_gaps(_districts(spark, sf), ["dep", "prov", "dist"]).select(
+        "dep", "prov", "dist", "weighted_mean", "rank", "low_coverage_warning"
+    )
 
 
 _QUALITY = "CASE WHEN n_cp_with_weight = 0 THEN 'zero_population_sample_coverage' WHEN n_cp_with_weight < 3 THEN 'low_population_sample_coverage' WHEN n_cp_with_time = 0 THEN 'zero_routing_coverage' WHEN share_with_time_pct IS NULL OR share_with_time_pct < 50 THEN 'low_routing_coverage' ELSE 'computable' END"
 
 
 def _with_quality(spark, sf):
-    return _districts(spark, sf).withColumn("district_status", X.district_quality(F.col("n_cp_with_weight"), F.col("n_cp_with_time"), F.col("share_with_time_pct")))
+    return _districts(spark, sf).withColumn(
+        "district_status",
+        X.district_quality(F.col("n_cp_with_weight"), F.col("n_cp_with_time"), F.col("share_with_time_pct"))
+    )
 
 
 @query("p11_district_quality", f"{_DIST} SELECT dep, prov, dist, {_QUALITY} AS district_status FROM d")
@@ -415,17 +561,28 @@ def _(spark, sf):
     return _with_quality(spark, sf).select("dep", "prov", "dist", "district_status")
 
 
-@query("p19_status_label", f"{_DIST} SELECT dep, prov, dist, CASE {_QUALITY} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in K.STATUS_LABELS.items()) + " END AS label FROM d")
+@query(
+    "p19_status_label",
+    f"{_DIST} SELECT dep, prov, dist, CASE {_QUALITY} " + " ".join(
+        f"WHEN '{k}' THEN '{v}'" for k, v in K.STATUS_LABELS.items()
+    ) + " END AS label FROM d"
+)
 def _(spark, sf):
     return _with_quality(spark, sf).select("dep", "prov", "dist", X.status_label("district_status").alias("label"))
 
 
-@query("w7_split", f"{_DIST} SELECT dep, prov, dist, CAST(row_number() OVER (ORDER BY weighted_mean DESC, dep, prov, dist) AS INTEGER) AS rank FROM d WHERE {_QUALITY} = 'computable' AND weighted_mean IS NOT NULL")
+@query(
+    "w7_split",
+    f"{_DIST} SELECT dep, prov, dist, CAST(row_number() OVER (ORDER BY weighted_mean DESC, dep, prov, dist) AS INTEGER) AS rank FROM d WHERE {_QUALITY} = 'computable' AND weighted_mean IS NOT NULL"
+)
 def _(spark, sf):
     return inequality.split_gaps(_with_quality(spark, sf), ["dep", "prov", "dist"])[0].select("dep", "prov", "dist", "rank")
 
 
-@query("k4_worst_district", f"{_DIST} SELECT dep, prov, dist, weighted_mean FROM d WHERE weighted_mean IS NOT NULL ORDER BY weighted_mean DESC LIMIT 1")
+@query(
+    "k4_worst_district",
+    f"{_DIST} SELECT dep, prov, dist, weighted_mean FROM d WHERE weighted_mean IS NOT NULL ORDER BY weighted_mean DESC LIMIT 1"
+)
 def _(spark, sf):
     return inequality.worst_district(_districts(spark, sf), ["dep", "prov", "dist"])
 
@@ -433,7 +590,10 @@ def _(spark, sf):
 # --- quality rules and normalisers ------------------------------------------------------------------------------
 
 
-@query("p3_normalize_category", f"WITH {T.FACILITIES}, {T.NORMED} SELECT facility_id, {T.CATEGORY} AS category, coalesce(upper(trim(state)) = 'ACTIVO', false) AS is_active, {T.CATEGORY} IN ('II-1','II-2','II-E','III-1','III-2','III-E') AND upper(trim(state)) = 'ACTIVO' AS is_resolutive FROM normed")
+@query(
+    "p3_normalize_category",
+    f"WITH {T.FACILITIES}, {T.NORMED} SELECT facility_id, {T.CATEGORY} AS category, coalesce(upper(trim(state)) = 'ACTIVO', false) AS is_active, {T.CATEGORY} IN ('II-1','II-2','II-E','III-1','III-2','III-E') AND upper(trim(state)) = 'ACTIVO' AS is_resolutive FROM normed"
+)
 def _(spark, sf):
     f = T.facilities(spark, sf).withColumns({"category": X.normalize_category("raw_category"), "is_active": X.is_active("state")})
     return f.select("facility_id", "category", "is_active", (F.col("category").isin(*K.RESOLUTIVE) & F.col("is_active")).alias("is_resolutive"))
@@ -449,46 +609,80 @@ def _validated(spark, sf):
     return quality.validated(T.facilities(spark, sf), "facility_id", inside_swapped=F.col("k") % 2 == 0)
 
 
-@query("v1_v2_v3_coordinates", f"WITH {T.FACILITIES}, {_FLAGS} SELECT facility_id, coord_missing, coord_out_of_bbox, swap_candidate, swap_candidate AND k % 2 = 0 AS swap_corrected, coord_missing OR (coord_out_of_bbox AND NOT (swap_candidate AND k % 2 = 0)) AS qc_excluded_from_routing, {R('CASE WHEN swap_candidate AND k % 2 = 0 THEN lat ELSE lon END')} AS lon, {R('CASE WHEN swap_candidate AND k % 2 = 0 THEN lon ELSE lat END')} AS lat FROM flags")
+@query(
+    "v1_v2_v3_coordinates",
+    f"WITH {T.FACILITIES}, {_FLAGS} SELECT facility_id, coord_missing, coord_out_of_bbox, swap_candidate, swap_candidate AND k % 2 = 0 AS swap_corrected, coord_missing OR (coord_out_of_bbox AND NOT (swap_candidate AND k % 2 = 0)) AS qc_excluded_from_routing, {R('CASE WHEN swap_candidate AND k % 2 = 0 THEN lat ELSE lon END')} AS lon, {R('CASE WHEN swap_candidate AND k % 2 = 0 THEN lon ELSE lat END')} AS lat FROM flags"
+)
 def _(spark, sf):
-    return _validated(spark, sf).select("facility_id", "coord_missing", "coord_out_of_bbox", "swap_candidate", "swap_corrected", "qc_excluded_from_routing", "lon", "lat")
+    return _validated(spark, sf).select(
+        "facility_id", "coord_missing", "coord_out_of_bbox", "swap_candidate", "swap_corrected",
+        "qc_excluded_from_routing", "lon", "lat"
+    )
 
 
-@query("a19_quality_report", f"WITH {T.FACILITIES}, {_FLAGS} SELECT 'coord_missing' AS regla, count(*) FILTER (WHERE coord_missing) AS n_afectados, 'keep_warning' AS accion FROM flags UNION ALL SELECT 'coord_out_of_bbox', count(*) FILTER (WHERE coord_out_of_bbox), 'keep_warning' FROM flags UNION ALL SELECT 'swapped_latlon', count(*) FILTER (WHERE swap_candidate), 'correct_with_audit' FROM flags")
+@query(
+    "a19_quality_report",
+    f"WITH {T.FACILITIES}, {_FLAGS} SELECT 'coord_missing' AS regla, count(*) FILTER (WHERE coord_missing) AS n_afectados, 'keep_warning' AS accion FROM flags UNION ALL SELECT 'coord_out_of_bbox', count(*) FILTER (WHERE coord_out_of_bbox), 'keep_warning' FROM flags UNION ALL SELECT 'swapped_latlon', count(*) FILTER (WHERE swap_candidate), 'correct_with_audit' FROM flags"
+)
 def _(spark, sf):
-    return quality.quality_report(_validated(spark, sf), {"coord_missing": "coord_missing", "coord_out_of_bbox": "coord_out_of_bbox", "swapped_latlon": "swap_candidate"}, {"swapped_latlon": "correct_with_audit"})
+    return quality.quality_report(
+        _validated(spark, sf),
+        {"coord_missing": "coord_missing", "coord_out_of_bbox": "coord_out_of_bbox", "swapped_latlon": "swap_candidate"},
+        {"swapped_latlon": "correct_with_audit"}
+    )
 
 
-@query("a20_audit_detail", f"WITH {T.FACILITIES}, {_FLAGS} SELECT facility_id AS record_key, coord_missing, coord_out_of_bbox FROM flags WHERE coord_missing OR coord_out_of_bbox")
+@query(
+    "a20_audit_detail",
+    f"WITH {T.FACILITIES}, {_FLAGS} SELECT facility_id AS record_key, coord_missing, coord_out_of_bbox FROM flags WHERE coord_missing OR coord_out_of_bbox"
+)
 def _(spark, sf):
     return quality.audit_detail(_validated(spark, sf), "facility_id", ["coord_missing", "coord_out_of_bbox"])
 
 
-@query("a21_alarm", f"WITH {T.FACILITIES}, {_FLAGS} SELECT CASE WHEN 100.0 * count(*) FILTER (WHERE coord_missing) / count(*) > 1 THEN 'ALARM missing: ' || count(*) FILTER (WHERE coord_missing) || '/' || count(*) END AS alarm FROM flags")
+@query(
+    "a21_alarm",
+    f"WITH {T.FACILITIES}, {_FLAGS} SELECT CASE WHEN 100.0 * count(*) FILTER (WHERE coord_missing) / count(*) > 1 THEN 'ALARM missing: ' || count(*) FILTER (WHERE coord_missing) || '/' || count(*) END AS alarm FROM flags"
+)
 def _(spark, sf):
     return _validated(spark, sf).agg(quality.alarm(F.count_if("coord_missing"), F.count(F.lit(1)), 1.0, "missing").alias("alarm"))
 
 
-@query("p6_pools", f"WITH {T.FACILITIES}, {T.NORMED}, {_FLAGS}, c AS (SELECT normed.facility_id, {T.CATEGORY} AS category, upper(trim(normed.state)) = 'ACTIVO' AND NOT (coord_missing OR (coord_out_of_bbox AND NOT (swap_candidate AND normed.k % 2 = 0))) AS ok FROM normed JOIN (SELECT facility_id, coord_missing, coord_out_of_bbox, swap_candidate FROM flags) USING (facility_id)) SELECT facility_id, CASE WHEN category IN ('II-1','II-2','II-E','III-1','III-2','III-E') THEN 'Resolutivo' ELSE 'Candidato' END AS layer FROM c WHERE ok AND (category IN ('II-1','II-2','II-E','III-1','III-2','III-E') OR category IN ('I-3','I-4'))")
+@query(
+    "p6_pools",
+    f"WITH {T.FACILITIES}, {T.NORMED}, {_FLAGS}, c AS (SELECT normed.facility_id, {T.CATEGORY} AS category, upper(trim(normed.state)) = 'ACTIVO' AND NOT (coord_missing OR (coord_out_of_bbox AND NOT (swap_candidate AND normed.k % 2 = 0))) AS ok FROM normed JOIN (SELECT facility_id, coord_missing, coord_out_of_bbox, swap_candidate FROM flags) USING (facility_id)) SELECT facility_id, CASE WHEN category IN ('II-1','II-2','II-E','III-1','III-2','III-E') THEN 'Resolutivo' ELSE 'Candidato' END AS layer FROM c WHERE ok AND (category IN ('II-1','II-2','II-E','III-1','III-2','III-E') OR category IN ('I-3','I-4'))"
+)
 def _(spark, sf):
     f = _validated(spark, sf).withColumns({"category": X.normalize_category("raw_category"), "is_active": X.is_active("state")})
     both = filters.resolutive(f).unionByName(filters.upgrade_candidates(f))
     return both.select("facility_id", X.facility_layer(F.col("category").isin(*K.RESOLUTIVE), F.col("category").isin("I-3", "I-4")).alias("layer"))
 
 
-@query("w9_duplicates", "SELECT doc_id, count(*) OVER (PARTITION BY n_chars) > 1 AS dup_any, count(*) OVER (PARTITION BY n_chars) > 1 AND count(*) OVER (PARTITION BY n_chars, text) = 1 AS dup_conflict, count(*) OVER (PARTITION BY n_chars, text) > 1 AND row_number() OVER (PARTITION BY n_chars, text ORDER BY doc_id) > 1 AS dup_drop FROM documents")
+@query(
+    "w9_duplicates",
+    "SELECT doc_id, count(*) OVER (PARTITION BY n_chars) > 1 AS dup_any, count(*) OVER (PARTITION BY n_chars) > 1 AND count(*) OVER (PARTITION BY n_chars, text) = 1 AS dup_conflict, count(*) OVER (PARTITION BY n_chars, text) > 1 AND row_number() OVER (PARTITION BY n_chars, text ORDER BY doc_id) > 1 AS dup_drop FROM documents"
+)
 def _(spark, sf):
     d = T.read(spark, sf, "documents").select("doc_id", "n_chars", "text")
     return quality.duplicate_flags(d, "n_chars", ["n_chars", "text"], ["doc_id"]).select("doc_id", "dup_any", "dup_conflict", "dup_drop")
 
 
-@query("f10_mojibake", f"WITH d AS (SELECT replace(text, 'é', 'Ã©') AS a, replace(source, '1', 'â€™') AS b FROM documents), n AS (SELECT count(a) + count(b) AS n_values, count(*) FILTER (WHERE regexp_matches(a, 'Ã.|Â.|â€.|�')) + count(*) FILTER (WHERE regexp_matches(b, 'Ã.|Â.|â€.|�')) AS n_flagged FROM d) SELECT n_values, n_flagged, {R('100.0 * n_flagged / n_values')} AS pct, 100.0 * n_flagged / n_values <= 1 AS ok FROM n")
+@query(
+    "f10_mojibake",
+    f"WITH d AS (SELECT replace(text, 'é', 'Ã©') AS a, replace(source, '1', 'â€™') AS b FROM documents), n AS (SELECT count(a) + count(b) AS n_values, count(*) FILTER (WHERE regexp_matches(a, 'Ã.|Â.|â€.|�')) + count(*) FILTER (WHERE regexp_matches(b, 'Ã.|Â.|â€.|�')) AS n_flagged FROM d) SELECT n_values, n_flagged, {R('100.0 * n_flagged / n_values')} AS pct, 100.0 * n_flagged / n_values <= 1 AS ok FROM n"
+)
 def _(spark, sf):
-    d = T.read(spark, sf, "documents").select(F.replace(F.col("text"), F.lit("é"), F.lit("Ã©")).alias("a"), F.replace(F.col("source"), F.lit("1"), F.lit("â€™")).alias("b"))
+    d = T.read(spark, sf, "documents").select(
+        F.replace(F.col("text"), F.lit("é"), F.lit("Ã©")).alias("a"),
+        F.replace(F.col("source"), F.lit("1"), F.lit("â€™")).alias("b")
+    )
     return quality.encoding_report(d, ["a", "b"], 1.0)
 
 
-@query("f12_place_key", "SELECT n_nationkey, upper(trim(r_name)) || '|' || upper(trim(n_name)) AS place FROM nation JOIN region ON n_regionkey = r_regionkey")
+@query(
+    "f12_place_key",
+    "SELECT n_nationkey, upper(trim(r_name)) || '|' || upper(trim(n_name)) AS place FROM nation JOIN region ON n_regionkey = r_regionkey"
+)
 def _(spark, sf):
     n, r = T.read(spark, sf, "nation"), T.read(spark, sf, "region")
     return n.join(r, n.n_regionkey == r.r_regionkey).select("n_nationkey", X.place_key("r_name", "n_name").alias("place"))
@@ -496,7 +690,9 @@ def _(spark, sf):
 
 @query("p12_geographic_filter", f"WITH {T.DEMAND} SELECT dep, dist, count(*) AS n FROM demand WHERE dep IN ('ASIA', 'EUROPE') GROUP BY dep, dist")
 def _(spark, sf):
-    return filters.geographic(T.demand(spark, sf), {"dep": ["ASIA", "EUROPE"], "prov": [K.ALL], "dist": None}).groupBy("dep", "dist").agg(F.count(F.lit(1)).alias("n"))
+    return filters.geographic(
+        T.demand(spark, sf), {"dep": ["ASIA", "EUROPE"], "prov": [K.ALL], "dist": None}
+    ).groupBy("dep", "dist").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("p14_cascade", f"WITH {T.DEMAND} SELECT 0 AS ord, 'Todos' AS option UNION ALL SELECT DISTINCT 1, prov FROM demand WHERE dep = 'ASIA'")
@@ -504,11 +700,17 @@ def _(spark, sf):
     return filters.options(T.demand(spark, sf), "prov", {"dep": ["ASIA"]})
 
 
-@query("f15_color", f"{_DIST}, b AS (SELECT min(weighted_mean) AS lo, max(weighted_mean) AS hi FROM d WHERE {_QUALITY} = 'computable') SELECT dep, prov, dist, CASE WHEN {_QUALITY} = 'computable' AND weighted_mean IS NOT NULL THEN CAST(least(floor((weighted_mean - lo) / (hi - lo) * 4 + 0.5), 4) AS INTEGER) END AS color FROM d, b")
+@query(
+    "f15_color",
+    f"{_DIST}, b AS (SELECT min(weighted_mean) AS lo, max(weighted_mean) AS hi FROM d WHERE {_QUALITY} = 'computable') SELECT dep, prov, dist, CASE WHEN {_QUALITY} = 'computable' AND weighted_mean IS NOT NULL THEN CAST(least(floor((weighted_mean - lo) / (hi - lo) * 4 + 0.5), 4) AS INTEGER) END AS color FROM d, b"
+)
 def _(spark, sf):
     q = _with_quality(spark, sf)
     b = q.where(F.col("district_status") == K.COMPUTABLE).agg(F.min("weighted_mean").alias("lo"), F.max("weighted_mean").alias("hi"))
-    return q.crossJoin(F.broadcast(b)).select("dep", "prov", "dist", X.color_position(F.col("weighted_mean"), F.col("lo"), F.col("hi"), F.col("district_status")).alias("color"))
+    return q.crossJoin(F.broadcast(b)).select(
+        "dep", "prov", "dist",
+        X.color_position(F.col("weighted_mean"), F.col("lo"), F.col("hi"), F.col("district_status")).alias("color")
+    )
 
 
 # --- geometry --------------------------------------------------------------------------------------------------
@@ -516,13 +718,19 @@ def _(spark, sf):
 _HAV = "2 * 6371000e0 * asin(sqrt(least(greatest(pow(sin((radians({b2}) - radians({b1})) / 2), 2) + cos(radians({b1})) * cos(radians({b2})) * pow(sin(radians({a2} - {a1}) / 2), 2), 0e0), 1e0)))"
 
 
-@query("f1_haversine", f"WITH {T.FACILITIES} SELECT facility_id, {R(_HAV.format(a1='lon', b1='lat', a2='-71.97e0', b2='-13.52e0'), 3)} AS metres FROM facilities")
+@query(
+    "f1_haversine",
+    f"WITH {T.FACILITIES} SELECT facility_id, {R(_HAV.format(a1='lon', b1='lat', a2='-71.97e0', b2='-13.52e0'), 3)} AS metres FROM facilities"
+)
 def _(spark, sf):
     m = X.haversine_m(F.col("lon"), F.col("lat"), F.lit(-71.97), F.lit(-13.52))
     return T.facilities(spark, sf).select("facility_id", F.round(m, 3).alias("metres"))
 
 
-@query("a31_bounds", f"WITH {T.FACILITIES} SELECT {R('min(lon)')} AS min_lon, {R('min(lat)')} AS min_lat, {R('max(lon)')} AS max_lon, {R('max(lat)')} AS max_lat FROM facilities")
+@query(
+    "a31_bounds",
+    f"WITH {T.FACILITIES} SELECT {R('min(lon)')} AS min_lon, {R('min(lat)')} AS min_lat, {R('max(lon)')} AS max_lon, {R('max(lat)')} AS max_lat FROM facilities"
+)
 def _(spark, sf):
     return geo.bounds(T.facilities(spark, sf))
 
@@ -550,11 +758,16 @@ def _(spark, sf):
 SELECT n_regionkey, count(*) AS n_rings, lpad(CAST(min(n_nationkey) AS VARCHAR), 2, '0') AS first_code, any_value(coalesce(inside.n, 0)) AS n_inside FROM box LEFT JOIN inside USING (n_regionkey) GROUP BY n_regionkey""",
 )
 def _(spark, sf):
-    b = _boxes(spark, sf).join(T.read(spark, sf, "nation"), "n_nationkey").withColumn("first_code", F.lpad(F.col("n_nationkey").cast("string"), 2, "0"))
+    b = _boxes(spark, sf).join(T.read(spark, sf, "nation"), "n_nationkey").withColumn(
+        "first_code", F.lpad(F.col("n_nationkey").cast("string"), 2, "0")
+    )
     regions = geo.dissolve(b, ["n_regionkey"], firsts=("first_code",))
     inside = T.facilities(spark, sf).join(F.broadcast(regions), geo.contains(F.col("lon"), F.col("lat"), F.col("rings")))  # five regions
     counts = inside.groupBy(F.col("n_regionkey").alias("_r")).agg(F.count(F.lit(1)).alias("n_inside"))
-    return regions.join(counts, F.col("n_regionkey") == F.col("_r"), "left").select("n_regionkey", F.size("rings").cast("long").alias("n_rings"), "first_code", F.coalesce("n_inside", F.lit(0)).alias("n_inside"))
+    return regions.join(counts, F.col("n_regionkey") == F.col("_r"), "left").select(
+        "n_regionkey", F.size("rings").cast("long").alias("n_rings"), "first_code",
+        F.coalesce("n_inside", F.lit(0)).alias("n_inside")
+    )
 
 
 def _points(spark, sf, table, key):
@@ -577,9 +790,14 @@ def _(spark, sf):
     return T.rounded(_snapped(spark, sf), 3).select("point_id", "status", "snap_distance_m")
 
 
-@query("a18_snap_report", f"{_SNAP} SELECT count(*) AS n_total, count(*) FILTER (WHERE status <> 'success') AS n_failed, {R('100.0 * count(*) FILTER (WHERE status <> $$success$$) / count(*)')} AS pct_failed, round(avg(snap_distance_m), 2) AS mean_snap_m, round(quantile_cont(snap_distance_m, 0.5), 2) AS median_snap_m, round(quantile_cont(snap_distance_m, 0.95), 2) AS p95_snap_m, round(max(snap_distance_m), 2) AS max_snap_m FROM s")
+@query(
+    "a18_snap_report",
+    f"{_SNAP} SELECT count(*) AS n_total, count(*) FILTER (WHERE status <> 'success') AS n_failed, {R('100.0 * count(*) FILTER (WHERE status <> $$success$$) / count(*)')} AS pct_failed, round(avg(snap_distance_m), 2) AS mean_snap_m, round(quantile_cont(snap_distance_m, 0.5), 2) AS median_snap_m, round(quantile_cont(snap_distance_m, 0.95), 2) AS p95_snap_m, round(max(snap_distance_m), 2) AS max_snap_m FROM s"
+)
 def _(spark, sf):
-    return geo.snap_report(T.rounded(_snapped(spark, sf), 3)).withColumns({c: F.round(c, 2) for c in ("mean_snap_m", "median_snap_m", "p95_snap_m", "max_snap_m")})
+    return geo.snap_report(T.rounded(_snapped(spark, sf), 3)).withColumns(
+        {c: F.round(c, 2) for c in ("mean_snap_m", "median_snap_m", "p95_snap_m", "max_snap_m")}
+    )
 
 
 # --- network -------------------------------------------------------------------------------------------------
@@ -603,7 +821,9 @@ def _edge_sql(ok, speed, fwd="fwd", bwd="bwd"):
 def _edge_query(mode):
     def run(spark, sf):
         e = T.edges(spark, sf)
-        return e.withColumn("w", X.make_edge_weight(mode, e.columns, F.col("length"))).select("id", "u", "v", "w.speed_kmh", "w.time_s", "w.forward", "w.backward")
+        return e.withColumn("w", X.make_edge_weight(mode, e.columns, F.col("length"))).select(
+            "id", "u", "v", "w.speed_kmh", "w.time_s", "w.forward", "w.backward"
+        )
 
     return run
 
@@ -619,7 +839,10 @@ def _(spark, sf):
     return e.select("id", "u", "v", X.parse_maxspeed("maxspeed").alias("maxspeed_kmh"), "w.forward", "w.backward")
 
 
-@query("g1_edges", f"WITH {T.EDGES}, {_PARSED}, car AS (SELECT u, v, length / (coalesce(ms, {_CAR}) * 1000.0 / 3600.0) AS time_s, length, fwd, bwd FROM ways WHERE {_CAR_OK}), both_ AS (SELECT u, v, time_s, length FROM car WHERE fwd UNION ALL SELECT v, u, time_s, length FROM car WHERE bwd) SELECT u, v, round(min(time_s), 6) AS time_s, round(arg_min(length, (time_s, length)), 6) AS length FROM both_ GROUP BY u, v")
+@query(
+    "g1_edges",
+    f"WITH {T.EDGES}, {_PARSED}, car AS (SELECT u, v, length / (coalesce(ms, {_CAR}) * 1000.0 / 3600.0) AS time_s, length, fwd, bwd FROM ways WHERE {_CAR_OK}), both_ AS (SELECT u, v, time_s, length FROM car WHERE fwd UNION ALL SELECT v, u, time_s, length FROM car WHERE bwd) SELECT u, v, round(min(time_s), 6) AS time_s, round(arg_min(length, (time_s, length)), 6) AS length FROM both_ GROUP BY u, v"
+)
 def _(spark, sf):
     return network.graph(T.edges(spark, sf), "car").select("u", "v", "time_s", "length")
 
@@ -630,7 +853,10 @@ def _(spark, sf):
     return network.merge_edges(e.where("u % 2 = 0"), e).select("id", "u", "v", "length")
 
 
-@query("w11_nearest", f"WITH {T.MODE_PAIRS} SELECT demand_id, mode, facility_id, {R('distance_m')} AS distance_m, {R('travel_time_min')} AS travel_time_min, reachable FROM nearest")
+@query(
+    "w11_nearest",
+    f"WITH {T.MODE_PAIRS} SELECT demand_id, mode, facility_id, {R('distance_m')} AS distance_m, {R('travel_time_min')} AS travel_time_min, reachable FROM nearest"
+)
 def _(spark, sf):
     return network.nearest_by_mode(T.mode_pairs(spark, sf))
 
@@ -642,17 +868,26 @@ def _nearest(spark, sf):
 _G7 = f"WITH {T.MODE_PAIRS}, g AS (SELECT c.demand_id, CASE WHEN c.facility_id = f.facility_id THEN 'both_reachable_same_facility' ELSE 'both_reachable_different_facility' END AS category, c.facility_id AS facility_id_car, f.facility_id AS facility_id_foot, c.travel_time_min AS car_time_min, f.travel_time_min AS foot_time_min, f.travel_time_min / nullif(c.travel_time_min, 0) AS foot_over_car_ratio FROM nearest c JOIN nearest f ON c.demand_id = f.demand_id AND c.mode = 'car' AND f.mode = 'foot')"
 
 
-@query("g7_car_vs_foot", f"{_G7} SELECT demand_id, category, facility_id_car, facility_id_foot, {R('car_time_min')} AS car_time_min, {R('foot_time_min')} AS foot_time_min, {R('foot_over_car_ratio')} AS foot_over_car_ratio FROM g")
+@query(
+    "g7_car_vs_foot",
+    f"{_G7} SELECT demand_id, category, facility_id_car, facility_id_foot, {R('car_time_min')} AS car_time_min, {R('foot_time_min')} AS foot_time_min, {R('foot_over_car_ratio')} AS foot_over_car_ratio FROM g"
+)
 def _(spark, sf):
     return network.car_vs_foot(_nearest(spark, sf))
 
 
-@query("g7_summary", f"{_G7} SELECT count(*) AS n_total, count(*) FILTER (WHERE category = 'both_reachable_same_facility') AS both_reachable_same_facility, count(*) FILTER (WHERE category = 'both_reachable_different_facility') AS both_reachable_different_facility, 0::BIGINT AS car_only_reachable, 0::BIGINT AS foot_only_reachable, 0::BIGINT AS both_unreachable, {R('100.0 * count(*) FILTER (WHERE category = $$both_reachable_different_facility$$) / nullif(count(*), 0)')} AS pct_different FROM g")
+@query(
+    "g7_summary",
+    f"{_G7} SELECT count(*) AS n_total, count(*) FILTER (WHERE category = 'both_reachable_same_facility') AS both_reachable_same_facility, count(*) FILTER (WHERE category = 'both_reachable_different_facility') AS both_reachable_different_facility, 0::BIGINT AS car_only_reachable, 0::BIGINT AS foot_only_reachable, 0::BIGINT AS both_unreachable, {R('100.0 * count(*) FILTER (WHERE category = $$both_reachable_different_facility$$) / nullif(count(*), 0)')} AS pct_different FROM g"
+)
 def _(spark, sf):
     return network.car_vs_foot_summary(network.car_vs_foot(_nearest(spark, sf)))
 
 
-@query("k3_ratio_extremes", f"{_G7} SELECT demand_id, {R('foot_over_car_ratio')} AS foot_over_car_ratio FROM g WHERE category = 'both_reachable_different_facility' AND foot_over_car_ratio IS NOT NULL ORDER BY g.foot_over_car_ratio DESC, demand_id LIMIT 20")
+@query(
+    "k3_ratio_extremes",
+    f"{_G7} SELECT demand_id, {R('foot_over_car_ratio')} AS foot_over_car_ratio FROM g WHERE category = 'both_reachable_different_facility' AND foot_over_car_ratio IS NOT NULL ORDER BY g.foot_over_car_ratio DESC, demand_id LIMIT 20"
+)
 def _(spark, sf):
     return network.ratio_extremes(network.car_vs_foot(_nearest(spark, sf))).select("demand_id", "foot_over_car_ratio")
 
@@ -670,26 +905,46 @@ n AS (SELECT *, CAST((c IS NOT NULL) AS INTEGER) + CAST((b IS NOT NULL) AS INTEG
 SELECT demand_id, {R("c")} AS time_car_min, {R("b")} AS time_bike_min, {R("f")} AS time_foot_min, k AS n_modes_reachable, CASE k WHEN 3 THEN 'all_three_reachable' WHEN 2 THEN 'exactly_two_reachable' WHEN 1 THEN 'exactly_one_reachable' ELSE 'none_reachable' END AS reachability_category, {R("f / nullif(c, 0)")} AS foot_over_car_ratio, CASE WHEN c IS NOT NULL AND f IS NOT NULL THEN fc = ff END AS car_foot_same_facility FROM n""")
 def _(spark, sf):
     ids = T.read(spark, sf, "orders").select(F.lpad(F.col("o_orderkey").cast("string"), 10, "0").alias("demand_id"))
-    return network.three_modes(_nearest(spark, sf), ids).select("demand_id", "time_car_min", "time_bike_min", "time_foot_min", "n_modes_reachable", "reachability_category", "foot_over_car_ratio", "car_foot_same_facility")
+    return network.three_modes(_nearest(spark, sf), ids).select(
+        "demand_id", "time_car_min", "time_bike_min", "time_foot_min", "n_modes_reachable", "reachability_category",
+        "foot_over_car_ratio", "car_foot_same_facility"
+    )
 
 
-@query("a29_routing_quality", f"WITH {T.MODE_PAIRS}, s AS (SELECT mode, CASE WHEN reachable THEN 'routed' ELSE 'no_route_same_department' END AS st FROM pairs) SELECT mode || '_' || name AS metric, n AS value FROM (SELECT mode, 'snap_failed' AS name, 0::BIGINT AS n FROM s GROUP BY mode UNION ALL SELECT mode, 'snap_success', count(*) FROM s GROUP BY mode UNION ALL SELECT mode, 'routed', count(*) FILTER (WHERE st = 'routed') FROM s GROUP BY mode UNION ALL SELECT mode, 'no_route_same_department', count(*) FILTER (WHERE st <> 'routed') FROM s GROUP BY mode)")
+@query(
+    "a29_routing_quality",
+    f"WITH {T.MODE_PAIRS}, s AS (SELECT mode, CASE WHEN reachable THEN 'routed' ELSE 'no_route_same_department' END AS st FROM pairs) SELECT mode || '_' || name AS metric, n AS value FROM (SELECT mode, 'snap_failed' AS name, 0::BIGINT AS n FROM s GROUP BY mode UNION ALL SELECT mode, 'snap_success', count(*) FROM s GROUP BY mode UNION ALL SELECT mode, 'routed', count(*) FILTER (WHERE st = 'routed') FROM s GROUP BY mode UNION ALL SELECT mode, 'no_route_same_department', count(*) FILTER (WHERE st <> 'routed') FROM s GROUP BY mode)"
+)
 def _(spark, sf):
     p = T.mode_pairs(spark, sf)
     return network.routing_quality(p.withColumn("routing_status", X.classify_demand(F.lit(True), F.col("reachable"))))
 
 
-@query("p9_p10_statuses", "SELECT l_orderkey, l_suppkey, l_linenumber, CASE WHEN l_quantity < 5 THEN 'snap_failed' WHEN l_returnflag = 'R' THEN 'cross_department_not_evaluated' WHEN l_linestatus = 'O' THEN 'routed' ELSE 'no_route_same_department' END AS pair_status, CASE WHEN l_quantity < 5 THEN 'snap_failed' WHEN l_linestatus = 'O' THEN 'routed' ELSE 'no_route_same_department' END AS demand_status FROM lineitem")
+@query(
+    "p9_p10_statuses",
+    "SELECT l_orderkey, l_suppkey, l_linenumber, CASE WHEN l_quantity < 5 THEN 'snap_failed' WHEN l_returnflag = 'R' THEN 'cross_department_not_evaluated' WHEN l_linestatus = 'O' THEN 'routed' ELSE 'no_route_same_department' END AS pair_status, CASE WHEN l_quantity < 5 THEN 'snap_failed' WHEN l_linestatus = 'O' THEN 'routed' ELSE 'no_route_same_department' END AS demand_status FROM lineitem"
+)
 def _(spark, sf):
     ok, same, reach = F.col("l_quantity") >= 5, F.col("l_returnflag") != "R", F.col("l_linestatus") == "O"
-    return T.read(spark, sf, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber", X.classify_pair(ok, same, reach).alias("pair_status"), X.classify_demand(ok, reach).alias("demand_status"))
+    return T.read(spark, sf, "lineitem").select(
+        "l_orderkey", "l_suppkey", "l_linenumber", X.classify_pair(ok, same, reach).alias("pair_status"),
+        X.classify_demand(ok, reach).alias("demand_status")
+    )
 
 
 def _places(spark, sf):
     """Facilities (nations) and demand points (customers) on nodes of the road graph, by region."""
     n, c = T.read(spark, sf, "nation"), T.read(spark, sf, "customer")
-    f = n.select(F.lpad(F.col("n_nationkey").cast("string"), 2, "0").alias("facility_id"), F.when(F.col("n_nationkey") % 9 != 0, F.col("n_nationkey").cast("long") * 41 % 997).alias("node_id"), F.col("n_regionkey").alias("dep"))
-    d = c.join(n, c.c_nationkey == n.n_nationkey).select(F.lpad(F.col("c_custkey").cast("string"), 8, "0").alias("demand_id"), F.when(F.col("c_custkey") % 13 != 0, F.col("c_custkey") * 3 % 997).alias("node_id"), F.col("n_regionkey").alias("dep"))
+    f = n.select(
+        F.lpad(F.col("n_nationkey").cast("string"), 2, "0").alias("facility_id"),
+        F.when(F.col("n_nationkey") % 9 != 0, F.col("n_nationkey").cast("long") * 41 % 997).alias("node_id"),
+        F.col("n_regionkey").alias("dep")
+    )
+    d = c.join(n, c.c_nationkey == n.n_nationkey).select(
+        F.lpad(F.col("c_custkey").cast("string"), 8, "0").alias("demand_id"),
+        F.when(F.col("c_custkey") % 13 != 0, F.col("c_custkey") * 3 % 997).alias("node_id"),
+        F.col("n_regionkey").alias("dep")
+    )
     return d, f
 
 
@@ -754,9 +1009,14 @@ def _(spark, sf):
     return network.weak_components(network.graph(T.edges(spark, sf), "bike"))
 
 
-@query("j15_straight_line", f"WITH {T.MODE_PAIRS}, {T.FACILITIES}, pts AS (SELECT lpad(CAST(o_orderkey AS VARCHAR), 10, '0') AS demand_id, {T.located_sql('o_orderkey')} FROM orders), j AS (SELECT nearest.demand_id, mode, facility_id, distance_m, {_HAV.format(a1='pts.lon', b1='pts.lat', a2='facilities.lon', b2='facilities.lat')} AS s FROM nearest JOIN pts USING (demand_id) JOIN facilities USING (facility_id)) SELECT demand_id, mode, facility_id, {R('s', 3)} AS straight_m, {R('distance_m / nullif(s, 0)')} AS ratio FROM j")
+@query(
+    "j15_straight_line",
+    f"WITH {T.MODE_PAIRS}, {T.FACILITIES}, pts AS (SELECT lpad(CAST(o_orderkey AS VARCHAR), 10, '0') AS demand_id, {T.located_sql('o_orderkey')} FROM orders), j AS (SELECT nearest.demand_id, mode, facility_id, distance_m, {_HAV.format(a1='pts.lon', b1='pts.lat', a2='facilities.lon', b2='facilities.lat')} AS s FROM nearest JOIN pts USING (demand_id) JOIN facilities USING (facility_id)) SELECT demand_id, mode, facility_id, {R('s', 3)} AS straight_m, {R('distance_m / nullif(s, 0)')} AS ratio FROM j"
+)
 def _(spark, sf):
-    points = T.located(T.read(spark, sf, "orders").select(F.col("o_orderkey").alias("k"))).withColumn("demand_id", F.lpad(F.col("k").cast("string"), 10, "0"))
+    points = T.located(T.read(spark, sf, "orders").select(F.col("o_orderkey").alias("k"))).withColumn(
+        "demand_id", F.lpad(F.col("k").cast("string"), 10, "0")
+    )
     out = network.straight_line_vs_network(_nearest(spark, sf), points, T.facilities(spark, sf))
     return out.select("demand_id", "mode", "facility_id", F.round("straight_m", 3).alias("straight_m"), "ratio")
 
@@ -778,7 +1038,10 @@ def _sum_sql(t, suffix):
     return f"CAST(sum(weight) AS BIGINT) AS total_population{suffix}, {s(f'{t} <= 30')} AS pop_le_30{suffix}, {s(f'{t} <= 60')} AS pop_le_60_cum{suffix}, {s(f'{t} <= 120')} AS pop_le_120_cum{suffix}, {s(f'{t} > 120')} AS pop_gt_120{suffix}, {s(f'{t} IS NULL')} AS pop_no_time_estimate{suffix}, {s(f'{t} > 30 AND {t} <= 60')} AS pop_30_60_only{suffix}, CAST(sum({t} * weight) AS DOUBLE) / CAST(sum(weight) FILTER (WHERE {t} IS NOT NULL) AS DOUBLE) AS weighted_mean{suffix}"
 
 
-@query("x3_baseline_vs_scenario", f"{_SCEN}, a AS (SELECT {_sum_sql('t_min', '_baseline')}, {_sum_sql('scenario_t', '_scenario')}, CAST(coalesce(sum(weight) FILTER (WHERE t_min IS NULL AND scenario_t IS NOT NULL), 0) AS BIGINT) AS population_newly_routed FROM s) SELECT * REPLACE ({R('weighted_mean_baseline')} AS weighted_mean_baseline, {R('weighted_mean_scenario')} AS weighted_mean_scenario), pop_le_30_scenario - pop_le_30_baseline AS pop_gain_le_30, pop_le_60_cum_scenario - pop_le_60_cum_baseline AS pop_gain_le_60, pop_le_120_cum_scenario - pop_le_120_cum_baseline AS pop_gain_le_120, {R('weighted_mean_baseline - weighted_mean_scenario')} AS weighted_mean_reduction_min FROM a")
+@query(
+    "x3_baseline_vs_scenario",
+    f"{_SCEN}, a AS (SELECT {_sum_sql('t_min', '_baseline')}, {_sum_sql('scenario_t', '_scenario')}, CAST(coalesce(sum(weight) FILTER (WHERE t_min IS NULL AND scenario_t IS NOT NULL), 0) AS BIGINT) AS population_newly_routed FROM s) SELECT * REPLACE ({R('weighted_mean_baseline')} AS weighted_mean_baseline, {R('weighted_mean_scenario')} AS weighted_mean_scenario), pop_le_30_scenario - pop_le_30_baseline AS pop_gain_le_30, pop_le_60_cum_scenario - pop_le_60_cum_baseline AS pop_gain_le_60, pop_le_120_cum_scenario - pop_le_120_cum_baseline AS pop_gain_le_120, {R('weighted_mean_baseline - weighted_mean_scenario')} AS weighted_mean_reduction_min FROM a"
+)
 def _(spark, sf):
     return scenario.baseline_vs_scenario(T.demand(spark, sf), T.matrix(spark, sf), _SEL, weight="weight")
 
@@ -790,12 +1053,23 @@ def _(spark, sf):
     return scenario.candidate_scores(T.demand(spark, sf), T.matrix(spark, sf))
 
 
-@query("w8_rank_candidates", ORACLE_SQL["x4_candidate_scores"].replace("SELECT ids.facility_id,", "SELECT facility_id, pop_gain_le_60, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (ORDER BY pop_gain_le_60 DESC, facility_id) AS rank FROM (SELECT ids.facility_id,") + ")) WHERE rank <= 20")
+@query(
+    "w8_rank_candidates",
+    ORACLE_SQL["x4_candidate_scores"].replace(
+        "SELECT ids.facility_id,",
+        "SELECT facility_id, pop_gain_le_60, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (ORDER BY pop_gain_le_60 DESC, facility_id) AS rank FROM (SELECT ids.facility_id,"
+    ) + ")) WHERE rank <= 20"
+)
 def _(spark, sf):
-    return inequality.rank_candidates(scenario.candidate_scores(T.demand(spark, sf), T.matrix(spark, sf)), "pop_gain_le_60", "facility_id", 20).select("facility_id", "pop_gain_le_60", "rank")
+    return inequality.rank_candidates(
+        scenario.candidate_scores(T.demand(spark, sf), T.matrix(spark, sf)), "pop_gain_le_60", "facility_id", 20
+    ).select("facility_id", "pop_gain_le_60", "rank")
 
 
-@query("j20_improvement", f"{_SCEN}, b AS (SELECT dep, prov, dist, {R(_M('weight'))} AS before FROM s GROUP BY ALL), a AS (SELECT dep, prov, dist, {R('CAST(sum(scenario_t * weight) AS DOUBLE) / CAST(sum(weight) FILTER (WHERE scenario_t IS NOT NULL) AS DOUBLE)')} AS after FROM s GROUP BY ALL) SELECT dep, prov, dist, before, after, {R('before - after')} AS improvement FROM a JOIN b USING (dep, prov, dist) WHERE before - after > 0 ORDER BY before - after DESC, dep, prov, dist LIMIT 10")
+@query(
+    "j20_improvement",
+    f"{_SCEN}, b AS (SELECT dep, prov, dist, {R(_M('weight'))} AS before FROM s GROUP BY ALL), a AS (SELECT dep, prov, dist, {R('CAST(sum(scenario_t * weight) AS DOUBLE) / CAST(sum(weight) FILTER (WHERE scenario_t IS NOT NULL) AS DOUBLE)')} AS after FROM s GROUP BY ALL) SELECT dep, prov, dist, before, after, {R('before - after')} AS improvement FROM a JOIN b USING (dep, prov, dist) WHERE before - after > 0 ORDER BY before - after DESC, dep, prov, dist LIMIT 10"
+)
 def _(spark, sf):
     d = scenario.scenario_time(T.demand(spark, sf), T.matrix(spark, sf), _SEL)
     keys = ["dep", "prov", "dist"]
@@ -826,12 +1100,22 @@ def _report_sql(columns: str) -> str:
     rows = [
         (K.RULES["coord_missing"], "count(*) FILTER (WHERE coord_missing)", f"'{K.EXCLUDE}'", "0", "0", "count(*) FILTER (WHERE coord_missing)"),
         (K.RULES["coord_out_of_bbox"], "count(*) FILTER (WHERE out_)", f"'{K.EXCLUDE}'", "0", "0", "count(*) FILTER (WHERE out_)"),
-        (K.RULES["swap_candidate"], "count(*) FILTER (WHERE swap)", f"'{K.CORRECT} / {K.WARN}'", "count(*) FILTER (WHERE fixed)", "0", "count(*) FILTER (WHERE swap AND NOT fixed)"),
+        (
+            K.RULES["swap_candidate"], "count(*) FILTER (WHERE swap)", f"'{K.CORRECT} / {K.WARN}'",
+            "count(*) FILTER (WHERE fixed)", "0", "count(*) FILTER (WHERE swap AND NOT fixed)"
+        ),
         (K.RULES["district_mismatch"], "count(*) FILTER (WHERE apart)", f"'{K.WARN}'", "0", "0", "count(*) FILTER (WHERE apart)"),
         (K.RULES["duplicates"], "any_value(dups)", f"'{K.DROP_COPY} / {K.WARN}'", "0", "any_value(copies)", "any_value(conflicts)"),
-        (K.RULES["encoding"], "CAST(sum(bad) AS BIGINT)", f"CASE WHEN 100.0 * sum(bad) / sum(vals) <= 1 THEN '{K.VERIFIED}' ELSE '{K.CORRECT}' END", "0", "0", "CASE WHEN 100.0 * sum(bad) / sum(vals) <= 1 THEN 0 ELSE CAST(sum(bad) AS BIGINT) END"),
+        (
+            K.RULES["encoding"], "CAST(sum(bad) AS BIGINT)",
+            f"CASE WHEN 100.0 * sum(bad) / sum(vals) <= 1 THEN '{K.VERIFIED}' ELSE '{K.CORRECT}' END", "0", "0",
+            "CASE WHEN 100.0 * sum(bad) / sum(vals) <= 1 THEN 0 ELSE CAST(sum(bad) AS BIGINT) END"
+        ),
     ]
-    each = " UNION ALL ".join(f"SELECT '{n}' AS regla, {a} AS n_afectados, {act} AS accion, {c}::BIGINT AS n_corregidos, {d}::BIGINT AS n_eliminados, ({w})::BIGINT AS n_warnings, count(*) AS total FROM flags, dups" for n, a, act, c, d, w in rows)
+    each = " UNION ALL ".join(
+        f"SELECT '{n}' AS regla, {a} AS n_afectados, {act} AS accion, {c}::BIGINT AS n_corregidos, {d}::BIGINT AS n_eliminados, ({w})::BIGINT AS n_warnings, count(*) AS total FROM flags, dups" for n,
+        a, act, c, d, w in rows
+    )
     return f" SELECT {columns} FROM ({each})"
 
 
@@ -882,10 +1166,16 @@ quotas AS (SELECT UBIGEO, stratum_n, CAST(f + CASE WHEN t > 200 AND row_number()
 drawn AS (SELECT demand.*, stratum_n, quota, row_number() OVER (PARTITION BY UBIGEO ORDER BY CAST('0x' || substr(md5('42:' || CODCP), 1, 15) AS BIGINT), CODCP) AS place FROM demand JOIN quotas USING (UBIGEO))"""
 
 
-@query("v6_demand", f"{_USABLE} SELECT CODCP, DEP, PROV, DIST, UBIGEO, CPINEI, apart AS qc_district_mismatch, stratum_n, quota AS stratum_sample_n, {R('CAST(quota AS DOUBLE) / stratum_n')} AS inclusion_prob, {R('CAST(stratum_n AS DOUBLE) / quota')} AS design_weight, {R('lon')} AS lon, {R('lat')} AS lat FROM drawn WHERE place <= quota")
+@query(
+    "v6_demand",
+    f"{_USABLE} SELECT CODCP, DEP, PROV, DIST, UBIGEO, CPINEI, apart AS qc_district_mismatch, stratum_n, quota AS stratum_sample_n, {R('CAST(quota AS DOUBLE) / stratum_n')} AS inclusion_prob, {R('CAST(stratum_n AS DOUBLE) / quota')} AS design_weight, {R('lon')} AS lon, {R('lat')} AS lat FROM drawn WHERE place <= quota"
+)
 def _(spark, sf):
     d = _demand_phase(spark, sf)["demand"]
-    return d.select("CODCP", "DEP", "PROV", "DIST", "UBIGEO", "CPINEI", "qc_district_mismatch", "stratum_n", "stratum_sample_n", "inclusion_prob", "design_weight", "lon", "lat")
+    return d.select(
+        "CODCP", "DEP", "PROV", "DIST", "UBIGEO", "CPINEI", "qc_district_mismatch", "stratum_n", "stratum_sample_n",
+        "inclusion_prob", "design_weight", "lon", "lat"
+    )
 
 
 @query("v6_demand_report", _DEM_PHASE + _report_sql(_REPORT))
@@ -898,7 +1188,10 @@ def _(spark, sf):
     return _demand_phase(spark, sf)["audit"]
 
 
-@query("v6_demand_counts", f"{_DEM_PHASE} SELECT (SELECT count(*) FROM raw) AS n_national, (SELECT count(*) FROM scoped) AS n_in_scope, count(*) FILTER (WHERE NOT excluded) AS n_usable FROM flags")
+@query(
+    "v6_demand_counts",
+    f"{_DEM_PHASE} SELECT (SELECT count(*) FROM raw) AS n_national, (SELECT count(*) FROM scoped) AS n_in_scope, count(*) FILTER (WHERE NOT excluded) AS n_usable FROM flags"
+)
 def _(spark, sf):
     return _demand_phase(spark, sf)["counts"]
 
@@ -924,9 +1217,15 @@ def _layer(spark, sf):
     return f.withColumnRenamed("category", "CATEGORIA_NORM"), raw
 
 
-@query("j19_facility_layer", f"WITH {_LAYER} SELECT facility_id, category, institution, CASE WHEN is_resolutive THEN '{K.LAYER_RESOLUTIVE}' WHEN category IN ('I-3', 'I-4') AND is_active THEN '{K.LAYER_UPGRADE}' ELSE '{K.LAYER_OTHER}' END AS layer_category FROM layer")
+@query(
+    "j19_facility_layer",
+    f"WITH {_LAYER} SELECT facility_id, category, institution, CASE WHEN is_resolutive THEN '{K.LAYER_RESOLUTIVE}' WHEN category IN ('I-3', 'I-4') AND is_active THEN '{K.LAYER_UPGRADE}' ELSE '{K.LAYER_OTHER}' END AS layer_category FROM layer"
+)
 def _(spark, sf):
-    return phases.facility_layer(*_layer(spark, sf), key="facility_id").select("facility_id", F.col("CATEGORIA_NORM").alias("category"), F.col("INSTITUCION").alias("institution"), "layer_category")
+    return phases.facility_layer(*_layer(spark, sf), key="facility_id").select(
+        "facility_id", F.col("CATEGORIA_NORM").alias("category"), F.col("INSTITUCION").alias("institution"),
+        "layer_category"
+    )
 
 
 @query(
@@ -936,8 +1235,13 @@ UNION ALL SELECT 'resolutive', facility_id FROM layer WHERE is_resolutive UNION
 )
 def _(spark, sf):
     f, raw = _layer(spark, sf)
-    f = phases.attach(f.withColumnRenamed("CATEGORIA_NORM", "category"), raw, ["facility_id"], ["INSTITUCION"]).withColumnRenamed("INSTITUCION", "institution")
-    kinds = {"category": {"categories": ["I-4", "II-1"]}, "institution": {"institutions": ["INST0", "INST2"]}, "resolutive": {"resolutive": True}, "others": {"resolutive": False}, "all": {"categories": [K.ALL]}}
+    f = phases.attach(
+        f.withColumnRenamed("CATEGORIA_NORM", "category"), raw, ["facility_id"], ["INSTITUCION"]
+    ).withColumnRenamed("INSTITUCION", "institution")
+    kinds = {
+        "category": {"categories": ["I-4", "II-1"]}, "institution": {"institutions": ["INST0", "INST2"]},
+        "resolutive": {"resolutive": True}, "others": {"resolutive": False}, "all": {"categories": [K.ALL]}
+    }
     out = [filters.facilities(f, **kw).select(F.lit(name).alias("chosen"), "facility_id") for name, kw in kinds.items()]
     return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3]).unionByName(out[4])
 
@@ -945,11 +1249,16 @@ def _(spark, sf):
 _REPRESENTED = f"""{_LINKED}, rep AS (SELECT *, code IS NULL OR count(*) OVER (PARTITION BY code) = 1 OR demand_id IN ('0000000007', '0000000500') AS is_rep FROM linked)"""
 
 
-@query("j4_duplicate_key_excluded", f"{_REPRESENTED} SELECT demand_id, CASE WHEN match_status = 'matched' AND NOT is_rep THEN '{K.DUPLICATE_EXCLUDED}' ELSE match_status END AS match_status, CASE WHEN match_status = 'matched' AND is_rep THEN population END AS population FROM rep")
+@query(
+    "j4_duplicate_key_excluded",
+    f"{_REPRESENTED} SELECT demand_id, CASE WHEN match_status = 'matched' AND NOT is_rep THEN '{K.DUPLICATE_EXCLUDED}' ELSE match_status END AS match_status, CASE WHEN match_status = 'matched' AND is_rep THEN population END AS population FROM rep"
+)
 def _(spark, sf):
     d = _keyed(spark, sf)
     d = d.withColumn("is_representative", _chosen(d))
-    return linkage.match_report(d, T.population(spark, sf), "code", "code", "pop", representative="is_representative").select("demand_id", "match_status", "population")
+    return linkage.match_report(
+        d, T.population(spark, sf), "code", "code", "pop", representative="is_representative"
+    ).select("demand_id", "match_status", "population")
 
 
 def _chosen(d):
@@ -959,12 +1268,20 @@ def _chosen(d):
     return F.col("code").isNull() | (F.count(F.lit(1)).over(Window.partitionBy("code")) == 1) | F.col("demand_id").isin("0000000007", "0000000500")
 
 
-@query("a27_kpi_header", ORACLE_SQL["a27_kpis"].replace(f"WITH {T.DEMAND} SELECT", f"WITH {T.DEMAND}, {_VALUES}, k AS (SELECT") + f") SELECT k.*, (SELECT {R('min(v)')} FROM run WHERE cw * 2 >= (SELECT sum(w) FROM vals)) AS weighted_median FROM k")
+@query(
+    "a27_kpi_header",
+    ORACLE_SQL["a27_kpis"].replace(
+        f"WITH {T.DEMAND} SELECT", f"WITH {T.DEMAND}, {_VALUES}, k AS (SELECT"
+    ) + f") SELECT k.*, (SELECT {R('min(v)')} FROM run WHERE cw * 2 >= (SELECT sum(w) FROM vals)) AS weighted_median FROM k"
+)
 def _(spark, sf):
     return access.kpi_header(T.demand(spark, sf), weight="weight")
 
 
-@query("a26_captured_population", "WITH pop AS (SELECT c_custkey, n_name AS dep, 100 + c_custkey % 900 AS pop FROM customer JOIN nation ON c_nationkey = n_nationkey), d AS (SELECT DISTINCT o_custkey FROM orders WHERE o_custkey % 4 <> 0) SELECT dep, o_custkey IS NOT NULL AS matched, count(*) AS n_cp, CAST(sum(pop) AS BIGINT) AS population FROM pop LEFT JOIN d ON c_custkey = o_custkey GROUP BY ALL")
+@query(
+    "a26_captured_population",
+    "WITH pop AS (SELECT c_custkey, n_name AS dep, 100 + c_custkey % 900 AS pop FROM customer JOIN nation ON c_nationkey = n_nationkey), d AS (SELECT DISTINCT o_custkey FROM orders WHERE o_custkey % 4 <> 0) SELECT dep, o_custkey IS NOT NULL AS matched, count(*) AS n_cp, CAST(sum(pop) AS BIGINT) AS population FROM pop LEFT JOIN d ON c_custkey = o_custkey GROUP BY ALL"
+)
 def _(spark, sf):
     c = T.read(spark, sf, "customer").join(T.read(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     pop = c.select(F.col("c_custkey").cast("string").alias("code"), F.col("n_name").alias("dep"), (100 + F.col("c_custkey") % 900).alias("pop"))
@@ -972,28 +1289,49 @@ def _(spark, sf):
     return phases.captured_population(pop, demand, "dep", "code", "pop", "c")
 
 
-@query("a30_render_stats", f"{_DIST} SELECT count(weighted_mean) AS n, {R('min(weighted_mean)')} AS min_value, {R('max(weighted_mean)')} AS max_value, count(DISTINCT dep) AS n_colors FROM d")
+@query(
+    "a30_render_stats",
+    f"{_DIST} SELECT count(weighted_mean) AS n, {R('min(weighted_mean)')} AS min_value, {R('max(weighted_mean)')} AS max_value, count(DISTINCT dep) AS n_colors FROM d"
+)
 def _(spark, sf):
     return geo.render_stats(_districts(spark, sf), "weighted_mean", "dep")
 
 
-@query("j17_district_status", f"{_DIST}, st AS (SELECT dep, prov, dist, {_QUALITY} AS district_status FROM d WHERE prov <> 'NATION_3') SELECT dep, prov, dist, weighted_mean, district_status FROM d LEFT JOIN st USING (dep, prov, dist)")
+@query(
+    "j17_district_status",
+    f"{_DIST}, st AS (SELECT dep, prov, dist, {_QUALITY} AS district_status FROM d WHERE prov <> 'NATION_3') SELECT dep, prov, dist, weighted_mean, district_status FROM d LEFT JOIN st USING (dep, prov, dist)"
+)
 def _(spark, sf):
     keys = ["dep", "prov", "dist"]
     status = _with_quality(spark, sf).where("prov <> 'NATION_3'")
     return phases.attach(_districts(spark, sf), status, keys, ["district_status"]).select(*keys, "weighted_mean", "district_status")
 
 
-@query("j18_map_layer", f"{_DIST}, geo AS (SELECT n_name AS prov, -81.4e0 + 0.5e0 * n_nationkey AS x FROM nation WHERE n_nationkey % 4 <> 0) SELECT dep, prov, dist, weighted_mean, {R('x')} AS min_x FROM d JOIN geo USING (prov)")
+@query(
+    "j18_map_layer",
+    f"{_DIST}, geo AS (SELECT n_name AS prov, -81.4e0 + 0.5e0 * n_nationkey AS x FROM nation WHERE n_nationkey % 4 <> 0) SELECT dep, prov, dist, weighted_mean, {R('x')} AS min_x FROM d JOIN geo USING (prov)"
+)
 def _(spark, sf):
-    boxes = T.strips(spark, sf).join(T.read(spark, sf, "nation").select(F.lpad(F.col("n_nationkey").cast("string"), 6, "0").alias("UBIGEO"), F.col("n_name").alias("prov"), "n_nationkey"), "UBIGEO").where("n_nationkey % 4 <> 0")
+    boxes = T.strips(spark, sf).join(
+        T.read(spark, sf, "nation").select(
+            F.lpad(F.col("n_nationkey").cast("string"), 6, "0").alias("UBIGEO"), F.col("n_name").alias("prov"),
+            "n_nationkey"
+        ),
+        "UBIGEO"
+    ).where("n_nationkey % 4 <> 0")
     out = phases.attach(_districts(spark, sf), boxes, ["prov"], ["rings"], "inner")
     return out.select("dep", "prov", "dist", "weighted_mean", F.array_min(F.transform(F.col("rings")[0], lambda p: p["x"])).alias("min_x"))
 
 
-@query("j22_candidate_table", f"WITH {T.FACILITIES}, scores AS ({ORACLE_SQL['x4_candidate_scores']}) SELECT scores.facility_id, pop_gain_le_60, name, state FROM scores LEFT JOIN facilities USING (facility_id)")
+@query(
+    "j22_candidate_table",
+    f"WITH {T.FACILITIES}, scores AS ({ORACLE_SQL['x4_candidate_scores']}) SELECT scores.facility_id, pop_gain_le_60, name, state FROM scores LEFT JOIN facilities USING (facility_id)"
+)
 def _(spark, sf):
-    return phases.attach(scenario.candidate_scores(T.demand(spark, sf), T.matrix(spark, sf)), T.facilities(spark, sf), ["facility_id"], ["name", "state"]).select("facility_id", "pop_gain_le_60", "name", "state")
+    return phases.attach(
+        scenario.candidate_scores(T.demand(spark, sf), T.matrix(spark, sf)), T.facilities(spark, sf), ["facility_id"],
+        ["name", "state"]
+    ).select("facility_id", "pop_gain_le_60", "name", "state")
 
 
 _ROUTED = f"{T.MODE_PAIRS}, routed AS (SELECT *, 'routed' AS routing_status FROM nearest), ids AS (SELECT lpad(CAST(o_orderkey AS VARCHAR), 10, '0') AS demand_id, o_orderkey AS k FROM orders)"
@@ -1004,26 +1342,43 @@ def _routed(spark, sf):
     return _nearest(spark, sf).withColumn("routing_status", F.lit(K.ROUTED)), ids
 
 
-@query("u3_with_failed", f"WITH {_ROUTED}, m AS (SELECT unnest(['car', 'foot']) AS mode) SELECT ids.demand_id, m.mode, facility_id, coalesce(reachable, false) AS reachable, coalesce(routing_status, 'snap_failed') AS routing_status FROM ids CROSS JOIN m LEFT JOIN routed r ON r.demand_id = ids.demand_id AND r.mode = m.mode")
+@query(
+    "u3_with_failed",
+    f"WITH {_ROUTED}, m AS (SELECT unnest(['car', 'foot']) AS mode) SELECT ids.demand_id, m.mode, facility_id, coalesce(reachable, false) AS reachable, coalesce(routing_status, 'snap_failed') AS routing_status FROM ids CROSS JOIN m LEFT JOIN routed r ON r.demand_id = ids.demand_id AND r.mode = m.mode"
+)
 def _(spark, sf):
     rows, ids = _routed(spark, sf)
-    return network.with_failed(rows.where("mode <> 'bike'"), ids, ["car", "foot"]).select("demand_id", "mode", "facility_id", "reachable", "routing_status")
+    return network.with_failed(rows.where("mode <> 'bike'"), ids, ["car", "foot"]).select(
+        "demand_id", "mode", "facility_id", "reachable", "routing_status"
+    )
 
 
 _ONE_MODE = "coalesce(max(routing_status) FILTER (WHERE mode = '{m}'), 'snap_failed') AS routing_status_{m}, max(facility_id) FILTER (WHERE mode = '{m}') AS nearest_facility_{m}, round(max(travel_time_min) FILTER (WHERE mode = '{m}'), 6) AS travel_time_min_{m}, round(max(distance_m) FILTER (WHERE mode = '{m}'), 6) AS distance_m_{m}"
 
 
-@query("j12_status_table", f"WITH {_ROUTED} SELECT ids.demand_id, CASE WHEN k % 13 = 0 THEN 'failure' ELSE 'success' END AS snap_status, CAST(k % 700 AS DOUBLE) AS snap_distance_m, {', '.join(_ONE_MODE.format(m=m) for m in ('car', 'bike', 'foot'))} FROM ids LEFT JOIN routed USING (demand_id) GROUP BY ids.demand_id, k")
+@query(
+    "j12_status_table",
+    f"WITH {_ROUTED} SELECT ids.demand_id, CASE WHEN k % 13 = 0 THEN 'failure' ELSE 'success' END AS snap_status, CAST(k % 700 AS DOUBLE) AS snap_distance_m, {', '.join(_ONE_MODE.format(m=m) for m in ('car', 'bike', 'foot'))} FROM ids LEFT JOIN routed USING (demand_id) GROUP BY ids.demand_id, k"
+)
 def _(spark, sf):
     rows, ids = _routed(spark, sf)
-    snaps = ids.select(F.col("demand_id").alias("point_id"), F.when(F.col("k") % 13 == 0, "failure").otherwise("success").alias("status"), (F.col("k") % 700).cast("double").alias("snap_distance_m"))
+    snaps = ids.select(
+        F.col("demand_id").alias("point_id"),
+        F.when(F.col("k") % 13 == 0, "failure").otherwise("success").alias("status"),
+        (F.col("k") % 700).cast("double").alias("snap_distance_m")
+    )
     return network.status_table(snaps, rows)
 
 
-@query("g9_snap_group", f"{_SNAP.replace('SELECT p.point_id,', 'SELECT p.point_id, j.node_id,')} SELECT point_id, 'facility' AS point_type, status, CASE WHEN status = 'success' THEN node_id END AS routing_node FROM s")
+@query(
+    "g9_snap_group",
+    f"{_SNAP.replace('SELECT p.point_id,', 'SELECT p.point_id, j.node_id,')} SELECT point_id, 'facility' AS point_type, status, CASE WHEN status = 'success' THEN node_id END AS routing_node FROM s"
+)
 def _(spark, sf):
     nodes = _points(spark, sf, "part", "p_partkey").where("lon is not null and lon <> 0")
-    return phases.snap_group(_points(spark, sf, "supplier", "s_suppkey"), nodes, "facility", "k", "k", 5000.0).select("point_id", "point_type", "status", "routing_node")
+    return phases.snap_group(
+        _points(spark, sf, "supplier", "s_suppkey"), nodes, "facility", "k", "k", 5000.0
+    ).select("point_id", "point_type", "status", "routing_node")
 
 
 @query(
@@ -1039,10 +1394,15 @@ def _(spark, sf):
     return network.track_recovery(spark.range(0, 1500, 3).select(F.col("id").alias("node_id")), d, e, routed)
 
 
-@query("f13_filter_token", "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'todos' WHEN doc_id % 5 = 1 THEN 'todos' ELSE array_to_string(list_sort([lang, source, 'x' || doc_id % 3]), '-') END AS token FROM documents")
+@query(
+    "f13_filter_token",
+    "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'todos' WHEN doc_id % 5 = 1 THEN 'todos' ELSE array_to_string(list_sort([lang, source, 'x' || doc_id % 3]), '-') END AS token FROM documents"
+)
 def _(spark, sf):
     i = F.col("doc_id") % 5
-    chosen = F.when(i == 0, F.array().cast("array<string>")).when(i == 1, F.array(F.lit(K.ALL))).otherwise(F.array("lang", "source", F.concat(F.lit("x"), (F.col("doc_id") % 3).cast("string"))))
+    chosen = F.when(
+        i == 0, F.array().cast("array<string>")
+    ).when(i == 1, F.array(F.lit(K.ALL))).otherwise(F.array("lang", "source", F.concat(F.lit("x"), (F.col("doc_id") % 3).cast("string"))))
     return T.read(spark, sf, "documents").select("doc_id", X.serialized(chosen).alias("token"))
 
 
@@ -1051,16 +1411,27 @@ for _c in "&%$#_{}":
     _SPECIALS = f"replace({_SPECIALS}, '{_c}', chr(92) || '{_c}')"
 
 
-@query("f14_latex", f"SELECT p_partkey, {_SPECIALS} AS escaped, CASE WHEN p_size % 7 = 0 THEN '--' ELSE format('{{:,.1f}}', CAST(p_partkey * 1250 AS DOUBLE)) END AS num FROM part")
+@query(
+    "f14_latex",
+    f"SELECT p_partkey, {_SPECIALS} AS escaped, CASE WHEN p_size % 7 = 0 THEN '--' ELSE format('{{:,.1f}}', CAST(p_partkey * 1250 AS DOUBLE)) END AS num FROM part"
+)
 def _(spark, sf):
     text = F.concat(F.col("p_brand"), F.lit(" 5% & x_ {y} $"))
-    return T.read(spark, sf, "part").select("p_partkey", X.latex_escape(text).alias("escaped"), X.fmt_num(F.when(F.col("p_size") % 7 != 0, F.col("p_partkey") * 1250)).alias("num"))
+    return T.read(spark, sf, "part").select(
+        "p_partkey", X.latex_escape(text).alias("escaped"),
+        X.fmt_num(F.when(F.col("p_size") % 7 != 0, F.col("p_partkey") * 1250)).alias("num")
+    )
 
 
-@query("k5_heads", "(SELECT 'facilities' AS part, CAST(s_suppkey AS VARCHAR) AS id FROM supplier ORDER BY s_suppkey LIMIT 5) UNION ALL (SELECT 'demand', CAST(c_custkey AS VARCHAR) FROM customer ORDER BY c_custkey LIMIT 20)")
+@query(
+    "k5_heads",
+    "(SELECT 'facilities' AS part, CAST(s_suppkey AS VARCHAR) AS id FROM supplier ORDER BY s_suppkey LIMIT 5) UNION ALL (SELECT 'demand', CAST(c_custkey AS VARCHAR) FROM customer ORDER BY c_custkey LIMIT 20)"
+)
 def _(spark, sf):
     h = phases.heads({"facilities": (T.read(spark, sf, "supplier"), "s_suppkey", 5), "demand": (T.read(spark, sf, "customer"), "c_custkey", 20)})
-    return h["facilities"].select(F.lit("facilities").alias("part"), F.col("s_suppkey").cast("string").alias("id")).unionByName(h["demand"].select(F.lit("demand").alias("part"), F.col("c_custkey").cast("string").alias("id")))
+    return h["facilities"].select(
+        F.lit("facilities").alias("part"), F.col("s_suppkey").cast("string").alias("id")
+    ).unionByName(h["demand"].select(F.lit("demand").alias("part"), F.col("c_custkey").cast("string").alias("id")))
 
 
 _PHASE3 = f"""WITH {T.DEMAND}, {T.POPULATION}, {_COUNTED}, own AS (SELECT *, CASE WHEN k % 31 <> 0 THEN CAST(CASE WHEN k % 10 = 3 THEN k - 1 ELSE k END AS VARCHAR) END AS code FROM demand),
@@ -1068,30 +1439,53 @@ rep AS (SELECT own.*, code IS NULL OR count(*) OVER (PARTITION BY code) = 1 OR (
 lk AS (SELECT rep.*, p.pop, CASE WHEN p.n = 1 AND is_rep THEN p.pop * design_weight END AS ht FROM rep LEFT JOIN counted p ON p.code = rep.code),
 known AS (SELECT dep, prov, dist, sum(pop) AS known FROM lk WHERE is_rep AND pop IS NOT NULL GROUP BY ALL), fac AS (SELECT dep, prov, dist, coalesce(sum(ht), 0) AS total FROM lk GROUP BY ALL),
 da AS (SELECT lk.*, CASE WHEN status = 'routed' THEN t_raw END AS t, CAST(ht AS DOUBLE) * CASE WHEN total > 0 THEN CAST(known AS DOUBLE) / CAST(total AS DOUBLE) END AS cw FROM lk LEFT JOIN fac USING (dep, prov, dist) LEFT JOIN known USING (dep, prov, dist))"""
-_CUM = ", ".join(f"round(100.0 * coalesce(sum(cw) FILTER (WHERE {c}), 0) / nullif(sum(cw), 0), 6) AS {n}" for c, n in (("t <= 30", "pct_le_30"), ("t <= 60", "pct_le_60"), ("t <= 120", "pct_le_120"), ("t > 120", "pct_gt_120"), ("t IS NULL", "pct_no_time")))
+_CUM = ", ".join(
+    f"round(100.0 * coalesce(sum(cw) FILTER (WHERE {c}), 0) / nullif(sum(cw), 0), 6) AS {n}" for c,
+    n in (("t <= 30", "pct_le_30"), ("t <= 60", "pct_le_60"), ("t <= 120", "pct_le_120"), ("t > 120", "pct_gt_120"), ("t IS NULL", "pct_no_time"))
+)
 _CMEAN = "round(sum(CAST(t AS DOUBLE) * cw) / sum(cw) FILTER (WHERE t IS NOT NULL), 6) AS weighted_mean"
 
 
 def _phase3(spark, sf):
-    d = T.demand(spark, sf).withColumn("CPINEI", F.when(F.col("k") % 31 != 0, F.when(F.col("k") % 10 == 3, F.col("k") - 1).otherwise(F.col("k")).cast("string")))
+    d = T.demand(spark, sf).withColumn(
+        "CPINEI",
+        F.when(F.col("k") % 31 != 0, F.when(F.col("k") % 10 == 3, F.col("k") - 1).otherwise(F.col("k")).cast("string"))
+    )
     demand = d.select("demand_id", "CPINEI", "dep", "prov", "dist", "design_weight")
     routing = d.select("demand_id", F.col("status").alias("routing_status_car"), F.col("t_raw").alias("travel_time_min_car"))
     areas = d.select("demand_id", "urban_rural")
     return phases.analyse(demand, routing, T.population(spark, sf), areas, demand, override={"12": "0000000012", "22": "0000000023"})
 
 
-@query("h12_access_by_department", f"{_PHASE3} SELECT CASE WHEN grouping(dep) = 1 THEN 'Total' ELSE dep END AS scope, round(sum(cw), 6) AS population, {_CMEAN}, {_CUM} FROM da GROUP BY ROLLUP (dep)")
+@query(
+    "h12_access_by_department",
+    f"{_PHASE3} SELECT CASE WHEN grouping(dep) = 1 THEN 'Total' ELSE dep END AS scope, round(sum(cw), 6) AS population, {_CMEAN}, {_CUM} FROM da GROUP BY ROLLUP (dep)"
+)
 def _(spark, sf):
     return _phase3(spark, sf)["access_by_department"]
 
 
-@query("phase3_districts", f"{_PHASE3} SELECT dep, prov, dist, count(*) AS n_cp, count(cw) AS n_cp_with_weight, {_CMEAN}, {_CUM} FROM da GROUP BY dep, prov, dist")
+@query(
+    "phase3_districts",
+    f"{_PHASE3} SELECT dep, prov, dist, count(*) AS n_cp, count(cw) AS n_cp_with_weight, {_CMEAN}, {_CUM} FROM da GROUP BY dep, prov, dist"
+)
 def _(spark, sf):
     out = _phase3(spark, sf)["districts"]
-    return out.select("dep", "prov", "dist", "n_cp", "n_cp_with_weight", "weighted_mean", "pct_le_30", "pct_le_60", "pct_le_120", "pct_gt_120", "pct_no_time")
+    return out.select(
+        "dep", "prov", "dist", "n_cp", "n_cp_with_weight", "weighted_mean", "pct_le_30", "pct_le_60", "pct_le_120",
+        "pct_gt_120", "pct_no_time"
+    )
 
 
-@query("h11_macros", ORACLE_SQL["a16_summary"].join(["WITH one AS (", ") SELECT unnest(['n_demand', 'n_matched']) AS name, unnest([format('{:,}', n_demand), format('{:,}', n_matched)]) AS value FROM one"]))
+@query(
+    "h11_macros",
+    ORACLE_SQL["a16_summary"].join(
+        [
+            "WITH one AS (",
+            ") SELECT unnest(['n_demand', 'n_matched']) AS name, unnest([format('{:,}', n_demand), format('{:,}', n_matched)]) AS value FROM one"
+        ]
+    )
+)
 def _(spark, sf):
     return phases.macros(QUERIES["a16_summary"](spark, sf)).where("name in ('n_demand', 'n_matched')")
 
@@ -1103,35 +1497,65 @@ def _(spark, sf):
 
 @query("a28_facility_panel", f"SELECT regla, n_afectados, accion, 'declared' AS justificacion FROM ({ORACLE_SQL['v6_facility_report']})")
 def _(spark, sf):
-    both = [_facility_phase(spark, sf)["quality"].withColumn("dataset", F.lit("facilities")), _demand_phase(spark, sf)["quality"].withColumn("dataset", F.lit("demand"))]
+    both = [
+        _facility_phase(spark, sf)["quality"].withColumn("dataset", F.lit("facilities")),
+        _demand_phase(spark, sf)["quality"].withColumn("dataset", F.lit("demand"))
+    ]
     return filters.facility_quality(both[0].unionByName(both[1]).withColumn("justificacion", F.lit("declared")))
 
 
-@query("a28_routing_panel", f"WITH {_ROUTED}, c AS (SELECT count(*) AS n, (SELECT count(*) FROM pairs WHERE mode = 'car' AND NOT reachable) AS lost FROM ids) SELECT 17e0 AS car_snap_failed, round(100.0 * 17 / n, 6) AS car_snap_failed_pct, CAST(lost AS DOUBLE) AS car_no_route, round(100.0 * lost / n, 6) AS car_no_route_pct, CAST(n AS DOUBLE) AS demand_total FROM c")
+@query(
+    "a28_routing_panel",
+    f"WITH {_ROUTED}, c AS (SELECT count(*) AS n, (SELECT count(*) FROM pairs WHERE mode = 'car' AND NOT reachable) AS lost FROM ids) SELECT 17e0 AS car_snap_failed, round(100.0 * 17 / n, 6) AS car_snap_failed_pct, CAST(lost AS DOUBLE) AS car_no_route, round(100.0 * lost / n, 6) AS car_no_route_pct, CAST(n AS DOUBLE) AS demand_total FROM c"
+)
 def _(spark, sf):
-    lost = T.mode_pairs(spark, sf).where("mode = 'car' and not reachable").agg(F.count(F.lit(1)).cast("string").alias("value")).select(F.lit("car_no_route_same_department").alias("metric"), "value")
+    lost = T.mode_pairs(spark, sf).where("mode = 'car' and not reachable").agg(F.count(F.lit(1)).cast("string").alias("value")).select(
+        F.lit("car_no_route_same_department").alias("metric"), "value"
+    )
     total = T.read(spark, sf, "orders").agg(F.count(F.lit(1)).cast("string").alias("value")).select(F.lit("demand_total").alias("metric"), "value")
-    return filters.routing_quality_panel(lost.unionByName(total).unionByName(spark.createDataFrame([("car_snap_failed", "17")], "metric string, value string")))
+    return filters.routing_quality_panel(
+        lost.unionByName(total).unionByName(spark.createDataFrame([("car_snap_failed", "17")], "metric string, value string"))
+    )
 
 
-@query("p17_area_categories", "SELECT c_custkey, CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'urban' WHEN c_mktsegment = 'FURNITURE' THEN 'rural' ELSE 'unknown' END AS urban_rural FROM customer")
+@query(
+    "p17_area_categories",
+    "SELECT c_custkey, CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'urban' WHEN c_mktsegment = 'FURNITURE' THEN 'rural' ELSE 'unknown' END AS urban_rural FROM customer"
+)
 def _(spark, sf):
     c = T.read(spark, sf, "customer")
-    return linkage.urban_rural(c, c.select(F.col("c_custkey").alias("id"), "c_mktsegment"), "c_custkey", "id", "c_mktsegment", urban=("BUILDING", "MACHINERY"), rural=("FURNITURE",)).select("c_custkey", "urban_rural")
+    return linkage.urban_rural(
+        c, c.select(F.col("c_custkey").alias("id"), "c_mktsegment"), "c_custkey", "id", "c_mktsegment",
+        urban=("BUILDING", "MACHINERY"), rural=("FURNITURE",)
+    ).select("c_custkey", "urban_rural")
 
 
-@query("v8_simplify", "SELECT lpad(CAST(n_nationkey AS VARCHAR), 6, '0') AS code, 6 AS n_points, round(-81.4e0 + 0.5e0 * n_nationkey, 6) AS min_x, round(-81.4e0 + 0.5e0 * n_nationkey + 0.5e0, 6) AS max_x, -18.4e0 AS min_y, 0.2e0 AS max_y FROM nation")
+@query(
+    "v8_simplify",
+    "SELECT lpad(CAST(n_nationkey AS VARCHAR), 6, '0') AS code, 6 AS n_points, round(-81.4e0 + 0.5e0 * n_nationkey, 6) AS min_x, round(-81.4e0 + 0.5e0 * n_nationkey + 0.5e0, 6) AS max_x, -18.4e0 AS min_y, 0.2e0 AS max_y FROM nation"
+)
 def _(spark, sf):
-    n = T.read(spark, sf, "nation").select(F.lpad(F.col("n_nationkey").cast("string"), 6, "0").alias("code"), (-81.4 + 0.5 * F.col("n_nationkey")).alias("x"))
+    n = T.read(spark, sf, "nation").select(
+        F.lpad(F.col("n_nationkey").cast("string"), 6, "0").alias("code"),
+        (-81.4 + 0.5 * F.col("n_nationkey")).alias("x")
+    )
     p = lambda dx, y: F.struct((F.col("x") + dx).alias("x"), F.lit(y).alias("y"))
     # points on a straight side, or nearer to it than the tolerance, go; the roof's top stays
     ring = F.array(p(0.0, -18.4), p(0.1, -18.4), p(0.3, -18.4005), p(0.5, -18.4), p(0.5, -9.0), p(0.5, 0.0), p(0.25, 0.2), p(0.0, 0.0), p(0.0, -18.4))
     done = geo.simplify(n.select("code", F.array(ring).alias("rings"))).select("code", F.col("rings")[0].alias("r"))
     of = lambda f, c: f(F.transform("r", lambda q: q[c]))
-    return done.select("code", F.size("r").alias("n_points"), of(F.array_min, "x").alias("min_x"), of(F.array_max, "x").alias("max_x"), of(F.array_min, "y").alias("min_y"), of(F.array_max, "y").alias("max_y"))
+    return done.select(
+        "code", F.size("r").alias("n_points"), of(F.array_min, "x").alias("min_x"), of(F.array_max, "x").alias("max_x"),
+        of(F.array_min, "y").alias("min_y"), of(F.array_max, "y").alias("max_y")
+    )
 
 
-@query("a17_track_impact", "WITH a AS (SELECT count(*) FILTER (WHERE o_orderkey % 20 > 5) AS before, count(*) FILTER (WHERE o_orderkey % 20 > 3) AS after FROM orders) SELECT before, after, after - before AS gain, round(100.0 * (after - before) / before, 6) AS gain_pct FROM a")
+@query(
+    "a17_track_impact",
+    "WITH a AS (SELECT count(*) FILTER (WHERE o_orderkey % 20 > 5) AS before, count(*) FILTER (WHERE o_orderkey % 20 > 3) AS after FROM orders) SELECT before, after, after - before AS gain, round(100.0 * (after - before) / before, 6) AS gain_pct FROM a"
+)
 def _(spark, sf):
-    one = T.read(spark, sf, "orders").agg(F.count_if(F.col("o_orderkey") % 20 > 5).alias("b"), F.count_if(F.col("o_orderkey") % 20 > 3).alias("a")).first()
+    one = T.read(spark, sf, "orders").agg(
+        F.count_if(F.col("o_orderkey") % 20 > 5).alias("b"), F.count_if(F.col("o_orderkey") % 20 > 3).alias("a")
+    ).first()
     return spark.createDataFrame([access.track_impact(one.b, one.a)], "before long, after long, gain long, gain_pct double")

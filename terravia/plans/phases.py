@@ -16,7 +16,10 @@ from ..operators import access, filters, geo, inequality, linkage, quality, samp
 MISSING_PCT, OUT_PCT, MOJIBAKE_PCT = 15.0, 5.0, 1.0
 
 
-def checked(df: DataFrame, key: str, code: str, texts: Sequence[str], districts: DataFrame | None, buffer_m: float = 1000.0, order: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
+def checked(
+    df: DataFrame, key: str, code: str, texts: Sequence[str], districts: DataFrame | None, buffer_m: float = 1000.0,
+    order: Sequence[str] | None = None
+) -> tuple[DataFrame, DataFrame]:
     """The six rules on records with lon and lat: (records without exact copies, with their flags; the report, a row a rule).
 
     Copies go first, so that the other rules count each record once; then missing and far coordinates, exchanged ones (put right where the
@@ -36,7 +39,9 @@ def checked(df: DataFrame, key: str, code: str, texts: Sequence[str], districts:
     kept = kept.withColumn("qc_excluded_from_routing", excluded).withColumn("qc_district_mismatch", F.lit(False))
     if districts is not None:
         kept = geo.within_declared(kept, districts, code, buffer_m=buffer_m, name="_inside")
-        kept = kept.withColumn("qc_district_mismatch", ~F.col("qc_excluded_from_routing") & F.coalesce(~F.col("_inside"), F.lit(False))).drop("_inside")
+        kept = kept.withColumn(
+            "qc_district_mismatch", ~F.col("qc_excluded_from_routing") & F.coalesce(~F.col("_inside"), F.lit(False))
+        ).drop("_inside")
 
     n = lambda c: F.count_if(F.col(c))
     values = sum((F.count(F.col(c)) for c in texts), F.lit(0))
@@ -50,7 +55,11 @@ def checked(df: DataFrame, key: str, code: str, texts: Sequence[str], districts:
     zero = F.lit(0).cast("long")
 
     def rule(name, n_, action, corrected=zero, dropped=zero, warned=None):
-        return F.struct(F.lit(K.RULES[name]).alias("regla"), n_.alias("n_afectados"), action.alias("accion"), corrected.alias("n_corregidos"), dropped.alias("n_eliminados"), (n_ if warned is None else warned).alias("n_warnings"))
+        return F.struct(
+            F.lit(K.RULES[name]).alias("regla"), n_.alias("n_afectados"), action.alias("accion"),
+            corrected.alias("n_corregidos"), dropped.alias("n_eliminados"),
+            (n_ if warned is None else warned).alias("n_warnings")
+        )
 
     c = F.col
     rows = F.array(
@@ -67,7 +76,11 @@ def checked(df: DataFrame, key: str, code: str, texts: Sequence[str], districts:
 
 def audit(records: DataFrame, key: str, dataset: str) -> DataFrame:
     """The records that a rule touched, with their flags."""
-    names = {"qc_duplicate_conflicting": "dup_conflict", "qc_coord_missing": "coord_missing", "qc_coord_out_of_bbox": "coord_out_of_bbox", "qc_latlon_swap_corrected": "swap_corrected", "qc_latlon_swap_ambiguous": "swap_ambiguous"}
+    names = {
+        "qc_duplicate_conflicting": "dup_conflict", "qc_coord_missing": "coord_missing",
+        "qc_coord_out_of_bbox": "coord_out_of_bbox", "qc_latlon_swap_corrected": "swap_corrected",
+        "qc_latlon_swap_ambiguous": "swap_ambiguous"
+    }
     rows = records.withColumnsRenamed({v: k for k, v in names.items()})
     flags = [*names, "qc_district_mismatch"]
     return quality.audit_detail(rows, key, flags).select(F.lit(dataset).alias("dataset"), "record_key", *flags)
@@ -81,7 +94,9 @@ def alarms(report: DataFrame, dataset: str) -> DataFrame:
     return report.where(share > bound).select("regla", text.alias("alarm"))
 
 
-def process_facilities(df: DataFrame, departments: Sequence[str], districts: DataFrame | None = None, order: Sequence[str] | None = None) -> dict[str, DataFrame]:
+def process_facilities(
+    df: DataFrame, departments: Sequence[str], districts: DataFrame | None = None, order: Sequence[str] | None = None
+) -> dict[str, DataFrame]:
     """Raw facility records (COD_IPRESS, NOMBRE, DEPARTAMENTO, PROVINCIA, DISTRITO, UBIGEO, DIRECCION, CATEGORIA, ESTADO, NORTE, ESTE)
     -> facilities, quality, audit, alarms. districts: UBIGEO, rings. order: which of exact copies stays is told by these."""
     rows = filters.scope(df, "DEPARTAMENTO", departments).withColumns({"lon": F.col("ESTE"), "lat": F.col("NORTE")})
@@ -89,22 +104,42 @@ def process_facilities(df: DataFrame, departments: Sequence[str], districts: Dat
     records = records.withColumns({"CATEGORIA_NORM": X.normalize_category("CATEGORIA"), "is_active": X.is_active("ESTADO")})
     records = records.withColumn("is_resolutive", F.col("is_active") & F.col("CATEGORIA_NORM").isin(*K.RESOLUTIVE))
     records = records.withColumn("usable_for_routing", F.col("is_resolutive") & ~F.col("qc_excluded_from_routing"))
-    kept = ["COD_IPRESS", "NOMBRE", "DEPARTAMENTO", "PROVINCIA", "DISTRITO", "UBIGEO", "CATEGORIA", "CATEGORIA_NORM", "ESTADO", "is_active", "is_resolutive", "usable_for_routing", "qc_excluded_from_routing", "qc_district_mismatch", "lon", "lat"]
-    return {"facilities": records.select(*kept), "quality": report.drop("total"), "audit": audit(records, "COD_IPRESS", "facilities"), "alarms": alarms(report, "facilities")}
-
-
-def process_demand(df: DataFrame, departments: Sequence[str], districts: DataFrame | None = None, max_points: int = 5000, seed: int = 42, order: Sequence[str] | None = None) -> dict[str, DataFrame]:
+    kept = [
+        "COD_IPRESS", "NOMBRE", "DEPARTAMENTO", "PROVINCIA", "DISTRITO", "UBIGEO", "CATEGORIA", "CATEGORIA_NORM",
+        "ESTADO", "is_active", "is_resolutive", "usable_for_routing", "qc_excluded_from_routing",
+        "qc_district_mismatch", "lon", "lat"
+    ]
+    return {
+        "facilities": records.select(*kept), "quality": report.drop("total"),
+        "audit": audit(records, "COD_IPRESS", "facilities"), "alarms": alarms(report, "facilities")
+    }
+
+
+def process_demand(
+    df: DataFrame, departments: Sequence[str], districts: DataFrame | None = None, max_points: int = 5000,
+    seed: int = 42, order: Sequence[str] | None = None
+) -> dict[str, DataFrame]:
     """Raw settlements (CODCP, NOMCP, DEP, PROV, DIST, UBIGEO, XGD, YGD and more) -> demand (a design sample where more than max_points are
     usable), quality, audit, alarms and counts (n_national, n_in_scope, n_usable)."""
     rows = filters.scope(df, "DEP", departments).withColumns({"lon": F.col("XGD"), "lat": F.col("YGD")})
     records, report = checked(rows, "CODCP", "UBIGEO", ["NOMCP", "DIST", "PROV"], districts, order=order)
     usable = records.where(~F.col("qc_excluded_from_routing"))
     sampled = sampling.sample_if_needed(usable, "UBIGEO", "CODCP", max_points, seed)
-    kept = [c for c in ("CODCP", "NOMCP", "DEP", "PROV", "DIST", "UBIGEO", "CAPITAL", "CON_IE", "Z", "XGD", "YGD", "CPINEI", "CPINEI2") if c in df.columns]
-    final = sampled.select(*kept, "qc_district_mismatch", "stratum_n", "stratum_sample_n", "inclusion_prob", "design_weight", "lon", "lat", F.lit(None).cast("double").alias("estimated_population"))
+    kept = [
+        c for c in ("CODCP", "NOMCP", "DEP", "PROV", "DIST", "UBIGEO", "CAPITAL", "CON_IE", "Z", "XGD", "YGD", "CPINEI", "CPINEI2") if c in df.columns
+    ]
+    final = sampled.select(
+        *kept, "qc_district_mismatch", "stratum_n", "stratum_sample_n", "inclusion_prob", "design_weight", "lon", "lat",
+        F.lit(None).cast("double").alias("estimated_population")
+    )
     inside = F.upper(F.trim(F.col("DEP"))).isin([d.upper() for d in departments])
-    counts = df.agg(F.count(F.lit(1)).alias("n_national"), F.count_if(inside).alias("n_in_scope")).crossJoin(F.broadcast(usable.agg(F.count(F.lit(1)).alias("n_usable"))))
-    return {"demand": final, "quality": report.drop("total"), "audit": audit(records, "CODCP", "demand"), "alarms": alarms(report, "demand"), "counts": counts}
+    counts = df.agg(
+        F.count(F.lit(1)).alias("n_national"), F.count_if(inside).alias("n_in_scope")
+    ).crossJoin(F.broadcast(usable.agg(F.count(F.lit(1)).alias("n_usable"))))
+    return {
+        "demand": final, "quality": report.drop("total"), "audit": audit(records, "CODCP", "demand"),
+        "alarms": alarms(report, "demand"), "counts": counts
+    }
 
 
 def snap_group(points: DataFrame, nodes: DataFrame, label: str, point_id: str, node_id: str, max_m: float) -> DataFrame:
@@ -125,7 +160,10 @@ def facility_layer(facilities: DataFrame, raw: DataFrame, key: str = "COD_IPRESS
     """Facilities with the institution of the raw records and the layer of the map they belong to."""
     out = attach(facilities, raw, [key], ["INSTITUCION"])
     upgrade = F.col("CATEGORIA_NORM").isin("I-3", "I-4") & F.col("is_active")
-    return out.withColumn("layer_category", F.when(F.col("is_resolutive"), K.LAYER_RESOLUTIVE).when(upgrade, K.LAYER_UPGRADE).otherwise(K.LAYER_OTHER))
+    return out.withColumn(
+        "layer_category",
+        F.when(F.col("is_resolutive"), K.LAYER_RESOLUTIVE).when(upgrade, K.LAYER_UPGRADE).otherwise(K.LAYER_OTHER)
+    )
 
 
 def heads(sizes: dict[str, tuple[DataFrame, str, int]]) -> dict[str, DataFrame]:
@@ -140,7 +178,10 @@ def captured_population(pop: DataFrame, demand: DataFrame, dep: str, code: str,
     return rows.groupBy(dep, "matched").agg(F.count(F.lit(1)).alias("n_cp"), F.sum(value).alias("population"))
 
 
-def universe(demand: DataFrame, pop: DataFrame, key: str, id_col: str, pop_key: str, pop_value: str, override: dict[str, str] | None = None) -> DataFrame:
+def universe(
+    demand: DataFrame, pop: DataFrame, key: str, id_col: str, pop_key: str, pop_value: str,
+    override: dict[str, str] | None = None
+) -> DataFrame:
     """The population that settlements stand for, each record once (J3, then J5)."""
     return linkage.population_universe(linkage.flag_representative(demand, key, id_col, override), pop, key, pop_key, pop_value)
 
@@ -153,23 +194,35 @@ def analyse(
     design_weight; frame: all settlements before sampling; where it is given, weights are calibrated by district to the population of the
     frame, each record once; else the Horvitz-Thompson weight stands."""
     groups = list(groups)
-    linked = linkage.match_report(linkage.flag_representative(demand, key, "demand_id", override), pop, key, pop_key, pop_value, representative="is_representative")
+    linked = linkage.match_report(
+        linkage.flag_representative(demand, key, "demand_id", override), pop, key, pop_key, pop_value,
+        representative="is_representative"
+    )
     linked = linked.withColumns({"analysis_weight": weights.analysis_weight(), "population_match_status": F.col("match_status")})
     table = linkage.demand_analysis(demand, routing, linked, areas)
     out = {"match_summary": weights.match_summary(linked, groups[0])}
     if frame is not None:
-        known = universe(frame, pop, key, "demand_id", pop_key, pop_value, override).groupBy(*groups).agg(F.sum("population").alias("known_population"))
+        known = universe(
+            frame, pop, key, "demand_id", pop_key, pop_value, override
+        ).groupBy(*groups).agg(F.sum("population").alias("known_population"))
         out["calibration"] = weights.calibration_factors(table, known, groups, "ht_population_weight", "known_population")
         table = weights.calibrated(table, out["calibration"], groups, "ht_population_weight")
     else:
         table = table.withColumn("calibrated_weight", F.col("ht_population_weight"))
     weight = "calibrated_weight"
     districts = access.district_metrics(table, groups, weight=weight)
-    districts = districts.withColumn("district_status", X.district_quality(F.col("n_cp_with_weight"), F.col("n_cp_with_time"), F.col("share_with_time_pct"), least_share=low_share))
+    districts = districts.withColumn(
+        "district_status",
+        X.district_quality(F.col("n_cp_with_weight"), F.col("n_cp_with_time"), F.col("share_with_time_pct"), least_share=low_share)
+    )
     ranked, rest = inequality.split_gaps(districts, groups)
     return out | {
-        "demand_analysis": table, "access_by_department": report_access(table, groups[0], weight=weight), "districts": districts, "worst_computable": ranked, "insufficient": rest,
-        "coverage": access.bands_cumulative(table, weight=weight), "urban_rural": access.urban_rural_summary(table, weight=weight), "inequality": inequality.weighted_gini(table, "t_min", weight),
+        "demand_analysis": table, "access_by_department": report_access(
+            table, groups[0], weight=weight
+        ), "districts": districts, "worst_computable": ranked, "insufficient": rest,
+        "coverage": access.bands_cumulative(table, weight=weight), "urban_rural": access.urban_rural_summary(table, weight=weight), "inequality": inequality.weighted_gini(
+            table, "t_min", weight
+        ),
         "lorenz": inequality.lorenz_curve(table, "t_min", weight), "header": access.kpi_header(table, weight=weight),
     }
 
@@ -179,7 +232,11 @@ def report_access(df: DataFrame, dep: str, time: str = "t_min", weight: str = "w
     names = {"<=30": "pct_le_30", "<=60 (cum)": "pct_le_60", "<=120 (cum)": "pct_le_120", ">120": "pct_gt_120", "sin_tiempo_estimable": "pct_no_time"}
     t, w = F.col(time), F.col(weight)
     both = t.isNotNull() & w.isNotNull()
-    rows = df.where(F.col(dep).isNotNull()).rollup(dep).agg(F.grouping(dep).alias("_g"), F.sum(w).alias("population"), X.ratio(F.sum(F.when(both, t * w)), F.sum(F.when(both, w))).alias("weighted_mean"), *access.cumulative_columns(time, weight))
+    rows = df.where(F.col(dep).isNotNull()).rollup(dep).agg(
+        F.grouping(dep).alias("_g"), F.sum(w).alias("population"),
+        X.ratio(F.sum(F.when(both, t * w)), F.sum(F.when(both, w))).alias("weighted_mean"),
+        *access.cumulative_columns(time, weight)
+    )
     shares = (X.percent(F.col(f"`{k}`"), F.nullif(F.col("population"), F.lit(0))).alias(v) for k, v in names.items())
     return rows.select(F.when(F.col("_g") == 1, "Total").otherwise(F.col(dep)).alias("scope"), "population", "weighted_mean", *shares)
 
@@ -187,7 +244,9 @@ def report_access(df: DataFrame, dep: str, time: str = "t_min", weight: str = "w
 def macros(one: DataFrame, digits: int = 1) -> DataFrame:
     """name, value of a one-row table: whole numbers with thousands set off, others with so many digits, a dash for none."""
     whole = ("tinyint", "smallint", "int", "bigint")
-    rows = F.array(*(F.struct(F.lit(n).alias("name"), X.fmt_num(n, 0 if k in whole else digits).alias("value")) for n, k in one.dtypes if k != "string"))
+    rows = F.array(
+        *(F.struct(F.lit(n).alias("name"), X.fmt_num(n, 0 if k in whole else digits).alias("value")) for n, k in one.dtypes if k != "string")
+    )
     return one.select(F.inline(rows))
 
 

@@ -34,9 +34,15 @@ def demand(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.when(k % 20 == 0, "snap_failed").when(k % 20 <= 3, "no_route_same_department").otherwise("routed")
     rows = o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
     return rows.select(
-        F.lpad(k.cast("string"), 10, "0").alias("demand_id"), F.col("r_name").alias("dep"), F.col("n_name").alias("prov"), F.col("c_mktsegment").alias("dist"), k.alias("k"), F.col("o_custkey").alias("c"),
-        status.alias("status"), minutes(F.col("o_totalprice") / 25).alias("t_raw"), F.when(status == "routed", minutes(F.col("o_totalprice") / 25)).alias("t_min"), (1 + k % 7).alias("design_weight"),
-        F.when(F.col("o_custkey") % 7 != 0, 1 + k % 7).alias("weight"), F.when(k % 3 == 0, "urban").when(k % 3 == 1, "rural").otherwise("unknown").alias("urban_rural"),
+        F.lpad(
+            k.cast("string"), 10, "0"
+        ).alias("demand_id"), F.col("r_name").alias("dep"), F.col("n_name").alias("prov"), F.col("c_mktsegment").alias("dist"), k.alias("k"), F.col("o_custkey").alias("c"),
+        status.alias("status"), minutes(F.col("o_totalprice") / 25).alias("t_raw"), F.when(
+            status == "routed", minutes(F.col("o_totalprice") / 25)
+        ).alias("t_min"), (1 + k % 7).alias("design_weight"),
+        F.when(
+            F.col("o_custkey") % 7 != 0, 1 + k % 7
+        ).alias("weight"), F.when(k % 3 == 0, "urban").when(k % 3 == 1, "rural").otherwise("unknown").alias("urban_rural"),
     )
 
 
@@ -51,7 +57,9 @@ DEMAND = """demand AS (SELECT lpad(CAST(o_orderkey AS VARCHAR), 10, '0') AS dema
 
 def population(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Population records: customers but each seventh, each eleventh twice."""
-    c = read(spark, sf_dir, "customer").where("c_custkey % 7 <> 0").select(F.col("c_custkey").cast("string").alias("code"), (100 + F.col("c_custkey") % 900).alias("pop"))
+    c = read(spark, sf_dir, "customer").where("c_custkey % 7 <> 0").select(
+        F.col("c_custkey").cast("string").alias("code"), (100 + F.col("c_custkey") % 900).alias("pop")
+    )
     return c.unionByName(c.where("cast(code as bigint) % 11 = 0"))
 
 
@@ -66,7 +74,10 @@ def facilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey")
     raw = F.get(F.array(*(F.lit(x) for x in _RAW)), (k % 13).cast("int"))
     state = F.when(k % 5 == 0, "BAJA DEFINITIVA").when(k % 5 == 1, " activo ").otherwise("ACTIVO")
-    rows = read(spark, sf_dir, "supplier").select(F.lpad(k.cast("string"), 6, "0").alias("facility_id"), k.alias("k"), raw.alias("raw_category"), state.alias("state"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("s_nationkey"))
+    rows = read(spark, sf_dir, "supplier").select(
+        F.lpad(k.cast("string"), 6, "0").alias("facility_id"), k.alias("k"), raw.alias("raw_category"),
+        state.alias("state"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("s_nationkey")
+    )
     return located(rows)
 
 
@@ -99,7 +110,11 @@ NORMED = "normed AS (SELECT *, regexp_replace(upper(trim(raw_category)), '\\s*-\
 def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Travel times: order and supplier of each line, the least price of the two as minutes."""
     rows = read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_suppkey").agg(F.min("l_extendedprice").alias("p"))
-    return rows.select(F.lpad(F.col("l_orderkey").cast("string"), 10, "0").alias("demand_id"), F.lpad(F.col("l_suppkey").cast("string"), 6, "0").alias("facility_id"), minutes(F.col("p") / 10).alias("travel_time_min"))
+    return rows.select(
+        F.lpad(F.col("l_orderkey").cast("string"), 10, "0").alias("demand_id"),
+        F.lpad(F.col("l_suppkey").cast("string"), 6, "0").alias("facility_id"),
+        minutes(F.col("p") / 10).alias("travel_time_min")
+    )
 
 
 MATRIX = """matrix AS (SELECT lpad(CAST(l_orderkey AS VARCHAR), 10, '0') AS demand_id, lpad(CAST(l_suppkey AS VARCHAR), 6, '0') AS facility_id,
@@ -108,10 +123,17 @@ MATRIX = """matrix AS (SELECT lpad(CAST(l_orderkey AS VARCHAR), 10, '0') AS dema
 
 def mode_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Demand, facility, mode (by line number), time and distance; some pairs unreachable."""
-    rows = read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_suppkey", (F.col("l_linenumber") % 3).alias("m")).agg(F.min("l_extendedprice").alias("p"), F.min("l_returnflag").alias("f"))
+    rows = read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_suppkey", (F.col("l_linenumber") % 3).alias("m")).agg(
+        F.min("l_extendedprice").alias("p"), F.min("l_returnflag").alias("f")
+    )
     mode = F.when(F.col("m") == 0, "car").when(F.col("m") == 1, "bike").otherwise("foot")
     ok = F.col("f") != "R"
-    return rows.select(F.lpad(F.col("l_orderkey").cast("string"), 10, "0").alias("demand_id"), F.lpad(F.col("l_suppkey").cast("string"), 6, "0").alias("facility_id"), mode.alias("mode"), F.when(ok, F.floor(F.col("p") / 10) / 100).alias("travel_time_min"), F.when(ok, F.floor("p").cast("double")).alias("distance_m"), ok.alias("reachable"))
+    return rows.select(
+        F.lpad(F.col("l_orderkey").cast("string"), 10, "0").alias("demand_id"),
+        F.lpad(F.col("l_suppkey").cast("string"), 6, "0").alias("facility_id"), mode.alias("mode"),
+        F.when(ok, F.floor(F.col("p") / 10) / 100).alias("travel_time_min"),
+        F.when(ok, F.floor("p").cast("double")).alias("distance_m"), ok.alias("reachable")
+    )
 
 
 MODE_PAIRS = """pairs AS (SELECT lpad(CAST(l_orderkey AS VARCHAR), 10, '0') AS demand_id, lpad(CAST(l_suppkey AS VARCHAR), 6, '0') AS facility_id,
@@ -126,11 +148,18 @@ _SPEEDS = ("60", "60 km/h", "50;40", "signals", None, "30 mph", "50-60", "abc",
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Road segments: a line joins its part's node to its supplier's; tags from the line."""
     li = read(spark, sf_dir, "lineitem")
-    rows = li.groupBy(F.col("l_orderkey").alias("id"), (F.col("l_partkey") % 997).alias("u"), (F.col("l_suppkey") * 7 % 997).alias("v")).agg(F.min("l_linenumber").alias("ln"), F.min("l_returnflag").alias("rf"), F.min("l_quantity").cast("int").alias("q"))
+    rows = li.groupBy(
+        F.col("l_orderkey").alias("id"), (F.col("l_partkey") % 997).alias("u"),
+        (F.col("l_suppkey") * 7 % 997).alias("v")
+    ).agg(F.min("l_linenumber").alias("ln"), F.min("l_returnflag").alias("rf"), F.min("l_quantity").cast("int").alias("q"))
     pick = lambda xs, c: F.get(F.array(*(F.lit(x) for x in xs)), (c % len(xs)).cast("int"))
     return rows.select(
-        "id", "u", "v", pick(_HIGHWAYS, F.col("ln")).alias("highway"), F.when(F.col("rf") == "A", "yes").when(F.col("rf") == "R", "-1").alias("oneway"), pick(_SPEEDS, F.col("q")).alias("maxspeed"),
-        F.when(F.col("q") % 10 == 0, "no").alias("access"), F.when(F.col("q") % 7 == 0, "roundabout").alias("junction"), F.when(F.col("q") % 3 == 0, "yes").when(F.col("q") % 11 == 0, "no").alias("bicycle"),
+        "id", "u", "v", pick(_HIGHWAYS, F.col("ln")).alias("highway"), F.when(
+            F.col("rf") == "A", "yes"
+        ).when(F.col("rf") == "R", "-1").alias("oneway"), pick(_SPEEDS, F.col("q")).alias("maxspeed"),
+        F.when(F.col("q") % 10 == 0, "no").alias("access"), F.when(
+            F.col("q") % 7 == 0, "roundabout"
+        ).alias("junction"), F.when(F.col("q") % 3 == 0, "yes").when(F.col("q") % 11 == 0, "no").alias("bicycle"),
         F.when(F.col("q") % 4 == 0, "yes").when(F.col("q") % 13 == 0, "no").alias("foot"), (100.0 + (F.col("id") % 50) * 10).alias("length"),
     )
 
@@ -152,8 +181,12 @@ def raw_facilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("k")
     own = F.least(F.floor(12.8 * ((k * 37) % 1000) / 1000.0 / 0.5), F.lit(24))
     rows = f.join(n, f.s_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey).select(
-        F.col("facility_id").alias("COD_IPRESS"), F.when(k % 19 == 0, F.lit("SEÃ‘OR")).otherwise(F.col("name")).alias("NOMBRE"), F.col("r_name").alias("DEPARTAMENTO"), F.col("n_name").alias("PROVINCIA"),
-        F.concat(F.lit("D"), (k % 10).cast("string")).alias("DISTRITO"), F.lpad(F.when(k % 3 != 0, own).otherwise(F.col("s_nationkey")).cast("string"), 6, "0").alias("UBIGEO"), F.lit(None).cast("string").alias("DIRECCION"),
+        F.col("facility_id").alias("COD_IPRESS"), F.when(
+            k % 19 == 0, F.lit("SEÃ‘OR")
+        ).otherwise(F.col("name")).alias("NOMBRE"), F.col("r_name").alias("DEPARTAMENTO"), F.col("n_name").alias("PROVINCIA"),
+        F.concat(F.lit("D"), (k % 10).cast("string")).alias("DISTRITO"), F.lpad(
+            F.when(k % 3 != 0, own).otherwise(F.col("s_nationkey")).cast("string"), 6, "0"
+        ).alias("UBIGEO"), F.lit(None).cast("string").alias("DIRECCION"),
         F.col("raw_category").alias("CATEGORIA"), F.col("state").alias("ESTADO"), F.col("lat").cast("string").alias("NORTE"), F.col("lon").cast("string").alias("ESTE"), k.alias("k"),
     )
     twice = rows.where("k % 17 = 0").unionByName(rows.where("k % 23 = 0").withColumn("NOMBRE", F.lit("OTRO")))
@@ -173,8 +206,12 @@ def raw_settlements(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = F.least(F.floor(12.8 * ((k * 37) % 1000) / 1000.0 / 0.5), F.lit(24))
     rows = located(c.withColumn("k", F.col("c_custkey"))).join(n, F.col("c_nationkey") == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
     rows = rows.select(
-        F.lpad(k.cast("string"), 8, "0").alias("CODCP"), F.col("c_name").alias("NOMCP"), F.col("r_name").alias("DEP"), F.col("n_name").alias("PROV"), F.col("c_mktsegment").alias("DIST"),
-        F.lpad(F.when(k % 3 != 0, own).otherwise(F.col("n_nationkey")).cast("string"), 6, "0").alias("UBIGEO"), F.col("lon").alias("XGD"), F.col("lat").alias("YGD"), F.when(k % 5 != 0, k.cast("string")).alias("CPINEI"), k.alias("k"),
+        F.lpad(
+            k.cast("string"), 8, "0"
+        ).alias("CODCP"), F.col("c_name").alias("NOMCP"), F.col("r_name").alias("DEP"), F.col("n_name").alias("PROV"), F.col("c_mktsegment").alias("DIST"),
+        F.lpad(
+            F.when(k % 3 != 0, own).otherwise(F.col("n_nationkey")).cast("string"), 6, "0"
+        ).alias("UBIGEO"), F.col("lon").alias("XGD"), F.col("lat").alias("YGD"), F.when(k % 5 != 0, k.cast("string")).alias("CPINEI"), k.alias("k"),
     )
     return rows.unionByName(rows.where("k % 17 = 0")).unionByName(rows.where("k % 23 = 0").withColumn("NOMCP", F.lit("OTRO")))
 
@@ -188,7 +225,10 @@ def strips(spark: SparkSession, sf_dir: str, code: str = "UBIGEO") -> DataFrame:
     """A district per nation: strips of half a degree, side by side."""
     n = read(spark, sf_dir, "nation").select("n_nationkey", (-81.4 + 0.5 * F.col("n_nationkey")).alias("x"))
     p = lambda dx, y: F.struct((F.col("x") + dx).alias("x"), F.lit(y).alias("y"))
-    return n.select(F.lpad(F.col("n_nationkey").cast("string"), 6, "0").alias(code), F.array(F.array(p(0.0, -18.4), p(0.5, -18.4), p(0.5, 0.0), p(0.0, 0.0))).alias("rings"))
+    return n.select(
+        F.lpad(F.col("n_nationkey").cast("string"), 6, "0").alias(code),
+        F.array(F.array(p(0.0, -18.4), p(0.5, -18.4), p(0.5, 0.0), p(0.0, 0.0))).alias("rings")
+    )
 
 
 def utm_sql(name: str, source: str, lon: str, lat: str) -> str:

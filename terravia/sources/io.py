@@ -168,7 +168,10 @@ def read_gpkg(spark: SparkSession, path: str, layer: str) -> DataFrame:
                 while some := rows.fetchmany(1000):
                     each = [dict(zip(names, r, strict=True)) for r in some]
                     maps = [[(k, None if v is None else str(v)) for k, v in r.items() if k != geometry] for r in each]
-                    yield pa.RecordBatch.from_arrays([pa.array(maps, pa.map_(pa.string(), pa.string())), pa.array([_gpkg_wkb(r[geometry]) for r in each], pa.binary())], ["fields", "wkb"])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(maps, pa.map_(pa.string(), pa.string())), pa.array([_gpkg_wkb(r[geometry]) for r in each], pa.binary())],
+                        ["fields", "wkb"]
+                    )
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "fields map<string,string>, wkb binary")
 
@@ -226,7 +229,10 @@ def read_shapefile(spark: SparkSession, folder: str, encoding: str = "utf-8") ->
     first = files.where("shp").agg(F.min("base").alias("b")).first().b
     head = files.where((F.col("base") == first) & ~F.col("shp")).select(F.substring("content", 1, 1 << 16).alias("head")).first().head
     columns = [name for name, _ in dbf_fields(bytes(head))]
-    both = files.where(F.col("base") == first).groupBy("base").agg(F.first(F.when(F.col("shp"), F.col("content")), True).alias("shapes"), F.first(F.when(~F.col("shp"), F.col("content")), True).alias("rows"))
+    both = files.where(F.col("base") == first).groupBy("base").agg(
+        F.first(F.when(F.col("shp"), F.col("content")), True).alias("shapes"),
+        F.first(F.when(~F.col("shp"), F.col("content")), True).alias("rows")
+    )
 
     def run(batches):
         for batch in batches:
@@ -252,7 +258,11 @@ def xlsx_rows(raw: bytes, sheet: int = 1) -> list[list[str | None]]:
     with zipfile.ZipFile(_io.BytesIO(raw)) as z:
         shared = []
         if "xl/sharedStrings.xml" in z.namelist():
-            shared = ["".join(t.text or "" for t in si.iter(f"{{{ns['m']}}}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).findall("m:si", ns)]
+            shared = [
+                "".join(
+                    t.text or "" for t in si.iter(f"{{{ns['m']}}}t")
+                ) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).findall("m:si", ns)
+            ]
         out = []
         for row in ElementTree.fromstring(z.read(f"xl/worksheets/sheet{sheet}.xml")).iter(f"{{{ns['m']}}}row"):
             cells: list[str | None] = []
@@ -272,18 +282,26 @@ def xlsx_rows(raw: bytes, sheet: int = 1) -> list[list[str | None]]:
 
 def benchmark_population(spark: SparkSession, raw: bytes, header: int, department: int, ages: Sequence[int]) -> DataFrame:
     """department and the sum of its age columns over a sheet's rows below the header."""
-    rows = [(r[department], *(r[i] if i < len(r) else None for i in ages)) for r in xlsx_rows(raw)[header + 1 :] if len(r) > department and r[department]]
+    rows = [
+        (r[department], *(r[i] if i < len(r) else None for i in ages)) for r in xlsx_rows(raw)[header + 1 :] if len(r) > department and r[department]
+    ]
     names = [f"a{i}" for i in range(len(ages))]
     df = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in ("department", *names)))
     total = sum((F.coalesce(F.col(c).try_cast("double"), F.lit(0.0)) for c in names), F.lit(0.0))
     return df.groupBy("department").agg(F.sum(total).alias("benchmark"))
 
 
-def fetch_paged(fetch: Callable[[str], bytes], url: str, where: str, fields: Sequence[str], size: int = 1000, order: str = "OBJECTID") -> Iterator[dict]:
+def fetch_paged(
+    fetch: Callable[[str], bytes], url: str, where: str, fields: Sequence[str], size: int = 1000,
+    order: str = "OBJECTID"
+) -> Iterator[dict]:
     """Attributes of a paged feature service: pages until one is empty or short; an error in an answer is raised."""
     at = 0
     while True:
-        query = {"where": where, "outFields": ",".join(fields), "f": "json", "resultOffset": at, "resultRecordCount": size, "orderByFields": order, "returnGeometry": "true"}
+        query = {
+            "where": where, "outFields": ",".join(fields), "f": "json", "resultOffset": at, "resultRecordCount": size,
+            "orderByFields": order, "returnGeometry": "true"
+        }
         page = json.loads(fetch(f"{url}?{urlencode(query)}"))
         if "error" in page:
             raise RuntimeError(f"{url}: {page['error']}")
@@ -311,7 +329,10 @@ class _PagedReader(DataSourceReader):
         from urllib.request import urlopen
 
         names = [f.name for f in self.schema.fields]
-        for row in fetch_paged(lambda u: urlopen(u, timeout=60).read(), self.options["url"], partition.where, names, int(self.options.get("pagesize", 1000))):
+        for row in fetch_paged(
+            lambda u: urlopen(u, timeout=60).read(), self.options["url"], partition.where, names,
+            int(self.options.get("pagesize", 1000))
+        ):
             yield tuple(None if row.get(n) is None else str(row[n]) for n in names)
 
 
@@ -326,7 +347,10 @@ class PagedFeatures(DataSource):
         return _PagedReader(schema, self.options)
 
 
-def acquire_features(spark: SparkSession, url: str, wheres: Sequence[str], fields: Sequence[str], id_field: str, to: str, page_size: int = 2000, force: bool = False, source: str = "paged_features") -> tuple[dict, bool]:
+def acquire_features(
+    spark: SparkSession, url: str, wheres: Sequence[str], fields: Sequence[str], id_field: str, to: str,
+    page_size: int = 2000, force: bool = False, source: str = "paged_features"
+) -> tuple[dict, bool]:
     """A feature layer as a raw table of strings, and beside it a manifest; (manifest, whether it was fetched now). What is there with its
     manifest is not asked for again (S9)."""
     rows, manifests = f"{to}/features.parquet", f"{to}/manifest.json"
@@ -337,7 +361,10 @@ def acquire_features(spark: SparkSession, url: str, wheres: Sequence[str], field
     spark.read.format(source).schema(", ".join(f"`{f}` string" for f in fields)).options(**options).load().write.mode("overwrite").parquet(rows)
     got = spark.read.parquet(rows)
     one = got.agg(F.count(F.lit(1)).alias("n"), (F.count(id_field) - F.count_distinct(id_field)).alias("d")).first()
-    manifest = {"url": url, "wheres": list(wheres), "fields": list(fields), "id_field": id_field, "page_size": page_size, "n_records_total": one.n, "n_duplicate_id": one.d, "digest": id_digest(got, id_field)}
+    manifest = {
+        "url": url, "wheres": list(wheres), "fields": list(fields), "id_field": id_field, "page_size": page_size,
+        "n_records_total": one.n, "n_duplicate_id": one.d, "digest": id_digest(got, id_field)
+    }
     spark.createDataFrame([(json.dumps(manifest, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(manifests)
     return manifest, True
 
@@ -439,17 +466,24 @@ def id_digest(ids: DataFrame, column: str) -> str:
     return hashlib.sha256(f"{one.n}/{one.x}/{one.s}".encode()).hexdigest()[:16]
 
 
-def cached_matrix(spark: SparkSession, folder: str, mode: str, version: str, facilities: DataFrame, demand: DataFrame, compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def cached_matrix(
+    spark: SparkSession, folder: str, mode: str, version: str, facilities: DataFrame, demand: DataFrame,
+    compute: Callable[[DataFrame], DataFrame]
+) -> DataFrame:
     """Rows of facilities from a store by mode, version, set of demand ids and facility; only missing facilities are computed. With another
     set of demand points nothing that is stored counts. A facility's rows are replaced as a whole, so a repeated or failed job
     leaves none twice (S15)."""
     path = f"{folder}/matrix/mode={mode}/version={version}/demand={id_digest(demand, 'demand_id')}"
     have = stored_rows(spark, path)
-    missing = facilities if have is None else facilities.join(have.select(F.col("facility_id").cast("string").alias("facility_id")).distinct(), "facility_id", "left_anti")
+    missing = facilities if have is None else facilities.join(
+        have.select(F.col("facility_id").cast("string").alias("facility_id")).distinct(), "facility_id", "left_anti"
+    )
     if not missing.isEmpty():
         compute(missing).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("facility_id").parquet(path)
     out = spark.read.parquet(path)
-    return out.withColumn("facility_id", F.col("facility_id").cast("string")).join(facilities.select(F.col("facility_id").cast("string")), "facility_id", "left_semi")
+    return out.withColumn("facility_id", F.col("facility_id").cast("string")).join(
+        facilities.select(F.col("facility_id").cast("string")), "facility_id", "left_semi"
+    )
 
 
 def stored_rows(spark: SparkSession, path: str) -> DataFrame | None:

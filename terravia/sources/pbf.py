@@ -21,7 +21,12 @@ from .io import ship
 #: Tags that profiles look at; in a column's name ":" becomes "_".
 TAGS = ("highway", "oneway", "maxspeed", "access", "junction", "bicycle", "foot", "surface", "oneway:bicycle")
 _SCHEMA = "kind string, id long, lon double, lat double, refs array<long>, tags map<string,string>"
-_ARROW = pa.schema([("kind", pa.string()), ("id", pa.int64()), ("lon", pa.float64()), ("lat", pa.float64()), ("refs", pa.list_(pa.int64())), ("tags", pa.map_(pa.string(), pa.string()))])
+_ARROW = pa.schema(
+    [
+        ("kind", pa.string()), ("id", pa.int64()), ("lon", pa.float64()), ("lat", pa.float64()),
+        ("refs", pa.list_(pa.int64())), ("tags", pa.map_(pa.string(), pa.string()))
+    ]
+)
 
 
 def _varint(raw: bytes, at: int) -> tuple[int, int]:
@@ -113,11 +118,16 @@ def elements(blob: bytes) -> Iterator[pa.RecordBatch]:
                 lons.append(degrees(packed(part.get(9, b""), True, True), lon0))
             elif kind == 3:
                 names = zip(packed(part.get(2, b"")).tolist(), packed(part.get(3, b"")).tolist(), strict=True)
-                ways.append({"kind": "way", "id": part[1], "refs": packed(part.get(8, b""), True, True), "tags": [(strings[k], strings[v]) for k, v in names]})
+                ways.append(
+                    {"kind": "way", "id": part[1], "refs": packed(part.get(8, b""), True, True), "tags": [(strings[k], strings[v]) for k, v in names]}
+                )
         found = np.concatenate(ids)
         n = len(found)
         if n:
-            columns = [pa.array(["node"] * n), pa.array(found), pa.array(np.concatenate(lons)), pa.array(np.concatenate(lats)), pa.nulls(n, _ARROW.field("refs").type), pa.nulls(n, _ARROW.field("tags").type)]
+            columns = [
+                pa.array(["node"] * n), pa.array(found), pa.array(np.concatenate(lons)), pa.array(np.concatenate(lats)),
+                pa.nulls(n, _ARROW.field("refs").type), pa.nulls(n, _ARROW.field("tags").type)
+            ]
             yield pa.RecordBatch.from_arrays(columns, schema=_ARROW)
         if ways:
             yield pa.RecordBatch.from_pylist(ways, _ARROW)
@@ -153,8 +163,13 @@ def extract(spark: SparkSession, path: str, box: Sequence[float] | None = None,
         nodes = nodes.where(F.col("lon").between(box[0], box[2]) & F.col("lat").between(box[1], box[3]))
     ways = rows.where("kind = 'way'").where(F.col("tags")["highway"].isNotNull())
     named = ways.select("id", "refs", *(F.col("tags")[t].alias(t.replace(":", "_")) for t in tags))
-    pairs = F.arrays_zip(F.slice("refs", 1, F.greatest(F.size("refs") - 1, F.lit(0))).alias("u"), F.slice("refs", 2, F.greatest(F.size("refs") - 1, F.lit(0))).alias("v"))
-    segments = named.withColumn("pair", F.explode(pairs)).select("id", F.col("pair.u").alias("u"), F.col("pair.v").alias("v"), *(t.replace(":", "_") for t in tags)).where("u <> v")
+    pairs = F.arrays_zip(
+        F.slice("refs", 1, F.greatest(F.size("refs") - 1, F.lit(0))).alias("u"),
+        F.slice("refs", 2, F.greatest(F.size("refs") - 1, F.lit(0))).alias("v")
+    )
+    segments = named.withColumn("pair", F.explode(pairs)).select(
+        "id", F.col("pair.u").alias("u"), F.col("pair.v").alias("v"), *(t.replace(":", "_") for t in tags)
+    ).where("u <> v")
     a, b = (nodes.select(F.col("id").alias(n), F.col("lon").alias(f"{n}x"), F.col("lat").alias(f"{n}y")) for n in ("u", "v"))
     placed = segments.join(a, "u").join(b, "v").withColumn("length", X.haversine_m(F.col("ux"), F.col("uy"), F.col("vx"), F.col("vy")))
     edges = placed.select("id", "u", "v", "length", *(t.replace(":", "_") for t in tags)).dropDuplicates(["id", "u", "v"])

@@ -16,5 +16,7 @@ def band_totals(rows: DataFrame, time: str = "t_min", weight: str = "weight") ->
 def follow(spark: SparkSession, folder: str, schema: str, table: str, checkpoint: str) -> None:
     """Takes in all files of a folder that are new since the last call, and keeps the totals in a memory table."""
     rows = spark.readStream.schema(schema).parquet(folder)
-    query = band_totals(rows).writeStream.outputMode("complete").format("memory").queryName(table).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = band_totals(rows).writeStream.outputMode("complete").format("memory").queryName(table).option(
+        "checkpointLocation", checkpoint
+    ).trigger(availableNow=True).start()
     query.awaitTermination()

@@ -85,14 +85,23 @@ def test_weighted_mean(spark):
 def test_kpis(spark):
     d = spark.createDataFrame([(10.0, 100), (90.0, 50), (None, 30), (40.0, 20)], "t_min double, calibrated_weight long")
     r = one(access.kpis(d))
-    assert (r["population_frame"], r["population_le"], r["pct_le"], r["population_gt"], r["population_no_time"], r["pct_no_time"]) == (200, 120, 60.0, 50, 30, 15.0)
+    assert (
+        r["population_frame"], r["population_le"], r["pct_le"], r["population_gt"], r["population_no_time"],
+        r["pct_no_time"]
+    ) == (200, 120, 60.0, 50, 30, 15.0)
     assert r["weighted_mean"] == pytest.approx(6300 / 170)
     assert inequality.weighted_median(d, "t_min", "calibrated_weight").first()[0] == 10
     r = one(access.kpis(d.where("false")))
     assert (r["population_frame"], r["pct_le"], r["weighted_mean"]) == (0, None, None)
 
 
-@pytest.mark.parametrize("v, w, gini", [((30, 30, 30), (1, 2, 3), 0), ((10, 100), (90, 10), 0.426316), ((10, 1000), (90, 10), 0.817431), ((10, 100), (50, 50), 0.409091), ((10, 100), (95, 5), 0.294828), ((0, 0), (1, 1), 1.0)])
+@pytest.mark.parametrize(
+    "v, w, gini",
+    [
+        ((30, 30, 30), (1, 2, 3), 0), ((10, 100), (90, 10), 0.426316), ((10, 1000), (90, 10), 0.817431),
+        ((10, 100), (50, 50), 0.409091), ((10, 100), (95, 5), 0.294828), ((0, 0), (1, 1), 1.0)
+    ]
+)
 def test_gini(spark, v, w, gini):
     d = spark.createDataFrame([(float(a), float(b)) for a, b in zip(v, w, strict=True)], "v double, w double")
     assert inequality.weighted_gini(d, "v", "w").first().gini == pytest.approx(gini, abs=1e-6)
@@ -120,14 +129,20 @@ def test_running_sums_over_many_buckets(spark):
 
 
 def test_ranks(spark):
-    d = spark.createDataFrame([("Good", 20.0, 90.0), ("Bad", 100.0, 90.0), ("Small", 15.0, 10.0), ("None", None, None)], "d string, weighted_mean double, share_with_time_pct double")
+    d = spark.createDataFrame(
+        [("Good", 20.0, 90.0), ("Bad", 100.0, 90.0), ("Small", 15.0, 10.0), ("None", None, None)],
+        "d string, weighted_mean double, share_with_time_pct double"
+    )
     got = {r.d: (r["rank"], r.low_coverage_warning) for r in inequality.rank_gaps(d, ["d"]).collect()}
     assert got == {"None": (1, True), "Bad": (2, False), "Good": (3, False), "Small": (4, True)}
     assert inequality.worst_district(d, ["d"]).first().d == "Bad" and inequality.worst_district(d.where("false"), ["d"]).count() == 0
 
 
 def test_district_quality(spark):
-    d = spark.createDataFrame([(K.NO_SAMPLE, 5, 5, 90.0), (None, 0, 0, None), (None, 2, 2, 90.0), (None, 5, 0, 0.0), (None, 5, 2, 20.0), (None, 5, 5, 80.0)], "c string, n long, t long, s double")
+    d = spark.createDataFrame(
+        [(K.NO_SAMPLE, 5, 5, 90.0), (None, 0, 0, None), (None, 2, 2, 90.0), (None, 5, 0, 0.0), (None, 5, 2, 20.0), (None, 5, 5, 80.0)],
+        "c string, n long, t long, s double"
+    )
     got = [r[0] for r in d.select(X.district_quality(F.col("n"), F.col("t"), F.col("s"), F.col("c"))).collect()]
     assert got == [K.CALIBRATION_IMPOSSIBLE, K.ZERO_SAMPLE, K.LOW_SAMPLE, K.ZERO_ROUTING, K.LOW_ROUTING, K.COMPUTABLE]
 
@@ -139,7 +154,10 @@ def test_urban_rural_summary_has_three_rows(spark):
 
 
 def test_coordinates(spark):
-    d = spark.createDataFrame([("a", -71.9, -13.5), ("b", None, None), ("c", 0.0, 0.0), ("d", -7.8e-7, -6e-8), ("e", 10.0, 50.0), ("f", -13.52, -71.97)], "key string, lon double, lat double")
+    d = spark.createDataFrame(
+        [("a", -71.9, -13.5), ("b", None, None), ("c", 0.0, 0.0), ("d", -7.8e-7, -6e-8), ("e", 10.0, 50.0), ("f", -13.52, -71.97)],
+        "key string, lon double, lat double"
+    )
     got = {r.key: r for r in quality.validated(d, "key", inside_swapped=F.col("key") == "f").collect()}
     assert [got[k].coord_missing for k in "abcd"] == [False, True, True, True]
     assert [got[k].coord_out_of_bbox for k in "abcdef"] == [False, False, False, False, True, True]
@@ -151,7 +169,9 @@ def test_coordinates(spark):
 def test_duplicates(spark):
     d = spark.createDataFrame([("K1", "A"), ("K1", "A"), ("K2", "B"), ("K2", "C"), ("K3", "D"), (None, "E"), (None, "F")], "k string, v string")
     got = quality.duplicate_flags(d, "k")
-    assert got.where("dup_any").count() == 4 and got.where("dup_drop").count() == 1 and rows(got.where("dup_conflict"), "k", "v") == [("K2", "B"), ("K2", "C")]
+    assert got.where("dup_any").count() == 4 and got.where("dup_drop").count() == 1 and rows(
+        got.where("dup_conflict"), "k", "v"
+    ) == [("K2", "B"), ("K2", "C")]
 
 
 def test_mojibake_and_alarm(spark):
@@ -227,10 +247,15 @@ def small_graph(spark):
 
 
 def test_matrix_statuses(spark):
-    d = spark.createDataFrame([("D1", 2, "A"), ("D2", 1, "A"), ("D3", 2, "B"), ("D4", None, "A"), ("D5", 7, "A")], "demand_id string, node_id long, dep string")
+    d = spark.createDataFrame(
+        [("D1", 2, "A"), ("D2", 1, "A"), ("D3", 2, "B"), ("D4", None, "A"), ("D5", 7, "A")],
+        "demand_id string, node_id long, dep string"
+    )
     f = spark.createDataFrame([("F", 3, "A")], "facility_id string, node_id long, dep string")
     got = {r.demand_id: r for r in network.matrix(small_graph(spark), d, f, "car").collect()}
-    assert {k: r.routing_status for k, r in got.items()} == {"D1": K.ROUTED, "D2": K.ROUTED, "D3": K.CROSS_DEPARTMENT, "D4": K.SNAP_FAILED, "D5": K.NO_ROUTE}
+    assert {k: r.routing_status for k, r in got.items()} == {
+        "D1": K.ROUTED, "D2": K.ROUTED, "D3": K.CROSS_DEPARTMENT, "D4": K.SNAP_FAILED, "D5": K.NO_ROUTE
+    }
     assert (got["D1"].travel_time_min, got["D2"].travel_time_min, got["D2"].distance_m) == (1.0, 2.0, 650.0)  # quickest time, shortest length
 
 
@@ -239,7 +264,9 @@ def test_multi_source_agrees_with_relaxation(spark):
 
     rng = random.Random(4)
     e = [(rng.randrange(80), rng.randrange(80), rng.randint(1, 50) + 0.5, 1.0) for _ in range(200)]
-    g = spark.createDataFrame([x for x in e if x[0] != x[1]], "u long, v long, time_s double, length double").groupBy("u", "v").agg(F.min("time_s").alias("time_s"), F.min("length").alias("length"))
+    g = spark.createDataFrame(
+        [x for x in e if x[0] != x[1]], "u long, v long, time_s double, length double"
+    ).groupBy("u", "v").agg(F.min("time_s").alias("time_s"), F.min("length").alias("length"))
     f = spark.createDataFrame([("FA", 3, "x"), ("FB", 40, "x")], "facility_id string, node_id long, dep string")
     d = spark.createDataFrame([(f"n{i}", i, "x") for i in range(80)], "demand_id string, node_id long, dep string")
     got = {r.demand_id: r.travel_time_min for r in network.nearest_multi_source(g, d, f, "car").where("reachable").collect()}
@@ -255,7 +282,10 @@ def test_large_graphs_are_searched_on_tables(spark, monkeypatch):
     rng = random.Random(8)
     e = {(rng.randrange(40), rng.randrange(40)): (float(rng.randint(1, 6)), float(rng.randint(1, 9))) for _ in range(110)}
     g = spark.createDataFrame([(u, v, t, m) for (u, v), (t, m) in e.items() if u != v], "u long, v long, time_s double, length double")
-    f = spark.createDataFrame([("FA", 3, "x"), ("FB", 20, "x"), ("FC", 20, "y"), ("FD", None, "x"), ("FE", 999, "y")], "facility_id string, node_id long, dep string")
+    f = spark.createDataFrame(
+        [("FA", 3, "x"), ("FB", 20, "x"), ("FC", 20, "y"), ("FD", None, "x"), ("FE", 999, "y")],
+        "facility_id string, node_id long, dep string"
+    )
     d = spark.createDataFrame([(f"n{i}", i if i % 9 else None, "xy"[i % 2]) for i in range(45)], "demand_id string, node_id long, dep string")
     runs = []
     for most in (8_000_000, 3):
@@ -276,7 +306,12 @@ def test_weak_components(spark):
 
 
 def test_modes(spark):
-    n = [("D1", "F1", "car", 1.0, True), ("D1", "F1", "foot", 2.0, True), ("D2", "F1", "car", 1.0, True), ("D2", "F2", "foot", 5.0, True), ("D3", "F1", "car", 1.0, True), ("D3", None, "foot", None, False), ("D4", None, "car", None, False), ("D4", "F1", "foot", 1.0, True), ("D5", None, "car", None, False), ("D5", None, "foot", None, False)]
+    n = [
+        ("D1", "F1", "car", 1.0, True), ("D1", "F1", "foot", 2.0, True), ("D2", "F1", "car", 1.0, True),
+        ("D2", "F2", "foot", 5.0, True), ("D3", "F1", "car", 1.0, True), ("D3", None, "foot", None, False),
+        ("D4", None, "car", None, False), ("D4", "F1", "foot", 1.0, True), ("D5", None, "car", None, False),
+        ("D5", None, "foot", None, False)
+    ]
     d = spark.createDataFrame(n, "demand_id string, facility_id string, mode string, travel_time_min double, reachable boolean")
     t = network.car_vs_foot(d)
     assert [r.category for r in t.orderBy("demand_id").collect()] == [K.BOTH_SAME, K.BOTH_DIFFERENT, K.CAR_ONLY, K.FOOT_ONLY, K.BOTH_UNREACHABLE]
@@ -304,9 +339,17 @@ def test_snap_finds_what_brute_force_finds(spark):
 
     rng = random.Random(3)
     nodes = [(i, -75 + rng.random() * rng.choice([0.2, 6]), -10 + rng.random() * rng.choice([0.2, 6])) for i in range(300)]
-    points = [(f"p{i}", *rng.choice([(-75 + rng.random(), -10 + rng.random()), (-90 + 30 * rng.random(), -20 + 30 * rng.random()), (10.0, 50.0), (-74.9, -9.9)])) for i in range(150)]
+    points = [
+        (
+            f"p{i}",
+            *rng.choice([(-75 + rng.random(), -10 + rng.random()), (-90 + 30 * rng.random(), -20 + 30 * rng.random()), (10.0, 50.0), (-74.9, -9.9)])
+        ) for i in range(150)
+    ]
     points.append(points[0])
-    got = geo.snap(spark.createDataFrame(points, "id string, lon double, lat double"), spark.createDataFrame(nodes, "id long, lon double, lat double"), "id", "id", 500).collect()
+    got = geo.snap(
+        spark.createDataFrame(points, "id string, lon double, lat double"),
+        spark.createDataFrame(nodes, "id long, lon double, lat double"), "id", "id", 500
+    ).collect()
     scale = math.cos(math.radians(sum(n[2] for n in nodes) / len(nodes)))
     want = {p[0]: min((((p[1] - n[1]) * scale) ** 2 + (p[2] - n[2]) ** 2, n[0]) for n in nodes)[1] for p in points}
     assert len(got) == 151 and {r.point_id: r.node_id for r in got} == want
@@ -327,8 +370,14 @@ def test_missing_numbers(spark):
 
 
 def test_analysis_without_a_frame_keeps_the_design_weight(spark):
-    demand = spark.createDataFrame([("1", "a", "A", "P", "X", 2), ("2", "b", "A", "P", "X", 3), ("3", None, "B", "P", "Y", 1)], "demand_id string, CPINEI string, dep string, prov string, dist string, design_weight long")
-    routing = spark.createDataFrame([("1", "routed", 10.0), ("2", "snap_failed", 9.0)], "demand_id string, routing_status_car string, travel_time_min_car double")
+    demand = spark.createDataFrame(
+        [("1", "a", "A", "P", "X", 2), ("2", "b", "A", "P", "X", 3), ("3", None, "B", "P", "Y", 1)],
+        "demand_id string, CPINEI string, dep string, prov string, dist string, design_weight long"
+    )
+    routing = spark.createDataFrame(
+        [("1", "routed", 10.0), ("2", "snap_failed", 9.0)],
+        "demand_id string, routing_status_car string, travel_time_min_car double"
+    )
     pop = spark.createDataFrame([("a", 100), ("b", 10)], "code string, pop long")
     areas = spark.createDataFrame([("1", "urban")], "demand_id string, urban_rural string")
     out = phases.analyse(demand, routing, pop, areas)
@@ -339,7 +388,10 @@ def test_analysis_without_a_frame_keeps_the_design_weight(spark):
 
 
 def test_latex_and_numbers(spark):
-    r = spark.range(1).select(X.latex_escape(F.lit("a\\b {c} ~^ 5%")).alias("t"), X.fmt_num(F.lit(1234567.86)).alias("n"), X.fmt_num(F.lit(None)).alias("none")).first()
+    r = spark.range(1).select(
+        X.latex_escape(F.lit("a\\b {c} ~^ 5%")).alias("t"), X.fmt_num(F.lit(1234567.86)).alias("n"),
+        X.fmt_num(F.lit(None)).alias("none")
+    ).first()
     assert tuple(r) == (r"a\textbackslash{}b \{c\} \textasciitilde{}\textasciicircum{} 5\%", "1,234,567.9", "--")
     assert X.map_component_key("map", ["b", "a"], None, [K.ALL]) == "map_a-b_todos_todos"
 
@@ -347,7 +399,11 @@ def test_latex_and_numbers(spark):
 def test_phases_keep_a_trace_of_everything(spark):
     names = "COD_IPRESS NOMBRE DEPARTAMENTO PROVINCIA DISTRITO UBIGEO DIRECCION CATEGORIA ESTADO NORTE ESTE".split()
     own = lambda code, ub, lat, lon, name="N": (code, name, "cusco", "P", "D", ub, None, "II-1", "ACTIVO", lat, lon)
-    rows = [own("1", "A", "-3.55", "-80.55"), own("1", "A", "-3.55", "-80.55"), own("2", "A", "-3.55", "-80.45"), own("3", "A", "-80.55", "-3.55"), own("4", "A", "-80.45", "-3.55"), own("5", "A", "-0.0000001", "0.0"), own("6", "B", "50", "10"), own("7", "B", "-3.55", "-80.45", "x"), own("7", "B", "-3.55", "-80.45", "y")]
+    rows = [
+        own("1", "A", "-3.55", "-80.55"), own("1", "A", "-3.55", "-80.55"), own("2", "A", "-3.55", "-80.45"),
+        own("3", "A", "-80.55", "-3.55"), own("4", "A", "-80.45", "-3.55"), own("5", "A", "-0.0000001", "0.0"),
+        own("6", "B", "50", "10"), own("7", "B", "-3.55", "-80.45", "x"), own("7", "B", "-3.55", "-80.45", "y")
+    ]
     ring = lambda a, b: [[{"x": a, "y": -3.6}, {"x": b, "y": -3.6}, {"x": b, "y": -3.5}, {"x": a, "y": -3.5}]]
     districts = spark.createDataFrame([("A", ring(-80.6, -80.5)), ("B", ring(-80.5, -80.4))], f"UBIGEO string, rings {geo.RINGS}")
     out = phases.process_facilities(spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names)), ["Cusco"], districts)
@@ -362,7 +418,13 @@ def test_phases_keep_a_trace_of_everything(spark):
 def test_declared_district(spark):
     ring = [{"x": -72.5, "y": -14.0}, {"x": -71.5, "y": -14.0}, {"x": -71.5, "y": -13.0}, {"x": -72.5, "y": -13.0}]
     box = spark.createDataFrame([("U", [ring])], f"code string, rings {geo.RINGS}")
-    p = spark.createDataFrame([("in", "U", -71.97, -13.52), ("out", "U", -70.0, -13.52), ("near", "U", -71.495, -13.5), ("else", "X", -70.0, -13.0), ("none", "U", None, None)], "id string, code string, lon double, lat double")
+    p = spark.createDataFrame(
+        [
+            ("in", "U", -71.97, -13.52), ("out", "U", -70.0, -13.52), ("near", "U", -71.495, -13.5),
+            ("else", "X", -70.0, -13.0), ("none", "U", None, None)
+        ],
+        "id string, code string, lon double, lat double"
+    )
     got = {r.id: r.district_mismatch for r in geo.outside_declared(p, box, "code").collect()}
     assert got == {"in": False, "out": True, "near": False, "else": False, "none": False}
 
@@ -374,8 +436,14 @@ def test_utm(spark):
 
 
 def test_scenario(spark):
-    base = spark.createDataFrame([("d1", 50.0, 10.0), ("d2", None, 20.0), ("d3", 200.0, 30.0), ("d4", 10.0, 40.0)], "demand_id string, t_min double, calibrated_weight double")
-    m = spark.createDataFrame([("d1", "c1", 10.0), ("d2", "c1", 20.0), ("d3", "c1", None), ("d1", "c2", 5.0), ("d4", "c1", 100.0)], "demand_id string, facility_id string, travel_time_min double")
+    base = spark.createDataFrame(
+        [("d1", 50.0, 10.0), ("d2", None, 20.0), ("d3", 200.0, 30.0), ("d4", 10.0, 40.0)],
+        "demand_id string, t_min double, calibrated_weight double"
+    )
+    m = spark.createDataFrame(
+        [("d1", "c1", 10.0), ("d2", "c1", 20.0), ("d3", "c1", None), ("d1", "c2", 5.0), ("d4", "c1", 100.0)],
+        "demand_id string, facility_id string, travel_time_min double"
+    )
     t = lambda sel: [r.scenario_t for r in scenario.scenario_time(base, m, sel).orderBy("demand_id").collect()]
     assert t(None) == t([]) == t(["zz"]) == [50, None, 200, 10]
     assert t(["c1"]) == [10, 20, 200, 10] and t(["c1", "c2"])[0] == 5
@@ -400,11 +468,20 @@ def test_profile_hash_follows_parameters():
 
 def test_demand_analysis(spark):
     demand = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (None, "d")], "demand_id long, dist string")
-    routing = spark.createDataFrame([("1", "x", "routed", 5.0), ("2", "y", "snap_failed", 9.0)], "demand_id string, dist string, routing_status_car string, travel_time_min_car double")
-    weighted = spark.createDataFrame([("1", 10, "matched", 30, 7), ("3", None, "unmatched", None, 7)], "demand_id string, population long, population_match_status string, analysis_weight long, other long")
+    routing = spark.createDataFrame(
+        [("1", "x", "routed", 5.0), ("2", "y", "snap_failed", 9.0)],
+        "demand_id string, dist string, routing_status_car string, travel_time_min_car double"
+    )
+    weighted = spark.createDataFrame(
+        [("1", 10, "matched", 30, 7), ("3", None, "unmatched", None, 7)],
+        "demand_id string, population long, population_match_status string, analysis_weight long, other long"
+    )
     areas = spark.createDataFrame([("1", "urban"), ("2", None)], "demand_id string, urban_rural string")
     got = linkage.demand_analysis(demand, routing, weighted, areas)
-    assert got.columns == ["demand_id", "dist", "dist_routing", "routing_status_car", "travel_time_min_car", "population", "population_match_status", "analysis_weight", "urban_rural", "t_min", "ht_population_weight"]
+    assert got.columns == [
+        "demand_id", "dist", "dist_routing", "routing_status_car", "travel_time_min_car", "population",
+        "population_match_status", "analysis_weight", "urban_rural", "t_min", "ht_population_weight"
+    ]
     assert sorted((tuple(r) for r in got.collect()), key=lambda r: r[1]) == [
         ("1", "a", "x", "routed", 5.0, 10, "matched", 30, "urban", 5.0, 30),
         ("2", "b", "y", "snap_failed", 9.0, None, None, None, "unknown", None, None),
