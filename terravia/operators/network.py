@@ -120,8 +120,8 @@ MAX_EDGES = 8_000_000
 
 
 def _adjacency(edges: DataFrame):
-    """The reversed graph, built once and broadcast; None where it has more than MAX_EDGES edges."""
-    if edges.limit(MAX_EDGES + 1).count() > MAX_EDGES:
+    """The reversed graph, built once and broadcast; None where it has more than MAX_EDGES edges. edges: stored."""
+    if edges.count() > MAX_EDGES:
         return None
     table = edges.select(
         F.col("v").cast("long").alias("a"), F.col("u").cast("long").alias("b"), F.col("time_s").cast("double"),
@@ -176,6 +176,8 @@ def reach(edges: DataFrame, facilities: DataFrame, demand_nodes: DataFrame) -> D
     graph of more than MAX_EDGES edges is relaxed on tables, for all facilities at once."""
     wanted = demand_nodes.select(F.col("node_id").cast("long")).where("node_id is not null").distinct()
     pairs = facilities.select(F.col("facility_id").cast("string"), F.col("node_id").cast("long")).where("node_id is not null")
+    _checkpoints(edges)
+    edges = edges.checkpoint()  # counted, then collected or relaxed
     shared = _adjacency(edges)
     if shared is None:
         seeds = pairs.select("facility_id", "node_id", F.col("facility_id").alias("source"))
@@ -226,6 +228,8 @@ def nearest_multi_source(edges: DataFrame, demand: DataFrame, facilities: DataFr
     some = facilities.where("node_id is not null").select(
         dep, F.col("node_id").cast("long"), F.col("facility_id").cast("string")
     ).groupBy("dep", "node_id").agg(F.max("facility_id").alias("facility_id"))
+    _checkpoints(edges)
+    edges = edges.checkpoint()
     shared = _adjacency(edges)
 
     def run(table: pd.DataFrame) -> pd.DataFrame:
